@@ -120,3 +120,119 @@ FROM eval_long e JOIN oracle_lab o USING (sample_id)
 sql("q_response_length", f"""
 SELECT model, round(avg({ntok('response[1]')}), 6) AS avg_response_tokens FROM eval_long GROUP BY model
 """)
+
+# ---------------------------------------------------------------- ingest
+
+_W = ",\n".join(f"round(avg(performance) FILTER (WHERE model = 'm{i}'), 6) AS m{i}_perf, "
+                f"min(cost_pico) FILTER (WHERE model = 'm{i}') AS m{i}_cost" for i in range(5))
+sql("q_to_wide", f"SELECT sample_id, eval_name, {_W} FROM eval_long GROUP BY sample_id, eval_name")
+
+sql("q_to_long", """
+SELECT sample_id, eval_name, model, avg(performance) AS performance, min(cost_pico) AS cost_pico
+FROM eval_long GROUP BY sample_id, eval_name, model
+""")
+
+sql("q_complete_samples", """
+SELECT sample_id, model, performance, cost_pico FROM eval_long
+WHERE sample_id NOT IN (SELECT sample_id FROM eval_long WHERE performance IS NULL)
+""")
+
+sql("q_eval_family", """
+SELECT eval_name, count(*) AS n_rows, round(avg(performance), 6) AS performance
+FROM eval_long WHERE starts_with(eval_name, 'en') GROUP BY eval_name
+""")
+
+sql("q_eval_from_id", """
+SELECT sample_id, split_part(sample_id, '.', 1) AS eval_family FROM eval_long WHERE model_idx = 0
+""")
+
+sql("q_models", "SELECT model, min(model_idx) AS model_idx FROM eval_long GROUP BY model")
+
+sql("q_dedupe_first", """
+SELECT sample_id, model, performance FROM (
+  SELECT *, row_number() OVER (PARTITION BY model, prompt ORDER BY doc_id) AS rn FROM eval_long)
+WHERE rn = 1
+""")
+
+ORACLE_SQL["q_choice_score"] = """
+SELECT doc_id, choice,
+       CASE WHEN choice = '__invalid__' THEN NULL
+            ELSE 1.0::DOUBLE - (ascii(choice) - 65)::DOUBLE / 4.0::DOUBLE END AS score
+FROM (SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN '__invalid__' ELSE chr((65 + doc_id % 5)::INTEGER) END AS choice
+      FROM documents)
+"""
+
+ORACLE_SQL["q_metric_select"] = """
+SELECT doc_id, round(CASE doc_id % 4
+    WHEN 0 THEN quality::DOUBLE
+    WHEN 1 THEN quality::DOUBLE * 0.5::DOUBLE
+    WHEN 2 THEN ((doc_id * 7) % 101)::DOUBLE / 100.0::DOUBLE
+    ELSE 1.0::DOUBLE - (ascii(chr((65 + doc_id % 5)::INTEGER)) - 65)::DOUBLE / 4.0::DOUBLE END, 6) AS value
+FROM labels
+"""
+
+ORACLE_SQL["q_select_prompts"] = """
+WITH firsts AS (
+  SELECT conv_id, text, min(turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id, text),
+d AS (SELECT conv_id, list(text ORDER BY t) AS d FROM firsts GROUP BY conv_id),
+s AS (SELECT conv_id, CASE WHEN len(d) = 1 THEN d
+                           WHEN len(d) = 4 THEN [d[1], d[3]]
+                           ELSE list_filter(d, lambda x: NOT (contains(x, '[BEGIN DATA]')
+                                OR contains(x, '<|The Start of Assistant ')
+                                OR contains(x, chr(10) || '************' || chr(10) || '[END DATA]'))) END AS sel
+      FROM d)
+SELECT conv_id, len(sel) AS n_selected, md5(array_to_string(sel, chr(1))) AS selected_md5 FROM s
+"""
+
+LOG_FOLD = """
+lab AS (SELECT doc_id AS conv_id, quality::DOUBLE AS correct FROM labels),
+fold AS (
+  SELECT 'conv' || (conv_id % 7)::VARCHAR || '.jsonl' AS file, conv_id,
+         coalesce(list(text ORDER BY turn) FILTER (WHERE role = 'user'), []) AS prompts,
+         coalesce(list(text ORDER BY turn) FILTER (WHERE role = 'assistant'), []) AS s0
+  FROM conversations GROUP BY conv_id),
+folded AS (
+  SELECT f.file, f.conv_id, f.conv_id::VARCHAR AS sample_id, f.prompts,
+         CASE WHEN len(f.s0) > 1 THEN f.s0[1:len(f.s0) - 1] ELSE f.s0 END AS sampled, lab.correct
+  FROM fold f LEFT JOIN lab USING (conv_id))
+"""
+
+ORACLE_SQL["q_log_fold"] = "WITH " + LOG_FOLD.strip() + """
+SELECT file, sample_id, len(prompts) AS n_prompts, md5(array_to_string(prompts, chr(1))) AS prompt_md5,
+       len(sampled) AS n_sampled, md5(array_to_string(sampled, chr(1))) AS sampled_md5, correct
+FROM folded
+"""
+
+ORACLE_SQL["q_log_header"] = """
+WITH ev AS (
+  SELECT conv_id, conv_id % 7 AS k, conv_id * 100 + turn + 1 AS pos, 'sampling' AS type
+  FROM conversations WHERE role IN ('user', 'assistant')
+  UNION ALL
+  SELECT DISTINCT c.conv_id, c.conv_id % 7 AS k, c.conv_id * 100 + 99 AS pos, 'match' AS type
+  FROM conversations c JOIN labels l ON l.doc_id = c.conv_id WHERE c.role IN ('user', 'assistant'))
+SELECT 'conv' || k::VARCHAR || '.jsonl' AS file, pos, conv_id::VARCHAR AS sample_id, type,
+       'm' || (k % 5)::VARCHAR AS model, 'conv-' || k::VARCHAR AS eval_name
+FROM ev WHERE k <> 3
+"""
+
+ORACLE_SQL["q_convert_logs"] = "WITH " + LOG_FOLD.strip() + f""",
+conv AS (
+  SELECT sample_id, 'conv-' || (conv_id % 7)::VARCHAR AS eval_name, 'm' || (conv_id % 7 % 5)::VARCHAR AS model,
+         (conv_id % 7 % 5)::INTEGER AS m, prompts, sampled,
+         CASE WHEN correct = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS performance
+  FROM folded WHERE conv_id % 7 <> 3 AND correct IS NOT NULL
+    AND conv_id IN (SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant'))),
+priced AS (
+  SELECT sample_id, eval_name, model, performance,
+         (coalesce((SELECT sum({ntok('x')}) FROM unnest(prompts) t(x)), 0) * 100000 * (m + 1)
+          + coalesce((SELECT sum({ntok('x')}) FROM unnest(sampled) t(x)), 0) * 200000 * (m + 1)
+          + CASE WHEN m = 4 THEN 5000000000 ELSE 0 END)::BIGINT AS cost_pico
+  FROM conv)
+SELECT sample_id, eval_name, model, performance, cost_pico,
+       CASE WHEN performance > 0 THEN model ELSE 'no_model_correct' END AS oracle
+FROM priced
+"""
+
+sql("q_convert_long", """
+SELECT sample_id, split_part(sample_id, '.', 1) AS eval_name, oracle, oracle_cost_pico FROM oracle_lab
+""")

@@ -69,38 +69,99 @@ def router_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_long(spark, sf_dir).join(emb, "doc_id", "inner")
 
 
+def _conv_file(conv_id):
+    return F.concat(F.lit("conv"), (conv_id % 7).cast("string"), F.lit(".jsonl"))
+
+
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-log events derived from ``conversations``.
 
-    file = conv<id % 7>.jsonl, event position = turn; user turns are sampling
-    events carrying a prompt, assistant turns carry a sampled answer, system
-    turns are ignored; the grade (``labels.quality``) is a final match event.
+    file = conv<id % 7>.jsonl, sample = conversation, event position = turn;
+    user turns are sampling events carrying a prompt, assistant turns carry a
+    sampled answer, system turns are ignored; the grade (``labels.quality``)
+    is a final match event, NULL when the conversation has no label.
     """
     conv = read_table(spark, sf_dir, "conversations")
     lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"),
                                                     F.col("quality").cast("double").alias("correct"))
     ev = conv.where(F.col("role").isin("user", "assistant")).select(
-        F.concat(F.lit("conv"), (F.col("conv_id") % 7).cast("string"), F.lit(".jsonl")).alias("file"),
+        _conv_file(F.col("conv_id")).alias("file"),
         F.col("conv_id").cast("string").alias("sample_id"),
         F.col("turn").alias("pos"),
         F.lit("sampling").alias("type"),
-        F.when(F.col("role") == "user", F.col("text")).alias("prompt"),
-        F.when(F.col("role") == "assistant", F.col("text")).alias("sampled"),
+        F.when(F.col("role") == "user", F.array(F.col("text"))).alias("prompt"),
+        F.when(F.col("role") == "user", F.lit(False)).alias("is_completion"),
+        F.when(F.col("role") == "assistant", F.array(F.col("text"))).alias("sampled"),
         F.lit(None).cast("double").alias("correct"),
+        F.lit(None).cast("string").alias("created_at"),
     )
     last_turn = conv.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
     match = last_turn.join(lab, "conv_id", "left").select(
-        F.concat(F.lit("conv"), (F.col("conv_id") % 7).cast("string"), F.lit(".jsonl")).alias("file"),
+        _conv_file(F.col("conv_id")).alias("file"),
         F.col("conv_id").cast("string").alias("sample_id"),
         (F.col("last_turn") + 1).alias("pos"),
         F.lit("match").alias("type"),
-        F.lit(None).cast("string").alias("prompt"),
-        F.lit(None).cast("string").alias("sampled"),
+        F.lit(None).cast("array<string>").alias("prompt"),
+        F.lit(None).cast("boolean").alias("is_completion"),
+        F.lit(None).cast("array<string>").alias("sampled"),
         F.col("correct"),
+        F.lit(None).cast("string").alias("created_at"),
     )
     return ev.unionByName(match)
 
 
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same run logs as JSON lines ``(file, pos, line)``.
+
+    Each file conv<k>.jsonl starts with a spec record (model m<k % 5>, eval
+    conv-<k>); events follow at pos = 100 * conv_id + turn + 1, the grade of
+    labelled conversations last (a boolean ``correct``).  Three files must be
+    skipped by readers: conv3.jsonl gets an unparsable line, a ``_bak`` copy of
+    conv2 exists, and short.jsonl holds only two records.
+    """
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), "quality")
+    k = F.col("conv_id") % 7
+    files = conv.select("conv_id").select(k.alias("k")).distinct()
+    header = files.select(
+        F.concat(F.lit("conv"), F.col("k").cast("string"), F.lit(".jsonl")).alias("file"),
+        F.lit(0).cast("long").alias("pos"),
+        F.to_json(F.struct(F.struct(
+            F.array(F.concat(F.lit("raw_models/m"), (F.col("k") % 5).cast("string"))).alias("completion_fns"),
+            F.concat(F.lit("conv-"), F.col("k").cast("string")).alias("eval_name")).alias("spec"))).alias("line"))
+    data = F.when(F.col("role") == "user", F.struct(
+        F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("prompt"),
+        F.lit(None).cast("array<string>").alias("sampled"))).otherwise(F.struct(
+        F.lit(None).cast("array<struct<role:string,content:string>>").alias("prompt"),
+        F.array(F.col("text")).alias("sampled")))
+    events = conv.select(
+        _conv_file(F.col("conv_id")).alias("file"),
+        (F.col("conv_id") * 100 + F.col("turn") + 1).alias("pos"),
+        F.to_json(F.struct(
+            F.concat(F.lit("run"), k.cast("string")).alias("run_id"),
+            F.col("conv_id").cast("string").alias("sample_id"),
+            F.lit("sampling").alias("type"),
+            data.alias("data"))).alias("line"))
+    grades = (conv.select("conv_id").distinct().join(lab, "conv_id", "inner").select(
+        _conv_file(F.col("conv_id")).alias("file"),
+        (F.col("conv_id") * 100 + 99).alias("pos"),
+        F.to_json(F.struct(
+            F.concat(F.lit("run"), k.cast("string")).alias("run_id"),
+            F.col("conv_id").cast("string").alias("sample_id"),
+            F.lit("match").alias("type"),
+            F.struct((F.col("quality") == 1).alias("correct")).alias("data"))).alias("line")))
+    base = header.unionByName(events).unionByName(grades)
+    broken = base.where(F.col("file") == "conv3.jsonl").where(F.col("pos") == 0).select(
+        "file", F.lit(1).cast("long").alias("pos"), F.lit("{not json").alias("line"))
+    bak = base.where(F.col("file") == "conv2.jsonl").select(
+        F.lit("conv2_bak.jsonl").alias("file"), "pos", "line")
+    short = base.where(F.col("file") == "conv1.jsonl").where(F.col("pos") == 0).select(
+        F.lit("short.jsonl").alias("file"), "pos", "line").unionByName(
+        base.where(F.col("file") == "conv1.jsonl").where(F.col("pos") == 0).select(
+            F.lit("short.jsonl").alias("file"), F.lit(1).cast("long").alias("pos"), "line"))
+    return base.unionByName(broken).unionByName(bak).unionByName(short)
+
+
 def variant_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Router results per (eval, variant, wtp point) aggregated from ``documents``.
 
