@@ -236,3 +236,60 @@ FROM priced
 sql("q_convert_long", """
 SELECT sample_id, split_part(sample_id, '.', 1) AS eval_name, oracle, oracle_cost_pico FROM oracle_lab
 """)
+
+# ---------------------------------------------------------------- split + embeddings
+
+SPLIT_CTE = """
+s AS (SELECT DISTINCT family, source, sample_id FROM eval_long),
+su AS (SELECT family, sample_id,
+              ('0x' || substr(md5('42|' || sample_id), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+       FROM (SELECT DISTINCT family, sample_id FROM s)),
+split AS (SELECT family, sample_id,
+                 CASE WHEN row_number() OVER (PARTITION BY family ORDER BY u, sample_id)
+                           <= floor(count(*) OVER (PARTITION BY family) * 0.7::DOUBLE) THEN 'train'
+                      ELSE 'test' END AS split
+          FROM su)
+"""
+
+sql("q_split_samples", "SELECT family, sample_id, split FROM split", SPLIT_CTE)
+
+sql("q_split_sources", """
+SELECT s.family, s.sample_id, r.split
+FROM (SELECT DISTINCT family, source, sample_id FROM s) s JOIN (
+  SELECT family, source,
+         CASE WHEN row_number() OVER (PARTITION BY family ORDER BY u, source)
+                   <= floor(count(*) OVER (PARTITION BY family) * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split
+  FROM (SELECT family, source,
+               ('0x' || substr(md5('42|' || source), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+        FROM (SELECT DISTINCT family, source FROM s))) r USING (family, source)
+""", SPLIT_CTE)
+
+sql("q_split_ood", """
+SELECT family, sample_id, split FROM split
+WHERE (family <> 'en' AND split = 'train') OR (family = 'en' AND split = 'test')
+""", SPLIT_CTE)
+
+sql("q_split_leak_check", """
+SELECT family, sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END)::BIGINT AS n_train,
+       sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END)::BIGINT AS n_test,
+       (SELECT count(*) FROM split a JOIN split b USING (family, sample_id)
+        WHERE a.split = 'train' AND b.split = 'test' AND a.family = x.family)::BIGINT AS n_overlap
+FROM split x GROUP BY family
+""", SPLIT_CTE)
+
+ORACLE_SQL["q_cache_keys"] = "SELECT doc_id, sha256(text || 'hash32') AS hash FROM documents"
+
+ORACLE_SQL["q_cache_misses"] = """
+SELECT DISTINCT sha256(text || 'hash32') AS hash FROM documents
+EXCEPT SELECT sha256(text || 'hash32') FROM documents WHERE doc_id % 3 = 0
+"""
+
+ORACLE_SQL["q_embed_cache"] = """
+WITH t AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '\\S+'))) AS h FROM documents),
+w AS (SELECT doc_id, (('0x' || substr(h, 1, 4))::INTEGER % 32) AS bucket,
+             sum(CASE WHEN substr(h, 5, 1) < '8' THEN 1 ELSE -1 END) AS w
+      FROM t GROUP BY doc_id, bucket),
+n AS (SELECT doc_id, sqrt(sum(w * w)::DOUBLE) AS nrm FROM w GROUP BY doc_id)
+SELECT doc_id, bucket::INTEGER AS bucket, round(((w::DOUBLE / nrm)::FLOAT)::DOUBLE, 6) AS value
+FROM w JOIN n USING (doc_id) WHERE w <> 0
+"""
