@@ -293,3 +293,102 @@ n AS (SELECT doc_id, sqrt(sum(w * w)::DOUBLE) AS nrm FROM w GROUP BY doc_id)
 SELECT doc_id, bucket::INTEGER AS bucket, round(((w::DOUBLE / nrm)::FLOAT)::DOUBLE, 6) AS value
 FROM w JOIN n USING (doc_id) WHERE w <> 0
 """
+
+# ---------------------------------------------------------------- kNN routing
+
+KS_SQL = ", ".join(str(k) for k in KNN_NEIGHBORS)
+
+KNN_CTE = f"""
+rs AS (SELECT e.*, emb.embedding FROM eval_long e JOIN embeddings emb ON emb.vec_id = e.doc_id),
+smp AS (SELECT DISTINCT family, sample_id FROM rs),
+su AS (SELECT family, sample_id,
+              ('0x' || substr(md5('42|' || sample_id), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM smp),
+split AS (SELECT family, sample_id,
+                 CASE WHEN row_number() OVER (PARTITION BY family ORDER BY u, sample_id)
+                           <= floor(count(*) OVER (PARTITION BY family) * 0.7::DOUBLE) THEN 'train'
+                      ELSE 'test' END AS split
+          FROM su),
+vec AS (SELECT sample_id, any_value(embedding) AS embedding FROM rs GROUP BY sample_id),
+qs AS (SELECT s.family, s.sample_id, v.embedding FROM split s JOIN vec v USING (sample_id) WHERE split = 'test'),
+ts AS (SELECT s.family, s.sample_id, v.embedding FROM split s JOIN vec v USING (sample_id) WHERE split = 'train'),
+pairs AS (SELECT q.family, q.sample_id AS query_id, t.sample_id AS neighbor_id,
+                 round(list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 9) AS sim
+          FROM qs q JOIN ts t USING (family)),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family, query_id ORDER BY sim DESC, neighbor_id) AS rank
+                      FROM pairs) WHERE rank <= {max(KNN_NEIGHBORS)}),
+ks AS (SELECT unnest([{KS_SQL}]) AS k),
+sc AS (SELECT nb.family, ks.k, nb.query_id, e.model_idx, avg(coalesce(e.performance, 0.0::DOUBLE)) AS score
+       FROM nb JOIN ks ON nb.rank <= ks.k JOIN rs e ON e.sample_id = nb.neighbor_id
+       GROUP BY nb.family, ks.k, nb.query_id, e.model_idx),
+lens AS (SELECT s.family, e.model, e.model_idx, avg({ntok('e.response[1]')}) AS avg_len
+         FROM rs e JOIN split s USING (sample_id) WHERE s.split = 'train' GROUP BY s.family, e.model, e.model_idx),
+price AS (SELECT l.family, l.model_idx,
+                 (p.completion_pico::DOUBLE + p.prompt_pico::DOUBLE
+                  + coalesce(coalesce(p.request_pico, 0)::DOUBLE / nullif(l.avg_len, 0), 0.0::DOUBLE))
+                 / 1000000000000.0::DOUBLE AS price
+          FROM lens l JOIN model_price p USING (model)),
+wtp AS (SELECT * FROM (VALUES {WTP_VALUES_SQL}) w(wi, wtp, wtp_text)),
+util AS (SELECT sc.family, sc.k, sc.query_id, w.wtp, w.wtp_text, sc.model_idx,
+                CASE WHEN w.wtp > 0 THEN sc.score * w.wtp - pr.price ELSE sc.score END AS u
+         FROM sc JOIN price pr USING (family, model_idx) CROSS JOIN wtp w),
+routed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family, k, wtp, query_id
+                                                       ORDER BY u DESC, model_idx) AS rn FROM util) WHERE rn = 1),
+looked AS (SELECT r.family, r.k, r.wtp, r.wtp_text, r.query_id, e.model AS chosen,
+                  coalesce(e.performance, 0.0::DOUBLE) AS performance, e.cost_pico
+           FROM routed r JOIN rs e ON e.sample_id = r.query_id AND e.model_idx = r.model_idx),
+sweep AS (SELECT family AS eval_name, k::INTEGER AS neighbors, wtp, any_value(wtp_text) AS wtp_text,
+                 avg(performance) AS performance, sum(cost_pico)::BIGINT AS total_cost_pico
+          FROM looked GROUP BY family, k, wtp),
+te AS (SELECT e.* FROM rs e JOIN split s USING (sample_id) WHERE s.split = 'test'),
+te_oracle AS (
+  SELECT family, sample_id,
+         CASE WHEN mx > 0 THEN performance ELSE 0.0::DOUBLE END AS oracle_performance,
+         CASE WHEN mx > 0 THEN cost_pico ELSE 0 END::BIGINT AS oracle_cost_pico
+  FROM (SELECT *, max(performance) OVER (PARTITION BY sample_id) AS mx,
+               row_number() OVER (PARTITION BY sample_id ORDER BY performance DESC NULLS LAST, cost_pico, model_idx) AS rn
+        FROM te) WHERE rn = 1),
+base AS (SELECT family AS eval_name, model AS router, avg(coalesce(performance, 0.0::DOUBLE)) AS performance,
+                sum(cost_pico)::BIGINT AS total_cost_pico FROM te GROUP BY family, model
+         UNION ALL
+         SELECT family, 'oracle', avg(oracle_performance), sum(oracle_cost_pico)::BIGINT FROM te_oracle GROUP BY family)
+"""
+
+sql("q_knn_neighbors", """
+SELECT family, query_id AS sample_id, neighbor_id, round(sim, 6) AS sim, rank::BIGINT AS rank FROM nb
+""", KNN_CTE)
+
+sql("q_knn_scores", """
+SELECT family, k::INTEGER AS neighbors, query_id AS sample_id, model_idx, round(score, 6) AS score FROM sc
+""", KNN_CTE)
+
+sql("q_price_score", """
+SELECT family, model_idx, round(price * 1000000000000.0::DOUBLE, 6) AS price_score_pico FROM price
+""", KNN_CTE)
+
+sql("q_route_knn", """
+SELECT k::INTEGER AS neighbors, wtp, query_id AS sample_id, 'm' || model_idx::VARCHAR AS chosen FROM routed
+""", KNN_CTE)
+
+sql("q_route_lookup", """
+SELECT k::INTEGER AS neighbors, wtp, query_id AS sample_id, chosen, performance, cost_pico FROM looked
+""", KNN_CTE)
+
+sql("q_wtp_sweep", """
+SELECT eval_name, neighbors, wtp, round(performance, 6) AS performance, total_cost_pico FROM sweep
+""", KNN_CTE)
+
+sql("q_knn_grid", """
+SELECT eval_name, 'knn|neighbors:' || neighbors::VARCHAR || '|metric:cosine|embedding:given|fraction:0.7'
+                  || '|willingness_to_pay:' || wtp_text AS variant,
+       round(performance, 6) AS performance, total_cost_pico FROM sweep
+""", KNN_CTE)
+
+sql("q_router_scores", """
+SELECT eval_name, 'knn' AS router, neighbors, wtp, round(performance, 6) AS performance, total_cost_pico FROM sweep
+UNION ALL
+SELECT eval_name, router, NULL::INTEGER, NULL::DOUBLE, round(performance, 6), total_cost_pico FROM base
+""", KNN_CTE)
+
+sql("q_test_baselines", """
+SELECT eval_name, router, round(performance, 6) AS performance, total_cost_pico FROM base
+""", KNN_CTE)
