@@ -392,3 +392,63 @@ SELECT eval_name, router, NULL::INTEGER, NULL::DOUBLE, round(performance, 6), to
 sql("q_test_baselines", """
 SELECT eval_name, router, round(performance, 6) AS performance, total_cost_pico FROM base
 """, KNN_CTE)
+
+# ---------------------------------------------------------------- cascade
+
+def _grid_sql():
+    from decimal import Decimal
+    rows = []
+    for b in CASCADE_BUDGETS:
+        for ei, e in enumerate(CASCADE_ERROR_RATES):
+            rows.append(f"({int(Decimal(repr(b)) * 10**12)}::BIGINT, {_dbl(b)}, {ei}, {_dbl(e)})")
+    return ", ".join(rows)
+
+
+CASCADE_CTE = f"""
+fl AS (SELECT eval_name, sample_id, model, model_idx, coalesce(performance, 0.0::DOUBLE) AS performance,
+              cost_pico, response FROM eval_long),
+thr AS (SELECT eval_name, quantile_cont(performance, 0.95) AS threshold FROM fl GROUP BY eval_name),
+lens AS (SELECT eval_name, model, model_idx, avg({ntok('response[1]')}) AS avg_len FROM fl
+         GROUP BY eval_name, model, model_idx),
+pr AS (SELECT l.eval_name, l.model_idx,
+              (p.completion_pico::DOUBLE + p.prompt_pico::DOUBLE
+               + coalesce(coalesce(p.request_pico, 0)::DOUBLE / nullif(l.avg_len, 0), 0.0::DOUBLE))
+              / 1000000000000.0::DOUBLE AS price
+       FROM lens l JOIN model_price p USING (model)),
+ordr AS (SELECT fl.*, row_number() OVER (PARTITION BY fl.sample_id ORDER BY pr.price, fl.model_idx) AS pos
+         FROM fl JOIN pr USING (eval_name, model_idx)),
+grid AS (SELECT * FROM (VALUES {_grid_sql()}) g(budget_pico, budget, ei, err)),
+c AS (SELECT o.eval_name, o.sample_id, o.model, o.performance, o.cost_pico, o.pos, g.budget_pico, g.budget, g.ei,
+             g.err, t.threshold,
+             (('0x' || substr(md5(o.sample_id || '|' || o.model || '|' || g.ei::VARCHAR), 1, 8))::BIGINT::DOUBLE
+              / 4294967296.0::DOUBLE) < g.err AS wrong
+      FROM ordr o CROSS JOIN grid g JOIN thr t USING (eval_name)),
+c2 AS (SELECT *, CASE WHEN wrong THEN performance < threshold ELSE performance >= threshold END AS acc,
+              sum(cost_pico) OVER (PARTITION BY sample_id, budget_pico, ei ORDER BY pos
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s_j
+       FROM c),
+c3 AS (SELECT *, coalesce(sum(acc::INTEGER) OVER (PARTITION BY sample_id, budget_pico, ei ORDER BY pos
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS acc_before
+       FROM c2),
+asked AS (SELECT * FROM c3 WHERE acc_before = 0 AND NOT (s_j >= budget_pico AND s_j - cost_pico > 0)),
+per AS (SELECT eval_name, sample_id, budget, err, any_value(threshold) AS threshold,
+               arg_max(performance, pos) AS last_performance, max(s_j) AS spent
+        FROM asked GROUP BY eval_name, sample_id, budget, err),
+cas AS (SELECT eval_name, budget AS max_cost_per_response, err AS evaluator_error_rate,
+               any_value(threshold) AS performance_threshold, avg(last_performance) AS performance,
+               sum(spent)::BIGINT AS total_cost_pico
+        FROM per GROUP BY eval_name, budget, err)
+"""
+
+sql("q_accept_threshold", "SELECT eval_name, round(threshold, 6) AS threshold FROM thr", CASCADE_CTE)
+
+sql("q_cascade", """
+SELECT eval_name, max_cost_per_response, evaluator_error_rate, round(performance_threshold, 6) AS performance_threshold,
+       round(performance, 6) AS performance, total_cost_pico FROM cas
+""", CASCADE_CTE)
+
+sql("q_cascade_grid", """
+SELECT max_cost_per_response, evaluator_error_rate, round(avg(performance), 6) AS performance,
+       sum(total_cost_pico)::BIGINT AS total_cost_pico, count(*) AS n_evals
+FROM cas GROUP BY max_cost_per_response, evaluator_error_rate
+""", CASCADE_CTE)
