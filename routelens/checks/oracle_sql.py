@@ -452,3 +452,150 @@ SELECT max_cost_per_response, evaluator_error_rate, round(avg(performance), 6) A
        sum(total_cost_pico)::BIGINT AS total_cost_pico, count(*) AS n_evals
 FROM cas GROUP BY max_cost_per_response, evaluator_error_rate
 """, CASCADE_CTE)
+
+# ---------------------------------------------------------------- analysis
+
+VR_CTE = f"""
+wtp_grid AS (SELECT * FROM (VALUES {WTP_VALUES_SQL}) w(w, willingness_to_pay, wtp_text)),
+vr AS (
+  SELECT lang AS eval_name, 'knn' AS router, (v * 5 + 5)::INTEGER AS neighbors, 'cosine' AS metric,
+         'e' || (v % 2)::VARCHAR AS embedding, any_value(g.willingness_to_pay) AS willingness_to_pay,
+         any_value(g.wtp_text) AS wtp_text,
+         round(avg(score), 9) AS performance, sum(n_chars)::BIGINT AS total_cost
+  FROM (SELECT lang, (doc_id % 5)::INTEGER AS v, ((doc_id // 5) % 32)::INTEGER AS w,
+               ((doc_id * 37 + doc_id % 5) % 23)::DOUBLE / 23.0::DOUBLE AS score, n_chars FROM documents) d
+  JOIN wtp_grid g USING (w)
+  GROUP BY lang, v, w),
+scores AS (
+  SELECT eval_name, model, avg(coalesce(performance, 0.0::DOUBLE)) AS performance, sum(cost_pico)::BIGINT AS total_cost
+  FROM eval_long GROUP BY eval_name, model
+  UNION ALL
+  SELECT eval_name, 'oracle', avg(oracle_performance), sum(oracle_cost_pico)::BIGINT FROM oracle_lab GROUP BY eval_name),
+best_pt AS (
+  SELECT * FROM (
+    SELECT eval_name, embedding, neighbors, performance, willingness_to_pay AS best_willingness_to_pay,
+           CASE WHEN performance > 0 THEN total_cost
+                ELSE min(total_cost) OVER (PARTITION BY eval_name, neighbors) END AS total_cost,
+           row_number() OVER (PARTITION BY eval_name, neighbors ORDER BY performance DESC, willingness_to_pay) AS rn
+    FROM vr) WHERE rn = 1),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY eval_name, embedding
+                                              ORDER BY performance DESC, total_cost, neighbors) AS rn2 FROM best_pt)
+  WHERE rn2 = 1)
+"""
+
+
+def _hull_sql(src: str, keys: list[str], name: str) -> str:
+    k = ", ".join(keys)
+    on_a = " AND ".join(f"a.{c} = p.{c}" for c in keys)
+    on_b = " AND ".join(f"b.{c} = p.{c}" for c in keys)
+    return f"""
+{name}_pts AS (SELECT {k}, x, max(y) AS y FROM {src} GROUP BY {k}, x),
+{name}_vert AS (
+  SELECT p.*, lag(p.x) OVER (PARTITION BY {", ".join("p." + c for c in keys)} ORDER BY p.x) AS px,
+         lag(p.y) OVER (PARTITION BY {", ".join("p." + c for c in keys)} ORDER BY p.x) AS py
+  FROM {name}_pts p WHERE NOT EXISTS (
+    SELECT 1 FROM {name}_pts a, {name}_pts b
+    WHERE {on_a} AND {on_b} AND a.x < p.x AND p.x < b.x
+      AND (p.x - a.x) * (b.y - a.y) - (p.y - a.y) * (b.x - a.x) >= 0)),
+{name} AS (SELECT *, (row_number() OVER (PARTITION BY {k} ORDER BY x) - 1)::INTEGER AS pos
+           FROM {name}_vert WHERE py IS NULL OR y >= py)
+"""
+
+
+VR_HULL = VR_CTE + ",\nvr_xy AS (SELECT eval_name, neighbors, total_cost::DOUBLE AS x, performance AS y FROM vr)," + \
+    _hull_sql("vr_xy", ["eval_name", "neighbors"], "nd")
+
+sql("q_frontier", "SELECT eval_name, neighbors, pos, round(x, 6) AS x, round(y, 6) AS y FROM nd", VR_HULL)
+
+AIQ_CTE = VR_HULL + """,
+qual AS (SELECT eval_name, neighbors, count(*) AS n FROM (SELECT DISTINCT eval_name, neighbors, total_cost, performance
+         FROM vr) GROUP BY eval_name, neighbors),
+ar AS (SELECT eval_name, neighbors, coalesce(sum((x - px) * (y + py) / 2.0::DOUBLE), 0.0::DOUBLE) AS area,
+              arg_max(x, x) AS last_x, arg_max(y, x) AS last_y
+       FROM nd GROUP BY eval_name, neighbors),
+arq AS (SELECT ar.*, max(last_x) OVER (PARTITION BY eval_name) AS max_x
+        FROM ar JOIN qual USING (eval_name, neighbors) WHERE qual.n >= 3),
+aiqs AS (SELECT eval_name, neighbors, (area + (max_x - last_x) * last_y) / nullif(max_x, 0) AS aiq FROM arq)
+"""
+
+sql("q_aiq", "SELECT eval_name, neighbors, round(aiq, 6) AS aiq FROM aiqs", AIQ_CTE)
+
+sql("q_aiq_ranking", """
+SELECT neighbors, round(avg(aiq), 6) AS mean_aiq, count(*) AS n_evals FROM aiqs GROUP BY neighbors
+""", AIQ_CTE)
+
+ZERO_CTE = VR_CTE + ",\nllm_xy AS (SELECT eval_name, total_cost::DOUBLE AS x, performance AS y FROM scores " \
+    "WHERE model <> 'oracle')," + _hull_sql("llm_xy", ["eval_name"], "zr")
+
+sql("q_zero_router", "SELECT eval_name, pos, round(x, 6) AS x, round(y, 6) AS y FROM zr", ZERO_CTE)
+
+sql("q_macro_mean", """
+SELECT router, neighbors, embedding, willingness_to_pay, round(avg(performance), 6) AS performance,
+       round(avg(total_cost), 6) AS total_cost, count(*) AS n_evals
+FROM vr GROUP BY router, neighbors, embedding, willingness_to_pay
+""", VR_CTE)
+
+sql("q_best_variant", """
+SELECT eval_name, embedding, neighbors, round(performance, 6) AS performance, total_cost::BIGINT AS total_cost,
+       best_willingness_to_pay FROM best
+""", VR_CTE)
+
+sql("q_frontier_series", """
+SELECT v.eval_name, v.embedding, v.neighbors, v.willingness_to_pay, v.total_cost, round(v.performance, 6) AS performance
+FROM vr v JOIN best b USING (eval_name, embedding, neighbors)
+""", VR_CTE)
+
+_DISPLAY = ", ".join(f"('{m}', '{d}')" for m, d in __import__("routelens.constants", fromlist=["x"]).DISPLAY_NAMES)
+sql("q_leaderboard", f"""
+SELECT s.eval_name, s.model, coalesce(d.display_name, s.model) AS display_name, round(s.performance, 6) AS performance,
+       s.total_cost
+FROM scores s LEFT JOIN (VALUES {_DISPLAY}) d(model, display_name) USING (model)
+""", VR_CTE)
+
+UNION_CTE = VR_CTE + """,
+u AS (SELECT DISTINCT * FROM (
+  SELECT eval_name, router, neighbors, embedding, willingness_to_pay, performance, total_cost::DOUBLE AS total_cost FROM vr
+  UNION ALL
+  SELECT eval_name, model, NULL::INTEGER, NULL::VARCHAR, NULL::DOUBLE, performance, total_cost::DOUBLE FROM scores))
+"""
+
+sql("q_results_union", """
+SELECT eval_name, router, neighbors, embedding, willingness_to_pay, round(performance, 6) AS performance,
+       round(total_cost, 6) AS total_cost FROM u
+""", UNION_CTE)
+
+sql("q_baselines", """
+SELECT router, router IN ('m0', 'm1', 'm2', 'm3', 'm4', 'oracle') AS is_baseline, count(*) AS n_rows
+FROM u GROUP BY router
+""", UNION_CTE)
+
+_RW = ",\n".join(f"round(avg(performance) FILTER (WHERE model = '{n}'), 6) AS {n}_performance, "
+                 f"round(avg(total_cost) FILTER (WHERE model = '{n}'), 6) AS {n}_total_cost"
+                 for n in ["m0", "m1", "m2", "m3", "m4", "oracle"])
+sql("q_results_wide", f"SELECT eval_name, {_RW} FROM scores GROUP BY eval_name", VR_CTE)
+
+sql("q_average_accuracy", """
+SELECT eval_name, round(avg(performance), 6) AS average_accuracy FROM scores WHERE model <> 'oracle' GROUP BY eval_name
+""", VR_CTE)
+
+sql("q_router_names", """
+SELECT DISTINCT router || '|neighbors:' || neighbors::VARCHAR || '|metric:' || metric || '|embedding:' || embedding
+       AS router_name FROM vr
+""", VR_CTE)
+
+NAME_SQL = ("router || '|neighbors:' || neighbors::VARCHAR || '|metric:' || metric || '|embedding:' || embedding"
+            " || '|willingness_to_pay:' || wtp_text || '|performance'")
+
+sql("q_variant_name", f"SELECT eval_name, {NAME_SQL} AS variant, round(performance, 6) AS performance FROM vr", VR_CTE)
+
+sql("q_parse_variant", f"""
+SELECT variant, parts[1] AS algorithm, parts[len(parts)] AS value_type,
+       split_part(p, ':', 1) AS key, substr(p, strpos(p, ':') + 1) AS value, split_part(p, ':', 2) AS tolerant_value
+FROM (SELECT variant, parts, unnest(parts[2:len(parts) - 1]) AS p
+      FROM (SELECT DISTINCT {NAME_SQL} AS variant, string_split({NAME_SQL}, '|') AS parts FROM vr))
+""", VR_CTE)
+
+sql("q_csv_roundtrip", """
+SELECT eval_name, model, round(performance, 6) AS performance, total_cost AS total_cost_pico FROM scores
+""", VR_CTE)
