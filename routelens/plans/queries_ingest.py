@@ -11,7 +11,7 @@ from routelens.operators.oracle import oracle_label
 from routelens.operators.reshape import (complete_samples, dedupe_first, eval_from_sample_id, filter_family,
                                          model_list, to_wide, wide_to_long)
 from routelens.plans.registry import query
-from routelens.session import scratch_path
+from routelens.session import scratch_path, shared_dir
 from routelens.sources.fixtures import eval_long, log_events, log_lines, model_price
 from routelens.sources.tables import read_table
 
@@ -114,9 +114,16 @@ def _keep_path(c):
     return F.col(c).contains(".jsonl") & ~F.col(c).contains("_bak")
 
 
+def _lines(spark, sf_dir):
+    """The derived JSON lines, materialised once in the shared checkpoint folder (reliable
+    checkpoint), so later joins read them instead of re-deriving them."""
+    shared_dir(spark)
+    return log_lines(spark, sf_dir).checkpoint(eager=True)
+
+
 @query("q_log_header")
 def q_log_header(spark, sf_dir):
-    lines = log_lines(spark, sf_dir).where(_keep_path("file"))
+    lines = _lines(spark, sf_dir).where(_keep_path("file"))
     ev = attach_header(parse_log_lines(lines))
     return ev.where(F.col("type").isNotNull()).select("file", "pos", "sample_id", "type", "model", "eval_name")
 
@@ -133,7 +140,7 @@ def q_log_scan(spark, sf_dir):
 
 def converted_logs(spark, sf_dir):
     """Run-log convertor: parse -> header -> fold -> graded only -> dedupe -> complete -> price -> oracle."""
-    lines = log_lines(spark, sf_dir).where(_keep_path("file"))
+    lines = _lines(spark, sf_dir).where(_keep_path("file"))
     ev = attach_header(parse_log_lines(lines)).where(F.col("run_id").isNotNull())
     hdr = ev.select("file", "model", "eval_name").distinct()
     folded = fold_events(ev).join(hdr, "file").where(F.col("correct").isNotNull())

@@ -26,6 +26,8 @@ def eval_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents x models m = 0..4 (a generator, not a join).
     """
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    # the prompt's token count does not depend on the model: count once per document
+    d = d.withColumn("_ntext", n_tokens(F.col("text")))
     x = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))).alias("m"))
     m = F.col("m")
     u = uniform01(F.col("doc_id"), m)
@@ -35,7 +37,7 @@ def eval_long(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(u < F.lit(0.20) + F.lit(0.12) * m, F.lit(0.5))
             .otherwise(F.lit(0.0)))
     mm = (m + 1).cast("long")
-    cost = (n_tokens(F.col("text")) * 100000 * mm + n_tokens(resp) * 200000 * mm
+    cost = (F.col("_ntext") * 100000 * mm + n_tokens(resp) * 200000 * mm
             + F.when(m == 4, F.lit(5000000000)).otherwise(F.lit(0)).cast("long"))
     return x.select(
         F.col("doc_id"),
