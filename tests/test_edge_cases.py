@@ -1,0 +1,150 @@
+"""Hand-made cases for the semantic decisions (ties, NULL/NaN, zero cost, degenerate hulls)."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from routelens.operators.cascade import order_chains, simulate
+from routelens.operators.frontier import aiq, ndch
+from routelens.operators.knn import knn_topk
+from routelens.operators.oracle import oracle_label
+from routelens.operators.routing import route
+from routelens.operators.split import leak_check, split_members
+from routelens.functions.variants import parse_params_tolerant, parse_variant
+
+LONG = "sample_id string, eval_name string, model string, model_idx int, performance double, cost_pico long"
+
+
+def _oracle(spark, rows):
+    df = spark.createDataFrame(rows, LONG)
+    return {r.sample_id: (r.oracle, r.oracle_performance, r.oracle_cost_pico) for r in oracle_label(df).collect()}
+
+
+def test_oracle_ties_zero_null(spark):
+    rows = [
+        ("tie", "e", "a", 0, 1.0, 5), ("tie", "e", "b", 1, 1.0, 5), ("tie", "e", "c", 2, 1.0, 7),
+        ("zero", "e", "a", 0, 0.0, 5), ("zero", "e", "b", 1, 0.0, 1),
+        ("null", "e", "a", 0, None, 5), ("null", "e", "b", 1, None, 1),
+        ("cheap", "e", "a", 0, 0.5, 9), ("cheap", "e", "b", 1, 0.5, 3), ("cheap", "e", "c", 2, None, 0),
+    ]
+    o = _oracle(spark, rows)
+    assert o["tie"] == ("a", 1.0, 5)            # equal performance and cost: lowest index
+    assert o["zero"] == ("no_model_correct", 0.0, 0)
+    assert o["null"] == ("no_model_correct", 0.0, 0)
+    assert o["cheap"] == ("b", 0.5, 3)          # NULL performance never competes
+
+
+def test_route_ties_nan_and_zero_wtp(spark):
+    df = spark.createDataFrame([(1, [0.5, 0.5, float("nan")], [1e-7, 1e-7, 0.0])],
+                               "query_id int, scores array<double>, price array<double>")
+    out = {r.wtp: r.chosen_idx for r in route(df, [0.0, 1e-10, 1e9]).collect()}
+    assert out[0.0] == 0        # plain arg-max, first wins; NaN never chosen
+    assert out[1e-10] == 0
+    assert out[1e9] == 0
+
+
+def test_route_prefers_cheaper_at_low_wtp(spark):
+    df = spark.createDataFrame([(1, [0.4, 0.9], [1e-8, 1e-6])], "query_id int, scores array<double>, price array<double>")
+    out = {r.wtp: r.chosen_idx for r in route(df, [1e-10, 1e9]).collect()}
+    assert out[1e-10] == 0 and out[1e9] == 1
+
+
+def test_cascade_free_first_model_and_exact_budget(spark):
+    answers = spark.createDataFrame(
+        [("e", "s", [(0, "a", 0.0, 0), (1, "b", 0.0, 100), (2, "c", 1.0, 50)])],
+        "eval_name string, sample_id string, answers array<struct<model_idx:int,model:string,performance:double,cost_pico:long>>")
+    price = spark.createDataFrame([("e", [1.0, 2.0, 3.0])], "eval_name string, price array<double>")
+    thr = spark.createDataFrame([("e", 1.0)], "eval_name string, threshold double")
+    ch = order_chains(answers, price, thr)
+    # budget 1e-10 USD = 100 pico: the free answer does not arm the budget test, model b (cost 100) is bought,
+    # then c (50 >= 100 - 100 remaining) stops the cascade
+    r = simulate(ch, budgets=[1e-10], error_rates=[0.0]).collect()[0]
+    assert r.spent_pico == 100 and r.last_performance == 0.0
+    r = simulate(ch, budgets=[1.0], error_rates=[0.0]).collect()[0]
+    assert r.spent_pico == 150 and r.last_performance == 1.0
+
+
+def _hull(spark, pts):
+    df = spark.createDataFrame([("g", float(x), float(y)) for x, y in pts], "g string, total_cost double, performance double")
+    return [(p.x, p.y) for p in ndch(df, ["g"]).collect()[0].hull]
+
+
+def test_hull_small_and_degenerate(spark):
+    assert _hull(spark, [(1, 2)]) == [(1.0, 2.0)]
+    assert _hull(spark, [(1, 2), (3, 1)]) == [(1.0, 2.0)]          # falling second point is cut
+    assert _hull(spark, [(0, 0), (1, 1), (2, 2)]) == [(0.0, 0.0), (2.0, 2.0)]   # collinear middle dropped
+    assert _hull(spark, [(1, 0.2), (1, 0.5), (2, 0.6)]) == [(1.0, 0.5), (2.0, 0.6)]  # equal x: max y
+    assert _hull(spark, [(0, 0), (1, 0.9), (2, 0.95), (3, 0.5)]) == [(0.0, 0.0), (1.0, 0.9), (2.0, 0.95)]
+
+
+def test_hull_matches_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    for _ in range(5):
+        pts = [(rnd.randint(0, 50), round(rnd.random(), 3)) for _ in range(12)]
+        got = _hull(spark, pts)
+        best = {}
+        for x, y in pts:
+            best[x] = max(best.get(x, -1), y)
+        xs = sorted(best)
+        verts = []
+        for i, x in enumerate(xs):
+            y = best[x]
+            below = any((x - a) * (best[b] - best[a]) - (y - best[a]) * (b - a) >= 0
+                        for a in xs if a < x for b in xs if b > x)
+            if not below:
+                verts.append((float(x), y))
+        nd = [v for i, v in enumerate(verts) if i == 0 or v[1] >= verts[i - 1][1]]
+        assert got == nd
+
+
+def test_aiq_all_x_zero_is_null(spark):
+    df = spark.createDataFrame([("e", 1, 0.0, 0.1), ("e", 1, 0.0, 0.2), ("e", 1, 0.0, 0.3)],
+                               "eval_name string, v int, total_cost double, performance double")
+    r = aiq(df, ["eval_name"], ["v"]).collect()
+    assert len(r) == 1 and r[0].aiq is None
+
+
+def test_aiq_flat_extension(spark):
+    df = spark.createDataFrame([("e", 1, 0.0, 0.0), ("e", 1, 1.0, 1.0), ("e", 1, 2.0, 1.0),
+                                ("e", 2, 0.0, 0.5), ("e", 2, 4.0, 0.5), ("e", 2, 1.0, 0.4)],
+                               "eval_name string, v int, total_cost double, performance double")
+    r = {x.v: x.aiq for x in aiq(df, ["eval_name"], ["v"]).collect()}
+    assert math.isclose(r[1], (0.5 + 1.0 + 2.0) / 4.0)
+    assert math.isclose(r[2], 0.5)
+
+
+def test_variant_parsers(spark):
+    df = spark.createDataFrame([("knn|neighbors:5|metric:a:b|total_cost",), ("m0|performance",), ("plain",)], "v string")
+    rows = df.select("v", parse_variant(F.col("v")).alias("p"), parse_params_tolerant(F.col("v")).alias("t")).collect()
+    r = {x.v: x for x in rows}
+    assert r["knn|neighbors:5|metric:a:b|total_cost"].p.params == {"neighbors": "5", "metric": "a:b"}
+    assert r["knn|neighbors:5|metric:a:b|total_cost"].t == {"neighbors": "5", "metric": "a"}
+    assert r["m0|performance"].p.algorithm == "m0" and r["m0|performance"].p.params == {}
+    assert r["plain"].t == {}
+    with pytest.raises(Exception):
+        spark.createDataFrame([("x|k:1|k:2|v",)], "v string").select(parse_variant(F.col("v"))).collect()
+
+
+def test_split_exact_sizes_and_disjoint(spark):
+    rows = [("big", f"s{i}") for i in range(2000)] + [("tiny", "t0"), ("tiny", "t1"), ("tiny", "t2")]
+    df = spark.createDataFrame(rows, "family string, sample_id string")
+    s = split_members(df, "family", "sample_id", 0.7, "42")
+    counts = {(r.family, r.split): r.n for r in s.groupBy("family", "split").agg(F.count("*").alias("n")).collect()}
+    assert counts[("big", "train")] == 1400 and counts[("big", "test")] == 600
+    assert counts[("tiny", "train")] == 2 and counts[("tiny", "test")] == 1
+    assert all(r.n_overlap == 0 for r in leak_check(s).collect())
+
+
+def test_knn_multi_block_equals_single_block(spark):
+    import random
+    rnd = random.Random(3)
+    vec = lambda: [rnd.uniform(-1, 1) for _ in range(8)]
+    q = spark.createDataFrame([("g", f"q{i}", vec()) for i in range(60)], "g string, sample_id string, embedding array<double>")
+    t = spark.createDataFrame([("g", f"t{i:03d}", vec()) for i in range(300)], "g string, sample_id string, embedding array<double>")
+    one = knn_topk(q, t, 7, ["g"], block_rows=100000).select("query_id", "neighbor_id", "rank").collect()
+    many = knn_topk(q, t, 7, ["g"], block_rows=25).select("query_id", "neighbor_id", "rank").collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+    for metric in ("euclidean", "manhattan"):
+        assert knn_topk(q, t, 3, ["g"], metric=metric, block_rows=50).count() == 180
