@@ -148,3 +148,30 @@ def test_knn_multi_block_equals_single_block(spark):
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
     for metric in ("euclidean", "manhattan"):
         assert knn_topk(q, t, 3, ["g"], metric=metric, block_rows=50).count() == 180
+
+
+def test_linear_abs_recovers_planted_weights(spark):
+    import numpy as np
+    from routelens.operators.learned import fit_linear_abs
+    rng = np.random.default_rng(0)
+    X = rng.normal(size=(600, 4))
+    w = np.array([[0.5, -0.2, 0.1, 0.3], [-0.4, 0.25, 0.0, 0.2]])
+    Y = X @ w.T + np.array([0.1, -0.3])
+    Y[::20, 0] += 5.0                        # outliers: absolute error ignores them
+    rows = [(X[i].tolist(), [float(Y[i, 0]), None if i % 7 == 0 else float(Y[i, 1])]) for i in range(600)]
+    df = spark.createDataFrame(rows, "embedding array<double>, perf array<double>").repartition(4)
+    W = fit_linear_abs(df, 2, 4, c=100.0, rounds=12)
+    assert np.allclose(W[:, :4], w, atol=0.05) and np.allclose(W[:, 4], [0.1, -0.3], atol=0.05)
+
+
+def test_mlp_fits_nonlinear_target(spark):
+    import numpy as np
+    from routelens.operators.learned import _mlp_forward, fit_mlp
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(400, 3))
+    y = np.abs(X[:, 0]) * 0.5
+    df = spark.createDataFrame([(X[i].tolist(), [float(y[i])]) for i in range(400)],
+                               "embedding array<double>, perf array<double>").repartition(3)
+    params = fit_mlp(df, 1, 3, hidden=16, epochs=150, lr=0.02)
+    mse = float(np.mean((_mlp_forward(X, params)[0] - y) ** 2))
+    assert mse < 0.5 * float(np.var(y))
