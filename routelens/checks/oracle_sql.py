@@ -599,3 +599,10 @@ FROM (SELECT variant, parts, unnest(parts[2:len(parts) - 1]) AS p
 sql("q_csv_roundtrip", """
 SELECT eval_name, model, round(performance, 6) AS performance, total_cost AS total_cost_pico FROM scores
 """, VR_CTE)
+
+ORACLE_SQL["q_log_scan"] = "WITH " + LOG_FOLD.strip() + """
+SELECT file, sample_id, len(prompts) AS n_prompts, len(sampled) AS n_sampled,
+       CASE WHEN correct IS NULL THEN NULL WHEN correct = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS correct
+FROM folded
+WHERE conv_id % 7 <> 3 AND conv_id IN (SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant'))
+"""

@@ -101,7 +101,8 @@ def scan_run_logs(spark, path: str) -> DataFrame:
     known and the first record can serve as the file header; files whose path
     lacks ``.jsonl`` or contains ``_bak`` are skipped.  Blank lines are ignored.
     """
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    # text() resets its own keyword options, so wholetext must be passed as an argument
+    raw = (spark.read.text(path, wholetext=True, recursiveFileLookup=True)
            .select(F.col("value"), F.col("_metadata.file_path").alias("file")))
     raw = raw.where(F.col("file").contains(".jsonl") & ~F.col("file").contains("_bak"))
     lines = raw.select("file", F.posexplode(F.split(F.col("value"), "\n")).alias("pos", "line"))
