@@ -30,18 +30,22 @@ def cache_misses(prompts: DataFrame, store: DataFrame, embedding_model: str, pro
 
 
 def hash_embed_weights(df: DataFrame, text_col: str, key: str, dim: int = HASH_DIM) -> DataFrame:
-    """Signed bucket counts of the hash embedder per key: one aggregate, ``dim`` partial sums.
+    """Signed bucket counts of the hash embedder per key.
 
     Tokens: whitespace runs of lower(text); md5 hex h; bucket = int(h[1..4], 16) mod dim;
-    sign +1 if h[5] < '8' else -1.  The explode stays inside one row's tokens and the
-    partial aggregate folds them before the shuffle, so at most one row per key moves.
+    sign +1 if h[5] < '8' else -1.  The token explode stays inside one row, and the
+    (key, bucket) aggregate folds a text's tokens map-side into at most ``dim`` rows
+    before the shuffle; a second small aggregate assembles the dense vector.
     """
     tok = df.select(key, F.explode(split_tokens(F.lower(F.col(text_col)))).alias("_t"))
     h = F.md5(F.col("_t"))
     tok = tok.select(key, (F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % dim).alias("_b"),
                      F.when(F.substring(h, 5, 1) < "8", F.lit(1)).otherwise(F.lit(-1)).alias("_s"))
-    sums = [F.sum(F.when(F.col("_b") == i, F.col("_s")).otherwise(F.lit(0))) for i in range(dim)]
-    return tok.groupBy(key).agg(F.array(*sums).alias("weights"))
+    per_bucket = tok.groupBy(key, "_b").agg(F.sum("_s").alias("_w"))
+    per_key = per_bucket.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_w"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0).cast("long")))
+    return per_key.select(key, dense.alias("weights"))
 
 
 def normalize(vec: F.Column) -> F.Column:

@@ -19,6 +19,7 @@ from routelens.operators.oracle import fill_performance, oracle_label
 from routelens.operators.reshape import to_answers
 from routelens.operators.routing import lookup_choice, price_vectors, route
 from routelens.operators.split import split_samples
+from routelens.session import materialize
 
 
 @dataclass
@@ -28,7 +29,8 @@ class RoutingData:
     n_models: int
 
 
-def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRAIN_FRACTION) -> RoutingData:
+def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRAIN_FRACTION,
+            checkpoint: bool = True) -> RoutingData:
     """Per-prompt rows with the answers array, dense performance vector and split side."""
     filled = fill_performance(long_with_embedding)
     ans = to_answers(filled, keys=("family", "sample_id", "eval_name"))
@@ -39,6 +41,11 @@ def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRA
     split = split_samples(samples.select("family", "sample_id"), fraction=fraction)
     samples = samples.join(split.select("sample_id", "split"), "sample_id")
     long = filled.join(split.select("sample_id", "split"), "sample_id")
+    if checkpoint:
+        # both tables feed several jobs (block sizing, kNN, prices, routing, baselines):
+        # cut the lineage once with a table written in the shared folder
+        samples = materialize(samples, "routing-samples")
+        long = materialize(long, "routing-long")
     return RoutingData(long, samples, n_models)
 
 

@@ -11,7 +11,7 @@ from routelens.operators.oracle import oracle_label
 from routelens.operators.reshape import (complete_samples, dedupe_first, eval_from_sample_id, filter_family,
                                          model_list, to_wide, wide_to_long)
 from routelens.plans.registry import query
-from routelens.session import scratch_path, shared_dir
+from routelens.session import materialize, scratch_path
 from routelens.sources.fixtures import eval_long, log_events, log_lines, model_price
 from routelens.sources.tables import read_table
 
@@ -115,10 +115,9 @@ def _keep_path(c):
 
 
 def _lines(spark, sf_dir):
-    """The derived JSON lines, materialised once in the shared checkpoint folder (reliable
-    checkpoint), so later joins read them instead of re-deriving them."""
-    shared_dir(spark)
-    return log_lines(spark, sf_dir).checkpoint(eager=True)
+    """The derived JSON lines, written once as a table in the shared folder, so later joins
+    read them instead of re-deriving them."""
+    return materialize(log_lines(spark, sf_dir), "runlog-lines")
 
 
 @query("q_log_header")

@@ -56,3 +56,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared folder (never reused)."""
     base = shared_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Cut a long or reused lineage: write ``df`` once as parquet below the shared folder and
+    read it back (one job; later reads are columnar with pushdown).  Survives executor loss,
+    unlike cached or locally checkpointed data."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -25,7 +25,11 @@ def eval_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents x models m = 0..4 (a generator, not a join).
     """
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return eval_long_from(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+def eval_long_from(d: DataFrame, keep: tuple = ()) -> DataFrame:
+    """``eval_long`` rows for the given documents (extra columns in ``keep`` are carried)."""
     # the prompt's token count does not depend on the model: count once per document
     d = d.withColumn("_ntext", n_tokens(F.col("text")))
     x = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))).alias("m"))
@@ -51,6 +55,7 @@ def eval_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         perf.alias("performance"),
         F.array(resp).alias("response"),
         cost.alias("cost_pico"),
+        *keep,
     )
 
 
@@ -68,7 +73,9 @@ def model_price(spark: SparkSession) -> DataFrame:
 def router_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long answers of the prompts that have an embedding (``doc_id = vec_id``)."""
     emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return eval_long(spark, sf_dir).join(emb, "doc_id", "inner")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    # join before deriving answers: only prompts with an embedding are priced and graded
+    return eval_long_from(d.join(emb, "doc_id", "inner"), keep=("embedding",))
 
 
 def _conv_file(conv_id):
