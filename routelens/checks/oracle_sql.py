@@ -606,3 +606,34 @@ SELECT file, sample_id, len(prompts) AS n_prompts, len(sampled) AS n_sampled,
 FROM folded
 WHERE conv_id % 7 <> 3 AND conv_id IN (SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant'))
 """
+
+ORACLE_SQL["q_prompt_extract"] = """
+WITH u AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id),
+p AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN t ELSE [array_to_string(t, chr(10))] END AS prompt FROM u)
+SELECT conv_id::VARCHAR AS sample_id, len(prompt) AS n_prompts, md5(array_to_string(prompt, chr(1))) AS prompt_md5
+FROM p
+"""
+
+ORACLE_SQL["q_list_parse"] = """
+SELECT conv_id, len(t) AS n_prompts, md5(array_to_string(t, chr(1))) AS prompt_md5
+FROM (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)
+"""
+
+ORACLE_SQL["q_encoder_embed"] = ORACLE_SQL["q_embed_cache"]
+
+sql("q_convert_and_embed", """
+SELECT o.sample_id, o.oracle, sha256(d.text || 'hash32') AS hash, coalesce(z.n_nonzero, 0)::INTEGER AS n_nonzero
+FROM oracle_lab o JOIN documents d ON o.sample_id = d.lang || '.' || d.source || '.' || d.doc_id::VARCHAR
+LEFT JOIN (SELECT doc_id, count(*) AS n_nonzero FROM (
+             SELECT doc_id, (('0x' || substr(h, 1, 4))::INTEGER % 32) AS bucket,
+                    sum(CASE WHEN substr(h, 5, 1) < '8' THEN 1 ELSE -1 END) AS w
+             FROM (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '\\S+'))) AS h FROM documents)
+             GROUP BY doc_id, bucket) WHERE w <> 0 GROUP BY doc_id) z ON z.doc_id = d.doc_id
+""")
+
+sql("q_cascade_series", """
+SELECT eval_name, max_cost_per_response, total_cost_pico, round(performance, 6) AS performance FROM cas
+WHERE evaluator_error_rate = 0.2
+""", CASCADE_CTE)
+
+ORACLE_SQL["q_results_store"] = ORACLE_SQL["q_results_union"]

@@ -45,3 +45,14 @@ def select_prompts(prompts: Column) -> Column:
     return (F.when(F.size(d) == 1, d)
             .when(F.size(d) == 4, F.array(F.element_at(d, 1), F.element_at(d, 3)))
             .otherwise(keep))
+
+
+def parse_list_literal(text: Column) -> Column:
+    """A list stored as its printed form (``['a', "b's"]``) -> ``array<string>``.
+
+    Parsed by the JSON reader with single quotes, any backslash escape and raw
+    control characters allowed; a value that is not a list gives NULL.
+    """
+    return F.from_json(text, "array<string>", {"allowSingleQuotes": "true",
+                                               "allowBackslashEscapingAnyCharacter": "true",
+                                               "allowUnquotedControlChars": "true"})

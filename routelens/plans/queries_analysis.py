@@ -12,6 +12,7 @@ from routelens.operators.results import (best_variant, display_names, macro_mean
 from routelens.operators.scores import eval_scores
 from routelens.plans.registry import query
 from routelens.session import scratch_path
+from routelens.sources.results_io import load_results, save_results
 from routelens.sources.fixtures import eval_long, variant_results
 
 MODELS = [f"m{i}" for i in range(5)]
@@ -167,3 +168,16 @@ def q_csv_roundtrip(spark, sf_dir):
     back = (spark.read.option("header", True)
             .schema("eval_name string, model string, performance double, total_cost_pico long").csv(path))
     return back.select("eval_name", "model", r6("performance").alias("performance"), "total_cost_pico")
+
+
+@query("q_results_store")
+def q_results_store(spark, sf_dir):
+    """Union of result tables saved as a partitioned collection (twice, the second time only
+    if absent), read back distinct."""
+    root = scratch_path(spark, "results-store")
+    u = _union(spark, sf_dir)
+    save_results(u, root, "eval_results", "fixture")
+    save_results(u, root, "eval_results", "fixture", if_absent=True)
+    back = load_results(spark, f"{root}/eval_results", "fixture")
+    return back.select("eval_name", "router", "neighbors", "embedding", "willingness_to_pay",
+                       r6("performance").alias("performance"), r6("total_cost").alias("total_cost"))

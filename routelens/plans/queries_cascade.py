@@ -48,3 +48,10 @@ def q_cascade_grid(spark, sf_dir):
         F.count(F.lit(1)).alias("n_evals"))
     return g.select("max_cost_per_response", "evaluator_error_rate", r6("performance").alias("performance"),
                     "total_cost_pico", "n_evals")
+
+
+@query("q_cascade_series")
+def q_cascade_series(spark, sf_dir):
+    """Plot series of the cascade: its variant at judge error rate 0.2, one point per budget."""
+    r = cascade_run(spark, sf_dir).where(F.col("evaluator_error_rate") == 0.2)
+    return r.select("eval_name", "max_cost_per_response", "total_cost_pico", r6("performance").alias("performance"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from routelens.functions.logs import choice_score, metric_value, select_prompts
+from routelens.functions.logs import choice_score, metric_value, parse_list_literal, select_prompts
 from routelens.operators.cost import with_token_cost
 from routelens.operators.logs import attach_header, fold_events, parse_log_lines, scan_run_logs, write_run_logs
 from routelens.operators.oracle import oracle_label
@@ -12,7 +12,8 @@ from routelens.operators.reshape import (complete_samples, dedupe_first, eval_fr
                                          model_list, to_wide, wide_to_long)
 from routelens.plans.registry import query
 from routelens.session import materialize, scratch_path
-from routelens.sources.fixtures import eval_long, log_events, log_lines, model_price
+from routelens.sources.fixtures import (eval_long, log_events, log_lines, model_price, prompt_lines,
+                                        stringified_prompts)
 from routelens.sources.tables import read_table
 
 MODELS = [f"m{i}" for i in range(5)]
@@ -166,3 +167,15 @@ def q_convert_long(spark, sf_dir):
     lab = oracle_label(priced)
     return lab.select("sample_id", eval_from_sample_id("sample_id").alias("eval_name"), "oracle",
                       "oracle_cost_pico")
+
+
+@query("q_prompt_extract")
+def q_prompt_extract(spark, sf_dir):
+    f = fold_events(parse_log_lines(prompt_lines(spark, sf_dir)))
+    return f.select("sample_id", F.size("prompt").alias("n_prompts"), _md5_list("prompt").alias("prompt_md5"))
+
+
+@query("q_list_parse")
+def q_list_parse(spark, sf_dir):
+    p = stringified_prompts(spark, sf_dir).select("conv_id", parse_list_literal(F.col("prompt_text")).alias("p"))
+    return p.select("conv_id", F.size("p").alias("n_prompts"), _md5_list("p").alias("prompt_md5"))

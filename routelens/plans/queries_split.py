@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from routelens.operators.embed import cache_misses, embed_with_cache, hash_embed, with_cache_key
+from routelens.operators.cost import with_token_cost
+from routelens.operators.embed import cache_misses, embed_with_cache, encoder_embed, hash_embed, with_cache_key
+from routelens.operators.oracle import oracle_label
 from routelens.operators.split import leak_check, split_by_source, split_out_of_distribution, split_samples
 from routelens.plans.registry import query
 from routelens.session import scratch_path
-from routelens.sources.fixtures import eval_long
+from routelens.sources.fixtures import eval_long, model_price
 from routelens.sources.tables import read_table
 
 EMBED_MODEL = "hash32"
@@ -70,3 +72,46 @@ def q_embed_cache(spark, sf_dir):
                            lambda m: hash_embed(m, "prompt", "hash"), append_to=path)
     x = out.select("doc_id", F.posexplode("embedding").alias("bucket", "v"))
     return x.where(F.col("v") != 0).select("doc_id", "bucket", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+def hash32_encoder():
+    """A user-style encoder (Python, per task): the hash embedder written with hashlib/numpy.
+    Whitespace is the ASCII set, as in the JVM tokeniser."""
+    import hashlib
+    import re
+
+    import numpy as np
+    tok = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+    def enc(texts):
+        out = np.zeros((len(texts), 32))
+        for r, t in enumerate(texts):
+            for w in tok.findall(t.lower()):
+                h = hashlib.md5(w.encode("utf-8")).hexdigest()
+                out[r, int(h[:4], 16) % 32] += 1.0 if h[4] < "8" else -1.0
+            n = np.sqrt((out[r] ** 2).sum())
+            if n > 0:
+                out[r] /= n
+        return out
+    return enc
+
+
+@query("q_encoder_embed")
+def q_encoder_embed(spark, sf_dir):
+    """Embedding through the encoder plug-in (Arrow batches); must equal the built-in embedder."""
+    d = _prompts(spark, sf_dir)
+    e = encoder_embed(d, "prompt", "doc_id", hash32_encoder, 32)
+    x = e.select("doc_id", F.posexplode("embedding").alias("bucket", "v"))
+    return x.where(F.col("v") != 0).select("doc_id", "bucket", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query("q_convert_and_embed")
+def q_convert_and_embed(spark, sf_dir):
+    """Convert (price + oracle) and attach each prompt's embedding from the cache."""
+    el = eval_long(spark, sf_dir).drop("cost_pico")
+    lab = oracle_label(with_token_cost(el, model_price(spark))).select("sample_id", "oracle")
+    prompts = el.where(F.col("model_idx") == 0).select("sample_id", F.element_at("prompt", 1).alias("prompt"))
+    emb = embed_with_cache(prompts, _initial_store(spark, sf_dir), EMBED_MODEL,
+                           lambda m: hash_embed(m, "prompt", "hash"))
+    return emb.join(lab, "sample_id").select(
+        "sample_id", "oracle", "hash", F.size(F.filter("embedding", lambda v: v != 0)).alias("n_nonzero"))

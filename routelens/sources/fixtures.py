@@ -196,3 +196,39 @@ def variant_results(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.concat(F.lit("e"), (F.col("v") % 2).cast("string")).alias("embedding"),
                 wtp.alias("willingness_to_pay"),
                 "w", "v", "performance", "total_cost"))
+
+
+def _py_repr(s):
+    """Printed form of a string inside a printed list (quote choice and escapes of the
+    surveyed pipeline's stringified lists)."""
+    has_sq, has_dq = s.contains("'"), s.contains('"')
+    dq = has_sq & ~has_dq
+    esc = F.replace(s, F.lit("\\"), F.lit("\\\\"))
+    for raw, code in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        esc = F.replace(esc, F.lit(raw), F.lit(code))
+    esc = F.when(dq, esc).otherwise(F.replace(esc, F.lit("'"), F.lit("\\'")))
+    q = F.when(dq, F.lit('"')).otherwise(F.lit("'"))
+    return F.concat(q, esc, q)
+
+
+def stringified_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, its user turns as a stringified list ``"['t1', 't2']"`` (as stored in
+    pickled/CSV long tables)."""
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    g = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_t"))
+    texts = F.transform(F.col("_t"), lambda x: x["text"])
+    return g.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform(texts, _py_repr), ", "), F.lit("]"))
+                    .alias("prompt_text"))
+
+
+def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling events with the two prompt shapes of run logs: even conversations carry a chat
+    list per user turn, odd ones a completion string (turn text + newline)."""
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    chat = F.to_json(F.struct(F.lit("sampling").alias("type"), F.col("conv_id").cast("string").alias("sample_id"),
+                              F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+                                       .alias("prompt")).alias("data")))
+    comp = F.to_json(F.struct(F.lit("sampling").alias("type"), F.col("conv_id").cast("string").alias("sample_id"),
+                              F.struct(F.concat(F.col("text"), F.lit("\n")).alias("prompt")).alias("data")))
+    return conv.select(F.lit("prompts.jsonl").alias("file"), (F.col("conv_id") * 100 + F.col("turn")).alias("pos"),
+                       F.when(F.col("conv_id") % 2 == 0, chat).otherwise(comp).alias("line"))

@@ -175,3 +175,13 @@ def test_mlp_fits_nonlinear_target(spark):
     params = fit_mlp(df, 1, 3, hidden=16, epochs=150, lr=0.02)
     mse = float(np.mean((_mlp_forward(X, params)[0] - y) ** 2))
     assert mse < 0.5 * float(np.var(y))
+
+
+def test_list_literal_quotes_and_escapes(spark):
+    from routelens.functions.logs import parse_list_literal
+    items = ["plain", "it's", 'say "hi"', 'both \' and "', "back\\slash", "line\nbreak", "tab\there", ""]
+    lit = str(items)                      # the printed form stored by the surveyed pipeline
+    got = spark.createDataFrame([(lit,)], "s string").select(parse_list_literal(F.col("s")).alias("p")).first().p
+    assert got == items
+    assert spark.createDataFrame([("not a list",)], "s string").select(
+        parse_list_literal(F.col("s")).alias("p")).first().p is None
