@@ -10,8 +10,9 @@ or one Arrow-batched pass (MLP) -- no per-row Python.
 
 * linear: L2-regularised absolute-error fit (the objective of a linear SVR with
   epsilon 0) by iteratively reweighted least squares; all models in one pass.
-* mlp: one hidden layer per model, full-batch Adam on squared error; deviation
-  from mini-batch training is documented in the README.
+* mlp: feed-forward nets per model (any hidden sizes, e.g. (100,) or (100, 100)),
+  full-batch Adam on squared error with L2 penalty; deviation from mini-batch
+  training is documented in the README.
 
 NULL targets get weight 0 (rows with an unknown grade do not train that model).
 """
@@ -23,142 +24,239 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _sum_vectors(parts: DataFrame, size: int) -> np.ndarray:
-    """Element-wise sum of the per-task ``g`` vectors: posexplode + grouped partial sums."""
-    rows = (parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect())
-    out = np.zeros(size)
+CHUNK = 4096
+
+
+def _emit(acc: dict):
+    """Per-task partial sums ``{key: vector}`` as rows ``(grp, c, g)`` of at most CHUNK values."""
+    import pandas as pd
+    grp, cs, gs = [], [], []
+    for k, v in acc.items():
+        for c in range(0, len(v), CHUNK):
+            grp.append(k)
+            cs.append(c // CHUNK)
+            gs.append(v[c:c + CHUNK])
+    return pd.DataFrame({"grp": grp, "c": cs, "g": gs})
+
+
+PARTS_SCHEMA = "grp string, c int, g array<double>"
+
+
+def _sum_vectors(parts: DataFrame, size: int | None = None) -> dict:
+    """Element-wise sum of the per-task partial vectors of each key.
+
+    Chunks are summed per (key, chunk) JVM-side (``zip_with`` over the chunk's task
+    vectors), so a task holds at most ``tasks x CHUNK`` values and the driver receives
+    one fixed-size vector per key, never per-row data.
+    """
+    add = F.aggregate(F.slice(F.col("_l"), 2, F.greatest(F.size("_l") - 1, F.lit(0))), F.col("_l")[0],
+                      lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+    rows = parts.groupBy("grp", "c").agg(F.collect_list("g").alias("_l")).select("grp", "c", add.alias("g")).collect()
+    chunks: dict = {}
     for r in rows:
-        out[r.i] = r.v
-    return out
+        chunks.setdefault(r.grp, {})[r.c] = np.asarray(r.g, dtype=np.float64)
+    return {k: np.concatenate([v[i] for i in sorted(v)]) for k, v in chunks.items()}
+
+
+def _batches_by_group(batches, group):
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        if group is None:
+            yield "", pdf
+        else:
+            for g, sub in pdf.groupby(group, sort=False):
+                yield str(g), sub
+
+
+def _targets(pdf, target):
+    return np.array([[np.nan if v is None else v for v in row] for row in pdf[target]], dtype=np.float64)
 
 
 def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, rounds: int = 8,
-                   delta: float = 1e-4, vec: str = "embedding", target: str = "perf") -> np.ndarray:
-    """Weights ``(n_models, dim + 1)`` (last column = intercept)."""
-    import pandas as pd
+                   delta: float = 1e-4, vec: str = "embedding", target: str = "perf",
+                   group: str | None = None) -> dict:
+    """Per group (e.g. eval family; ``""`` when ungrouped): weights ``(n_models, dim + 1)``,
+    last column = intercept.  One pass per round serves every group and model."""
     p = dim + 1
-    W = None
+    size = n_models * (p * p + p)
+    W: dict = {}
+    cols = [vec, target] + ([group] if group else [])
     for _ in range(rounds):
-        Wb = W
+        Wb = dict(W)
 
         def fold(batches, Wb=Wb):
-            G = np.zeros((n_models, p, p))
-            b = np.zeros((n_models, p))
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
+            acc: dict = {}
+            for g, pdf in _batches_by_group(batches, group):
+                G = acc.setdefault(g, np.zeros(size))
                 X = np.hstack([np.stack(pdf[vec].to_numpy()).astype(np.float64), np.ones((len(pdf), 1))])
-                Y = np.array([[np.nan if v is None else v for v in row] for row in pdf[target]], dtype=np.float64)
+                Y = _targets(pdf, target)
                 mask = ~np.isnan(Y)
                 Y0 = np.where(mask, Y, 0.0)
-                if Wb is None:
-                    R = mask.astype(np.float64)
-                else:
-                    R = mask / np.maximum(np.abs(Y0 - X @ Wb.T), delta)
+                R = mask.astype(np.float64) if g not in Wb else mask / np.maximum(np.abs(Y0 - X @ Wb[g].T), delta)
                 for m in range(n_models):
                     Xr = X * R[:, m:m + 1]
-                    G[m] += Xr.T @ X
-                    b[m] += Xr.T @ Y0[:, m]
-            yield pd.DataFrame({"g": [np.concatenate([G.ravel(), b.ravel()])]})
-
-        tot = _sum_vectors(train.select(vec, target).mapInPandas(fold, "g array<double>"), n_models * (p * p + p))
-        G = tot[: n_models * p * p].reshape(n_models, p, p)
-        b = tot[n_models * p * p:].reshape(n_models, p)
-        W = np.stack([np.linalg.solve(c * G[m] + np.eye(p), c * b[m]) for m in range(n_models)])
+                    G[m * p * p:(m + 1) * p * p] += (Xr.T @ X).ravel()
+                    o = n_models * p * p + m * p
+                    G[o:o + p] += Xr.T @ Y0[:, m]
+            yield _emit(acc)
+
+        tot = _sum_vectors(train.select(*cols).mapInPandas(fold, PARTS_SCHEMA))
+        for g, v in tot.items():
+            G = v[: n_models * p * p].reshape(n_models, p, p)
+            b = v[n_models * p * p:].reshape(n_models, p)
+            W[g] = np.stack([np.linalg.solve(c * G[m] + np.eye(p), c * b[m]) for m in range(n_models)])
     return W
 
 
-def linear_scores(df: DataFrame, W: np.ndarray, vec: str = "embedding") -> F.Column:
-    """Predicted performance per model as a JVM expression (dot product with literal weights)."""
-    out = []
-    for m in range(W.shape[0]):
-        w = F.array(*[F.lit(float(x)) for x in W[m, :-1]])
-        dot = F.aggregate(F.zip_with(F.col(vec), w, lambda a, b: a.cast("double") * b), F.lit(float(W[m, -1])),
-                          lambda s, x: s + x)
-        out.append(dot)
-    return F.array(*out)
+def linear_weights_table(spark, W: dict, group: str = "family") -> DataFrame:
+    """Fitted weights as a small table ``(group, w array<array<double>>, b array<double>)``."""
+    rows = [(g, [list(map(float, r[:-1])) for r in Wg], [float(r[-1]) for r in Wg]) for g, Wg in W.items()]
+    return spark.createDataFrame(rows, f"{group} string, w array<array<double>>, b array<double>")
+
 
+def linear_scores(vec: str = "embedding") -> F.Column:
+    """Predicted performance per model, JVM-side: dot(embedding, w[m]) + b[m] (after joining
+    the weights table on the group)."""
+    return F.transform(F.sequence(F.lit(0), F.size("b") - 1), lambda m: F.aggregate(
+        F.zip_with(F.col(vec), F.col("w")[m], lambda a, b: a.cast("double") * b),
+        F.col("b")[m], lambda s, x: s + x))
 
-def _mlp_forward(X, params):
+
+_ACT = {
+    "relu": (lambda z: np.maximum(z, 0.0), lambda z, h: (z > 0).astype(np.float64)),
+    "tanh": (np.tanh, lambda z, h: 1.0 - h * h),
+    "logistic": (lambda z: 1.0 / (1.0 + np.exp(-z)), lambda z, h: h * (1.0 - h)),
+    "identity": (lambda z: z, lambda z, h: np.ones_like(z)),
+}
+
+
+def _layer_shapes(dim: int, hidden: tuple) -> list[tuple[int, int]]:
+    sizes = [dim] + list(hidden) + [1]
+    return [(sizes[i], sizes[i + 1]) for i in range(len(sizes) - 1)]
+
+
+def _unflatten(vec: np.ndarray, shapes) -> list[tuple[np.ndarray, np.ndarray]]:
+    out, o = [], 0
+    for a, b in shapes:
+        W = vec[o:o + a * b].reshape(a, b)
+        o += a * b
+        out.append((W, vec[o:o + b]))
+        o += b
+    return out
+
+
+def _mlp_forward(X, params, activation: str = "relu"):
+    """Predictions of every model's net: list of (n,) arrays; ``params`` = per model [(W, b), ...]."""
+    f = _ACT[activation][0]
     outs = []
-    for (W1, b1, W2, b2) in params:
-        H = np.maximum(X @ W1 + b1, 0.0)
-        outs.append(H @ W2 + b2)
+    for layers in params:
+        H = X
+        for i, (W, b) in enumerate(layers):
+            Z = H @ W + b
+            H = Z if i == len(layers) - 1 else f(Z)
+        outs.append(H[:, 0])
     return outs
 
 
-def fit_mlp(train: DataFrame, n_models: int, dim: int, hidden: int = 100, epochs: int = 30, lr: float = 0.01,
-            seed: int = 1234, vec: str = "embedding", target: str = "perf"):
-    """One-hidden-layer ReLU nets (one per model), full-batch Adam; returns a list of (W1, b1, W2, b2)."""
-    import pandas as pd
-    rng = np.random.default_rng(seed)
-    params = []
-    for _ in range(n_models):
-        lim1 = np.sqrt(6.0 / (dim + hidden))
-        lim2 = np.sqrt(6.0 / (hidden + 1))
-        params.append([rng.uniform(-lim1, lim1, (dim, hidden)), np.zeros(hidden),
-                       rng.uniform(-lim2, lim2, (hidden,)), 0.0])
-    shapes = [(dim * hidden, hidden, hidden, 1)] * n_models
-    size = sum(sum(s) for s in shapes) + n_models
-    m1 = np.zeros(size - n_models)
-    v1 = np.zeros(size - n_models)
-    b1_, b2_ = 0.9, 0.999
+def fit_mlp_grid(train: DataFrame, n_models: int, dim: int, configs: list[tuple], epochs: int = 30,
+                 alpha: float = 1e-4, seed: int = 1234, vec: str = "embedding", target: str = "perf",
+                 group: str | None = None) -> dict:
+    """Feed-forward nets for every configuration ``(hidden sizes, activation, learning rate)``,
+    group and model, trained together: ONE pass over the data per epoch computes the
+    gradients of all of them.  Full-batch Adam on 0.5 * mean squared error +
+    alpha / (2 n) * ||W||^2.  Returns ``{(config index, group): [per model [(W, b), ...]]}``."""
+    groups = [""] if group is None else sorted(str(r[0]) for r in train.select(group).distinct().collect())
+    cols = [vec, target] + ([group] if group else [])
+    spec = []
+    for hidden, act, lr in configs:
+        hidden = tuple(hidden) if isinstance(hidden, (tuple, list)) else (int(hidden),)
+        shapes = _layer_shapes(dim, hidden)
+        spec.append((shapes, sum(a * b + b for a, b in shapes), act, lr))
+
+    def init(shapes):
+        rng = np.random.default_rng(seed)
+        parts = []
+        for _ in range(n_models):
+            for a, b in shapes:
+                lim = np.sqrt(6.0 / (a + b))
+                parts += [rng.uniform(-lim, lim, a * b), np.zeros(b)]
+        return np.concatenate(parts)
+
+    theta = {(ci, g): init(spec[ci][0]) for ci in range(len(spec)) for g in groups}
+    mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in theta.items()}
     for t in range(1, epochs + 1):
-        cur = [tuple(np.array(x) for x in p) for p in params]
+        cur = {k: [_unflatten(th[m * spec[k[0]][1]:(m + 1) * spec[k[0]][1]], spec[k[0]][0]) for m in range(n_models)]
+               for k, th in theta.items()}
 
         def fold(batches, cur=cur):
-            grads = [np.zeros(dim * hidden + hidden + hidden + 1) for _ in range(n_models)]
-            cnt = np.zeros(n_models)
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
+            acc: dict = {}
+            for g, pdf in _batches_by_group(batches, group):
                 X = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-                Y = np.array([[np.nan if v is None else v for v in row] for row in pdf[target]], dtype=np.float64)
-                for m, (W1, b1, W2, b2) in enumerate(cur):
-                    mask = ~np.isnan(Y[:, m])
-                    if not mask.any():
-                        continue
-                    Xm, ym = X[mask], Y[mask, m]
-                    Z = Xm @ W1 + b1
-                    H = np.maximum(Z, 0.0)
-                    e = H @ W2 + b2 - ym
-                    dH = np.outer(e, W2) * (Z > 0)
-                    grads[m] += np.concatenate([(Xm.T @ dH).ravel(), dH.sum(0), H.T @ e, [e.sum()]])
-                    cnt[m] += mask.sum()
-            yield pd.DataFrame({"g": [np.concatenate(grads + [cnt])]})
-
-        tot = _sum_vectors(train.select(vec, target).mapInPandas(fold, "g array<double>"), size)
-        cnt = np.maximum(tot[-n_models:], 1.0)
-        g = np.concatenate([tot[m * (size - n_models) // n_models:(m + 1) * (size - n_models) // n_models] / cnt[m]
-                            for m in range(n_models)])
-        m1 = b1_ * m1 + (1 - b1_) * g
-        v1 = b2_ * v1 + (1 - b2_) * g * g
-        step = lr * (m1 / (1 - b1_ ** t)) / (np.sqrt(v1 / (1 - b2_ ** t)) + 1e-8)
-        per = (size - n_models) // n_models
-        for m in range(n_models):
-            s = step[m * per:(m + 1) * per]
-            W1, b1, W2, b2 = params[m]
-            o = 0
-            W1 = W1 - s[o:o + dim * hidden].reshape(dim, hidden); o += dim * hidden
-            b1 = b1 - s[o:o + hidden]; o += hidden
-            W2 = W2 - s[o:o + hidden]; o += hidden
-            b2 = b2 - s[o]
-            params[m] = [W1, b1, W2, b2]
-    return [tuple(p) for p in params]
-
-
-def mlp_scores(df: DataFrame, params, key: str, vec: str = "embedding") -> DataFrame:
-    """``(key, scores array<double>)``: one Arrow-batched forward pass per partition."""
+                Y = _targets(pdf, target)
+                for ci, (shapes, per, act, _lr) in enumerate(spec):
+                    f, df = _ACT[act]
+                    grads = acc.setdefault(f"{ci}|{g}", np.zeros(n_models * per + n_models))
+                    for m, layers in enumerate(cur[(ci, g)]):
+                        mask = ~np.isnan(Y[:, m])
+                        if not mask.any():
+                            continue
+                        Hs, Zs = [X[mask]], []
+                        for i, (W, b) in enumerate(layers):
+                            Z = Hs[-1] @ W + b
+                            Zs.append(Z)
+                            Hs.append(Z if i == len(layers) - 1 else f(Z))
+                        dZ = Hs[-1] - Y[mask, m][:, None]
+                        gl = []
+                        for i in range(len(layers) - 1, -1, -1):
+                            gl.append(np.concatenate([(Hs[i].T @ dZ).ravel(), dZ.sum(0)]))
+                            if i > 0:
+                                dZ = (dZ @ layers[i][0].T) * df(Zs[i - 1], Hs[i])
+                        grads[m * per:(m + 1) * per] += np.concatenate(gl[::-1])
+                        grads[n_models * per + m] += mask.sum()
+            yield _emit(acc)
+
+        tot = _sum_vectors(train.select(*cols).mapInPandas(fold, PARTS_SCHEMA))
+        for key, v in tot.items():
+            ci, g = key.split("|", 1)
+            k = (int(ci), g)
+            shapes, per, _act, lr = spec[k[0]]
+            cnt = np.maximum(v[-n_models:], 1.0)
+            grad = np.concatenate([v[m * per:(m + 1) * per] / cnt[m] for m in range(n_models)])
+            # L2 penalty on weights (not biases), scaled by the number of rows as in the reference objective
+            grad += np.concatenate([np.concatenate([np.concatenate([W.ravel(), np.zeros(b.shape)]) for W, b in layers])
+                                    * alpha / cnt[m] for m, layers in enumerate(cur[k])])
+            m1, v1 = mom[k]
+            m1 = 0.9 * m1 + 0.1 * grad
+            v1 = 0.999 * v1 + 0.001 * grad * grad
+            mom[k] = (m1, v1)
+            theta[k] = theta[k] - lr * (m1 / (1 - 0.9 ** t)) / (np.sqrt(v1 / (1 - 0.999 ** t)) + 1e-8)
+    return {k: [_unflatten(th[m * spec[k[0]][1]:(m + 1) * spec[k[0]][1]], spec[k[0]][0]) for m in range(n_models)]
+            for k, th in theta.items()}
+
+
+def fit_mlp(train: DataFrame, n_models: int, dim: int, hidden: tuple = (100,), activation: str = "relu",
+            epochs: int = 30, lr: float = 0.01, alpha: float = 1e-4, seed: int = 1234, vec: str = "embedding",
+            target: str = "perf", group: str | None = None) -> dict:
+    """One configuration of :func:`fit_mlp_grid`; returns ``{group: [per model [(W, b), ...]]}``."""
+    grid = fit_mlp_grid(train, n_models, dim, [(hidden, activation, lr)], epochs, alpha, seed, vec, target, group)
+    return {g: p for (_, g), p in grid.items()}
+
+
+def mlp_scores(df: DataFrame, params: dict, key: str, vec: str = "embedding", activation: str = "relu",
+               group: str | None = None) -> DataFrame:
+    """``(key, scores array<double>)``: one Arrow-batched forward pass per partition; the fitted
+    nets travel to tasks as one broadcast (their size is fixed by the architecture and groups)."""
     import pandas as pd
-    ps = [tuple(np.array(x) for x in p) for p in params]
+    bc = df.sparkSession.sparkContext.broadcast(params)
     key_type = df.schema[key].dataType.simpleString()
+    cols = [key, vec] + ([group] if group else [])
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
+        ps = bc.value
+        for g, pdf in _batches_by_group(batches, group):
             X = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            outs = np.stack(_mlp_forward(X, ps), axis=1)
+            outs = np.stack(_mlp_forward(X, ps[g], activation), axis=1)
             yield pd.DataFrame({key: pdf[key].values, "scores": list(outs)})
 
-    return df.select(key, vec).mapInPandas(run, f"{key} {key_type}, scores array<double>")
+    return df.select(*cols).mapInPandas(run, f"{key} {key_type}, scores array<double>")

@@ -160,7 +160,7 @@ def test_linear_abs_recovers_planted_weights(spark):
     Y[::20, 0] += 5.0                        # outliers: absolute error ignores them
     rows = [(X[i].tolist(), [float(Y[i, 0]), None if i % 7 == 0 else float(Y[i, 1])]) for i in range(600)]
     df = spark.createDataFrame(rows, "embedding array<double>, perf array<double>").repartition(4)
-    W = fit_linear_abs(df, 2, 4, c=100.0, rounds=12)
+    W = fit_linear_abs(df, 2, 4, c=100.0, rounds=12)[""]
     assert np.allclose(W[:, :4], w, atol=0.05) and np.allclose(W[:, 4], [0.1, -0.3], atol=0.05)
 
 
@@ -172,11 +172,26 @@ def test_mlp_fits_nonlinear_target(spark):
     y = np.abs(X[:, 0]) * 0.5
     df = spark.createDataFrame([(X[i].tolist(), [float(y[i])]) for i in range(400)],
                                "embedding array<double>, perf array<double>").repartition(3)
-    params = fit_mlp(df, 1, 3, hidden=16, epochs=150, lr=0.02)
+    params = fit_mlp(df, 1, 3, hidden=(16, 8), epochs=150, lr=0.02)[""]
     mse = float(np.mean((_mlp_forward(X, params)[0] - y) ** 2))
     assert mse < 0.5 * float(np.var(y))
 
 
+def test_grouped_fit_equals_separate_fits(spark):
+    import numpy as np
+    from routelens.operators.learned import fit_linear_abs
+    rng = np.random.default_rng(2)
+    rows = []
+    for g, w in (("a", [0.3, -0.1]), ("b", [-0.2, 0.4])):
+        X = rng.normal(size=(200, 2))
+        y = X @ np.array(w) + 0.05
+        rows += [(g, X[i].tolist(), [float(y[i])]) for i in range(200)]
+    df = spark.createDataFrame(rows, "family string, embedding array<double>, perf array<double>").repartition(3)
+    both = fit_linear_abs(df, 1, 2, rounds=5, group="family")
+    only_a = fit_linear_abs(df.where("family = 'a'"), 1, 2, rounds=5)[""]
+    assert set(both) == {"a", "b"} and np.allclose(both["a"], only_a, atol=1e-9)
+
+
 def test_list_literal_quotes_and_escapes(spark):
     from routelens.functions.logs import parse_list_literal
     items = ["plain", "it's", 'say "hi"', 'both \' and "', "back\\slash", "line\nbreak", "tab\there", ""]
