@@ -12,7 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.constants import KNN_NEIGHBORS, ORACLE, TRAIN_FRACTION, WTP_GRID
+from routelens.constants import (CASCADE_ROUTER, KNN_NEIGHBORS, MLP_ACTIVATIONS, MLP_HIDDEN_LAYERS,
+                                 MLP_LEARNING_RATES, ORACLE, TRAIN_FRACTION, WTP_GRID)
+from routelens.operators.cascade import accept_thresholds, cascade_results, order_chains, simulate
+from routelens.operators.learned import fit_linear_abs, fit_mlp_grid, linear_scores, linear_weights_table, mlp_scores
 from routelens.operators.cost import response_length
 from routelens.operators.knn import knn_topk, neighbor_scores
 from routelens.operators.oracle import fill_performance, oracle_label
@@ -103,3 +106,82 @@ def baseline_results(rd: RoutingData) -> DataFrame:
 def eval_results(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBORS) -> DataFrame:
     """Router variants x wtp plus the LLM / oracle baselines; unused parameters are NULL."""
     return knn_results(rd, prices, ks).unionByName(baseline_results(rd), allowMissingColumns=True)
+
+
+# Full-batch training takes one step per pass over the data; the configured rate (0.001) is tuned
+# for mini-batches of 200, so the full-batch fit uses a larger step and a fixed number of passes.
+MLP_FULL_BATCH_LR = 0.01
+MLP_EPOCHS = 60
+
+
+def _scored_results(rd: RoutingData, prices: DataFrame, scored: DataFrame, extra_cols=()) -> DataFrame:
+    """``scored(family, query_id, scores[, extra...])`` -> per (family, extra..., wtp) results."""
+    sc = scored.join(family_prices(rd, prices), "family")
+    ans = rd.samples.where(F.col("split") == "test").select("sample_id", "answers")
+    r = lookup_choice(route(sc), ans)
+    g = r.groupBy("family", *extra_cols, "wtp").agg(F.avg("performance").alias("performance"),
+                                                    F.sum("cost_pico").alias("total_cost_pico"))
+    return g.select(F.col("family").alias("eval_name"), *extra_cols, "wtp", "performance", "total_cost_pico")
+
+
+def _dim(rd: RoutingData) -> int:
+    return rd.samples.select(F.size("embedding")).first()[0]
+
+
+def svr_results(rd: RoutingData, prices: DataFrame, embedding: str = "given") -> DataFrame:
+    """Linear absolute-error predictors per family and model, routed over the wtp grid."""
+    spark = rd.samples.sparkSession
+    train = rd.samples.where(F.col("split") == "train")
+    test = rd.samples.where(F.col("split") == "test")
+    wt = linear_weights_table(spark, fit_linear_abs(train, rd.n_models, _dim(rd), group="family"), "family")
+    scored = test.join(wt, "family").select("family", F.col("sample_id").alias("query_id"),
+                                            linear_scores().alias("scores"))
+    return _scored_results(rd, prices, scored).select(
+        "eval_name", F.lit("svm").alias("router"), F.lit(embedding).alias("embedding"), "wtp", "performance",
+        "total_cost_pico")
+
+
+def mlp_results(rd: RoutingData, prices: DataFrame, epochs: int = MLP_EPOCHS, embedding: str = "given") -> DataFrame:
+    """MLP predictors for every configuration of the grid, all trained in the same passes."""
+    train = rd.samples.where(F.col("split") == "train")
+    test = rd.samples.where(F.col("split") == "test")
+    configs = [(h, a, lr) for h in MLP_HIDDEN_LAYERS for a in MLP_ACTIVATIONS for lr in MLP_LEARNING_RATES]
+    fitted = fit_mlp_grid(train, rd.n_models, _dim(rd), [(h, a, MLP_FULL_BATCH_LR) for h, a, _ in configs],
+                          epochs=epochs, group="family")
+    parts = []
+    for ci, (hidden, act, lr) in enumerate(configs):
+        params = {g: p for (c, g), p in fitted.items() if c == ci}
+        sc = mlp_scores(test, params, "sample_id", activation=act, group="family")
+        # printed as configured: 100 -> "(100,)", [100, 100] -> "([100, 100],)"
+        name = f"({hidden[0]},)" if len(hidden) == 1 else f"({list(hidden)},)"
+        parts.append(sc.join(test.select("family", "sample_id"), "sample_id").select(
+            "family", F.col("sample_id").alias("query_id"), "scores", F.lit(name).alias("hidden_layer_sizes"),
+            F.lit(act).alias("activation_function"), F.lit(float(lr)).alias("learning_rate")))
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    out = _scored_results(rd, prices, scored, ("hidden_layer_sizes", "activation_function", "learning_rate"))
+    return out.select("eval_name", F.lit("mlp").alias("router"), "hidden_layer_sizes", "activation_function",
+                      F.lit("constant").alias("learning_rate_method"), "learning_rate",
+                      F.lit(embedding).alias("embedding"), "wtp", "performance", "total_cost_pico")
+
+
+def cascade_split_results(rd: RoutingData, prices: DataFrame) -> DataFrame:
+    """The cascade over the budget x judge-error grid on the test split of every family."""
+    te = rd.long.where(F.col("split") == "test").withColumn("eval_name", F.col("family"))
+    thr = accept_thresholds(te)
+    lengths = response_length(te, by=("eval_name", "model", "model_idx"))
+    price = price_vectors(prices, lengths, rd.n_models, ["eval_name"])
+    res = cascade_results(simulate(order_chains(to_answers(te), price, thr)))
+    return res.withColumn("router", F.lit(CASCADE_ROUTER))
+
+
+def evaluate_all(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBORS,
+                 mlp_epochs: int = MLP_EPOCHS) -> DataFrame:
+    """The evaluation job end to end: every router family's variants x wtp (or budget x error
+    rate for the cascade) and the LLM / oracle baselines in one long table."""
+    out = knn_results(rd, prices, ks)
+    for part in (svr_results(rd, prices), mlp_results(rd, prices, mlp_epochs), cascade_split_results(rd, prices),
+                 baseline_results(rd)):
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -1,4 +1,5 @@
-"""Registered queries: SVR-style and MLP-style routers (rows-only checks: fits are iterative).
+"""Registered queries: SVR-style and MLP-style routers and the full evaluation table
+(rows-only checks: the fits are iterative).
 
 Every eval family gets its own predictors (in-distribution routing), but all
 families are fitted together: one distributed pass per solver round.
@@ -8,74 +9,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from routelens.constants import MLP_ACTIVATIONS, MLP_HIDDEN_LAYERS, MLP_LEARNING_RATES
-from routelens.operators.learned import fit_linear_abs, fit_mlp_grid, linear_scores, linear_weights_table, mlp_scores
-from routelens.operators.routing import lookup_choice, route
-from routelens.plans.evaluate import family_prices, prepare
+from routelens.plans.evaluate import evaluate_all, mlp_results, prepare, svr_results
 from routelens.plans.registry import query
 from routelens.sources.fixtures import N_MODELS, model_price, router_samples
 
-# Full-batch training takes one step per pass over the data; the configured rate (0.001) is tuned
-# for mini-batches of 200, so the full-batch fit uses a larger step and a fixed number of passes.
-MLP_FULL_BATCH_LR = 0.01
-MLP_EPOCHS = 60
 
+def _rd(spark, sf_dir):
+    return prepare(router_samples(spark, sf_dir), N_MODELS)
 
-def _route_eval(rd, scored, extra_cols=()):
-    """``scored(family, query_id, scores[, extra...])`` -> per (family, extra..., wtp) results."""
-    sc = scored.join(family_prices(rd, model_price(rd.samples.sparkSession)), "family")
-    ans = rd.samples.where(F.col("split") == "test").select("sample_id", "answers")
-    r = lookup_choice(route(sc), ans)
-    g = r.groupBy("family", *extra_cols, "wtp").agg(F.avg("performance").alias("performance"),
-                                                    F.sum("cost_pico").alias("total_cost_pico"))
-    return g.select(F.col("family").alias("eval_name"), *extra_cols, "wtp",
-                    F.round("performance", 6).alias("performance"), "total_cost_pico")
 
-
-def _data(spark, sf_dir):
-    rd = prepare(router_samples(spark, sf_dir), N_MODELS)
-    dim = rd.samples.select(F.size("embedding")).first()[0]
-    train = rd.samples.where(F.col("split") == "train")
-    test = rd.samples.where(F.col("split") == "test")
-    return rd, dim, train, test
-
-
-def svr_results(spark, sf_dir):
-    rd, dim, train, test = _data(spark, sf_dir)
-    W = fit_linear_abs(train, N_MODELS, dim, group="family")
-    wt = linear_weights_table(spark, W, "family")
-    scored = test.join(wt, "family").select("family", F.col("sample_id").alias("query_id"),
-                                            linear_scores().alias("scores"))
-    return _route_eval(rd, scored).withColumn("router", F.lit("svm"))
-
-
-def mlp_results(spark, sf_dir, epochs: int = MLP_EPOCHS):
-    rd, dim, train, test = _data(spark, sf_dir)
-    configs = [(h, a, lr) for h in MLP_HIDDEN_LAYERS for a in MLP_ACTIVATIONS for lr in MLP_LEARNING_RATES]
-    # all configurations and families train in the same passes (one job per epoch)
-    fitted = fit_mlp_grid(train, N_MODELS, dim, [(h, a, MLP_FULL_BATCH_LR) for h, a, _ in configs], epochs=epochs,
-                          group="family")
-    parts = []
-    for ci, (hidden, act, lr) in enumerate(configs):
-        params = {g: p for (c, g), p in fitted.items() if c == ci}
-        s = mlp_scores(test, params, "sample_id", activation=act, group="family")
-        name = "(" + ",".join(str(h) for h in hidden) + ",)" if len(hidden) == 1 else str(tuple(hidden))
-        parts.append(s.join(test.select("family", "sample_id"), "sample_id").select(
-            "family", F.col("sample_id").alias("query_id"), "scores",
-            F.lit(name).alias("hidden_layer_sizes"), F.lit(act).alias("activation_function"),
-            F.lit(float(lr)).alias("learning_rate")))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    out = _route_eval(rd, scored, ("hidden_layer_sizes", "activation_function", "learning_rate"))
-    return out.withColumn("router", F.lit("mlp"))
+def _r6(df):
+    return df.withColumn("performance", F.round("performance", 6))
 
 
 @query("q_route_svr")
 def q_route_svr(spark, sf_dir):
-    return svr_results(spark, sf_dir)
+    return _r6(svr_results(_rd(spark, sf_dir), model_price(spark)))
 
 
 @query("q_route_mlp")
 def q_route_mlp(spark, sf_dir):
-    return mlp_results(spark, sf_dir)
+    return _r6(mlp_results(_rd(spark, sf_dir), model_price(spark)))
+
+
+@query("q_evaluate_all")
+def q_evaluate_all(spark, sf_dir):
+    return _r6(evaluate_all(_rd(spark, sf_dir), model_price(spark)))
