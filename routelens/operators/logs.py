@@ -94,18 +94,34 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
 
 
-def scan_run_logs(spark, path: str) -> DataFrame:
-    """Read a directory tree of JSONL run logs into ``(file, pos, line)``.
+def keep_log_path(c: str = "file") -> F.Column:
+    """Run-log files: path contains ``.jsonl`` and not ``_bak``."""
+    return F.col(c).contains(".jsonl") & ~F.col(c).contains("_bak")
 
-    Whole files are read (``wholetext``) so that the position of every line is
-    known and the first record can serve as the file header; files whose path
-    lacks ``.jsonl`` or contains ``_bak`` are skipped.  Blank lines are ignored.
+
+def scan_run_logs(spark, path: str, whole_files: bool = False) -> DataFrame:
+    """Read a directory tree of JSONL run logs into ``(file, pos, line)``; ``pos`` orders the
+    lines of a file exactly (any orderable value; the first line has the smallest).
+
+    Default: a splittable line scan, so one huge file is read by many tasks.  The order key is
+    ``(split offset in the file, row id)``: a split's lines arrive in file order, and
+    ``monotonically_increasing_id`` grows with them inside a partition (the same ids are
+    produced on a task retry).  ``whole_files=True`` reads every file as one row instead
+    (one task per file, files under 2 GB).  Paths without ``.jsonl`` or with ``_bak`` are
+    skipped; blank lines are ignored.
     """
-    # text() resets its own keyword options, so wholetext must be passed as an argument
-    raw = (spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-           .select(F.col("value"), F.col("_metadata.file_path").alias("file")))
-    raw = raw.where(F.col("file").contains(".jsonl") & ~F.col("file").contains("_bak"))
-    lines = raw.select("file", F.posexplode(F.split(F.col("value"), "\n")).alias("pos", "line"))
+    if whole_files:
+        # text() resets its own keyword options, so wholetext must be passed as an argument
+        raw = (spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+               .select(F.col("value"), F.col("_metadata.file_path").alias("file")))
+        raw = raw.where(keep_log_path("file"))
+        lines = raw.select("file", F.posexplode(F.split(F.col("value"), "\n")).alias("pos", "line"))
+    else:
+        raw = spark.read.text(path, recursiveFileLookup=True).select(
+            F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_row"))
+        lines = raw.where(keep_log_path("file")).select(
+            "file", F.struct(F.col("_blk").alias("block"), F.col("_row").alias("row")).alias("pos"), "line")
     return lines.where(F.trim(F.col("line")) != "")
 
 

@@ -1,8 +1,10 @@
 """Incremental ingest of run logs that keep arriving in a directory (Structured Streaming).
 
-Each micro-batch reads the newly arrived JSONL files whole (``wholetext``), and
-runs the same batch operators as the offline convertor -- parse, header join,
-file validation, fold -- then appends the folded answers to a parquet table.
+Each micro-batch reads the lines of newly arrived JSONL files (a splittable
+line scan; the order of a file's lines is the split offset plus the row id,
+as in the batch reader) and runs the same batch operators as the offline
+convertor -- parse, header join, file validation, fold -- then appends the
+folded answers to a parquet table.  A file's lines always arrive in one batch.
 Progress (which files were read) lives in the streaming checkpoint, so a
 restarted query neither skips nor repeats files.
 """
@@ -12,18 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelens.operators.logs import attach_header, fold_events, parse_log_lines
+from routelens.operators.logs import attach_header, fold_events, keep_log_path, parse_log_lines
 
 
-def _lines_of(files: DataFrame) -> DataFrame:
-    f = files.where(F.col("file").contains(".jsonl") & ~F.col("file").contains("_bak"))
-    lines = f.select("file", F.posexplode(F.split(F.col("value"), "\n")).alias("pos", "line"))
+def _lines_of(raw: DataFrame) -> DataFrame:
+    f = raw.where(keep_log_path("file"))
+    lines = f.select("file", F.struct(F.col("_blk").alias("block"), F.monotonically_increasing_id().alias("row"))
+                     .alias("pos"), F.col("value").alias("line"))
     return lines.where(F.trim(F.col("line")) != "")
 
 
-def fold_batch(files: DataFrame) -> DataFrame:
-    """Whole-file rows ``(file, value)`` -> folded answers with the file's model and eval."""
-    ev = attach_header(parse_log_lines(_lines_of(files))).where(F.col("run_id").isNotNull())
+def fold_batch(raw: DataFrame) -> DataFrame:
+    """Line rows ``(file, _blk, value)`` of one micro-batch -> folded answers with the file's
+    model and eval."""
+    ev = attach_header(parse_log_lines(_lines_of(raw))).where(F.col("run_id").isNotNull())
     hdr = ev.select("file", "model", "eval_name").distinct()
     return fold_events(ev).join(hdr, "file")
 
@@ -31,8 +35,9 @@ def fold_batch(files: DataFrame) -> DataFrame:
 def start_runlog_ingest(spark: SparkSession, source_dir: str, target_dir: str, checkpoint_dir: str,
                         available_now: bool = True):
     """Start the stream; with ``available_now`` it processes what is there and stops."""
-    stream = (spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-              .load(source_dir).select(F.col("value"), F.col("_metadata.file_path").alias("file")))
+    stream = (spark.readStream.format("text").option("recursiveFileLookup", True).load(source_dir)
+              .select(F.col("value"), F.col("_metadata.file_path").alias("file"),
+                      F.col("_metadata.file_block_start").alias("_blk")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         fold_batch(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(target_dir)

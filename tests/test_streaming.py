@@ -16,7 +16,7 @@ def test_stream_equals_batch(spark):
     q = start_runlog_ingest(spark, src, dst, ck)
     q.awaitTermination(300)
     got = spark.read.parquet(dst).select("sample_id", "model", "correct", F.size("prompt").alias("n"))
-    ev = attach_header(parse_log_lines(scan_run_logs(spark, src))).where(F.col("run_id").isNotNull())
+    ev = attach_header(parse_log_lines(scan_run_logs(spark, src, whole_files=True))).where(F.col("run_id").isNotNull())
     hdr = ev.select("file", "model").distinct()
     want = fold_events(ev).join(hdr, "file").select("sample_id", "model", "correct", F.size("prompt").alias("n"))
     assert got.count() > 0
