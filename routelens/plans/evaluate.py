@@ -20,7 +20,7 @@ from routelens.operators.cost import response_length
 from routelens.operators.knn import knn_topk, neighbor_scores
 from routelens.operators.oracle import fill_performance, oracle_label
 from routelens.operators.reshape import to_answers
-from routelens.operators.routing import lookup_choice, price_vectors, route
+from routelens.operators.routing import price_vectors, route, with_choice
 from routelens.operators.split import split_samples
 from routelens.session import materialize
 
@@ -74,10 +74,10 @@ def family_prices(rd: RoutingData, prices: DataFrame) -> DataFrame:
 def knn_routed(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBORS,
                wtp_values: list[float] = WTP_GRID) -> DataFrame:
     """``(family, k, query_id, wtp, chosen_idx, chosen, performance, cost_pico)`` for every test prompt."""
-    sc = knn_scores(rd, ks).join(family_prices(rd, prices), "family")
-    routed = route(sc, wtp_values)
-    ans = rd.samples.where(F.col("split") == "test").select("sample_id", "answers")
-    return lookup_choice(routed, ans)
+    ans = rd.samples.where(F.col("split") == "test").select(F.col("sample_id").alias("query_id"), "answers")
+    # answers join one row per (k, prompt) before the 32-way wtp explode
+    sc = knn_scores(rd, ks).join(family_prices(rd, prices), "family").join(ans, "query_id")
+    return with_choice(route(sc, wtp_values))
 
 
 def knn_results(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBORS,
@@ -116,9 +116,9 @@ MLP_EPOCHS = 60
 
 def _scored_results(rd: RoutingData, prices: DataFrame, scored: DataFrame, extra_cols=()) -> DataFrame:
     """``scored(family, query_id, scores[, extra...])`` -> per (family, extra..., wtp) results."""
-    sc = scored.join(family_prices(rd, prices), "family")
-    ans = rd.samples.where(F.col("split") == "test").select("sample_id", "answers")
-    r = lookup_choice(route(sc), ans)
+    ans = rd.samples.where(F.col("split") == "test").select(F.col("sample_id").alias("query_id"), "answers")
+    sc = scored.join(family_prices(rd, prices), "family").join(ans, "query_id")
+    r = with_choice(route(sc))
     g = r.groupBy("family", *extra_cols, "wtp").agg(F.avg("performance").alias("performance"),
                                                     F.sum("cost_pico").alias("total_cost_pico"))
     return g.select(F.col("family").alias("eval_name"), *extra_cols, "wtp", "performance", "total_cost_pico")
