@@ -58,11 +58,19 @@ def _block_fn(k: int, metric: str, qid: str, tid: str, payload: str | None, grou
             else:
                 S = -np.abs(Qc[:, None, :] - Tm[None, :, :]).sum(axis=2)
             Si = np.rint(S * 1e9).astype(np.int64)          # similarity rounded to 1e-9
-            key = (-Si) * (1 << 21) + t_rank[None, :]          # order: sim desc, training id asc
-            part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
-            pk = np.take_along_axis(key, part, axis=1)
-            order = np.argsort(pk, axis=1)
-            top = np.take_along_axis(part, order, axis=1)
+            if np.abs(Si).max(initial=0) < (1 << 41) and len(tids) < (1 << 21):
+                key = (-Si) * (1 << 21) + t_rank[None, :]      # order: sim desc, training id asc
+                part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
+                pk = np.take_along_axis(key, part, axis=1)
+                top = np.take_along_axis(part, np.argsort(pk, axis=1), axis=1)
+            else:
+                # exact fallback for values outside the packed-key range: all candidates tied
+                # with the k-th similarity, then (sim desc, id asc) per row
+                kth = -np.partition(-Si, kk - 1, axis=1)[:, kk - 1]
+                top = np.empty((len(Qc), kk), dtype=np.int64)
+                for r in range(len(Qc)):
+                    cand = np.nonzero(Si[r] >= kth[r])[0]
+                    top[r] = cand[np.lexsort((t_rank[cand], -Si[r, cand]))][:kk]
             out_q.append(np.repeat(np.arange(s, s + len(Qc)), kk))
             out_t.append(top.ravel())
             out_s.append(np.take_along_axis(Si, top, axis=1).ravel() / 1e9)
@@ -96,6 +104,8 @@ def knn_topk(queries: DataFrame, train: DataFrame, k: int, group_cols: list[str]
     tb = max(1, math.ceil(nt / block_rows))
     # fresh aliases: queries and training rows usually share a lineage, and cogroup
     # needs distinct attribute ids on its two sides
+    queries = queries.where(F.col(vec).isNotNull())
+    train = train.where(F.col(vec).isNotNull())
     q = queries.select(*[F.col(c).alias(c) for c in group_cols], F.col(qid).alias("_qid"), F.col(vec).alias("vec"))
     t = train.select(*[F.col(c).alias(c) for c in group_cols], F.col(tid).alias("_tid"), F.col(vec).alias("vec"),
                      *([F.col(payload).alias(payload)] if payload else []))

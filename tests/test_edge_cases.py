@@ -200,3 +200,17 @@ def test_list_literal_quotes_and_escapes(spark):
     assert got == items
     assert spark.createDataFrame([("not a list",)], "s string").select(
         parse_list_literal(F.col("s")).alias("p")).first().p is None
+
+
+def test_knn_large_distances_use_exact_fallback(spark):
+    import random
+    rnd = random.Random(5)
+    vec = lambda: [rnd.uniform(-1e4, 1e4) for _ in range(4)]
+    q = spark.createDataFrame([("g", f"q{i}", vec()) for i in range(20)], "g string, sample_id string, embedding array<double>")
+    t = spark.createDataFrame([("g", f"t{i:03d}", vec()) for i in range(80)], "g string, sample_id string, embedding array<double>")
+    got = {(r.query_id, r.rank): r.neighbor_id for r in knn_topk(q, t, 3, ["g"], metric="euclidean").collect()}
+    tq = {r.sample_id: r.embedding for r in t.collect()}
+    for r in q.collect():
+        d = sorted((round(-sum((a - b) ** 2 for a, b in zip(r.embedding, v)) ** 0.5, 9), k) for k, v in tq.items())
+        d = sorted(d, key=lambda x: (-x[0], x[1]))[:3]
+        assert [got[(r.sample_id, i + 1)] for i in range(3)] == [k for _, k in d]
