@@ -214,3 +214,17 @@ def test_knn_large_distances_use_exact_fallback(spark):
         d = sorted((round(-sum((a - b) ** 2 for a, b in zip(r.embedding, v)) ** 0.5, 9), k) for k, v in tq.items())
         d = sorted(d, key=lambda x: (-x[0], x[1]))[:3]
         assert [got[(r.sample_id, i + 1)] for i in range(3)] == [k for _, k in d]
+
+
+def test_exact_quantile_matches_numpy(spark):
+    import numpy as np
+    from routelens.operators.quantile import exact_quantile
+    rng = np.random.default_rng(4)
+    groups = {"cont": rng.normal(size=5000), "ties": rng.choice([0.0, 0.5, 1.0], size=3000),
+              "one": np.array([0.3]), "two": np.array([0.1, 0.9]), "zeros": np.zeros(50)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = {r.g: r.quantile for r in exact_quantile(df, "g", "v", q, accuracy=200).collect()}
+        for g, vs in groups.items():
+            assert math.isclose(got[g], float(np.percentile(vs, q * 100)), rel_tol=1e-12, abs_tol=1e-12), (g, q)
