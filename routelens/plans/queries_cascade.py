@@ -10,6 +10,7 @@ from routelens.operators.oracle import fill_performance
 from routelens.operators.reshape import drop_null_rows, to_answers
 from routelens.operators.routing import price_vectors
 from routelens.plans.registry import query
+from routelens.session import materialize
 from routelens.sources.fixtures import N_MODELS, eval_long, model_price
 
 
@@ -19,6 +20,10 @@ def r6(c):
 
 def cascade_run(spark, sf_dir):
     el = drop_null_rows(fill_performance(eval_long(spark, sf_dir)), ["performance", "cost_pico", "response"])
+    # five passes read these answers (threshold bracket, counts, band, lengths, chains): write the
+    # needed columns once in the shared folder instead of re-deriving them per pass
+    el = materialize(el.select("eval_name", "sample_id", "model", "model_idx", "performance", "cost_pico",
+                               "response"), "cascade-answers")
     thr = accept_thresholds(el)
     lengths = response_length(el, by=("eval_name", "model", "model_idx"))
     price = price_vectors(model_price(spark), lengths, N_MODELS, ["eval_name"])
