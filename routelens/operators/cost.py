@@ -42,3 +42,20 @@ def price_score(prices: DataFrame, lengths: DataFrame, by: tuple = ("model",)) -
     fee = F.try_divide(F.coalesce(F.col("request_pico"), F.lit(0)).cast("double"), F.col("avg_response_tokens"))
     return j.select(*by, (F.col("completion_pico").cast("double") + F.col("prompt_pico").cast("double")
                           + F.coalesce(fee, F.lit(0.0))).alias("price_score_pico"))
+
+
+def price_answers(samples: DataFrame, prices: DataFrame, keys: tuple = ("sample_id",), prompt_col: str = "prompt",
+                  answers_col: str = "answers", out_col: str = "cost_pico") -> DataFrame:
+    """Price per-prompt rows (``prompt`` + ``answers`` array of structs with ``model`` and
+    ``response``): the prompt's token count is counted ONCE per prompt (whitespace tokens do not
+    depend on the model), then the answers are exploded and priced.  Returns one row per
+    (prompt, answer) with every answer field and the cost."""
+    pt = samples.select(*keys, n_tokens_all(F.col(prompt_col)).alias("_pt"), answers_col)
+    x = pt.select(*keys, "_pt", F.explode(answers_col).alias("_a")).select(*keys, "_pt", "_a.*")
+    p = prices.select("model", "prompt_pico", "completion_pico", "request_pico")
+    j = x.join(p, "model", "left")
+    cost = F.when(F.col("prompt_pico").isNull(),
+                  F.raise_error(F.concat(F.lit("no price for model "), F.col("model"))).cast("long")
+                  ).otherwise(F.col("_pt") * F.col("prompt_pico") + n_tokens_all(F.col("response")) * F.col("completion_pico")
+                              + F.coalesce(F.col("request_pico"), F.lit(0).cast("long")))
+    return j.withColumn(out_col, cost).drop("_pt", "prompt_pico", "completion_pico", "request_pico")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from routelens.operators.cost import response_length, with_token_cost
+from routelens.operators.cost import price_answers, response_length, with_token_cost
 from routelens.operators.oracle import fill_performance, oracle_label
 from routelens.operators.scores import eval_scores, oracle_scores
 from routelens.plans.registry import query
@@ -20,7 +20,10 @@ def r6(c):
 @query("q_token_cost")
 def q_token_cost(spark, sf_dir):
     el = eval_long(spark, sf_dir).drop("cost_pico")
-    return with_token_cost(el, model_price(spark)).select("sample_id", "model", "cost_pico")
+    # one row per prompt (answers bounded by the number of models), prompt tokens counted once
+    samples = el.groupBy("sample_id").agg(F.first("prompt").alias("prompt"), F.collect_list(
+        F.struct("model", "model_idx", "response")).alias("answers"))
+    return price_answers(samples, model_price(spark)).select("sample_id", "model", "cost_pico")
 
 
 @query("q_token_count")

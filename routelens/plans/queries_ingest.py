@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from routelens.functions.logs import choice_score, metric_value, parse_list_literal, select_prompts
-from routelens.operators.cost import with_token_cost
+from routelens.operators.cost import price_answers, with_token_cost
 from routelens.operators.logs import attach_header, fold_events, parse_log_lines, scan_run_logs, write_run_logs
 from routelens.operators.oracle import oracle_label
 from routelens.operators.reshape import (complete_samples, dedupe_first, eval_from_sample_id, filter_family,
@@ -162,20 +162,12 @@ def q_convert_logs(spark, sf_dir):
 
 @query("q_convert_long")
 def q_convert_long(spark, sf_dir):
+    """Long-table convertor: one row per prompt (answers array), priced with the prompt's
+    tokens counted once, then the oracle label and the eval name from the sample id."""
     el = eval_long(spark, sf_dir).drop("cost_pico")
-    priced = with_token_cost(el, model_price(spark))
-    lab = oracle_label(priced)
+    samples = el.groupBy("sample_id").agg(F.first("prompt").alias("prompt"), F.collect_list(
+        F.struct("model", "model_idx", "performance", "response")).alias("answers"))
+    priced = price_answers(samples, model_price(spark))
+    lab = oracle_label(priced, keys=("sample_id",))
     return lab.select("sample_id", eval_from_sample_id("sample_id").alias("eval_name"), "oracle",
                       "oracle_cost_pico")
-
-
-@query("q_prompt_extract")
-def q_prompt_extract(spark, sf_dir):
-    f = fold_events(parse_log_lines(prompt_lines(spark, sf_dir)))
-    return f.select("sample_id", F.size("prompt").alias("n_prompts"), _md5_list("prompt").alias("prompt_md5"))
-
-
-@query("q_list_parse")
-def q_list_parse(spark, sf_dir):
-    p = stringified_prompts(spark, sf_dir).select("conv_id", parse_list_literal(F.col("prompt_text")).alias("p"))
-    return p.select("conv_id", F.size("p").alias("n_prompts"), _md5_list("p").alias("prompt_md5"))
