@@ -84,3 +84,14 @@ def eval_from_sample_id(sample_id: str = "sample_id") -> F.Column:
 def filter_family(df: DataFrame, prefix: str, col: str = "eval_name") -> DataFrame:
     """Rows whose eval belongs to a family: a prefix test, pushed to the scan when possible."""
     return df.where(F.col(col).startswith(prefix))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Key coverage of two tables (one row): keys only left, only right, and duplicated on either
+    side.  All zeros means a 1:1 correspondence (a full outer join of the distinct keys)."""
+    lk = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l"))
+    rk = right.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
+    j = lk.join(rk, key, "full_outer")
+    return j.agg(F.sum(F.col("_r").isNull().cast("long")).alias("only_left"),
+                 F.sum(F.col("_l").isNull().cast("long")).alias("only_right"),
+                 F.sum(((F.col("_l") > 1) | (F.col("_r") > 1)).cast("long")).alias("duplicated"))

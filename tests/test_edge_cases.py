@@ -228,3 +228,24 @@ def test_exact_quantile_matches_numpy(spark):
         got = {r.g: r.quantile for r in exact_quantile(df, "g", "v", q, accuracy=200).collect()}
         for g, vs in groups.items():
             assert math.isclose(got[g], float(np.percentile(vs, q * 100)), rel_tol=1e-12, abs_tol=1e-12), (g, q)
+
+
+def test_choice_lookup_by_model_index(spark):
+    from routelens.operators.routing import with_choice
+    ans = "array<struct<model_idx:int,model:string,performance:double,cost_pico:long>>"
+    df = spark.createDataFrame([(1, 2, [(0, "a", 0.1, 1), (2, "c", 0.9, 3)])], f"q int, chosen_idx int, answers {ans}")
+    r = with_choice(df).first()
+    assert (r.chosen, r.performance, r.cost_pico) == ("c", 0.9, 3)
+    bad = spark.createDataFrame([(1, 1, [(0, "a", 0.1, 1)])], f"q int, chosen_idx int, answers {ans}")
+    with pytest.raises(Exception):
+        with_choice(bad).collect()
+
+
+def test_one_to_one(spark):
+    from routelens.operators.reshape import one_to_one
+    a = spark.createDataFrame([(1,), (2,), (3,), (3,)], "k int")
+    b = spark.createDataFrame([(1,), (2,), (4,)], "k int")
+    r = one_to_one(a, b, "k").first()
+    assert (r.only_left, r.only_right, r.duplicated) == (1, 1, 1)
+    r = one_to_one(b, b, "k").first()
+    assert (r.only_left, r.only_right, r.duplicated) == (0, 0, 0)
