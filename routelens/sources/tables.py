@@ -23,7 +23,7 @@ def read_prices_csv(spark: SparkSession, path: str | None = None) -> DataFrame:
     """
     if path is None:
         path = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data", "prices.csv")
-    raw = (spark.read.option("header", True)
+    raw = (spark.read.option("header", True).option("comment", "#")
            .schema("model string, prompt_usd_per_10m_tokens decimal(20,6), "
                    "completion_usd_per_10m_tokens decimal(20,6), request_usd decimal(20,9)")
            .csv(path))

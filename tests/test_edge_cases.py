@@ -249,3 +249,13 @@ def test_one_to_one(spark):
     assert (r.only_left, r.only_right, r.duplicated) == (1, 1, 1)
     r = one_to_one(b, b, "k").first()
     assert (r.only_left, r.only_right, r.duplicated) == (0, 0, 0)
+
+
+def test_shipped_price_list(spark):
+    from routelens.sources.tables import read_prices_csv
+    p = {r.model: (r.prompt_pico, r.completion_pico, r.request_pico) for r in read_prices_csv(spark).collect()}
+    assert p["claude-v1"] == (800000, 2400000, None)
+    assert p["You.com"] == (1950000, 2600000, 4900000000)
+    assert p["meta/code-llama-instruct-34b-chat"] == (77600, 77600, None)
+    assert p["no_model_correct"] == (0, 0, None)
+    assert p["togethercomputer/llama-2-70b-chat"] == p["meta/llama-2-70b-chat"]
