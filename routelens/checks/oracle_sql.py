@@ -637,3 +637,12 @@ WHERE evaluator_error_rate = 0.2
 """, CASCADE_CTE)
 
 ORACLE_SQL["q_results_store"] = ORACLE_SQL["q_results_union"]
+
+sql("q_plot_points", """
+SELECT router || '|' || neighbors::VARCHAR || '|' || embedding AS series, willingness_to_pay AS x_value,
+       round(avg(total_cost), 6) AS total_cost, round(avg(performance), 6) AS performance
+FROM vr WHERE starts_with(eval_name, 'en') GROUP BY router, neighbors, embedding, willingness_to_pay
+UNION ALL
+SELECT model, NULL::DOUBLE, round(avg(total_cost), 6), round(avg(performance), 6)
+FROM scores WHERE starts_with(eval_name, 'en') GROUP BY model
+""", VR_CTE)

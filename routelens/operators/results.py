@@ -69,3 +69,21 @@ def results_wide(results: DataFrame, names: list[str], name_col: str = "model")
     """One row per eval; columns ``<name>_performance`` and ``<name>_total_cost`` (mean over rows)."""
     return results.groupBy("eval_name").pivot(name_col, names).agg(
         F.avg("performance").alias("performance"), F.avg("total_cost").alias("total_cost"))
+
+
+def plot_points(router_results: DataFrame, llm_results: DataFrame, prefix: str | None,
+                variant_cols: list[str], x_col: str = "willingness_to_pay") -> DataFrame:
+    """Plotting data of an eval family (or of all evals when ``prefix`` is None): every router
+    variant's points along ``x_col`` and every model's point, each the unweighted mean over the
+    family's evals.  Rows ``(series, x_value, total_cost, performance)``; models have NULL x."""
+    def fam(df):
+        return df if prefix is None else df.where(F.col("eval_name").startswith(prefix))
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in variant_cols])
+    r = fam(router_results).groupBy(*variant_cols, x_col).agg(F.avg("performance").alias("performance"),
+                                                             F.avg("total_cost").alias("total_cost"))
+    r = r.select(name.alias("series"), F.col(x_col).cast("double").alias("x_value"), "total_cost", "performance")
+    m = fam(llm_results).groupBy("model").agg(F.avg("performance").alias("performance"),
+                                              F.avg("total_cost").alias("total_cost"))
+    m = m.select(F.col("model").alias("series"), F.lit(None).cast("double").alias("x_value"), "total_cost",
+                 "performance")
+    return r.unionByName(m)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from routelens.constants import WTP_GRID, WTP_TEXT
 from routelens.functions.variants import parse_params_tolerant, parse_variant, variant_name
 from routelens.operators.frontier import aiq, aiq_ranking, ndch
-from routelens.operators.results import (best_variant, display_names, macro_mean, mark_baselines, results_wide,
-                                         union_results, with_display_name)
+from routelens.operators.results import (best_variant, display_names, macro_mean, mark_baselines, plot_points,
+                                         results_wide, union_results, with_display_name)
 from routelens.operators.scores import eval_scores
 from routelens.plans.registry import query
 from routelens.session import scratch_path
@@ -181,3 +181,10 @@ def q_results_store(spark, sf_dir):
     back = load_results(spark, f"{root}/eval_results", "fixture")
     return back.select("eval_name", "router", "neighbors", "embedding", "willingness_to_pay",
                        r6("performance").alias("performance"), r6("total_cost").alias("total_cost"))
+
+
+@query("q_plot_points")
+def q_plot_points(spark, sf_dir):
+    """Plotting data of the ``en`` family: kNN variants by wtp and every model incl. the oracle."""
+    p = plot_points(_vr(spark, sf_dir), _scores(spark, sf_dir), "en", ["router", "neighbors", "embedding"])
+    return p.select("series", "x_value", r6("total_cost").alias("total_cost"), r6("performance").alias("performance"))
