@@ -36,11 +36,13 @@ def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRA
             checkpoint: bool = True) -> RoutingData:
     """Per-prompt rows with the answers array, dense performance vector and split side."""
     filled = fill_performance(long_with_embedding)
-    ans = to_answers(filled, keys=("family", "sample_id", "eval_name"))
+    # one aggregate per prompt builds the answers array and keeps the prompt's embedding
+    ans = filled.groupBy("family", "sample_id", "eval_name").agg(
+        F.array_sort(F.collect_list(F.struct("model_idx", "model", "performance", "cost_pico"))).alias("answers"),
+        F.first("embedding").alias("embedding"))
     perf = F.transform(F.sequence(F.lit(0), F.lit(n_models - 1)),
                        lambda i: F.element_at(F.filter(F.col("answers"), lambda a: a["model_idx"] == i), 1)["performance"])
-    emb = long_with_embedding.groupBy("sample_id").agg(F.first("embedding").alias("embedding"))
-    samples = ans.join(emb, "sample_id").withColumn("perf", perf)
+    samples = ans.withColumn("perf", perf)
     split = split_samples(samples.select("family", "sample_id"), fraction=fraction)
     samples = samples.join(split.select("sample_id", "split"), "sample_id")
     long = filled.join(split.select("sample_id", "split"), "sample_id")
