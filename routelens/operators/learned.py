@@ -243,20 +243,39 @@ def fit_mlp(train: DataFrame, n_models: int, dim: int, hidden: tuple = (100,), a
     return {g: p for (_, g), p in grid.items()}
 
 
+def _params_bytes(params: dict) -> int:
+    return sum(W.nbytes + b.nbytes for nets in params.values() for layers in nets for W, b in layers)
+
+
 def mlp_scores(df: DataFrame, params: dict, key: str, vec: str = "embedding", activation: str = "relu",
-               group: str | None = None) -> DataFrame:
-    """``(key, scores array<double>)``: one Arrow-batched forward pass per partition; the fitted
-    nets travel to tasks as one broadcast (their size is fixed by the architecture and groups)."""
+               group: str | None = None, max_broadcast_bytes: int = 256 << 20) -> DataFrame:
+    """``(key, scores array<double>)``: one Arrow-batched forward pass per partition.
+
+    The fitted nets reach the tasks as a broadcast whose size is known before sending
+    (groups x architecture).  Above ``max_broadcast_bytes`` each group is scored with its own
+    broadcast over that group's rows only (a filtered scan per group), so no task or
+    broadcast ever holds more than one group's nets.
+    """
     import pandas as pd
-    bc = df.sparkSession.sparkContext.broadcast(params)
     key_type = df.schema[key].dataType.simpleString()
     cols = [key, vec] + ([group] if group else [])
+    schema = f"{key} {key_type}, scores array<double>"
 
-    def run(batches):
-        ps = bc.value
-        for g, pdf in _batches_by_group(batches, group):
-            X = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            outs = np.stack(_mlp_forward(X, ps[g], activation), axis=1)
-            yield pd.DataFrame({key: pdf[key].values, "scores": list(outs)})
-
-    return df.select(*cols).mapInPandas(run, f"{key} {key_type}, scores array<double>")
+    def scorer(bc):
+        def run(batches):
+            ps = bc.value
+            for g, pdf in _batches_by_group(batches, group):
+                X = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+                outs = np.stack(_mlp_forward(X, ps[g], activation), axis=1)
+                yield pd.DataFrame({key: pdf[key].values, "scores": list(outs)})
+        return run
+
+    sc = df.sparkSession.sparkContext
+    if group is None or _params_bytes(params) <= max_broadcast_bytes:
+        return df.select(*cols).mapInPandas(scorer(sc.broadcast(params)), schema)
+    out = None
+    for g, nets in params.items():
+        part = df.where(F.col(group).cast("string") == g).select(*cols).mapInPandas(
+            scorer(sc.broadcast({g: nets})), schema)
+        out = part if out is None else out.unionByName(part)
+    return out

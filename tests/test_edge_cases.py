@@ -259,3 +259,16 @@ def test_shipped_price_list(spark):
     assert p["meta/code-llama-instruct-34b-chat"] == (77600, 77600, None)
     assert p["no_model_correct"] == (0, 0, None)
     assert p["togethercomputer/llama-2-70b-chat"] == p["meta/llama-2-70b-chat"]
+
+
+def test_mlp_scores_per_group_path_equals_broadcast(spark):
+    import numpy as np
+    from routelens.operators.learned import fit_mlp, mlp_scores
+    rng = np.random.default_rng(9)
+    rows = [(g, f"{g}{i}", rng.normal(size=3).tolist(), [float(rng.random())]) for g in ("a", "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "family string, sample_id string, embedding array<double>, perf array<double>")
+    params = fit_mlp(df, 1, 3, hidden=(4,), epochs=3, group="family")
+    one = {r.sample_id: r.scores for r in mlp_scores(df, params, "sample_id", group="family").collect()}
+    per = {r.sample_id: r.scores for r in mlp_scores(df, params, "sample_id", group="family",
+                                                     max_broadcast_bytes=1).collect()}
+    assert one.keys() == per.keys() and all(np.allclose(one[k], per[k]) for k in one)
