@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from routelens.operators.cost import price_answers, response_length, with_token_cost
+from routelens.operators.cost import price_answers, response_length
 from routelens.operators.oracle import fill_performance, oracle_label
 from routelens.operators.scores import eval_scores, oracle_scores
 from routelens.plans.registry import query

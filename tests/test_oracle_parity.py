@@ -30,3 +30,9 @@ def test_entry_schema(spark):
     df = E.entry(spark)
     assert df.columns == ["eval_name", "model", "performance", "total_cost_pico"]
     assert df.count() > 0
+
+
+def test_every_oracle_has_a_query():
+    """An oracle without its query means a registered query was lost."""
+    from routelens.checks.oracle_sql import ORACLE_SQL
+    assert set(ORACLE_SQL) <= set(QUERIES), sorted(set(ORACLE_SQL) - set(QUERIES))
