@@ -646,3 +646,11 @@ UNION ALL
 SELECT model, NULL::DOUBLE, round(avg(total_cost), 6), round(avg(performance), 6)
 FROM scores WHERE starts_with(eval_name, 'en') GROUP BY model
 """, VR_CTE)
+
+KNN_OOD_CTE = (KNN_CTE.replace("FROM split s", "FROM split2 s").replace("JOIN split s", "JOIN split2 s")
+               .replace("vec AS (", "split2 AS (SELECT 'en' AS family, sample_id, split FROM split\n"
+                        "  WHERE (family <> 'en' AND split = 'train') OR (family = 'en' AND split = 'test')),\nvec AS (", 1))
+
+sql("q_route_knn_ood", """
+SELECT k::INTEGER AS neighbors, wtp, query_id AS sample_id, chosen, performance, cost_pico FROM looked
+""", KNN_OOD_CTE)

@@ -33,8 +33,13 @@ class RoutingData:
 
 
 def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRAIN_FRACTION,
-            checkpoint: bool = True) -> RoutingData:
-    """Per-prompt rows with the answers array, dense performance vector and split side."""
+            checkpoint: bool = True, ood_wanted: str | None = None) -> RoutingData:
+    """Per-prompt rows with the answers array, dense performance vector and split side.
+
+    ``ood_wanted``: out-of-distribution routing for that family -- routers train on the train
+    part of every other family and are evaluated on the test part of the wanted family; all
+    kept prompts are labelled with the wanted family (the eval being evaluated).
+    """
     filled = fill_performance(long_with_embedding)
     # one aggregate per prompt builds the answers array and keeps the prompt's embedding
     ans = filled.groupBy("family", "sample_id", "eval_name").agg(
@@ -44,8 +49,15 @@ def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRA
                        lambda i: F.element_at(F.filter(F.col("answers"), lambda a: a["model_idx"] == i), 1)["performance"])
     samples = ans.withColumn("perf", perf)
     split = split_samples(samples.select("family", "sample_id"), fraction=fraction)
-    samples = samples.join(split.select("sample_id", "split"), "sample_id")
-    long = filled.join(split.select("sample_id", "split"), "sample_id")
+    if ood_wanted is None:
+        samples = samples.join(split.select("sample_id", "split"), "sample_id")
+        long = filled.join(split.select("sample_id", "split"), "sample_id")
+    else:
+        fam, side = F.col("family"), F.col("split")
+        keep = split.where(((fam != ood_wanted) & (side == "train")) | ((fam == ood_wanted) & (side == "test")))
+        keep = keep.select("sample_id", F.lit(ood_wanted).alias("family"), "split")
+        samples = samples.drop("family").join(keep, "sample_id")
+        long = filled.drop("family").join(keep, "sample_id")
     if checkpoint:
         # both tables feed several jobs (block sizing, kNN, prices, routing, baselines):
         # cut the lineage once with a table written in the shared folder

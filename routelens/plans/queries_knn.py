@@ -84,3 +84,13 @@ def q_router_scores(spark, sf_dir):
 def q_test_baselines(spark, sf_dir):
     r = baseline_results(_rd(spark, sf_dir))
     return r.select("eval_name", "router", r6("performance").alias("performance"), "total_cost_pico")
+
+
+@query("q_route_knn_ood")
+def q_route_knn_ood(spark, sf_dir):
+    """kNN routing out of distribution: neighbours come from the other families' train parts,
+    queries are the test part of the ``en`` family."""
+    rd = prepare(router_samples(spark, sf_dir), N_MODELS, ood_wanted="en")
+    r = knn_routed(rd, model_price(spark))
+    return r.select(F.col("k").cast("int").alias("neighbors"), "wtp", F.col("query_id").alias("sample_id"),
+                    "chosen", "performance", "cost_pico")
