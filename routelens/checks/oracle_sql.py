@@ -654,3 +654,21 @@ KNN_OOD_CTE = (KNN_CTE.replace("FROM split s", "FROM split2 s").replace("JOIN sp
 sql("q_route_knn_ood", """
 SELECT k::INTEGER AS neighbors, wtp, query_id AS sample_id, chosen, performance, cost_pico FROM looked
 """, KNN_OOD_CTE)
+
+_SRC_SPLIT = """split AS (
+  SELECT m.family, m.sample_id, r.split
+  FROM (SELECT DISTINCT family, source, sample_id FROM rs) m JOIN (
+    SELECT family, source,
+           CASE WHEN row_number() OVER (PARTITION BY family ORDER BY u, source)
+                     <= floor(count(*) OVER (PARTITION BY family) * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split
+    FROM (SELECT family, source,
+                 ('0x' || substr(md5('42|' || source), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+          FROM (SELECT DISTINCT family, source FROM rs))) r USING (family, source)),
+vec AS ("""
+_i = KNN_CTE.index("split AS (")
+_j = KNN_CTE.index("vec AS (")
+KNN_SRC_CTE = KNN_CTE[:_i] + _SRC_SPLIT + KNN_CTE[_j + len("vec AS ("):]
+
+sql("q_wtp_sweep_sources", """
+SELECT eval_name, neighbors, wtp, round(performance, 6) AS performance, total_cost_pico FROM sweep
+""", KNN_SRC_CTE)

@@ -21,7 +21,7 @@ from routelens.operators.knn import knn_topk, neighbor_scores
 from routelens.operators.oracle import fill_performance, oracle_label
 from routelens.operators.reshape import to_answers
 from routelens.operators.routing import price_vectors, route, with_choice
-from routelens.operators.split import split_samples
+from routelens.operators.split import split_by_source, split_samples
 from routelens.session import materialize
 
 
@@ -33,12 +33,13 @@ class RoutingData:
 
 
 def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRAIN_FRACTION,
-            checkpoint: bool = True, ood_wanted: str | None = None) -> RoutingData:
+            checkpoint: bool = True, ood_wanted: str | None = None, split_by: str = "sample") -> RoutingData:
     """Per-prompt rows with the answers array, dense performance vector and split side.
 
     ``ood_wanted``: out-of-distribution routing for that family -- routers train on the train
     part of every other family and are evaluated on the test part of the wanted family; all
     kept prompts are labelled with the wanted family (the eval being evaluated).
+    ``split_by="source"``: whole source groups go to one side (no source on both sides).
     """
     filled = fill_performance(long_with_embedding)
     # one aggregate per prompt builds the answers array and keeps the prompt's embedding
@@ -48,7 +49,11 @@ def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRA
     perf = F.transform(F.sequence(F.lit(0), F.lit(n_models - 1)),
                        lambda i: F.element_at(F.filter(F.col("answers"), lambda a: a["model_idx"] == i), 1)["performance"])
     samples = ans.withColumn("perf", perf)
-    split = split_samples(samples.select("family", "sample_id"), fraction=fraction)
+    if split_by == "source":
+        src = filled.groupBy("sample_id").agg(F.first("source").alias("source"))
+        split = split_by_source(samples.select("family", "sample_id").join(src, "sample_id"), fraction=fraction)
+    else:
+        split = split_samples(samples.select("family", "sample_id"), fraction=fraction)
     if ood_wanted is None:
         samples = samples.join(split.select("sample_id", "split"), "sample_id")
         long = filled.join(split.select("sample_id", "split"), "sample_id")

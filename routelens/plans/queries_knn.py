@@ -94,3 +94,11 @@ def q_route_knn_ood(spark, sf_dir):
     r = knn_routed(rd, model_price(spark))
     return r.select(F.col("k").cast("int").alias("neighbors"), "wtp", F.col("query_id").alias("sample_id"),
                     "chosen", "performance", "cost_pico")
+
+
+@query("q_wtp_sweep_sources")
+def q_wtp_sweep_sources(spark, sf_dir):
+    """kNN sweep with the source-group split (whole sources on one side)."""
+    rd = prepare(router_samples(spark, sf_dir), N_MODELS, split_by="source")
+    r = knn_results(rd, model_price(spark))
+    return r.select("eval_name", "neighbors", "wtp", r6("performance").alias("performance"), "total_cost_pico")
