@@ -272,3 +272,37 @@ def test_mlp_scores_per_group_path_equals_broadcast(spark):
     per = {r.sample_id: r.scores for r in mlp_scores(df, params, "sample_id", group="family",
                                                      max_broadcast_bytes=1).collect()}
     assert one.keys() == per.keys() and all(np.allclose(one[k], per[k]) for k in one)
+
+
+def test_best_point_all_zero_keeps_cheapest(spark):
+    from routelens.operators.results import best_point_per_variant
+    df = spark.createDataFrame([("e", 1, 1e-10, 0.0, 50), ("e", 1, 1.0, 0.0, 20), ("e", 1, 10.0, 0.0, 90),
+                                ("e", 2, 1e-10, 0.3, 50), ("e", 2, 1.0, 0.5, 70), ("e", 2, 10.0, 0.5, 20)],
+                               "eval_name string, v int, willingness_to_pay double, performance double, total_cost long")
+    r = {x.v: x for x in best_point_per_variant(df, ["v"]).collect()}
+    assert (r[1].performance, r[1].total_cost) == (0.0, 20)                # SD18: cheapest cost
+    assert (r[2].performance, r[2].total_cost, r[2].best_willingness_to_pay) == (0.5, 70, 1.0)  # first max by wtp
+
+
+def test_log_fold_rules(spark):
+    import json
+    from routelens.operators.logs import fold_events, parse_log_lines
+    recs = [
+        {"type": "sampling", "sample_id": "s", "data": {"prompt": "Q1 part\n", "sampled": ["r1"]}},
+        {"type": "sampling", "sample_id": "s", "data": {"prompt": "Q2\n", "sampled": ["r2"]}},
+        {"type": "match", "sample_id": "s", "data": {"correct": False}},
+        {"type": "metrics", "sample_id": "s", "data": {"score": 0.25, "choice": "A"}},
+        {"type": "sampling", "sample_id": "t", "data": {"prompt": [{"role": "system", "content": ""},
+                                                                   {"role": "user", "content": "hi"}],
+                                                        "sampled": ["x", "y", "z"]}},
+        {"type": "metrics", "sample_id": "t", "data": {"choice": "C"}},
+        {"type": "metrics", "sample_id": "u", "data": {"sacrebleu_sentence_score": 42.0}},
+    ]
+    lines = spark.createDataFrame([("f", i, json.dumps(r)) for i, r in enumerate(recs)], "file string, pos long, line string")
+    out = {r.sample_id: r for r in fold_events(parse_log_lines(lines)).collect()}
+    assert out["s"].prompt == ["Q1 part\nQ2"]          # completion strings joined, final newline dropped
+    assert out["s"].sampled == ["r1"]                 # more than one response: the last is dropped
+    assert out["s"].correct == 0.25                   # the last graded event wins
+    assert out["t"].prompt == ["hi"] and out["t"].sampled == ["x", "y"]
+    assert out["t"].correct == 0.5                    # choice C -> 1 - 2/4
+    assert out["u"].correct == 0.42
