@@ -672,3 +672,5 @@ KNN_SRC_CTE = KNN_CTE[:_i] + _SRC_SPLIT + KNN_CTE[_j + len("vec AS ("):]
 sql("q_wtp_sweep_sources", """
 SELECT eval_name, neighbors, wtp, round(performance, 6) AS performance, total_cost_pico FROM sweep
 """, KNN_SRC_CTE)
+
+ORACLE_SQL["q_convert_csv"] = ORACLE_SQL["q_convert_long"]

@@ -12,7 +12,7 @@ from routelens.operators.reshape import (complete_samples, dedupe_first, eval_fr
                                          model_list, to_wide, wide_to_long)
 from routelens.plans.registry import query
 from routelens.session import materialize, scratch_path
-from routelens.sources.fixtures import (eval_long, log_events, log_lines, model_price, prompt_lines,
+from routelens.sources.fixtures import (eval_long, list_literal, log_events, log_lines, model_price, prompt_lines,
                                         stringified_prompts)
 from routelens.sources.tables import read_table
 
@@ -183,3 +183,29 @@ def q_prompt_extract(spark, sf_dir):
 def q_list_parse(spark, sf_dir):
     p = stringified_prompts(spark, sf_dir).select("conv_id", parse_list_literal(F.col("prompt_text")).alias("p"))
     return p.select("conv_id", F.size("p").alias("n_prompts"), _md5_list("p").alias("prompt_md5"))
+
+
+LONG_CSV_SCHEMA = ("sample_id string, eval_name string, model_name string, performance double, "
+                   "prompt string, model_response string")
+
+
+@query("q_convert_csv")
+def q_convert_csv(spark, sf_dir):
+    """Long-table convertor from its CSV form: prompts and responses stored as printed lists are
+    parsed back (``parse_list_literal``), then priced per prompt and oracle-labelled."""
+    path = scratch_path(spark, "long-csv")
+    el = eval_long(spark, sf_dir)
+    el.select("sample_id", "eval_name", F.col("model").alias("model_name"), "performance",
+              list_literal(F.col("prompt")).alias("prompt"), list_literal(F.col("response")).alias("model_response")
+              ).write.option("header", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').schema(LONG_CSV_SCHEMA).csv(path)
+    models = raw.select(F.col("model_name").alias("model")).distinct().select(
+        "model", F.substring("model", 2, 10).cast("int").alias("model_idx"))
+    long = raw.select("sample_id", "eval_name", F.col("model_name").alias("model"), "performance",
+                      parse_list_literal(F.col("prompt")).alias("prompt"),
+                      parse_list_literal(F.col("model_response")).alias("response")).join(models, "model")
+    samples = long.groupBy("sample_id").agg(F.first("prompt").alias("prompt"), F.collect_list(
+        F.struct("model", "model_idx", "performance", "response")).alias("answers"))
+    lab = oracle_label(price_answers(samples, model_price(spark)), keys=("sample_id",))
+    return lab.select("sample_id", eval_from_sample_id("sample_id").alias("eval_name"), "oracle",
+                      "oracle_cost_pico")

@@ -232,3 +232,8 @@ def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                               F.struct(F.concat(F.col("text"), F.lit("\n")).alias("prompt")).alias("data")))
     return conv.select(F.lit("prompts.jsonl").alias("file"), (F.col("conv_id") * 100 + F.col("turn")).alias("pos"),
                        F.when(F.col("conv_id") % 2 == 0, chat).otherwise(comp).alias("line"))
+
+
+def list_literal(arr):
+    """Printed form of an ``array<string>`` column (``['a', "b's"]``), as stored in CSV long tables."""
+    return F.concat(F.lit("["), F.array_join(F.transform(arr, _py_repr), ", "), F.lit("]"))
