@@ -16,7 +16,7 @@ from routelens.constants import (CASCADE_ROUTER, KNN_NEIGHBORS, MLP_ACTIVATIONS,
                                  MLP_LEARNING_RATES, ORACLE, TRAIN_FRACTION, WTP_GRID)
 from routelens.operators.cascade import accept_thresholds, cascade_results, order_chains, simulate
 from routelens.operators.learned import fit_linear_abs, fit_mlp_grid, linear_scores, linear_weights_table, mlp_scores
-from routelens.operators.cost import response_length
+from routelens.functions.text import n_tokens_all
 from routelens.operators.knn import knn_topk, neighbor_scores
 from routelens.operators.oracle import fill_performance, oracle_label
 from routelens.operators.reshape import to_answers
@@ -27,7 +27,7 @@ from routelens.session import materialize
 
 @dataclass
 class RoutingData:
-    long: DataFrame        # filled long answers of prompts with an embedding (+ split)
+    long: DataFrame        # one row per answer (explode of samples.answers) with split and response_tokens
     samples: DataFrame     # one row per prompt: family, sample_id, eval_name, embedding, answers, perf, split
     n_models: int
 
@@ -42,32 +42,35 @@ def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRA
     ``split_by="source"``: whole source groups go to one side (no source on both sides).
     """
     filled = fill_performance(long_with_embedding)
-    # one aggregate per prompt builds the answers array and keeps the prompt's embedding
+    # one aggregate per prompt builds the answers array (with each answer's response length in
+    # tokens) and keeps the prompt's embedding and source
+    extra = [F.first("source").alias("source")] if "source" in filled.columns else []
     ans = filled.groupBy("family", "sample_id", "eval_name").agg(
-        F.array_sort(F.collect_list(F.struct("model_idx", "model", "performance", "cost_pico"))).alias("answers"),
-        F.first("embedding").alias("embedding"))
+        F.array_sort(F.collect_list(F.struct("model_idx", "model", "performance", "cost_pico",
+                                             n_tokens_all(F.col("response")).alias("response_tokens"))))
+        .alias("answers"),
+        F.first("embedding").alias("embedding"), *extra)
     perf = F.transform(F.sequence(F.lit(0), F.lit(n_models - 1)),
                        lambda i: F.element_at(F.filter(F.col("answers"), lambda a: a["model_idx"] == i), 1)["performance"])
     samples = ans.withColumn("perf", perf)
     if split_by == "source":
-        src = filled.groupBy("sample_id").agg(F.first("source").alias("source"))
-        split = split_by_source(samples.select("family", "sample_id").join(src, "sample_id"), fraction=fraction)
+        split = split_by_source(samples.select("family", "source", "sample_id"), fraction=fraction)
     else:
         split = split_samples(samples.select("family", "sample_id"), fraction=fraction)
     if ood_wanted is None:
         samples = samples.join(split.select("sample_id", "split"), "sample_id")
-        long = filled.join(split.select("sample_id", "split"), "sample_id")
     else:
         fam, side = F.col("family"), F.col("split")
         keep = split.where(((fam != ood_wanted) & (side == "train")) | ((fam == ood_wanted) & (side == "test")))
         keep = keep.select("sample_id", F.lit(ood_wanted).alias("family"), "split")
         samples = samples.drop("family").join(keep, "sample_id")
-        long = filled.drop("family").join(keep, "sample_id")
     if checkpoint:
-        # both tables feed several jobs (block sizing, kNN, prices, routing, baselines):
+        # the per-prompt table feeds several jobs (block sizing, kNN, prices, routing, baselines):
         # cut the lineage once with a table written in the shared folder
         samples = materialize(samples, "routing-samples")
-        long = materialize(long, "routing-long")
+    # the long view (one row per answer) is an explode of the per-prompt table, not another table
+    long = samples.select("family", "sample_id", "eval_name", "split", F.explode("answers").alias("_a")).select(
+        "family", "sample_id", "eval_name", "split", "_a.*")
     return RoutingData(long, samples, n_models)
 
 
@@ -86,7 +89,7 @@ def knn_scores(rd: RoutingData, ks: list[int] = KNN_NEIGHBORS, metric: str = "co
 def family_prices(rd: RoutingData, prices: DataFrame) -> DataFrame:
     """USD-per-token price score vector per family, mean response length over the train split."""
     tr = rd.long.where(F.col("split") == "train")
-    lengths = response_length(tr, by=("family", "model", "model_idx"))
+    lengths = tr.groupBy("family", "model", "model_idx").agg(F.avg("response_tokens").alias("avg_response_tokens"))
     return price_vectors(prices, lengths, rd.n_models, ["family"])
 
 
@@ -189,7 +192,7 @@ def cascade_split_results(rd: RoutingData, prices: DataFrame) -> DataFrame:
     """The cascade over the budget x judge-error grid on the test split of every family."""
     te = rd.long.where(F.col("split") == "test").withColumn("eval_name", F.col("family"))
     thr = accept_thresholds(te)
-    lengths = response_length(te, by=("eval_name", "model", "model_idx"))
+    lengths = te.groupBy("eval_name", "model", "model_idx").agg(F.avg("response_tokens").alias("avg_response_tokens"))
     price = price_vectors(prices, lengths, rd.n_models, ["eval_name"])
     res = cascade_results(simulate(order_chains(to_answers(te), price, thr)))
     return res.withColumn("router", F.lit(CASCADE_ROUTER))
