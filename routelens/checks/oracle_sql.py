@@ -674,3 +674,18 @@ SELECT eval_name, neighbors, wtp, round(performance, 6) AS performance, total_co
 """, KNN_SRC_CTE)
 
 ORACLE_SQL["q_convert_csv"] = ORACLE_SQL["q_convert_long"]
+
+AIQ_EMB_CTE = VR_CTE + ",\nvr_xy AS (SELECT eval_name, embedding, total_cost::DOUBLE AS x, performance AS y FROM vr " \
+    "WHERE router = 'knn')," + _hull_sql("vr_xy", ["eval_name", "embedding"], "nd") + """,
+qual AS (SELECT eval_name, embedding, count(*) AS n FROM (SELECT DISTINCT eval_name, embedding, total_cost, performance
+         FROM vr WHERE router = 'knn') GROUP BY eval_name, embedding),
+ar AS (SELECT eval_name, embedding, coalesce(sum((x - px) * (y + py) / 2.0::DOUBLE), 0.0::DOUBLE) AS area,
+              arg_max(x, x) AS last_x, arg_max(y, x) AS last_y
+       FROM nd GROUP BY eval_name, embedding),
+arq AS (SELECT ar.*, max(last_x) OVER (PARTITION BY eval_name) AS max_x
+        FROM ar JOIN qual USING (eval_name, embedding) WHERE qual.n >= 3)
+"""
+
+sql("q_aiq_embedding", """
+SELECT eval_name, embedding, round((area + (max_x - last_x) * last_y) / nullif(max_x, 0), 6) AS aiq FROM arq
+""", AIQ_EMB_CTE)

@@ -188,3 +188,11 @@ def q_plot_points(spark, sf_dir):
     """Plotting data of the ``en`` family: kNN variants by wtp and every model incl. the oracle."""
     p = plot_points(_vr(spark, sf_dir), _scores(spark, sf_dir), "en", ["router", "neighbors", "embedding"])
     return p.select("series", "x_value", r6("total_cost").alias("total_cost"), r6("performance").alias("performance"))
+
+
+@query("q_aiq_embedding")
+def q_aiq_embedding(spark, sf_dir):
+    """AIQ as the surveyed report computes it: per eval, the kNN rows of each embedding pooled into
+    one point set (all k and wtp), embeddings with more than two distinct points compared."""
+    a = aiq(_vr(spark, sf_dir).where(F.col("router") == "knn"), ["eval_name"], ["embedding"])
+    return a.select("eval_name", "embedding", r6("aiq").alias("aiq"))
