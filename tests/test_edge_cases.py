@@ -306,3 +306,15 @@ def test_log_fold_rules(spark):
     assert out["t"].prompt == ["hi"] and out["t"].sampled == ["x", "y"]
     assert out["t"].correct == 0.5                    # choice C -> 1 - 2/4
     assert out["u"].correct == 0.42
+
+
+def test_unknown_model_price_fails(spark):
+    from routelens.operators.cost import with_token_cost
+    from routelens.operators.routing import price_vectors
+    prices = spark.createDataFrame([("a", 1, 2, None)], "model string, prompt_pico long, completion_pico long, request_pico long")
+    lengths = spark.createDataFrame([("e", "b", 0, 3.0)], "family string, model string, model_idx int, avg_response_tokens double")
+    with pytest.raises(Exception):
+        price_vectors(prices, lengths, 1, ["family"]).collect()
+    long = spark.createDataFrame([("s", "b", ["p q"], ["r"])], "sample_id string, model string, prompt array<string>, response array<string>")
+    with pytest.raises(Exception):
+        with_token_cost(long, prices).collect()
