@@ -70,7 +70,8 @@ def _batches_by_group(batches, group):
 
 
 def _targets(pdf, target):
-    return np.array([[np.nan if v is None else v for v in row] for row in pdf[target]], dtype=np.float64)
+    """Per-row target vectors as one float matrix; missing grades (None) become NaN."""
+    return np.array(pdf[target].tolist(), dtype=np.float64)
 
 
 def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, rounds: int = 8,
