@@ -171,6 +171,18 @@ def analyse_job(spark: SparkSession, opts: AnalyseOptions) -> dict[str, str]:
         "aiq": aiq(points.where(F.col("router") == "knn"), ["eval_name"], ["embedding"]),
     }
     out["aiq_ranking"] = aiq_ranking(out["aiq"], ["embedding"])
+    # plot series: best variant of each router family (SVR not plotted) with its points by wtp,
+    # and the cascade at judge error rate 0.2 with its points by budget
+    best = best_variant(points.where(F.col("router") != "svm"), variant, ["router"]).select("eval_name", *variant)
+    series = points.join(best, ["eval_name"] + variant, "left_semi").select(
+        "eval_name", *variant, F.col("willingness_to_pay").alias("x_value"), "total_cost", "performance")
+    casc = res.where(F.col("max_cost_per_response").isNotNull() & (F.col("evaluator_error_rate") == 0.2)).select(
+        "eval_name", "router", F.lit(-1).alias("neighbors"), F.lit("").alias("hidden_layer_sizes"),
+        F.lit("").alias("embedding"), F.col("max_cost_per_response").alias("x_value"),
+        F.col("total_cost_pico").alias("total_cost"), "performance")
+    out["plot_series"] = series.unionByName(casc)
+    out["eval_names"] = res.select("eval_name").distinct()
+    out["router_names"] = routers.select(*variant).distinct()
     paths = {}
     for name, df in out.items():
         paths[name] = f"{opts.output_path}/{name}"
