@@ -30,19 +30,21 @@ def cache_misses(prompts: DataFrame, store: DataFrame, embedding_model: str, pro
 
 
 def hash_embed_weights(df: DataFrame, text_col: str, key: str, dim: int = HASH_DIM) -> DataFrame:
-    """Signed bucket counts of the hash embedder per key.
+    """Signed bucket counts of the hash embedder per key (every key, token-less texts included).
 
     Tokens: whitespace runs of lower(text); md5 hex h; bucket = int(h[1..4], 16) mod dim;
-    sign +1 if h[5] < '8' else -1.  The token explode stays inside one row, and the
-    (key, bucket) aggregate folds a text's tokens map-side into at most ``dim`` rows
-    before the shuffle; a second small aggregate assembles the dense vector.
+    sign +1 if h[5] < '8' else -1.  The token explode stays inside one row (``explode_outer``
+    keeps texts without tokens), and the (key, bucket) aggregate folds a text's tokens
+    map-side into at most ``dim`` rows before the shuffle; a second small aggregate
+    assembles the dense vector.
     """
-    tok = df.select(key, F.explode(split_tokens(F.lower(F.col(text_col)))).alias("_t"))
+    tok = df.select(key, F.explode_outer(split_tokens(F.lower(F.col(text_col)))).alias("_t"))
     h = F.md5(F.col("_t"))
     tok = tok.select(key, (F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % dim).alias("_b"),
                      F.when(F.substring(h, 5, 1) < "8", F.lit(1)).otherwise(F.lit(-1)).alias("_s"))
     per_bucket = tok.groupBy(key, "_b").agg(F.sum("_s").alias("_w"))
-    per_key = per_bucket.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_w"))).alias("_m"))
+    entries = F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_w")))
+    per_key = per_bucket.groupBy(key).agg(F.map_from_entries(entries).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                         lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0).cast("long")))
     return per_key.select(key, dense.alias("weights"))
@@ -57,15 +59,10 @@ def normalize(vec: F.Column) -> F.Column:
 
 
 def hash_embed(df: DataFrame, text_col: str, key: str, dim: int = HASH_DIM) -> DataFrame:
-    """``(key, embedding array<float>)`` with the deterministic hash embedder.
-
-    Texts without any token get the zero vector.
-    """
+    """``(key, embedding array<float>)`` with the deterministic hash embedder; texts without any
+    token get the zero vector.  ``key`` should be unique (e.g. the cache key)."""
     w = hash_embed_weights(df, text_col, key, dim)
-    allk = df.select(key)
-    zero = F.array_repeat(F.lit(0).cast("long"), dim)
-    j = allk.join(w, key, "left").select(key, F.coalesce(F.col("weights"), zero).alias("weights"))
-    return j.select(key, normalize(F.col("weights")).alias("embedding"))
+    return w.select(key, normalize(F.col("weights")).alias("embedding"))
 
 
 def encoder_embed(df: DataFrame, text_col: str, key: str, encoder_factory: Callable, dim: int) -> DataFrame:

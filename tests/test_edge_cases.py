@@ -318,3 +318,12 @@ def test_unknown_model_price_fails(spark):
     long = spark.createDataFrame([("s", "b", ["p q"], ["r"])], "sample_id string, model string, prompt array<string>, response array<string>")
     with pytest.raises(Exception):
         with_token_cost(long, prices).collect()
+
+
+def test_hash_embed_tokenless_text_is_zero(spark):
+    from routelens.operators.embed import hash_embed
+    df = spark.createDataFrame([("a", "Hello world"), ("b", "   "), ("c", "")], "k string, t string")
+    r = {x.k: x.embedding for x in hash_embed(df, "t", "k").collect()}
+    assert set(r) == {"a", "b", "c"}
+    assert all(v == 0.0 for v in r["b"]) and all(v == 0.0 for v in r["c"]) and len(r["b"]) == 32
+    assert abs(sum(v * v for v in r["a"]) - 1.0) < 1e-6
