@@ -33,7 +33,8 @@ class RoutingData:
 
 
 def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRAIN_FRACTION,
-            checkpoint: bool = True, ood_wanted: str | None = None, split_by: str = "sample") -> RoutingData:
+            checkpoint: bool = True, ood_wanted: str | list[str] | None = None,
+            split_by: str = "sample") -> RoutingData:
     """Per-prompt rows with the answers array, dense performance vector and split side.
 
     ``ood_wanted``: out-of-distribution routing for that family -- routers train on the train
@@ -60,9 +61,14 @@ def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRA
     if ood_wanted is None:
         samples = samples.join(split.select("sample_id", "split"), "sample_id")
     else:
+        # each wanted family W: train on the train part of every other family, test on W's test
+        # part.  A train prompt is labelled with every wanted family but its own (an explode over
+        # the short list of wanted families), so all of them are fitted in the same passes.
+        wanted = [ood_wanted] if isinstance(ood_wanted, str) else list(ood_wanted)
         fam, side = F.col("family"), F.col("split")
-        keep = split.where(((fam != ood_wanted) & (side == "train")) | ((fam == ood_wanted) & (side == "test")))
-        keep = keep.select("sample_id", F.lit(ood_wanted).alias("family"), "split")
+        targets = F.when(side == "train", F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: w != fam)) \
+            .otherwise(F.when(fam.isin(*wanted), F.array(fam)).otherwise(F.array().cast("array<string>")))
+        keep = split.select("sample_id", "split", F.explode(targets).alias("family"))
         samples = samples.drop("family").join(keep, "sample_id")
     if checkpoint:
         # the per-prompt table feeds several jobs (block sizing, kNN, prices, routing, baselines):

@@ -142,11 +142,9 @@ def evaluate_job(spark: SparkSession, opts: EvaluateOptions) -> str:
     n_models = long.agg(F.max("model_idx")).first()[0] + 1
     prices = read_prices_csv(spark, opts.prices_path)
     if opts.out_of_distribution and opts.wanted_evals:
-        res = None
-        for w in opts.wanted_evals:
-            rd = prepare(long, n_models, opts.fraction, ood_wanted=w)
-            part = evaluate_all(rd, prices, opts.neighbors, opts.mlp_epochs)
-            res = part if res is None else res.unionByName(part, allowMissingColumns=True)
+        # every wanted family at once: train prompts carry each other wanted family's label
+        rd = prepare(long, n_models, opts.fraction, ood_wanted=list(opts.wanted_evals))
+        res = evaluate_all(rd, prices, opts.neighbors, opts.mlp_epochs)
     else:
         res = evaluate_all(prepare(long, n_models, opts.fraction), prices, opts.neighbors, opts.mlp_epochs)
     res.write.mode("overwrite").parquet(opts.output_path)

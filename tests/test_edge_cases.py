@@ -327,3 +327,17 @@ def test_hash_embed_tokenless_text_is_zero(spark):
     assert set(r) == {"a", "b", "c"}
     assert all(v == 0.0 for v in r["b"]) and all(v == 0.0 for v in r["c"]) and len(r["b"]) == 32
     assert abs(sum(v * v for v in r["a"]) - 1.0) < 1e-6
+
+
+def test_ood_all_families_equals_one_at_a_time(spark):
+    from routelens.plans.evaluate import knn_routed, prepare
+    from routelens.sources.fixtures import model_price, router_samples
+    from tests.conftest import SF0001
+    rs = router_samples(spark, SF0001)
+    fams = sorted(r.family for r in rs.select("family").distinct().collect())[:2]
+    cols = ["family", "k", "wtp", "query_id", "chosen"]
+    both = knn_routed(prepare(rs, 5, ood_wanted=fams), model_price(spark), ks=[5]).select(*cols).collect()
+    one = []
+    for f in fams:
+        one += knn_routed(prepare(rs, 5, ood_wanted=f), model_price(spark), ks=[5]).select(*cols).collect()
+    assert len(both) > 0 and sorted(map(tuple, both)) == sorted(map(tuple, one))
