@@ -13,13 +13,11 @@ Plan (no cross join, no pair rows):
   (``WindowGroupLimit``), at most ``TB * k`` rows per query.
 
 A hot group (a third of all rows in one family) is spread over ``QB * TB``
-tasks instead of one.  Block counts derive from the measured row counts.
+tasks instead of one.  Block counts are set per group from its measured row counts.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,20 +97,35 @@ def knn_topk(queries: DataFrame, train: DataFrame, k: int, group_cols: list[str]
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
-    nq, nt = queries.count(), train.count()
-    qb = max(1, math.ceil(nq / block_rows))
-    tb = max(1, math.ceil(nt / block_rows))
-    # fresh aliases: queries and training rows usually share a lineage, and cogroup
-    # needs distinct attribute ids on its two sides
     queries = queries.where(F.col(vec).isNotNull())
     train = train.where(F.col(vec).isNotNull())
+    # fresh aliases: queries and training rows usually share a lineage, and cogroup
+    # needs distinct attribute ids on its two sides
     q = queries.select(*[F.col(c).alias(c) for c in group_cols], F.col(qid).alias("_qid"), F.col(vec).alias("vec"))
     t = train.select(*[F.col(c).alias(c) for c in group_cols], F.col(tid).alias("_tid"), F.col(vec).alias("vec"),
                      *([F.col(payload).alias(payload)] if payload else []))
-    q = q.select("*", F.pmod(F.xxhash64("_qid"), F.lit(qb)).alias("_qb"),
-                 F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tb - 1).cast("long"))).alias("_tb"))
-    t = t.select("*", F.pmod(F.xxhash64("_tid"), F.lit(tb)).alias("_tb"),
-                 F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))).alias("_qb"))
+    if group_cols:
+        # block counts per group from its own sizes (a tiny table, broadcast by AQE after it is
+        # measured): a hot group is spread over many cells, a small one stays in one
+        qn = queries.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_nq"))
+        tn = train.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_nt"))
+        sizes = qn.join(tn, group_cols).select(
+            *[F.col(c).alias(c) for c in group_cols],
+            F.greatest(F.lit(1), F.ceil(F.col("_nq") / F.lit(block_rows))).cast("long").alias("_qbn"),
+            F.greatest(F.lit(1), F.ceil(F.col("_nt") / F.lit(block_rows))).cast("long").alias("_tbn"))
+        q = q.join(sizes, group_cols)
+        t = t.join(sizes, group_cols)
+    else:
+        # one group: its two sizes are driver scalars (no join with a constant key)
+        nq, nt = queries.count(), train.count()
+        blocks = [F.lit(max(1, -(-nq // block_rows))).cast("long").alias("_qbn"),
+                  F.lit(max(1, -(-nt // block_rows))).cast("long").alias("_tbn")]
+        q, t = q.select("*", *blocks), t.select("*", *blocks)
+    q = q.select(*group_cols, "_qid", "vec", F.pmod(F.xxhash64("_qid"), F.col("_qbn")).alias("_qb"),
+                 F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tbn") - 1)).alias("_tb"))
+    t = t.select(*group_cols, "_tid", "vec", *([payload] if payload else []),
+                 F.pmod(F.xxhash64("_tid"), F.col("_tbn")).alias("_tb"),
+                 F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qbn") - 1)).alias("_qb"))
     keys = group_cols + ["_qb", "_tb"]
     fields = [queries.schema[c] for c in group_cols]
     fields += [T.StructField("_qid", queries.schema[qid].dataType), T.StructField("_tid", train.schema[tid].dataType),

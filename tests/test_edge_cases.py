@@ -341,3 +341,13 @@ def test_ood_all_families_equals_one_at_a_time(spark):
     for f in fams:
         one += knn_routed(prepare(rs, 5, ood_wanted=f), model_price(spark), ks=[5]).select(*cols).collect()
     assert len(both) > 0 and sorted(map(tuple, both)) == sorted(map(tuple, one))
+
+
+def test_knn_without_groups_plans_no_cartesian(spark):
+    q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [0.0, 1.0])], "sample_id string, embedding array<double>")
+    t = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [0.1, 1.0]), ("c", [1.0, 1.0])],
+                              "sample_id string, embedding array<double>")
+    r = knn_topk(q, t, 1, [])
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert {(x.query_id, x.neighbor_id) for x in r.collect()} == {("q1", "a"), ("q2", "b")}
