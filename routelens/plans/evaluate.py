@@ -204,12 +204,26 @@ def cascade_split_results(rd: RoutingData, prices: DataFrame) -> DataFrame:
     return res.withColumn("router", F.lit(CASCADE_ROUTER))
 
 
+ROUTER_FAMILIES = ("knn", "svm", "mlp", "cascading router")
+
+
 def evaluate_all(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBORS,
-                 mlp_epochs: int = MLP_EPOCHS) -> DataFrame:
-    """The evaluation job end to end: every router family's variants x wtp (or budget x error
-    rate for the cascade) and the LLM / oracle baselines in one long table."""
-    out = knn_results(rd, prices, ks)
-    for part in (svr_results(rd, prices), mlp_results(rd, prices, mlp_epochs), cascade_split_results(rd, prices),
-                 baseline_results(rd)):
-        out = out.unionByName(part, allowMissingColumns=True)
+                 mlp_epochs: int = MLP_EPOCHS, routers: tuple = ROUTER_FAMILIES) -> DataFrame:
+    """The evaluation job end to end: the chosen router families' variants x wtp (or budget x
+    error rate for the cascade) and the LLM / oracle baselines in one long table."""
+    unknown = set(routers) - set(ROUTER_FAMILIES)
+    if unknown:
+        raise ValueError(f"unknown router families {sorted(unknown)}")
+    parts = []
+    if "knn" in routers:
+        parts.append(knn_results(rd, prices, ks))
+    if "svm" in routers:
+        parts.append(svr_results(rd, prices))
+    if "mlp" in routers:
+        parts.append(mlp_results(rd, prices, mlp_epochs))
+    if "cascading router" in routers:
+        parts.append(cascade_split_results(rd, prices))
+    out = baseline_results(rd)
+    for part in parts:
+        out = part.unionByName(out, allowMissingColumns=True)
     return out

@@ -49,6 +49,7 @@ class EvaluateOptions:
     neighbors: list[int] = field(default_factory=lambda: list(KNN_NEIGHBORS))
     mlp_epochs: int = 60
     prices_path: str | None = None
+    routers: tuple = ("knn", "svm", "mlp", "cascading router")
 
 
 @dataclass
@@ -144,9 +145,10 @@ def evaluate_job(spark: SparkSession, opts: EvaluateOptions) -> str:
     if opts.out_of_distribution and opts.wanted_evals:
         # every wanted family at once: train prompts carry each other wanted family's label
         rd = prepare(long, n_models, opts.fraction, ood_wanted=list(opts.wanted_evals))
-        res = evaluate_all(rd, prices, opts.neighbors, opts.mlp_epochs)
+        res = evaluate_all(rd, prices, opts.neighbors, opts.mlp_epochs, tuple(opts.routers))
     else:
-        res = evaluate_all(prepare(long, n_models, opts.fraction), prices, opts.neighbors, opts.mlp_epochs)
+        res = evaluate_all(prepare(long, n_models, opts.fraction), prices, opts.neighbors, opts.mlp_epochs,
+                           tuple(opts.routers))
     res.write.mode("overwrite").parquet(opts.output_path)
     return opts.output_path
 

@@ -40,10 +40,11 @@ def test_convert_evaluate_analyse(spark):
     assert {"knn", "svm", "mlp", "cascading router", "oracle", "m0"} <= routers
     ood = evaluate_job(spark, EvaluateOptions(conv, f"{base}/store", f"{base}/results_ood",
                                               wanted_evals=sorted(set(langs)), out_of_distribution=True,
-                                              mlp_epochs=2, prices_path=f"{base}/prices.csv"))
+                                              prices_path=f"{base}/prices.csv", routers=("knn", "svm")))
     o = spark.read.parquet(ood)
     assert {x.eval_name for x in o.select("eval_name").distinct().collect()} == set(langs)
     assert o.where(F.col("router") == "knn").count() > 0
+    assert {x.router for x in o.select("router").distinct().collect()} & {"mlp", "cascading router"} == set()
     out = analyse_job(spark, AnalyseOptions(res, f"{base}/analysis"))
     for name, path in out.items():
         assert spark.read.parquet(path).count() > 0, name
