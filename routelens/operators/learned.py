@@ -162,11 +162,14 @@ def _mlp_forward(X, params, activation: str = "relu"):
 
 def fit_mlp_grid(train: DataFrame, n_models: int, dim: int, configs: list[tuple], epochs: int = 30,
                  alpha: float = 1e-4, seed: int = 1234, vec: str = "embedding", target: str = "perf",
-                 group: str | None = None) -> dict:
+                 group: str | None = None, tol: float = 1e-4, n_iter_no_change: int = 10) -> dict:
     """Feed-forward nets for every configuration ``(hidden sizes, activation, learning rate)``,
     group and model, trained together: ONE pass over the data per epoch computes the
-    gradients of all of them.  Full-batch Adam on 0.5 * mean squared error +
-    alpha / (2 n) * ||W||^2.  Returns ``{(config index, group): [per model [(W, b), ...]]}``."""
+    gradients and losses of all of them.  Full-batch Adam on 0.5 * mean squared error +
+    alpha / (2 n) * ||W||^2.  A net stops once its loss has not improved by ``tol`` for more
+    than ``n_iter_no_change`` epochs (the reference estimator's rule); the passes end when
+    every net has stopped or after ``epochs``.
+    Returns ``{(config index, group): [per model [(W, b), ...]]}``."""
     groups = [""] if group is None else sorted(str(r[0]) for r in train.select(group).distinct().collect())
     cols = [vec, target] + ([group] if group else [])
     spec = []
@@ -186,7 +189,12 @@ def fit_mlp_grid(train: DataFrame, n_models: int, dim: int, configs: list[tuple]
 
     theta = {(ci, g): init(spec[ci][0]) for ci in range(len(spec)) for g in groups}
     mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in theta.items()}
+    best = {k: np.full(n_models, np.inf) for k in theta}
+    stale = {k: np.zeros(n_models, dtype=int) for k in theta}
+    active = {k: np.ones(n_models, dtype=bool) for k in theta}
     for t in range(1, epochs + 1):
+        if not any(a.any() for a in active.values()):
+            break
         cur = {k: [_unflatten(th[m * spec[k[0]][1]:(m + 1) * spec[k[0]][1]], spec[k[0]][0]) for m in range(n_models)]
                for k, th in theta.items()}
 
@@ -197,7 +205,8 @@ def fit_mlp_grid(train: DataFrame, n_models: int, dim: int, configs: list[tuple]
                 Y = _targets(pdf, target)
                 for ci, (shapes, per, act, _lr) in enumerate(spec):
                     f, df = _ACT[act]
-                    grads = acc.setdefault(f"{ci}|{g}", np.zeros(n_models * per + n_models))
+                    # layout: gradients | row counts | sums of squared errors
+                    grads = acc.setdefault(f"{ci}|{g}", np.zeros(n_models * per + 2 * n_models))
                     for m, layers in enumerate(cur[(ci, g)]):
                         mask = ~np.isnan(Y[:, m])
                         if not mask.any():
@@ -215,6 +224,7 @@ def fit_mlp_grid(train: DataFrame, n_models: int, dim: int, configs: list[tuple]
                                 dZ = (dZ @ layers[i][0].T) * df(Zs[i - 1], Hs[i])
                         grads[m * per:(m + 1) * per] += np.concatenate(gl[::-1])
                         grads[n_models * per + m] += mask.sum()
+                        grads[n_models * per + n_models + m] += float(((Hs[-1][:, 0] - Y[mask, m]) ** 2).sum())
             yield _emit(acc)
 
         tot = _sum_vectors(train.select(*cols).mapInPandas(fold, PARTS_SCHEMA))
@@ -222,16 +232,23 @@ def fit_mlp_grid(train: DataFrame, n_models: int, dim: int, configs: list[tuple]
             ci, g = key.split("|", 1)
             k = (int(ci), g)
             shapes, per, _act, lr = spec[k[0]]
-            cnt = np.maximum(v[-n_models:], 1.0)
+            cnt = np.maximum(v[n_models * per:n_models * per + n_models], 1.0)
+            sse = v[n_models * per + n_models:]
             grad = np.concatenate([v[m * per:(m + 1) * per] / cnt[m] for m in range(n_models)])
             # L2 penalty on weights (not biases), scaled by the number of rows as in the reference objective
+            wsq = np.array([sum(float((W * W).sum()) for W, _ in layers) for layers in cur[k]])
             grad += np.concatenate([np.concatenate([np.concatenate([W.ravel(), np.zeros(b.shape)]) for W, b in layers])
                                     * alpha / cnt[m] for m, layers in enumerate(cur[k])])
+            loss = 0.5 * sse / cnt + 0.5 * alpha * wsq / cnt
+            stale[k] = np.where(loss > best[k] - tol, stale[k] + 1, 0)
+            best[k] = np.minimum(best[k], loss)
+            active[k] &= stale[k] <= n_iter_no_change
             m1, v1 = mom[k]
             m1 = 0.9 * m1 + 0.1 * grad
             v1 = 0.999 * v1 + 0.001 * grad * grad
             mom[k] = (m1, v1)
-            theta[k] = theta[k] - lr * (m1 / (1 - 0.9 ** t)) / (np.sqrt(v1 / (1 - 0.999 ** t)) + 1e-8)
+            step = lr * (m1 / (1 - 0.9 ** t)) / (np.sqrt(v1 / (1 - 0.999 ** t)) + 1e-8)
+            theta[k] = theta[k] - step * np.repeat(active[k].astype(np.float64), per)   # stopped nets stay put
     return {k: [_unflatten(th[m * spec[k[0]][1]:(m + 1) * spec[k[0]][1]], spec[k[0]][0]) for m in range(n_models)]
             for k, th in theta.items()}
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelens.constants import (CASCADE_ROUTER, KNN_NEIGHBORS, MLP_ACTIVATIONS, MLP_HIDDEN_LAYERS,
-                                 MLP_LEARNING_RATES, ORACLE, TRAIN_FRACTION, WTP_GRID)
+                                 MLP_LEARNING_RATES, MLP_MAX_ITER, ORACLE, TRAIN_FRACTION, WTP_GRID)
 from routelens.operators.cascade import accept_thresholds, cascade_results, order_chains, simulate
 from routelens.operators.learned import fit_linear_abs, fit_mlp_grid, linear_scores, linear_weights_table, mlp_scores
 from routelens.functions.text import n_tokens_all
@@ -139,7 +139,7 @@ def eval_results(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBO
 # Full-batch training takes one step per pass over the data; the configured rate (0.001) is tuned
 # for mini-batches of 200, so the full-batch fit uses a larger step and a fixed number of passes.
 MLP_FULL_BATCH_LR = 0.01
-MLP_EPOCHS = 60
+MLP_EPOCHS = MLP_MAX_ITER          # an upper bound: nets stop early by the reference's loss rule
 
 
 def _scored_results(rd: RoutingData, prices: DataFrame, scored: DataFrame, extra_cols=()) -> DataFrame:

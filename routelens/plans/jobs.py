@@ -47,7 +47,7 @@ class EvaluateOptions:
     fraction: float = TRAIN_FRACTION
     out_of_distribution: bool = False
     neighbors: list[int] = field(default_factory=lambda: list(KNN_NEIGHBORS))
-    mlp_epochs: int = 60
+    mlp_epochs: int = 200
     prices_path: str | None = None
     routers: tuple = ("knn", "svm", "mlp", "cascading router")
 

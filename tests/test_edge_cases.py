@@ -351,3 +351,15 @@ def test_knn_without_groups_plans_no_cartesian(spark):
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert {(x.query_id, x.neighbor_id) for x in r.collect()} == {("q1", "a"), ("q2", "b")}
+
+
+def test_mlp_early_stopping_freezes_converged_nets(spark):
+    import numpy as np
+    from routelens.operators.learned import fit_mlp_grid
+    rng = np.random.default_rng(3)
+    rows = [(rng.normal(size=2).tolist(), [0.5]) for _ in range(50)]     # constant target: converges fast
+    df = spark.createDataFrame(rows, "embedding array<double>, perf array<double>")
+    a = fit_mlp_grid(df, 1, 2, [((4,), "relu", 0.05)], epochs=80, tol=1e-2, n_iter_no_change=2)
+    b = fit_mlp_grid(df, 1, 2, [((4,), "relu", 0.05)], epochs=120, tol=1e-2, n_iter_no_change=2)
+    wa, wb = a[(0, "")][0], b[(0, "")][0]
+    assert all(np.array_equal(x[0], y[0]) and np.array_equal(x[1], y[1]) for x, y in zip(wa, wb))
