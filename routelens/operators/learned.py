@@ -74,14 +74,18 @@ def _targets(pdf, target):
     return np.array(pdf[target].tolist(), dtype=np.float64)
 
 
-def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, rounds: int = 8,
+def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, rounds: int = 20,
                    delta: float = 1e-4, vec: str = "embedding", target: str = "perf",
-                   group: str | None = None) -> dict:
+                   group: str | None = None, tol: float = 1e-4) -> dict:
     """Per group (e.g. eval family; ``""`` when ungrouped): weights ``(n_models, dim + 1)``,
-    last column = intercept.  One pass per round serves every group and model."""
+    last column = intercept, minimising 0.5 ||w||^2 + c * sum |y - Xw|.  One pass per round
+    serves every group and model: it folds the reweighted normal equations and the objective
+    of the current weights; rounds stop when every objective changes by less than ``tol``
+    (relative) or after ``rounds``."""
     p = dim + 1
-    size = n_models * (p * p + p)
+    size = n_models * (p * p + p) + n_models
     W: dict = {}
+    last_obj: dict = {}
     cols = [vec, target] + ([group] if group else [])
     for _ in range(rounds):
         Wb = dict(W)
@@ -94,7 +98,12 @@ def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, ro
                 Y = _targets(pdf, target)
                 mask = ~np.isnan(Y)
                 Y0 = np.where(mask, Y, 0.0)
-                R = mask.astype(np.float64) if g not in Wb else mask / np.maximum(np.abs(Y0 - X @ Wb[g].T), delta)
+                if g in Wb:
+                    E = np.abs(Y0 - X @ Wb[g].T) * mask
+                    R = mask / np.maximum(E, delta)
+                    G[n_models * (p * p + p):] += E.sum(axis=0)          # sum |residual| per model
+                else:
+                    R = mask.astype(np.float64)
                 for m in range(n_models):
                     Xr = X * R[:, m:m + 1]
                     G[m * p * p:(m + 1) * p * p] += (Xr.T @ X).ravel()
@@ -103,10 +112,20 @@ def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, ro
             yield _emit(acc)
 
         tot = _sum_vectors(train.select(*cols).mapInPandas(fold, PARTS_SCHEMA))
+        converged = bool(Wb)
         for g, v in tot.items():
+            if g in Wb:   # objective of the weights this pass was folded with
+                obj = 0.5 * (Wb[g] ** 2).sum(axis=1) + c * v[n_models * (p * p + p):]
+                if g in last_obj:
+                    converged &= bool(np.all(np.abs(last_obj[g] - obj) <= tol * np.maximum(np.abs(obj), 1e-12)))
+                else:
+                    converged = False
+                last_obj[g] = obj
             G = v[: n_models * p * p].reshape(n_models, p, p)
-            b = v[n_models * p * p:].reshape(n_models, p)
+            b = v[n_models * p * p:n_models * (p * p + p)].reshape(n_models, p)
             W[g] = np.stack([np.linalg.solve(c * G[m] + np.eye(p), c * b[m]) for m in range(n_models)])
+        if converged:
+            break
     return W
 
 
