@@ -22,6 +22,7 @@ from routelens.operators.oracle import oracle_label
 from routelens.operators.reshape import complete_samples, dedupe_first
 from routelens.operators.results import best_variant
 from routelens.plans.evaluate import evaluate_all, prepare
+from routelens.sources.results_io import to_reference_layout
 from routelens.sources.tables import read_prices_csv
 
 LONG_COLUMNS = ["sample_id", "eval_name", "model_name", "prompt", "model_response", "performance"]
@@ -50,6 +51,7 @@ class EvaluateOptions:
     mlp_epochs: int = 200
     prices_path: str | None = None
     routers: tuple = ("knn", "svm", "mlp", "cascading router")
+    csv_path: str | None = None              # also write the results in the surveyed CSV layout
 
 
 @dataclass
@@ -150,6 +152,10 @@ def evaluate_job(spark: SparkSession, opts: EvaluateOptions) -> str:
         res = evaluate_all(prepare(long, n_models, opts.fraction), prices, opts.neighbors, opts.mlp_epochs,
                            tuple(opts.routers))
     res.write.mode("overwrite").parquet(opts.output_path)
+    if opts.csv_path:
+        # the same results in the surveyed tool's CSV layout (USD costs, parameter columns)
+        to_reference_layout(spark.read.parquet(opts.output_path)).write.mode("overwrite") \
+            .option("header", True).csv(opts.csv_path)
     return opts.output_path
 
 

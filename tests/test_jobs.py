@@ -34,10 +34,12 @@ def test_convert_evaluate_analyse(spark):
     langs = sorted(r.eval_name.split("-")[0] for r in c.select("eval_name").distinct().collect())
     res = evaluate_job(spark, EvaluateOptions(conv, f"{base}/store", f"{base}/results",
                                               wanted_evals=sorted(set(langs)), mlp_epochs=3,
-                                              prices_path=f"{base}/prices.csv"))
+                                              prices_path=f"{base}/prices.csv", csv_path=f"{base}/results_csv"))
     r = spark.read.parquet(res)
     routers = {x.router for x in r.select("router").distinct().collect()}
     assert {"knn", "svm", "mlp", "cascading router", "oracle", "m0"} <= routers
+    csv = spark.read.option("header", True).csv(f"{base}/results_csv")
+    assert csv.count() == r.count() and {"model_name", "total_cost", "willingness_to_pay"} <= set(csv.columns)
     ood = evaluate_job(spark, EvaluateOptions(conv, f"{base}/store", f"{base}/results_ood",
                                               wanted_evals=sorted(set(langs)), out_of_distribution=True,
                                               prices_path=f"{base}/prices.csv", routers=("knn", "svm")))
