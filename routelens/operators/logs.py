@@ -68,16 +68,17 @@ def attach_header(parsed: DataFrame, min_records: int = 3) -> DataFrame:
     return parsed.join(per_file, "file", "inner")
 
 
-def fold_events(events: DataFrame) -> DataFrame:
+def fold_events(events: DataFrame, extra_keys: tuple = ()) -> DataFrame:
     """Per (file, sample): prompts and responses of sampling events in position order, the
     first ``created_at``, and the last grade (match / metrics) by position.
 
     Completion-style prompts (strings) are joined and lose their final character;
-    responses drop the final one when there are several.
+    responses drop the final one when there are several.  ``extra_keys``: columns fixed per
+    file (e.g. the header's model and eval) carried through the same aggregate.
     """
     has_p = F.col("prompt").isNotNull()
     has_s = F.col("sampled").isNotNull()
-    g = events.groupBy("file", "sample_id").agg(
+    g = events.groupBy("file", "sample_id", *extra_keys).agg(
         F.array_sort(F.collect_list(F.when(has_p, F.struct("pos", "prompt")))).alias("_p"),
         F.array_sort(F.collect_list(F.when(has_s, F.struct("pos", "sampled")))).alias("_s"),
         F.max_by(F.col("correct"), F.when(F.col("correct").isNotNull(), F.col("pos"))).alias("correct"),
@@ -87,7 +88,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     prompts = F.flatten(F.transform(F.col("_p"), lambda x: x["prompt"]))
     sampled = F.flatten(F.transform(F.col("_s"), lambda x: x["sampled"]))
     return g.select(
-        "file", "sample_id", "created_at",
+        "file", "sample_id", *extra_keys, "created_at",
         F.when(F.col("_completion"), completion_prompt(prompts)).otherwise(prompts).alias("prompt"),
         drop_last_response(sampled).alias("sampled"),
         "correct",

@@ -73,8 +73,7 @@ def read_long(spark: SparkSession, opts: ConvertOptions) -> DataFrame:
     """Long answers ``(sample_id, eval_name, model, prompt, response, performance)``."""
     if opts.input_format == "runlogs":
         ev = attach_header(parse_log_lines(scan_run_logs(spark, opts.input_path))).where(F.col("run_id").isNotNull())
-        hdr = ev.select("file", "model", "eval_name").distinct()
-        f = fold_events(ev).join(hdr, "file").where(F.col("correct").isNotNull())
+        f = fold_events(ev, extra_keys=("model", "eval_name")).where(F.col("correct").isNotNull())
         f = f.select("file", "sample_id", "eval_name", "model", "prompt", F.col("sampled").alias("response"),
                      F.col("correct").alias("performance"))
         f = dedupe_first(f, ["sample_id", "model", "prompt"], ["file"]).drop("file")

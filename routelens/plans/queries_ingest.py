@@ -142,8 +142,7 @@ def converted_logs(spark, sf_dir):
     """Run-log convertor: parse -> header -> fold -> graded only -> dedupe -> complete -> price -> oracle."""
     lines = _lines(spark, sf_dir).where(_keep_path("file"))
     ev = attach_header(parse_log_lines(lines)).where(F.col("run_id").isNotNull())
-    hdr = ev.select("file", "model", "eval_name").distinct()
-    folded = fold_events(ev).join(hdr, "file").where(F.col("correct").isNotNull())
+    folded = fold_events(ev, extra_keys=("model", "eval_name")).where(F.col("correct").isNotNull())
     folded = folded.select("file", "sample_id", "eval_name", "model", "prompt",
                            F.col("sampled").alias("response"), F.col("correct").alias("performance"))
     d = dedupe_first(folded, ["sample_id", "model", "prompt"], ["file"])

@@ -28,8 +28,7 @@ def fold_batch(raw: DataFrame) -> DataFrame:
     """Line rows ``(file, _blk, value)`` of one micro-batch -> folded answers with the file's
     model and eval."""
     ev = attach_header(parse_log_lines(_lines_of(raw))).where(F.col("run_id").isNotNull())
-    hdr = ev.select("file", "model", "eval_name").distinct()
-    return fold_events(ev).join(hdr, "file")
+    return fold_events(ev, extra_keys=("model", "eval_name"))
 
 
 def start_runlog_ingest(spark: SparkSession, source_dir: str, target_dir: str, checkpoint_dir: str,
