@@ -44,14 +44,33 @@ def rows_of(cols, rows):
     return [tuple(_norm(r[i]) for i in order) for r in rows], [cols[i] for i in order]
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_mismatches(sdf, con, sql):
+    """Columns whose Spark type and DuckDB type differ (by name)."""
+    d_types = {c: str(t) for c, t in zip(con.sql(sql).columns, con.sql(sql).types)}
+    out = []
+    for c, t in sdf.dtypes:
+        want = SPARK_TO_DUCK.get(t, t.upper())
+        got = d_types.get(c)
+        if got is not None and got != want and not (t.startswith("array") and got.endswith("[]")):
+            out.append(f"{c}: spark {t} duck {got}")
+    return out
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     sdf = fn(spark, sf_dir)
     s_cols = sdf.columns
+    types = type_mismatches(sdf, con, sql)
     s_rows, s_names = rows_of(s_cols, sdf.collect())
     rel = con.execute(sql)
     d_cols = [d[0] for d in rel.description]
     d_rows, d_names = rows_of(d_cols, rel.fetchall())
     problems = []
+    if types:
+        problems.append("types differ: " + "; ".join(types))
     if s_names != d_names:
         problems.append(f"columns differ: spark={s_names} duck={d_names}")
     if len(s_rows) != len(d_rows):

@@ -181,7 +181,7 @@ s AS (SELECT conv_id, CASE WHEN len(d) = 1 THEN d
                                 OR contains(x, '<|The Start of Assistant ')
                                 OR contains(x, chr(10) || '************' || chr(10) || '[END DATA]'))) END AS sel
       FROM d)
-SELECT conv_id, len(sel) AS n_selected, md5(array_to_string(sel, chr(1))) AS selected_md5 FROM s
+SELECT conv_id, len(sel)::INTEGER AS n_selected, md5(array_to_string(sel, chr(1))) AS selected_md5 FROM s
 """
 
 LOG_FOLD = """
@@ -198,8 +198,8 @@ folded AS (
 """
 
 ORACLE_SQL["q_log_fold"] = "WITH " + LOG_FOLD.strip() + """
-SELECT file, sample_id, len(prompts) AS n_prompts, md5(array_to_string(prompts, chr(1))) AS prompt_md5,
-       len(sampled) AS n_sampled, md5(array_to_string(sampled, chr(1))) AS sampled_md5, correct
+SELECT file, sample_id, len(prompts)::INTEGER AS n_prompts, md5(array_to_string(prompts, chr(1))) AS prompt_md5,
+       len(sampled)::INTEGER AS n_sampled, md5(array_to_string(sampled, chr(1))) AS sampled_md5, correct
 FROM folded
 """
 
@@ -601,7 +601,7 @@ SELECT eval_name, model, round(performance, 6) AS performance, total_cost AS tot
 """, VR_CTE)
 
 ORACLE_SQL["q_log_scan"] = "WITH " + LOG_FOLD.strip() + """
-SELECT file, sample_id, len(prompts) AS n_prompts, len(sampled) AS n_sampled,
+SELECT file, sample_id, len(prompts)::INTEGER AS n_prompts, len(sampled)::INTEGER AS n_sampled,
        CASE WHEN correct IS NULL THEN NULL WHEN correct = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS correct
 FROM folded
 WHERE conv_id % 7 <> 3 AND conv_id IN (SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant'))
@@ -610,12 +610,12 @@ WHERE conv_id % 7 <> 3 AND conv_id IN (SELECT conv_id FROM conversations WHERE r
 ORACLE_SQL["q_prompt_extract"] = """
 WITH u AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id),
 p AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN t ELSE [array_to_string(t, chr(10))] END AS prompt FROM u)
-SELECT conv_id::VARCHAR AS sample_id, len(prompt) AS n_prompts, md5(array_to_string(prompt, chr(1))) AS prompt_md5
+SELECT conv_id::VARCHAR AS sample_id, len(prompt)::INTEGER AS n_prompts, md5(array_to_string(prompt, chr(1))) AS prompt_md5
 FROM p
 """
 
 ORACLE_SQL["q_list_parse"] = """
-SELECT conv_id, len(t) AS n_prompts, md5(array_to_string(t, chr(1))) AS prompt_md5
+SELECT conv_id, len(t)::INTEGER AS n_prompts, md5(array_to_string(t, chr(1))) AS prompt_md5
 FROM (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)
 """
 
