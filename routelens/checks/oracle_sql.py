@@ -689,3 +689,18 @@ arq AS (SELECT ar.*, max(last_x) OVER (PARTITION BY eval_name) AS max_x
 sql("q_aiq_embedding", """
 SELECT eval_name, embedding, round((area + (max_x - last_x) * last_y) / nullif(max_x, 0), 6) AS aiq FROM arq
 """, AIQ_EMB_CTE)
+
+
+def _variant_wide_sql():
+    from routelens.sources.fixtures import fixture_variant_names
+    exprs = []
+    for n in fixture_variant_names():
+        for m in ("performance", "total_cost"):
+            exprs.append(f"round(avg({m}::DOUBLE) FILTER (WHERE vname = '{n}'), 6) AS \"{n}|{m}\"")
+    return "SELECT eval_name, " + ",\n  ".join(exprs) + """
+FROM (SELECT *, router || '|neighbors:' || neighbors::VARCHAR || '|metric:' || metric || '|embedding:' || embedding
+                || '|willingness_to_pay:' || wtp_text AS vname FROM vr)
+GROUP BY eval_name"""
+
+
+sql("q_results_wide_variants", _variant_wide_sql(), VR_CTE)

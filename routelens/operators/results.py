@@ -87,3 +87,15 @@ def plot_points(router_results: DataFrame, llm_results: DataFrame, prefix: str |
     m = m.select(F.col("model").alias("series"), F.lit(None).cast("double").alias("x_value"), "total_cost",
                  "performance")
     return r.unionByName(m)
+
+
+def results_wide_by_variant(results: DataFrame, name: F.Column, names: list[str]) -> DataFrame:
+    """One row per eval with a column per ``<variant name>|<measure>`` (measures: performance,
+    total_cost), the mean over rows: the two measures are melted with a generator and pivoted
+    on the explicit name list (no extra job to discover the names)."""
+    melted = results.select("eval_name", name.alias("_name"), F.inline(F.array(
+        F.struct(F.lit("performance").alias("_measure"), F.col("performance").cast("double").alias("_value")),
+        F.struct(F.lit("total_cost").alias("_measure"), F.col("total_cost").cast("double").alias("_value")))))
+    melted = melted.select("eval_name", F.concat_ws("|", "_name", "_measure").alias("_col"), "_value")
+    cols = [f"{n}|{m}" for n in names for m in ("performance", "total_cost")]
+    return melted.groupBy("eval_name").pivot("_col", cols).agg(F.avg("_value"))

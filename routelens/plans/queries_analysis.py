@@ -8,12 +8,12 @@ from routelens.constants import WTP_GRID, WTP_TEXT
 from routelens.functions.variants import parse_params_tolerant, parse_variant, variant_name
 from routelens.operators.frontier import aiq, aiq_ranking, ndch
 from routelens.operators.results import (best_variant, display_names, macro_mean, mark_baselines, plot_points,
-                                         results_wide, union_results, with_display_name)
+                                         results_wide, results_wide_by_variant, union_results, with_display_name)
 from routelens.operators.scores import eval_scores
 from routelens.plans.registry import query
 from routelens.session import scratch_path
 from routelens.sources.results_io import load_results, save_results
-from routelens.sources.fixtures import eval_long, variant_results
+from routelens.sources.fixtures import eval_long, fixture_variant_names, variant_results
 
 MODELS = [f"m{i}" for i in range(5)]
 
@@ -196,3 +196,11 @@ def q_aiq_embedding(spark, sf_dir):
     one point set (all k and wtp), embeddings with more than two distinct points compared."""
     a = aiq(_vr(spark, sf_dir).where(F.col("router") == "knn"), ["eval_name"], ["embedding"])
     return a.select("eval_name", "embedding", r6("aiq").alias("aiq"))
+
+
+@query("q_results_wide_variants")
+def q_results_wide_variants(spark, sf_dir):
+    names = fixture_variant_names()
+    w = results_wide_by_variant(_vr(spark, sf_dir), _name(with_wtp=True), names)
+    cols = [f"{n}|{m}" for n in names for m in ("performance", "total_cost")]
+    return w.select("eval_name", *[r6(F.col(f"`{c}`")).alias(c) for c in cols])

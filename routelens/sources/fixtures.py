@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelens.constants import WTP_GRID
+from routelens.constants import WTP_GRID, WTP_TEXT
 from routelens.functions.hashing import uniform01
 from routelens.functions.text import n_tokens
 from routelens.sources.tables import read_table
@@ -237,3 +237,9 @@ def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_literal(arr):
     """Printed form of an ``array<string>`` column (``['a', "b's"]``), as stored in CSV long tables."""
     return F.concat(F.lit("["), F.array_join(F.transform(arr, _py_repr), ", "), F.lit("]"))
+
+
+def fixture_variant_names() -> list[str]:
+    """Every variant name of ``variant_results`` (its grid: v = 0..4, all 32 wtp points)."""
+    return [f"knn|neighbors:{5 * v + 5}|metric:cosine|embedding:e{v % 2}|willingness_to_pay:{t}"
+            for v in range(5) for t in WTP_TEXT]
