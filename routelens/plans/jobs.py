@@ -136,8 +136,12 @@ def evaluate_job(spark: SparkSession, opts: EvaluateOptions) -> str:
     """Split, fit and route every router family over the wtp grid, run the cascade and write
     the long results table with the LLM and oracle baselines."""
     long = spark.read.parquet(opts.data_path)
+    # look every prompt up in the store; misses are embedded once and appended (as the cache does)
+    texts = long.select(_prompt_text(F.col("prompt")).alias("prompt")).distinct()
+    embed_with_cache(texts, spark.read.parquet(opts.store_path), opts.embedding_model,
+                     lambda m: hash_embed(m, "prompt", "hash"), append_to=opts.store_path)
     store = (spark.read.parquet(opts.store_path).where(F.col("embedding_model") == opts.embedding_model)
-             .select("hash", "embedding"))
+             .select("hash", "embedding").dropDuplicates(["hash"]))
     long = long.withColumn("hash", cache_key(_prompt_text(F.col("prompt")), F.lit(opts.embedding_model)))
     long = long.join(store, "hash").withColumn("family", _family(F.col("eval_name"), opts.wanted_evals))
     long = long.where(F.col("family").isNotNull())
