@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from routelens.operators.cascade import accept_thresholds, cascade_results, order_chains, simulate
-from routelens.operators.cost import response_length
+from routelens.functions.text import n_tokens_all
 from routelens.operators.oracle import fill_performance
 from routelens.operators.reshape import drop_null_rows, to_answers
 from routelens.operators.routing import price_vectors
@@ -23,9 +23,9 @@ def cascade_run(spark, sf_dir):
     # five passes read these answers (threshold bracket, counts, band, lengths, chains): write the
     # needed columns once in the shared folder instead of re-deriving them per pass
     el = materialize(el.select("eval_name", "sample_id", "model", "model_idx", "performance", "cost_pico",
-                               "response"), "cascade-answers")
+                               n_tokens_all(F.col("response")).alias("response_tokens")), "cascade-answers")
     thr = accept_thresholds(el)
-    lengths = response_length(el, by=("eval_name", "model", "model_idx"))
+    lengths = el.groupBy("eval_name", "model", "model_idx").agg(F.avg("response_tokens").alias("avg_response_tokens"))
     price = price_vectors(model_price(spark), lengths, N_MODELS, ["eval_name"])
     chains = order_chains(to_answers(el), price, thr)
     return cascade_results(simulate(chains))
