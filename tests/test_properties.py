@@ -69,3 +69,15 @@ def test_cascade_extremes(spark):
         first_ok = next((i for i, p in enumerate(perfs) if p >= 0.5), len(perfs) - 1)
         assert r.last_performance == perfs[first_ok]            # first acceptable model, else the last
         assert r.spent_pico == sum(a.cost_pico for a in sorted(r.answers, key=lambda a: a.model_idx)[:first_ok + 1])
+
+
+def test_split_is_complete_disjoint_and_exact(spark):
+    import math
+    from routelens.operators.split import split_by_source, split_samples
+    s = eval_long(spark, SF0001).select("family", "source", "sample_id").distinct()
+    for sp in (split_samples(s), split_by_source(s)):
+        assert sp.count() == s.count() == sp.select("sample_id").distinct().count()   # each prompt once
+    sizes = {r.family: r.n for r in s.groupBy("family").agg(F.count("*").alias("n")).collect()}
+    train = {r.family: r.n for r in split_samples(s).where("split = 'train'").groupBy("family")
+             .agg(F.count("*").alias("n")).collect()}
+    assert all(train.get(f, 0) == math.floor(n * 0.7) for f, n in sizes.items())
