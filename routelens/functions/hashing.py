@@ -16,11 +16,6 @@ def uniform01(*parts: Column | str) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long").cast("double") / F.lit(4294967296.0)
 
 
-def order_key(seed: str, *parts: Column | str) -> Column:
-    """Seeded pseudo-random sort key md5(seed | parts) (hex string)."""
-    return F.md5(F.concat_ws("|", F.lit(seed), *[_s(p) for p in parts]))
-
-
 def cache_key(prompt: Column | str, embedding_model: Column | str) -> Column:
     """SHA-256 hex of prompt || model name: the embedding-cache key."""
     return F.sha2(F.concat(_s(prompt), _s(embedding_model)), 256)

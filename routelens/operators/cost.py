@@ -32,20 +32,6 @@ def response_length(long_df: DataFrame, response_col: str = "response", by: tupl
     return long_df.groupBy(*by).agg(F.avg(n_tokens_all(F.col(response_col))).alias("avg_response_tokens"))
 
 
-def price_score(prices: DataFrame, lengths: DataFrame, by: tuple = ("model",)) -> DataFrame:
-    """pico-USD per token used to rank models: completion + prompt + request / mean length.
-
-    ``lengths`` carries ``avg_response_tokens`` per model (and optional group
-    keys in ``by``); a zero mean length spreads the fee over nothing -> NULL fee.
-    """
-    j = lengths.join(prices, "model", "left")
-    fee = F.try_divide(F.coalesce(F.col("request_pico"), F.lit(0)).cast("double"), F.col("avg_response_tokens"))
-    ps = (F.col("completion_pico").cast("double") + F.col("prompt_pico").cast("double") + F.coalesce(fee, F.lit(0.0)))
-    ps = F.when(F.col("prompt_pico").isNull(),
-                F.raise_error(F.concat(F.lit("no price for model "), F.col("model"))).cast("double")).otherwise(ps)
-    return j.select(*by, ps.alias("price_score_pico"))
-
-
 def price_answers(samples: DataFrame, prices: DataFrame, keys: tuple = ("sample_id",), prompt_col: str = "prompt",
                   answers_col: str = "answers", out_col: str = "cost_pico") -> DataFrame:
     """Price per-prompt rows (``prompt`` + ``answers`` array of structs with ``model`` and
