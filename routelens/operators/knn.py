@@ -55,6 +55,7 @@ def _block_fn(k: int, metric: str, qid: str, tid: str, payload: str | None, grou
                 S = -np.sqrt(np.maximum(d2, 0.0))
             else:
                 S = -np.abs(Qc[:, None, :] - Tm[None, :, :]).sum(axis=2)
+            S = np.nan_to_num(S, nan=-1e6, neginf=-1e6, posinf=1e6)   # NaN inputs rank as far away
             Si = np.rint(S * 1e9).astype(np.int64)          # similarity rounded to 1e-9
             if np.abs(Si).max(initial=0) < (1 << 41) and len(tids) < (1 << 21):
                 key = (-Si) * (1 << 21) + t_rank[None, :]      # order: sim desc, training id asc

@@ -363,3 +363,11 @@ def test_mlp_early_stopping_freezes_converged_nets(spark):
     b = fit_mlp_grid(df, 1, 2, [((4,), "relu", 0.05)], epochs=120, tol=1e-2, n_iter_no_change=2)
     wa, wb = a[(0, "")][0], b[(0, "")][0]
     assert all(np.array_equal(x[0], y[0]) and np.array_equal(x[1], y[1]) for x, y in zip(wa, wb))
+
+
+def test_knn_nan_embedding_ranks_last(spark):
+    q = spark.createDataFrame([("g", "q", [0.0, 0.0])], "g string, sample_id string, embedding array<double>")
+    t = spark.createDataFrame([("g", "a", [float("nan"), 0.0]), ("g", "b", [1.0, 1.0]), ("g", "c", [3.0, 3.0])],
+                              "g string, sample_id string, embedding array<double>")
+    r = sorted((x.rank, x.neighbor_id) for x in knn_topk(q, t, 3, ["g"], metric="euclidean").collect())
+    assert [n for _, n in r] == ["b", "c", "a"]
