@@ -49,7 +49,7 @@ def _block_fn(k: int, metric: str, qid: str, tid: str, payload: str | None, grou
                 qn = np.sqrt((Qc * Qc).sum(axis=1))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     S = (Qc @ Tm.T) / (qn[:, None] * tn[None, :])
-                S = np.nan_to_num(S, nan=0.0)
+                S[(qn[:, None] == 0) | (tn[None, :] == 0)] = 0.0     # a zero vector has similarity 0
             elif metric == "euclidean":
                 d2 = (Qc * Qc).sum(1)[:, None] + (Tm * Tm).sum(1)[None, :] - 2.0 * (Qc @ Tm.T)
                 S = -np.sqrt(np.maximum(d2, 0.0))

@@ -371,3 +371,12 @@ def test_knn_nan_embedding_ranks_last(spark):
                               "g string, sample_id string, embedding array<double>")
     r = sorted((x.rank, x.neighbor_id) for x in knn_topk(q, t, 3, ["g"], metric="euclidean").collect())
     assert [n for _, n in r] == ["b", "c", "a"]
+
+
+def test_knn_cosine_zero_vector_and_nan(spark):
+    q = spark.createDataFrame([("g", "q", [1.0, 0.0])], "g string, sample_id string, embedding array<double>")
+    t = spark.createDataFrame([("g", "nan", [float("nan"), 1.0]), ("g", "neg", [-1.0, 0.0]),
+                               ("g", "zero", [0.0, 0.0]), ("g", "pos", [1.0, 0.1])],
+                              "g string, sample_id string, embedding array<double>")
+    r = sorted((x.rank, x.neighbor_id) for x in knn_topk(q, t, 4, ["g"]).collect())
+    assert [n for _, n in r] == ["pos", "zero", "neg", "nan"]
