@@ -11,15 +11,18 @@ from routelens.constants import NO_MODEL_CORRECT, ORACLE
 def oracle_label(long_df: DataFrame, keys: tuple = ("sample_id", "eval_name")) -> DataFrame:
     """Per prompt: the model with the top performance, cheapest on ties, then lowest index.
 
-    A single hash aggregate with map-side partial aggregation: ``min`` over
-    ``struct(-performance, cost, model_idx, model)`` is the arg-max of
-    performance with the two tie-breaks, and ``max`` decides whether any
+    A single aggregate with map-side partial aggregation (sort-based, since the
+    buffer is a struct; spill-safe): ``min`` over
+    ``struct(-performance, cost unknown?, cost, model_idx, model)`` is the arg-max of
+    performance with the tie-breaks (cheaper, then lower index; unknown cost last), and ``max`` decides whether any
     model earned credit (max > 0, else ``no_model_correct``).  Rows with a NULL
     performance do not compete; NaN must be turned to NULL on ingest.
     """
     perf = F.col("performance")
-    cand = F.when(perf.isNotNull(), F.struct((-perf).alias("neg_perf"), F.col("cost_pico").alias("cost"),
-                                             F.col("model_idx").alias("idx"), F.col("model").alias("model")))
+    # an unknown cost loses ties (sorts after every known cost)
+    cand = F.when(perf.isNotNull(), F.struct((-perf).alias("neg_perf"), F.col("cost_pico").isNull().alias("no_cost"),
+                                             F.col("cost_pico").alias("cost"), F.col("model_idx").alias("idx"),
+                                             F.col("model").alias("model")))
     agg = long_df.groupBy(*keys).agg(F.max(perf).alias("_mx"), F.min(cand).alias("_best"))
     ok = F.col("_mx") > 0
     return agg.select(

@@ -27,12 +27,14 @@ def test_oracle_ties_zero_null(spark):
         ("zero", "e", "a", 0, 0.0, 5), ("zero", "e", "b", 1, 0.0, 1),
         ("null", "e", "a", 0, None, 5), ("null", "e", "b", 1, None, 1),
         ("cheap", "e", "a", 0, 0.5, 9), ("cheap", "e", "b", 1, 0.5, 3), ("cheap", "e", "c", 2, None, 0),
+        ("nocost", "e", "a", 0, 1.0, None), ("nocost", "e", "b", 1, 1.0, 8),
     ]
     o = _oracle(spark, rows)
     assert o["tie"] == ("a", 1.0, 5)            # equal performance and cost: lowest index
     assert o["zero"] == ("no_model_correct", 0.0, 0)
     assert o["null"] == ("no_model_correct", 0.0, 0)
     assert o["cheap"] == ("b", 0.5, 3)          # NULL performance never competes
+    assert o["nocost"] == ("b", 1.0, 8)         # an unknown cost loses the tie
 
 
 def test_route_ties_nan_and_zero_wtp(spark):
