@@ -36,7 +36,7 @@ def best_point_per_variant(results: DataFrame, variant_cols: list[str], order_co
     A variant that never scores above 0 keeps its cheapest cost.
     """
     key = ["eval_name"] + variant_cols
-    w = Window.partitionBy(*key).orderBy(F.col("performance").desc(), F.col(order_col))
+    w = Window.partitionBy(*key).orderBy(F.col("performance").desc_nulls_last(), F.col(order_col).asc_nulls_last())
     wall = Window.partitionBy(*key)
     r = results.withColumn("_rn", F.row_number().over(w)).withColumn("_minc", F.min("total_cost").over(wall))
     r = r.where(F.col("_rn") == 1)
@@ -49,8 +49,9 @@ def best_variant(results: DataFrame, variant_cols: list[str], within: list[str])
     """Per eval and ``within`` group (e.g. embedding): the variant with the best point,
     highest performance first, then lowest cost, then variant order."""
     b = best_point_per_variant(results, variant_cols + [c for c in within if c not in variant_cols])
-    w = Window.partitionBy("eval_name", *within).orderBy(F.col("performance").desc(), F.col("total_cost"),
-                                                          *[F.col(c) for c in variant_cols])
+    w = Window.partitionBy("eval_name", *within).orderBy(F.col("performance").desc_nulls_last(),
+                                                          F.col("total_cost").asc_nulls_last(),
+                                                          *[F.col(c).asc_nulls_last() for c in variant_cols])
     return b.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
