@@ -382,3 +382,15 @@ def test_knn_cosine_zero_vector_and_nan(spark):
                               "g string, sample_id string, embedding array<double>")
     r = sorted((x.rank, x.neighbor_id) for x in knn_topk(q, t, 4, ["g"]).collect())
     assert [n for _, n in r] == ["pos", "zero", "neg", "nan"]
+
+
+def test_reference_layout_export(spark):
+    from routelens.sources.results_io import to_reference_layout
+    res = spark.createDataFrame([("e", "knn", 5, 1e-10, 0.5, 2500000000000), ("e", "m0", None, None, 0.25, 10**12)],
+                                "eval_name string, router string, neighbors int, wtp double, performance double, "
+                                "total_cost_pico long")
+    out = {r.model_name: r for r in to_reference_layout(res).collect()}
+    assert out["knn"].total_cost == 2.5 and out["knn"].neighbors == 5 and out["knn"].willingness_to_pay == 1e-10
+    assert out["m0"].total_cost == 1.0 and out["m0"].neighbors is None and out["m0"].hidden_layer_sizes is None
+    assert {"eval_name", "model_name", "performance", "total_cost", "willingness_to_pay",
+            "max_cost_per_response"} <= set(to_reference_layout(res).columns)
