@@ -39,7 +39,9 @@ def start_runlog_ingest(spark: SparkSession, source_dir: str, target_dir: str, c
                       F.col("_metadata.file_block_start").alias("_blk")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        fold_batch(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(target_dir)
+        # idempotent per micro-batch: a replayed batch overwrites its own partition only
+        (fold_batch(batch).withColumn("batch_id", F.lit(batch_id)).write
+         .option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("batch_id").parquet(target_dir))
 
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -21,3 +21,16 @@ def test_stream_equals_batch(spark):
     want = fold_events(ev).join(hdr, "file").select("sample_id", "model", "correct", F.size("prompt").alias("n"))
     assert got.count() > 0
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_replayed_batch_does_not_duplicate(spark):
+    from routelens.streaming.runlog_stream import fold_batch
+    src = scratch_path(spark, "replay-src")
+    write_run_logs(log_lines(spark, SF0001), src)
+    raw = spark.read.text(src, recursiveFileLookup=True).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"))
+    dst = scratch_path(spark, "replay-dst")
+    for _ in range(2):     # the same batch id written twice, as after a retry
+        (fold_batch(raw).withColumn("batch_id", F.lit(0)).write.option("partitionOverwriteMode", "dynamic")
+         .mode("overwrite").partitionBy("batch_id").parquet(dst))
+    assert spark.read.parquet(dst).count() == fold_batch(raw).count()
