@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from routelens.llm.common import small_side
 from routelens.session import materialize
 
 FINGERPRINT_BITS = 48
@@ -72,20 +73,30 @@ def _fingerprint(norm: bytes, bits: int) -> int:
     return xxhash.xxh3_64_intdigest(norm) >> (64 - bits)
 
 
+LISTS = "sender int, owner int, n_rows long, total long, codes binary, here binary"
+
+
 def _send(owners: int, bits: int, text_at: int):
-    """Pass 1 over one sender: its row count, and per owner the list and which of it repeats here."""
-    def run(sender: int, rows: Iterator) -> Iterator[tuple]:
-        prints = np.array([_fingerprint(normalise(r[text_at]), bits) for r in rows], dtype=np.int64)
+    """Pass 1 over one sender: per owner the list and which of it repeats here; the first list also
+    carries the sender's row count and fingerprint total, by which pass 2 knows it sees the same rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        sender = TaskContext.get().partitionId()
+        prints = np.array([_fingerprint(normalise(t.as_py()), bits) for b in batches for t in b.column(text_at)],
+                          dtype=np.int64)
         values, counts = np.unique(prints, return_counts=True)
         width = -(-(1 << bits) // owners)
         cuts = np.searchsorted(values, np.arange(owners + 1, dtype=np.int64) * width)
-        first = True
+        n_rows, total = len(prints), int(prints.sum() % (1 << bits))
         for owner in range(owners):
             a, b = int(cuts[owner]), int(cuts[owner + 1])
-            if a < b or first and owner == owners - 1:  # a sender of no fingerprints still tells its rows
-                yield (sender, owner, len(prints) if first else 0, rice_encode(values[a:b] - owner * width, width),
-                       np.packbits(counts[a:b] > 1).tobytes())
-                first = False
+            if a < b:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([sender], pa.int32()), pa.array([owner], pa.int32()), pa.array([n_rows], pa.int64()),
+                    pa.array([total], pa.int64()), pa.array([rice_encode(values[a:b] - owner * width, width)]),
+                    pa.array([np.packbits(counts[a:b] > 1).tobytes()])],
+                    ["sender", "owner", "n_rows", "total", "codes", "here"])
+                n_rows = total = 0
     return run
 
 
@@ -104,8 +115,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([r["sender"] for r in owner_rows], pa.int32()),
              pa.array([r["owner"] for r in owner_rows], pa.int32()),
              pa.array([r["n_rows"] for r in owner_rows], pa.int64()),
+             pa.array([r["total"] for r in owner_rows], pa.int64()),
              pa.array([r["codes"] for r in owner_rows], pa.binary()), pa.array(bitmaps, pa.binary())],
-            ["sender", "owner", "n_rows", "codes", "bitmap"])
+            ["sender", "owner", "n_rows", "total", "codes", "bitmap"])
 
     held: list[dict] = []
     for batch in batches:
@@ -122,14 +134,14 @@ def _deliver(bits: int, owners: int):
     """One element per document of the sender: the first carries its repeated fingerprints."""
     def run(rows: Iterator) -> Iterator:
         width = -(-(1 << bits) // owners)
-        n, found = 0, []
-        for _, (owner, n_rows, codes, bitmap) in rows:
-            n += n_rows
+        n, total, found = 0, 0, []
+        for _, (owner, n_rows, part, codes, bitmap) in rows:
+            n, total = n + n_rows, total + part
             x = rice_decode(codes)
             mask = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(x)).astype(bool)
             found.append(x[mask] + owner * width)
         if n:
-            yield np.concatenate(found).tobytes()
+            yield total, np.concatenate(found).tobytes()
             for _ in range(n - 1):
                 yield None
     return run
@@ -139,12 +151,17 @@ def _judge(bits: int, text_at: int, carry: list[int]):
     """Pass 2 over one sender: digest of every document, the normalised text of suspects only."""
     def run(sender: int, rows: Iterator) -> Iterator[tuple]:
         repeated: set[int] = set()
+        expected = seen = 0
         for at, (row, answer) in enumerate(rows):
             if answer is not None:
-                repeated = set(np.frombuffer(answer, np.int64).tolist())
+                expected, repeated = answer[0], set(np.frombuffer(answer[1], np.int64).tolist())
             norm = normalise(row[text_at])
+            print_ = _fingerprint(norm, bits)
+            seen += print_
             yield (*[row[i] for i in carry], (sender << 40) + at, hashlib.sha256(norm).hexdigest(),
-                   norm.decode() if _fingerprint(norm, bits) in repeated else None)
+                   norm.decode() if print_ in repeated else None)
+        if (seen - expected) % (1 << bits):
+            raise RuntimeError("a partition of the documents changed between two passes: write them to a table first")
     return run
 
 
@@ -155,8 +172,8 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, owners: int |
 
     Texts are equal when identical after white-space normalisation; null counts as empty.  Of equal
     texts the row with the smallest doc_id stays (null ids last; of rows that repeat an id, one).
-    An empty table gives no rows.  ``docs`` must yield the same rows per partition when a partition is
-    computed again, as any file scan does.
+    An empty table gives no rows.  Both passes read ``docs``: it must be partitioned alike each time,
+    as a file scan is; if a partition's rows differ between the passes, the job fails.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -167,14 +184,14 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, owners: int |
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text_at = fields.index("text")
 
-    sent = spark.createDataFrame(rows.mapPartitionsWithIndex(_send(owners, bits, text_at)),
-                                 "sender int, owner int, n_rows long, codes binary, here binary")
+    sent = source.mapInArrow(_send(owners, bits, text_at), LISTS)
     answers = materialize(
         sent.repartition(owners, "owner").sortWithinPartitions("owner")
-        .mapInArrow(_answer, "sender int, owner int, n_rows long, codes binary, bitmap binary"), "dedup-answers")
+        .mapInArrow(_answer, LISTS.replace("here", "bitmap")), "dedup-answers")
 
     senders = rows.getNumPartitions()
-    to_sender = (answers.rdd.map(lambda r: (r["sender"], (r["owner"], r["n_rows"], bytes(r["codes"]), bytes(r["bitmap"]))))
+    to_sender = (answers.rdd.map(lambda r: (r["sender"], (
+                     r["owner"], r["n_rows"], r["total"], bytes(r["codes"]), bytes(r["bitmap"]))))
                  .partitionBy(senders, lambda sender: sender))
     padding = to_sender.getNumPartitions() - senders
     if padding > 0:
@@ -201,6 +218,7 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, owners: int |
                    F.count(F.lit(1)).alias("texts"))
               .where(F.coalesce(F.assert_true(F.col("texts") == 1, F.lit("two texts share a SHA-256")).isNull(),
                                 F.lit(True))))
+    groups = small_side(materialize(groups, "dedup-groups"), 150)
     same = suspects.join(groups, F.col("text_sha256") == F.col("sha0")).select(
         "__row", F.col("first.id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")
