@@ -12,6 +12,8 @@ within their length.
 
 from __future__ import annotations
 
+import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,10 @@ from routelens.session import materialize
 
 CAPACITY = 1024
 END = 2
-#: Text characters whose chunks are encoded in one call, and chunks remembered per worker.
-GROUP_CHARS = 2 << 20
-CACHE_CHUNKS = 400_000
+#: Characters of a chunk without a space up to which tiktoken's merging is the faster one.
+LONG_CHUNK = 20_000
+#: The first character beyond the Latin blocks.
+LATIN_END = "\u0250"
 
 
 def chunks_of(text: str) -> list[str]:
@@ -51,26 +54,43 @@ def chunks_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes; ids of repeated chunks are remembered."""
+    """Ids of whole texts as little-endian 32-bit bytes.
+
+    ``path`` is a byte-level vocabulary for ``tokenizers``.  Where the same vocabulary lies beside it
+    as ranks, chunks of Latin script go through ``tiktoken``, which gives the same ids several times
+    as fast; other scripts, on which Unicode versions could differ, and very long runs without a space
+    stay with ``tokenizers``.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks_of(t) for t in texts]
-        new = list({c for x in cut for c in x if c not in self.known})
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known = {}
-            new = list({c for x in cut for c in x})
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        look = self.known.__getitem__
-        return [b"".join(map(look, x)) for x in cut]
+        self.fast = None
+        ranks = os.path.splitext(path)[0] + ".tiktoken"
+        if os.path.exists(ranks):
+            import public_tokenizers
+            import tiktoken
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding(os.path.basename(ranks), pat_str=public_tokenizers.PATTERN,
+                                          mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+    def encode(self, text: str) -> bytes:
+        if not self.fast:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            chunks = chunks_of(text)
+            if max(map(len, chunks), default=0) <= LONG_CHUNK and (text.isascii() or max(text) < LATIN_END):
+                ids = self.fast(text)
+            else:
+                ids = []
+                for c in chunks:
+                    if len(c) <= LONG_CHUNK and (c.isascii() or max(c) < LATIN_END):
+                        ids += self.fast(c)
+                    else:
+                        ids += self.tokenizer.encode(c, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -98,7 +118,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, toke
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32, and ids (array) if asked for.
 
     Null text counts as empty; an empty document is the end id alone.  A repeated row gives its
-    pieces again.  Whole texts are encoded, in groups of about 2 million characters.
+    pieces again.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     tail = np.array([end], dtype="<u4").tobytes()
@@ -107,35 +127,23 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, toke
         import zlib
         enc = _encoder(tokenizer_path(tokenizer))
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
-            while at < len(keys):
-                group, chars, stop = [], 0, at
-                while stop < len(keys) and chars < GROUP_CHARS:
-                    t = texts[stop].as_py() or ""
-                    group.append(t)
-                    chars += len(t)
-                    stop += 1
-                out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-                ids = []
-                for key, got in zip(keys[at:stop], enc.encode(group), strict=True):
-                    got += tail
-                    start = 0
-                    for piece, length in enumerate(cut_lengths(len(got) // 4, capacity)):
-                        part = got[4 * start:4 * (start + length)]
-                        for name, v in zip(out, (key, piece, start, length, zlib.crc32(part)), strict=True):
-                            out[name].append(v)
-                        if with_ids:
-                            ids.append(np.frombuffer(part, "<u4").astype("int64"))
-                        start += length
-                cols = [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()),
-                        *[pa.array(out[n], pa.int64()) for n in ("start", "length", "ids_crc32")]]
-                names = list(out)
-                if with_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int64())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
-                at = stop
+            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
+            ids = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                got = enc.encode(text.as_py() or "") + tail
+                start = 0
+                for piece, length in enumerate(cut_lengths(len(got) // 4, capacity)):
+                    part = got[4 * start:4 * (start + length)]
+                    for name, v in zip(out, (key, piece, start, length, zlib.crc32(part)), strict=True):
+                        out[name].append(v)
+                    if with_ids:
+                        ids.append(np.frombuffer(part, "<u4").astype("int64"))
+                    start += length
+            cols = [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()),
+                    *[pa.array(out[n], pa.int64()) for n in ("start", "length", "ids_crc32")]]
+            if with_ids:
+                cols.append(pa.array(ids, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(cols, [*out, *["ids"] * with_ids])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
