@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routelens.llm import exact_dedup, mixing, packing, simhash_dedup
+from routelens.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
 from routelens.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(read_table(spark, sf_dir, "documents"))
 
@@ -28,4 +32,4 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_pack, op4_mix, op5_simhash_dedup, op7_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_pack, op4_mix, op5_simhash_dedup, op7_exact_dedup)}
