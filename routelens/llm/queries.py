@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routelens.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
+from routelens.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity, url_filter
 from routelens.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,4 +32,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_pack, op4_mix, op5_simhash_dedup, op7_exact_dedup)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_digest(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_pack, op4_mix, op5_simhash_dedup, op7_exact_dedup, op10_url_filter)}
