@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routelens.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity, url_filter
+from routelens.llm import exact_dedup, mixing, packing, quality, simhash_dedup, toxicity, url_filter
 from routelens.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_digest(read_table(spark, sf_dir, "documents"))
 
@@ -36,4 +40,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_digest(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_pack, op4_mix, op5_simhash_dedup, op7_exact_dedup, op10_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_pack, op4_mix, op5_simhash_dedup, op6_quality, op7_exact_dedup, op10_url_filter)}
