@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routelens.llm import exact_dedup, mixing, packing, quality, simhash_dedup, toxicity, url_filter
+from routelens.llm import exact_dedup, lm_scoring, mixing, packing, quality, simhash_dedup, toxicity, url_filter
 from routelens.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_digest(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_pack, op4_mix, op5_simhash_dedup, op6_quality, op7_exact_dedup, op10_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_pack, op4_mix, op5_simhash_dedup, op6_quality, op7_exact_dedup, op9_lm_score, op10_url_filter)}
