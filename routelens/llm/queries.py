@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routelens.llm import exact_dedup, lm_scoring, mixing, packing, quality, simhash_dedup, toxicity, url_filter
+from routelens.llm import ann, chat_format, exact_dedup, lm_scoring, mixing, packing, quality, simhash_dedup, toxicity, url_filter
 from routelens.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_digest(read_table(spark, sf_dir, "conversations"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.every_hundredth(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(read_table(spark, sf_dir, "documents"))
 
@@ -44,4 +52,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_digest(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_pack, op4_mix, op5_simhash_dedup, op6_quality, op7_exact_dedup, op9_lm_score, op10_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pack, op4_mix, op5_simhash_dedup, op6_quality, op7_exact_dedup, op8_ann, op9_lm_score, op10_url_filter)}
