@@ -22,14 +22,14 @@ def as_row(df: DataFrame, name: str = "__row") -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
 
 
-def unsigned31(h: Column) -> Column:
-    """The upper 31 bits of a 64-bit hash as a number from 0 to 2^31 - 1."""
-    return F.shiftrightunsigned(h, 33)
+def hash63(*cols) -> Column:
+    """A hash of the columns from 0 to 2^63 - 1."""
+    return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 63) - 1))
 
 
 def spread_rank(df: DataFrame, slim: DataFrame, cell_rows: int = 256, max_cells: int = 65536) -> DataFrame:
     """Adds ``rank`` (long, from 0): the place of each row among the rows of its ``key`` in the order
-    (bucket, h, tie), where ``h`` is a 64-bit hash.
+    (bucket, h, tie), where ``h`` is a hash from 0 to 2^63 - 1.
 
     No key is ranked in one task: the hash range of a (key, bucket) is cut into cells of about
     ``cell_rows`` rows, rows are numbered inside their cell, and a prefix sum over the cell counts (at
@@ -43,7 +43,7 @@ def spread_rank(df: DataFrame, slim: DataFrame, cell_rows: int = 256, max_cells:
 
     def in_cell(rows: DataFrame) -> DataFrame:
         on = (F.col("key") == F.col("k0")) & (F.col("bucket") == F.col("b0"))
-        cell = F.shiftright(unsigned31(F.col("h")) * F.col("cells"), 31)
+        cell = F.shiftright(F.shiftright("h", 32) * F.col("cells"), 31)
         return rows.join(sizes, on).withColumn("cell", cell).drop("k0", "b0", "cells")
 
     before = Window.partitionBy("k1").orderBy("b1", "c1").rowsBetween(Window.unboundedPreceding, -1)

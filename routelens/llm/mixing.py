@@ -12,7 +12,7 @@ rows; :func:`routelens.llm.common.spread_rank` numbers them without a task that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelens.llm.common import WORD, as_row, small_side, spread_rank
@@ -20,8 +20,12 @@ from routelens.session import materialize
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: Size classes per doubling of the size: documents of a class differ by 9 % at most.
-CLASSES = 8
+
+
+def md5_number(digits: int, *parts) -> Column:
+    """The first hexadecimal digits of the parts' MD5 as a number; any SQL engine can follow it."""
+    joined = F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
+    return F.conv(F.substring(F.md5(joined), 1, digits), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -58,10 +62,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     """
     text = F.coalesce(F.col("__row.text"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    bucket = F.when(F.col("size") > 0, F.floor(F.log2("size") * CLASSES)).otherwise(F.lit(-1)).cast("int")
+    # eight size classes to each doubling: the number of binary digits, then the first four of them
+    digits = F.length(F.bin("size"))
+    bucket = digits * 16 + F.expr("shiftright(size * 16, length(bin(size)))").cast("int")
     rows = (as_row(docs)
             .select("__row", size.alias("size"), F.col("__row.source").alias("source"),
-                    F.xxhash64(F.lit(seed), "__row.doc_id", "__row.text").alias("h"))
+                    (md5_number(15, F.lit(str(seed)), "__row.doc_id", "__row.text") * 8).alias("h"))
             .withColumn("bucket", bucket))
     slim = materialize(rows.select("source", "size", "bucket", "h"), "mix-slim")
     targets = materialize(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")),
@@ -76,7 +82,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
                          keyed(slim).select("key", "bucket", "h"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # offsets on a grid of 1/1024: sums with whole numbers stay exact, so a rate of 3 gives 3 copies
-    offset = (F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "key"), F.lit(1024)) + 0.5) / 1024
+    offset = (md5_number(3, F.lit(f"{seed}|offset"), "key") % 1024 + 0.5) / 1024
     crossed = (F.floor(rate * (F.col("rank") + 1) + offset) - F.floor(rate * F.col("rank") + offset))
     return ranked.select("__row", "size", "source_size", "target",
                          F.least(crossed, F.ceil(rate)).cast("long").alias("copies"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import spread_rank
+from routelens.llm.common import hash63, spread_rank
 from routelens.session import materialize
 
 CAPACITY = 1024
@@ -217,7 +217,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
               pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     plan = slack_plan(counts, capacity)
     tie = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
-    keyed = pieces.withColumns({"key": F.col("length"), "bucket": F.lit(0), "h": F.xxhash64(*tie),
+    keyed = pieces.withColumns({"key": F.col("length"), "bucket": F.lit(0), "h": hash63(*tie),
                                 "tie": F.struct(*tie)})
     ranked = spread_rank(keyed, keyed.select("key", "bucket", "h"))
     segments = spark.createDataFrame(

@@ -1,5 +1,47 @@
-"""DuckDB twins of the ``opN_<name>`` queries that SQL can express."""
+"""DuckDB twins of the ``opN_<name>`` queries that SQL can express.
+
+Not here: toxicity, quality and LM scoring (trained models), packing (a tokenizer and a subset-sum
+search), SimHash (XXH64), nearest neighbours (approximate), chat repair (a dynamic programme) and the
+URL tree; their tests hold them against brute force or plain versions.
+"""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+OP4_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws('|', '1', doc_id, text)), 1, 15))::BIGINT * 8 AS h
+  FROM documents),
+b AS (SELECT *, length(bin(size)) * 16 + ((size * 16) >> length(bin(size))) AS bucket FROM d),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS position
+  FROM d GROUP BY source),
+w AS (
+  SELECT *, [5.0, 2.0, 1.0][((position - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS full_size,
+         (sum(source_size) OVER ())::DOUBLE AS total FROM s),
+f AS (
+  SELECT *, coalesce(sum(full_size) OVER (ORDER BY full_size / weight, position
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS filled,
+         sum(weight) OVER (ORDER BY full_size / weight, position
+                     ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight FROM w),
+t AS (
+  SELECT source, source_size, position,
+         least(full_size, (max((total - filled) / left_weight) OVER ()) * weight) AS target FROM f),
+r AS (
+  SELECT b.doc_id, b.size, t.source_size, t.target, t.position,
+         row_number() OVER (PARTITION BY t.position ORDER BY b.bucket, b.h, b.doc_id) - 1 AS rank,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+         (('0x' || substr(md5(concat_ws('|', '1|offset', t.position)), 1, 3))::BIGINT % 1024 + 0.5) / 1024 AS shift
+  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (size * least(floor(rate * (rank + 1) + shift) - floor(rate * rank + shift), ceil(rate)))::BIGINT AS taken
+FROM r
+"""
+
+OP7_EXACT_DEDUP = r"""
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_MIX, "op7_exact_dedup": OP7_EXACT_DEDUP}
