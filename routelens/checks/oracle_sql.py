@@ -31,7 +31,7 @@ eval_base AS (
   SELECT d.doc_id, d.text, d.lang, d.source, r.range AS m,
          ('0x' || substr(md5(d.doc_id::VARCHAR || '|' || r.range::VARCHAR), 1, 8))::BIGINT::DOUBLE
            / 4294967296.0::DOUBLE AS u,
-         substr(d.text, 1, (40 * (r.range + 1))::INTEGER) AS resp
+         array_to_string(list_filter(regexp_extract_all(d.text, '\\S+'), lambda w, i: (i - 1) % 5 <= r.range), ' ') AS resp
   FROM documents d CROSS JOIN range(5) r
 ),
 eval_long AS (
@@ -188,7 +188,7 @@ LOG_FOLD = """
 lab AS (SELECT doc_id AS conv_id, quality::DOUBLE AS correct FROM labels),
 fold AS (
   SELECT 'conv' || (conv_id % 7)::VARCHAR || '.jsonl' AS file, conv_id,
-         coalesce(list(text ORDER BY turn) FILTER (WHERE role = 'user'), []) AS prompts,
+         coalesce(list(text ORDER BY turn) FILTER (WHERE role <> 'assistant'), []) AS prompts,
          coalesce(list(text ORDER BY turn) FILTER (WHERE role = 'assistant'), []) AS s0
   FROM conversations GROUP BY conv_id),
 folded AS (
@@ -206,10 +206,10 @@ FROM folded
 ORACLE_SQL["q_log_header"] = """
 WITH ev AS (
   SELECT conv_id, conv_id % 7 AS k, conv_id * 100 + turn + 1 AS pos, 'sampling' AS type
-  FROM conversations WHERE role IN ('user', 'assistant')
+  FROM conversations
   UNION ALL
   SELECT DISTINCT c.conv_id, c.conv_id % 7 AS k, c.conv_id * 100 + 99 AS pos, 'match' AS type
-  FROM conversations c JOIN labels l ON l.doc_id = c.conv_id WHERE c.role IN ('user', 'assistant'))
+  FROM conversations c JOIN labels l ON l.doc_id = c.conv_id)
 SELECT 'conv' || k::VARCHAR || '.jsonl' AS file, pos, conv_id::VARCHAR AS sample_id, type,
        'm' || (k % 5)::VARCHAR AS model, 'conv-' || k::VARCHAR AS eval_name
 FROM ev WHERE k <> 3
@@ -220,8 +220,7 @@ conv AS (
   SELECT sample_id, 'conv-' || (conv_id % 7)::VARCHAR AS eval_name, 'm' || (conv_id % 7 % 5)::VARCHAR AS model,
          (conv_id % 7 % 5)::INTEGER AS m, prompts, sampled,
          CASE WHEN correct = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS performance
-  FROM folded WHERE conv_id % 7 <> 3 AND correct IS NOT NULL
-    AND conv_id IN (SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant'))),
+  FROM folded WHERE conv_id % 7 <> 3 AND correct IS NOT NULL),
 priced AS (
   SELECT sample_id, eval_name, model, performance,
          (coalesce((SELECT sum({ntok('x')}) FROM unnest(prompts) t(x)), 0) * 100000 * (m + 1)
@@ -299,7 +298,17 @@ FROM w JOIN n USING (doc_id) WHERE w <> 0
 KS_SQL = ", ".join(str(k) for k in KNN_NEIGHBORS)
 
 KNN_CTE = f"""
-rs AS (SELECT e.*, emb.embedding FROM eval_long e JOIN embeddings emb ON emb.vec_id = e.doc_id),
+miss AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)),
+mtok AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '\\S+'))) AS h FROM miss),
+mw AS (SELECT doc_id, (('0x' || substr(h, 1, 4))::INTEGER % 64) AS bucket,
+              sum(CASE WHEN substr(h, 5, 1) < '8' THEN 1 ELSE -1 END) AS w FROM mtok GROUP BY doc_id, bucket),
+mn AS (SELECT doc_id, sqrt(sum(w * w)::DOUBLE) AS nrm FROM mw GROUP BY doc_id),
+mdense AS (SELECT m.doc_id, list(CASE WHEN coalesce(n.nrm, 0) > 0 THEN coalesce(w.w, 0)::DOUBLE / n.nrm ELSE 0.0 END::FLOAT
+                                 ORDER BY b.range) AS embedding
+           FROM miss m CROSS JOIN range(64) b LEFT JOIN mw w ON w.doc_id = m.doc_id AND w.bucket = b.range
+           LEFT JOIN mn n ON n.doc_id = m.doc_id GROUP BY m.doc_id),
+vecs AS (SELECT vec_id AS doc_id, embedding FROM embeddings UNION ALL SELECT doc_id, embedding FROM mdense),
+rs AS (SELECT e.*, v.embedding FROM eval_long e JOIN vecs v USING (doc_id)),
 smp AS (SELECT DISTINCT family, sample_id FROM rs),
 su AS (SELECT family, sample_id,
               ('0x' || substr(md5('42|' || sample_id), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM smp),
@@ -604,7 +613,7 @@ ORACLE_SQL["q_log_scan"] = "WITH " + LOG_FOLD.strip() + """
 SELECT file, sample_id, len(prompts)::INTEGER AS n_prompts, len(sampled)::INTEGER AS n_sampled,
        CASE WHEN correct IS NULL THEN NULL WHEN correct = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS correct
 FROM folded
-WHERE conv_id % 7 <> 3 AND conv_id IN (SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant'))
+WHERE conv_id % 7 <> 3
 """
 
 ORACLE_SQL["q_prompt_extract"] = """

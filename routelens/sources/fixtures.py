@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from routelens.constants import WTP_GRID, WTP_TEXT
 from routelens.functions.hashing import uniform01
-from routelens.functions.text import n_tokens
+from routelens.operators.embed import hash_embed
 from routelens.sources.tables import read_table
 
 N_MODELS = 5
+EMBEDDING_DIM = 64
 
 
 def eval_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,18 +31,20 @@ def eval_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_long_from(d: DataFrame, keep: tuple = ()) -> DataFrame:
     """``eval_long`` rows for the given documents (extra columns in ``keep`` are carried)."""
-    # the prompt's token count does not depend on the model: count once per document
-    d = d.withColumn("_ntext", n_tokens(F.col("text")))
+    # the words do not depend on the model: split once per document
+    d = d.withColumn("_words", F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)))
     x = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))).alias("m"))
     m = F.col("m")
     u = uniform01(F.col("doc_id"), m)
-    resp = F.expr("substr(text, 1, 40 * (m + 1))")
+    # model m answers with the words whose position leaves a remainder of at most m by five: m4 with all
+    said = F.filter("_words", lambda w, i: i % N_MODELS <= m)
+    resp = F.array_join(said, " ")
     perf = (F.when(((F.col("doc_id") + m) % 97) == 0, F.lit(None).cast("double"))
             .when(u < F.lit(0.15) + F.lit(0.12) * m, F.lit(1.0))
             .when(u < F.lit(0.20) + F.lit(0.12) * m, F.lit(0.5))
             .otherwise(F.lit(0.0)))
     mm = (m + 1).cast("long")
-    cost = (F.col("_ntext") * 100000 * mm + n_tokens(resp) * 200000 * mm
+    cost = (F.size("_words").cast("long") * 100000 * mm + F.size(said).cast("long") * 200000 * mm
             + F.when(m == 4, F.lit(5000000000)).otherwise(F.lit(0)).cast("long"))
     return x.select(
         F.col("doc_id"),
@@ -71,11 +74,14 @@ def model_price(spark: SparkSession) -> DataFrame:
 
 
 def router_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long answers of the prompts that have an embedding (``doc_id = vec_id``)."""
+    """Long answers of every prompt with its embedding: the held vector (``doc_id = vec_id``) where
+    there is one, else the hash embedder's of the same width."""
     emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    # join before deriving answers: only prompts with an embedding are priced and graded
-    return eval_long_from(d.join(emb, "doc_id", "inner"), keep=("embedding",))
+    missing = d.join(emb.select("doc_id"), "doc_id", "left_anti")
+    vectors = emb.unionByName(hash_embed(missing, "text", "doc_id", EMBEDDING_DIM))
+    # join before deriving answers: the vectors are carried, not repeated work per answer
+    return eval_long_from(d.join(vectors, "doc_id"), keep=("embedding",))
 
 
 def _conv_file(conv_id):
@@ -86,20 +92,21 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-log events derived from ``conversations``.
 
     file = conv<id % 7>.jsonl, sample = conversation, event position = turn;
-    user turns are sampling events carrying a prompt, assistant turns carry a
-    sampled answer, system turns are ignored; the grade (``labels.quality``)
+    user and system turns are sampling events carrying a prompt, assistant turns
+    carry a sampled answer; the grade (``labels.quality``)
     is a final match event, NULL when the conversation has no label.
     """
     conv = read_table(spark, sf_dir, "conversations")
     lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"),
                                                     F.col("quality").cast("double").alias("correct"))
-    ev = conv.where(F.col("role").isin("user", "assistant")).select(
+    asked = F.col("role") != "assistant"
+    ev = conv.select(
         _conv_file(F.col("conv_id")).alias("file"),
         F.col("conv_id").cast("string").alias("sample_id"),
         F.col("turn").alias("pos"),
         F.lit("sampling").alias("type"),
-        F.when(F.col("role") == "user", F.array(F.col("text"))).alias("prompt"),
-        F.when(F.col("role") == "user", F.lit(False)).alias("is_completion"),
+        F.when(asked, F.array(F.col("text"))).alias("prompt"),
+        F.when(asked, F.lit(False)).alias("is_completion"),
         F.when(F.col("role") == "assistant", F.array(F.col("text"))).alias("sampled"),
         F.lit(None).cast("double").alias("correct"),
         F.lit(None).cast("string").alias("created_at"),
@@ -128,7 +135,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     skipped by readers: conv3.jsonl gets an unparsable line, a ``_bak`` copy of
     conv2 exists, and short.jsonl holds only two records.
     """
-    conv = read_table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    conv = read_table(spark, sf_dir, "conversations")
     lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), "quality")
     k = F.col("conv_id") % 7
     files = conv.select("conv_id").select(k.alias("k")).distinct()
@@ -138,8 +145,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.struct(F.struct(
             F.array(F.concat(F.lit("raw_models/m"), (F.col("k") % 5).cast("string"))).alias("completion_fns"),
             F.concat(F.lit("conv-"), F.col("k").cast("string")).alias("eval_name")).alias("spec"))).alias("line"))
-    data = F.when(F.col("role") == "user", F.struct(
-        F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("prompt"),
+    data = F.when(F.col("role") != "assistant", F.struct(
+        F.array(F.struct(F.col("role"), F.col("text").alias("content"))).alias("prompt"),
         F.lit(None).cast("array<string>").alias("sampled"))).otherwise(F.struct(
         F.lit(None).cast("array<struct<role:string,content:string>>").alias("prompt"),
         F.array(F.col("text")).alias("sampled")))
