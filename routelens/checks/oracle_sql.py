@@ -7,6 +7,8 @@ instead of array folds, brute-force pairs instead of block products).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from routelens.constants import (CASCADE_BUDGETS, CASCADE_ERROR_RATES, KNN_NEIGHBORS, WTP_GRID,
                                  WTP_TEXT)
 
@@ -366,6 +368,13 @@ sql("q_knn_neighbors", """
 SELECT family, query_id AS sample_id, neighbor_id, round(sim, 6) AS sim, rank::BIGINT AS rank FROM nb
 """, KNN_CTE)
 
+for _metric, _sim in (("euclidean", "-list_distance(q.embedding::DOUBLE[], t.embedding::DOUBLE[])"),
+                      ("manhattan", "-list_sum(list_transform(range(1, len(q.embedding) + 1), "
+                                    "lambda i: abs(q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE)))")):
+    sql(f"q_knn_{_metric}", """
+SELECT family, query_id AS sample_id, neighbor_id, round(sim, 4) AS sim, rank::BIGINT AS rank FROM nb
+""", KNN_CTE.replace("list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[])", _sim))
+
 sql("q_knn_scores", """
 SELECT family, k::INTEGER AS neighbors, query_id AS sample_id, model_idx, round(score, 6) AS score FROM sc
 """, KNN_CTE)
@@ -610,7 +619,8 @@ SELECT eval_name, model, round(performance, 6) AS performance, total_cost AS tot
 """, VR_CTE)
 
 ORACLE_SQL["q_log_scan"] = "WITH " + LOG_FOLD.strip() + """
-SELECT file, sample_id, len(prompts)::INTEGER AS n_prompts, len(sampled)::INTEGER AS n_sampled,
+SELECT file, sample_id, len(prompts)::INTEGER AS n_prompts, md5(array_to_string(prompts, chr(1))) AS prompt_md5,
+       len(sampled)::INTEGER AS n_sampled, md5(array_to_string(sampled, chr(1))) AS sampled_md5,
        CASE WHEN correct IS NULL THEN NULL WHEN correct = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS correct
 FROM folded
 WHERE conv_id % 7 <> 3
@@ -713,3 +723,48 @@ GROUP BY eval_name"""
 
 
 sql("q_results_wide_variants", _variant_wide_sql(), VR_CTE)
+
+sql("q_convert_job", f"""
+SELECT m.sample_id, m.eval_name, m.model, round(coalesce(m.performance, 0.0::DOUBLE), 6) AS performance, m.cost_pico,
+       CASE WHEN o.mx > 0 THEN o.model ELSE 'no_model_correct' END AS oracle
+FROM m JOIN (SELECT *, max(performance) OVER (PARTITION BY sample_id, eval_name) AS mx,
+                    row_number() OVER (PARTITION BY sample_id, eval_name
+                                       ORDER BY performance DESC NULLS LAST, cost_pico, model_idx) AS rn FROM m) o
+  ON o.sample_id = m.sample_id AND o.eval_name = m.eval_name AND o.rn = 1
+""", f"""
+l AS (SELECT (doc_id // 3)::VARCHAR AS sample_id, family AS eval_name, model, model_idx, prompt[1] AS p, response[1] AS r,
+             CASE WHEN doc_id % 11 <> 3 THEN performance END AS performance FROM eval_long),
+g AS (SELECT sample_id, eval_name, min(p) AS p FROM l GROUP BY sample_id, eval_name),
+c AS (SELECT l.*, {ntok('g.p')} * q.prompt_pico + {ntok('l.r')} * q.completion_pico + coalesce(q.request_pico, 0) AS cost
+      FROM l JOIN g ON g.sample_id = l.sample_id AND g.eval_name = l.eval_name JOIN model_price q ON q.model = l.model),
+m AS (SELECT sample_id, eval_name, model, model_idx, avg(performance) AS performance, min(cost)::BIGINT AS cost_pico
+      FROM c GROUP BY sample_id, eval_name, model, model_idx)
+""")
+
+ORACLE_SQL["q_one_to_one"] = """
+SELECT count(*) FILTER (WHERE r IS NULL)::BIGINT AS only_left, count(*) FILTER (WHERE l IS NULL)::BIGINT AS only_right,
+       count(*) FILTER (WHERE l > 1 OR r > 1)::BIGINT AS duplicated
+FROM (SELECT doc_id, count(*) AS l FROM documents GROUP BY doc_id)
+FULL JOIN (SELECT doc_id, count(*) AS r FROM labels GROUP BY doc_id) USING (doc_id)
+"""
+
+
+def _price_rows() -> str:
+    """The shipped price list as SQL values (model, pico-USD a token of the prompt, pico-USD a request)."""
+    import csv
+    import os
+    path = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data", "prices.csv")
+    with open(path, newline="") as f:
+        rows = list(csv.DictReader(x for x in f if not x.startswith("#")))
+    return ", ".join("('{}', {}, {})".format(r["model"].replace("'", "''"),
+                                             int(Decimal(r["prompt_usd_per_10m_tokens"]) * 100000),
+                                             int(Decimal(r["request_usd"] or "0") * 10 ** 12)) for r in rows)
+
+
+ORACLE_SQL["q_price_list"] = f"""
+SELECT model, (t * prompt_pico + n * request_pico)::BIGINT AS cost_pico
+FROM (VALUES {_price_rows()}) p(model, prompt_pico, request_pico),
+     (SELECT count(*) AS n, sum({ntok('text')}) AS t FROM documents)
+"""
+
+sql("q_eval_names", "SELECT DISTINCT eval_name FROM eval_long")

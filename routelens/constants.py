@@ -76,3 +76,6 @@ PICO_PER_USD = 10**12
 
 # Judge-prompt markers dropped by prompt selection (fixed values).
 JUDGE_MARKERS = ["[BEGIN DATA]", "<|The Start of Assistant ", "\n************\n[END DATA]"]
+
+#: Type of money totals in pico-USD: one eval's total may pass what BIGINT holds.
+MONEY = "decimal(38,0)"

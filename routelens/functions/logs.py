@@ -16,8 +16,10 @@ def choice_score(choice: Column) -> Column:
 
 def metric_value(accuracy: Column, score: Column, choice: Column, sacrebleu: Column) -> Column:
     """The graded value of a metrics record: accuracy, else score, else sacrebleu / 100,
-    else the choice letter's score."""
-    return F.coalesce(accuracy, score, sacrebleu / F.lit(100.0), choice_score(choice))
+    else the choice letter's score; a record with none of them fails the job."""
+    known = accuracy.isNotNull() | score.isNotNull() | sacrebleu.isNotNull() | choice.isNotNull()
+    return F.when(known, F.coalesce(accuracy, score, sacrebleu / F.lit(100.0), choice_score(choice))).otherwise(
+        F.raise_error(F.lit("metrics record without accuracy, score, sacrebleu or choice")).cast("double"))
 
 
 def chat_contents(messages: Column) -> Column:

@@ -96,6 +96,7 @@ def embed_with_cache(prompts: DataFrame, store: DataFrame, embedding_model: str,
     if append_to is not None:
         new.write.mode("append").partitionBy("embedding_model").parquet(append_to)
         full = prompts.sparkSession.read.parquet(append_to).where(F.col("embedding_model") == embedding_model)
+        full = full.dropDuplicates(["hash"])       # a retried run may have appended a prompt twice
     else:
         full = store.where(F.col("embedding_model") == embedding_model).unionByName(new)
     full = full.select("hash", "embedding")

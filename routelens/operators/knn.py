@@ -8,7 +8,7 @@ Plan (no cross join, no pair rows):
   one query block and one training block (a replicated equi-join; data moved
   is ``Q * TB + T * QB`` rows, never ``Q * T``);
 * inside a cell numpy computes the similarity block in query chunks and keeps
-  only the top ``k`` per query (ties by training id);
+  only the top ``k`` per query (ties by training id; similarities that are not finite are left out);
 * a final ``row_number() <= k`` per query merges the ``TB`` partial lists
   (``WindowGroupLimit``), at most ``TB * k`` rows per query.
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 METRICS = ("cosine", "euclidean", "manhattan")
+CELL_BYTES = 64 << 20
 
 
 def _block_fn(k: int, metric: str, qid: str, tid: str, payload: str | None, group_cols: list[str],
@@ -37,42 +38,46 @@ def _block_fn(k: int, metric: str, qid: str, tid: str, payload: str | None, grou
         Q = np.stack(qdf["vec"].to_numpy()).astype(np.float64)
         Tm = np.stack(tdf["vec"].to_numpy()).astype(np.float64)
         tids = tdf[tid].to_numpy()
-        t_rank = np.empty(len(tids), dtype=np.int64)
-        t_rank[np.argsort(tids, kind="stable")] = np.arange(len(tids))
+        order = np.argsort(tids, kind="stable")            # columns by training id: equal similarities
+        Tm, tids = Tm[order], tids[order]                  # then rank by id in a stable sort
         if metric == "cosine":
             tn = np.sqrt((Tm * Tm).sum(axis=1))
+        elif metric == "euclidean":
+            finite = np.isfinite(Tm).all(axis=1)
+            centre = Tm[finite].mean(axis=0) if finite.any() else 0.0
+            Q, Tm = Q - centre, Tm - centre                # distances keep, cancellation shrinks
+        slack = 0.0
+        if metric == "euclidean":
+            size = np.abs(np.concatenate([Q, Tm])).max(initial=0.0, where=np.isfinite(np.concatenate([Q, Tm])))
+            slack = 1e-6 * size * np.sqrt(Tm.shape[1])
         kk = min(k, len(tids))
         out_q, out_t, out_s = [], [], []
-        for s in range(0, len(Q), chunk):
-            Qc = Q[s:s + chunk]
-            if metric == "cosine":
-                qn = np.sqrt((Qc * Qc).sum(axis=1))
-                with np.errstate(divide="ignore", invalid="ignore"):
+        # a chunk's working arrays stay below CELL_BYTES whatever the block size and dimension
+        row_bytes = 8 * len(tids) * (Tm.shape[1] + 2 if metric == "manhattan" else 4)
+        step = max(1, min(chunk, CELL_BYTES // row_bytes))
+        for s in range(0, len(Q), step):
+            Qc = Q[s:s + step]
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                if metric == "cosine":
+                    qn = np.sqrt((Qc * Qc).sum(axis=1))
                     S = (Qc @ Tm.T) / (qn[:, None] * tn[None, :])
-                S[(qn[:, None] == 0) | (tn[None, :] == 0)] = 0.0     # a zero vector has similarity 0
-            elif metric == "euclidean":
-                d2 = (Qc * Qc).sum(1)[:, None] + (Tm * Tm).sum(1)[None, :] - 2.0 * (Qc @ Tm.T)
-                S = -np.sqrt(np.maximum(d2, 0.0))
-            else:
-                S = -np.abs(Qc[:, None, :] - Tm[None, :, :]).sum(axis=2)
-            S = np.nan_to_num(S, nan=-1e6, neginf=-1e6, posinf=1e6)   # NaN inputs rank as far away
-            Si = np.rint(S * 1e9).astype(np.int64)          # similarity rounded to 1e-9
-            if np.abs(Si).max(initial=0) < (1 << 41) and len(tids) < (1 << 21):
-                key = (-Si) * (1 << 21) + t_rank[None, :]      # order: sim desc, training id asc
-                part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
-                pk = np.take_along_axis(key, part, axis=1)
-                top = np.take_along_axis(part, np.argsort(pk, axis=1), axis=1)
-            else:
-                # exact fallback for values outside the packed-key range: all candidates tied
-                # with the k-th similarity, then (sim desc, id asc) per row
-                kth = -np.partition(-Si, kk - 1, axis=1)[:, kk - 1]
-                top = np.empty((len(Qc), kk), dtype=np.int64)
-                for r in range(len(Qc)):
-                    cand = np.nonzero(Si[r] >= kth[r])[0]
-                    top[r] = cand[np.lexsort((t_rank[cand], -Si[r, cand]))][:kk]
-            out_q.append(np.repeat(np.arange(s, s + len(Qc)), kk))
-            out_t.append(top.ravel())
-            out_s.append(np.take_along_axis(Si, top, axis=1).ravel() / 1e9)
+                    S[(qn[:, None] == 0) | (tn[None, :] == 0)] = 0.0     # a zero vector has similarity 0
+                elif metric == "euclidean":
+                    d2 = (Qc * Qc).sum(1)[:, None] + (Tm * Tm).sum(1)[None, :] - 2.0 * (Qc @ Tm.T)
+                    S = -np.sqrt(np.maximum(d2, 0.0))
+                else:
+                    S = -np.abs(Qc[:, None, :] - Tm[None, :, :]).sum(axis=2)
+                S = np.where(np.isfinite(S), np.round(S, 9), -np.inf)    # invalid vectors are nobody's neighbour
+            kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
+            for r in range(len(Qc)):
+                cand = np.flatnonzero((S[r] >= kth[r] - slack) & (S[r] > -np.inf))
+                sim = S[r, cand]
+                if metric == "euclidean":                  # the expansion is off near zero: measure again
+                    sim = -np.round(np.sqrt(((Tm[cand] - Qc[r]) ** 2).sum(axis=1)), 9)
+                best = np.argsort(-sim, kind="stable")[:kk]
+                out_q.append(np.full(len(best), s + r))
+                out_t.append(cand[best])
+                out_s.append(sim[best])
         qi = np.concatenate(out_q)
         ti = np.concatenate(out_t)
         res = {c: np.repeat(qdf[c].iloc[0], len(qi)) for c in group_cols}
@@ -80,7 +85,7 @@ def _block_fn(k: int, metric: str, qid: str, tid: str, payload: str | None, grou
         res[tid] = tids[ti]
         res["sim"] = np.concatenate(out_s)
         if payload:
-            res[payload] = tdf[payload].to_numpy()[ti]
+            res[payload] = tdf[payload].to_numpy()[order][ti]
         return pd.DataFrame(res)
 
     return fn

@@ -3,7 +3,7 @@
 Spark has no support-vector regressor and no regression MLP, so both are fitted
 data-parallel: every round is ONE pass over the training rows in which each task
 folds its rows into fixed-size partial sums with numpy (``mapInPandas``); the
-partial sums are added by a grouped ``sum`` (a tree of partial aggregates), and
+partial sums are added in two grouped steps (neighbouring tasks first), and
 only the fixed-size total (independent of the row count) reaches the driver,
 which takes the solver step.  Predictions are plain Spark expressions (linear)
 or one Arrow-batched pass (MLP) -- no per-row Python.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 
 CHUNK = 4096
+FAN_IN = 1024
 
 
 def _emit(acc: dict):
@@ -43,15 +44,17 @@ PARTS_SCHEMA = "grp string, c int, g array<double>"
 
 
 def _sum_vectors(parts: DataFrame, size: int | None = None) -> dict:
-    """Element-wise sum of the per-task partial vectors of each key.
+    """Element-wise sum of the per-task partial vectors of each key, in two steps.
 
-    Chunks are summed per (key, chunk) JVM-side (``zip_with`` over the chunk's task
-    vectors), so a task holds at most ``tasks x CHUNK`` values and the driver receives
+    First the vectors of up to ``FAN_IN`` neighbouring tasks are added per (key, chunk), then those
+    sums: a task holds at most ``FAN_IN`` chunks, or tasks / ``FAN_IN`` of them.  The driver receives
     one fixed-size vector per key, never per-row data.
     """
     add = F.aggregate(F.slice(F.col("_l"), 2, F.greatest(F.size("_l") - 1, F.lit(0))), F.col("_l")[0],
                       lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-    rows = parts.groupBy("grp", "c").agg(F.collect_list("g").alias("_l")).select("grp", "c", add.alias("g")).collect()
+    near = parts.withColumn("_s", F.floor(F.spark_partition_id() / FAN_IN)).groupBy("grp", "c", "_s").agg(
+        F.collect_list("g").alias("_l")).select("grp", "c", add.alias("g"))
+    rows = near.groupBy("grp", "c").agg(F.collect_list("g").alias("_l")).select("grp", "c", add.alias("g")).collect()
     chunks: dict = {}
     for r in rows:
         chunks.setdefault(r.grp, {})[r.c] = np.asarray(r.g, dtype=np.float64)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.constants import ORACLE
+from routelens.constants import MONEY, ORACLE
 from routelens.operators.oracle import fill_performance, oracle_label
 
 
 def model_scores(long_df: DataFrame, by: tuple = ("eval_name", "model")) -> DataFrame:
     """Mean performance and total pico-USD cost per group; partial aggregation map-side."""
     return long_df.groupBy(*by).agg(F.avg("performance").alias("performance"),
-                                    F.sum("cost_pico").alias("total_cost_pico"))
+                                    F.sum(F.col("cost_pico").cast(MONEY)).alias("total_cost_pico"))
 
 
 def oracle_scores(long_df: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def oracle_scores(long_df: DataFrame) -> DataFrame:
     lab = oracle_label(long_df)
     return lab.groupBy("eval_name").agg(
         F.avg("oracle_performance").alias("performance"),
-        F.sum("oracle_cost_pico").alias("total_cost_pico")).select(
+        F.sum(F.col("oracle_cost_pico").cast(MONEY)).alias("total_cost_pico")).select(
         "eval_name", F.lit(ORACLE).alias("model"), "performance", "total_cost_pico")
 
 

@@ -79,11 +79,8 @@ def split_out_of_distribution(samples: DataFrame, wanted: str, family: str = "fa
 
 def leak_check(split: DataFrame, family: str = "family", sample: str = "sample_id") -> DataFrame:
     """Per family: train and test sizes and the number of prompts on both sides (must be 0)."""
-    tr = split.where(F.col("split") == "train").select(family, sample)
-    te = split.where(F.col("split") == "test").select(family, sample)
-    both = tr.join(te, [family, sample], "left_semi").groupBy(family).agg(F.count(F.lit(1)).alias("n_overlap"))
-    sizes = split.groupBy(family).agg(F.sum((F.col("split") == "train").cast("long")).alias("n_train"),
-                                      F.sum((F.col("split") == "test").cast("long")).alias("n_test"))
-    return sizes.join(both, family, "left").select(family, "n_train", "n_test",
-                                                   F.coalesce(F.col("n_overlap"), F.lit(0)).cast("long")
-                                                   .alias("n_overlap"))
+    train, test = [(F.col("split") == s).cast("long") for s in ("train", "test")]
+    per_prompt = split.groupBy(family, sample).agg(F.sum(train).alias("_tr"), F.sum(test).alias("_te"))
+    both = F.least(F.col("_tr"), F.lit(1)) * F.col("_te") * (F.col("_tr") > 0).cast("long")
+    return per_prompt.groupBy(family).agg(F.sum("_tr").alias("n_train"), F.sum("_te").alias("n_test"),
+                                          F.sum(F.when(both > 0, F.col("_tr")).otherwise(0)).alias("n_overlap"))

@@ -5,13 +5,7 @@ from __future__ import annotations
 
 def all_queries():
     """Import every query module (registration happens on import) and return the registry."""
-    from routelens.plans import queries_core  # noqa: F401
+    from routelens.plans import (queries_analysis, queries_cascade, queries_core, queries_ingest,  # noqa: F401
+                                 queries_knn, queries_learned, queries_split)
     from routelens.plans.registry import QUERIES
-    for mod in ("queries_ingest", "queries_split", "queries_knn", "queries_cascade", "queries_analysis",
-                "queries_learned"):
-        try:
-            __import__(f"routelens.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"routelens.plans.{mod}":
-                raise
     return QUERIES

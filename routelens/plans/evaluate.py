@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelens.constants import (CASCADE_ROUTER, KNN_NEIGHBORS, MLP_ACTIVATIONS, MLP_HIDDEN_LAYERS,
-                                 MLP_LEARNING_RATES, MLP_MAX_ITER, ORACLE, TRAIN_FRACTION, WTP_GRID)
+                                 MLP_LEARNING_RATES, MLP_MAX_ITER, MONEY, ORACLE, TRAIN_FRACTION, WTP_GRID)
 from routelens.operators.cascade import accept_thresholds, cascade_results, order_chains, simulate
 from routelens.operators.learned import fit_linear_abs, fit_mlp_grid, linear_scores, linear_weights_table, mlp_scores
 from routelens.functions.text import n_tokens_all
@@ -59,7 +59,7 @@ def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRA
     else:
         split = split_samples(samples.select("family", "sample_id"), fraction=fraction)
     if ood_wanted is None:
-        samples = samples.join(split.select("sample_id", "split"), "sample_id")
+        samples = samples.join(split.select("family", "sample_id", "split"), ["family", "sample_id"])
     else:
         # each wanted family W: train on the train part of every other family, test on W's test
         # part.  A train prompt is labelled with every wanted family but its own (an explode over
@@ -68,8 +68,8 @@ def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRA
         fam, side = F.col("family"), F.col("split")
         targets = F.when(side == "train", F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: w != fam)) \
             .otherwise(F.when(fam.isin(*wanted), F.array(fam)).otherwise(F.array().cast("array<string>")))
-        keep = split.select("sample_id", "split", F.explode(targets).alias("family"))
-        samples = samples.drop("family").join(keep, "sample_id")
+        keep = split.select(fam.alias("own"), "sample_id", "split", F.explode(targets).alias("family"))
+        samples = samples.withColumnRenamed("family", "own").join(keep, ["own", "sample_id"]).drop("own")
     if checkpoint:
         # the per-prompt table feeds several jobs (block sizing, kNN, prices, routing, baselines):
         # cut the lineage once with a table written in the shared folder
@@ -99,12 +99,16 @@ def family_prices(rd: RoutingData, prices: DataFrame) -> DataFrame:
     return price_vectors(prices, lengths, rd.n_models, ["family"])
 
 
+def _answers(rd: RoutingData) -> DataFrame:
+    """The test prompts' answers; a prompt is known by its family and id (families may share ids)."""
+    return rd.samples.where(F.col("split") == "test").select("family", F.col("sample_id").alias("query_id"), "answers")
+
+
 def knn_routed(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBORS,
                wtp_values: list[float] = WTP_GRID) -> DataFrame:
     """``(family, k, query_id, wtp, chosen_idx, chosen, performance, cost_pico)`` for every test prompt."""
-    ans = rd.samples.where(F.col("split") == "test").select(F.col("sample_id").alias("query_id"), "answers")
     # answers join one row per (k, prompt) before the 32-way wtp explode
-    sc = knn_scores(rd, ks).join(family_prices(rd, prices), "family").join(ans, "query_id")
+    sc = knn_scores(rd, ks).join(family_prices(rd, prices), "family").join(_answers(rd), ["family", "query_id"])
     return with_choice(route(sc, wtp_values))
 
 
@@ -112,7 +116,7 @@ def knn_results(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBOR
                 wtp_values: list[float] = WTP_GRID, embedding: str = "given", fraction: float = TRAIN_FRACTION):
     r = knn_routed(rd, prices, ks, wtp_values)
     g = r.groupBy("family", "k", "wtp").agg(F.avg("performance").alias("performance"),
-                                           F.sum("cost_pico").alias("total_cost_pico"))
+                                           F.sum(F.col("cost_pico").cast(MONEY)).alias("total_cost_pico"))
     return g.select(F.col("family").alias("eval_name"), F.lit("knn").alias("router"),
                     F.col("k").cast("int").alias("neighbors"), F.lit("cosine").alias("metric"),
                     F.lit(embedding).alias("embedding"), F.lit(float(fraction)).alias("fraction"),
@@ -123,9 +127,9 @@ def baseline_results(rd: RoutingData) -> DataFrame:
     """LLM and oracle rows on the test split, per family."""
     te = rd.long.where(F.col("split") == "test")
     llm = te.groupBy("family", "model").agg(F.avg("performance").alias("performance"),
-                                           F.sum("cost_pico").alias("total_cost_pico"))
+                                           F.sum(F.col("cost_pico").cast(MONEY)).alias("total_cost_pico"))
     orc = oracle_label(te, keys=("family", "sample_id")).groupBy("family").agg(
-        F.avg("oracle_performance").alias("performance"), F.sum("oracle_cost_pico").alias("total_cost_pico")
+        F.avg("oracle_performance").alias("performance"), F.sum(F.col("oracle_cost_pico").cast(MONEY)).alias("total_cost_pico")
     ).select("family", F.lit(ORACLE).alias("model"), "performance", "total_cost_pico")
     return llm.unionByName(orc).select(F.col("family").alias("eval_name"), F.col("model").alias("router"),
                                        "performance", "total_cost_pico")
@@ -144,11 +148,10 @@ MLP_EPOCHS = MLP_MAX_ITER          # an upper bound: nets stop early by the refe
 
 def _scored_results(rd: RoutingData, prices: DataFrame, scored: DataFrame, extra_cols=()) -> DataFrame:
     """``scored(family, query_id, scores[, extra...])`` -> per (family, extra..., wtp) results."""
-    ans = rd.samples.where(F.col("split") == "test").select(F.col("sample_id").alias("query_id"), "answers")
-    sc = scored.join(family_prices(rd, prices), "family").join(ans, "query_id")
+    sc = scored.join(family_prices(rd, prices), "family").join(_answers(rd), ["family", "query_id"])
     r = with_choice(route(sc))
     g = r.groupBy("family", *extra_cols, "wtp").agg(F.avg("performance").alias("performance"),
-                                                    F.sum("cost_pico").alias("total_cost_pico"))
+                                                    F.sum(F.col("cost_pico").cast(MONEY)).alias("total_cost_pico"))
     return g.select(F.col("family").alias("eval_name"), *extra_cols, "wtp", "performance", "total_cost_pico")
 
 
@@ -177,14 +180,14 @@ def mlp_results(rd: RoutingData, prices: DataFrame, epochs: int = MLP_EPOCHS, em
     fitted = fit_mlp_grid(train, rd.n_models, _dim(rd), [(h, a, MLP_FULL_BATCH_LR) for h, a, _ in configs],
                           epochs=epochs, group="family")
     parts = []
-    for ci, (hidden, act, lr) in enumerate(configs):
+    for ci, (hidden, act, _) in enumerate(configs):
         params = {g: p for (c, g), p in fitted.items() if c == ci}
         sc = mlp_scores(test, params, "sample_id", activation=act, group="family")
         # printed as configured: 100 -> "(100,)", [100, 100] -> "([100, 100],)"
         name = f"({hidden[0]},)" if len(hidden) == 1 else f"({list(hidden)},)"
         parts.append(sc.join(test.select("family", "sample_id"), "sample_id").select(
             "family", F.col("sample_id").alias("query_id"), "scores", F.lit(name).alias("hidden_layer_sizes"),
-            F.lit(act).alias("activation_function"), F.lit(float(lr)).alias("learning_rate")))
+            F.lit(act).alias("activation_function"), F.lit(float(MLP_FULL_BATCH_LR)).alias("learning_rate")))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)

@@ -15,13 +15,14 @@ from routelens.constants import KNN_NEIGHBORS, TRAIN_FRACTION
 from routelens.functions.hashing import cache_key
 from routelens.functions.logs import parse_list_literal
 from routelens.operators.cost import price_answers
-from routelens.operators.embed import embed_with_cache, hash_embed
+from routelens.operators.embed import embed_with_cache, encoder_embed, hash_embed
 from routelens.operators.frontier import aiq, aiq_ranking, ndch
 from routelens.operators.logs import attach_header, fold_events, parse_log_lines, scan_run_logs
 from routelens.operators.oracle import oracle_label
 from routelens.operators.reshape import complete_samples, dedupe_first
 from routelens.operators.results import best_variant
 from routelens.plans.evaluate import evaluate_all, prepare
+from routelens.session import materialize, path_exists
 from routelens.sources.results_io import to_reference_layout
 from routelens.sources.tables import read_prices_csv
 
@@ -36,6 +37,7 @@ class ConvertOptions:
     store_path: str | None = None            # embedding store (parquet, partitioned by embedding model)
     embedding_models: list[str] = field(default_factory=lambda: ["hash32"])
     prices_path: str | None = None           # default: the shipped price list
+    encoders: dict = field(default_factory=dict)   # embedding model -> (encoder factory, width)
 
 
 @dataclass
@@ -51,6 +53,7 @@ class EvaluateOptions:
     mlp_epochs: int = 200
     prices_path: str | None = None
     routers: tuple = ("knn", "svm", "mlp", "cascading router")
+    encoders: dict = field(default_factory=dict)   # embedding model -> (encoder factory, width)
     csv_path: str | None = None              # also write the results in the surveyed CSV layout
 
 
@@ -91,35 +94,55 @@ def read_long(spark: SparkSession, opts: ConvertOptions) -> DataFrame:
                       F.nanvl(F.col("performance").cast("double"), F.lit(None).cast("double")).alias("performance"))
 
 
+def convert_long(long: DataFrame, prices: DataFrame, model_idx: F.Column) -> DataFrame:
+    """Long answers -> one row per (sample, eval, model) with mean performance, cost, oracle and prompt.
+
+    A prompt is known by its sample id and eval name together (evals may share ids).  Rows that repeat
+    a (sample, eval, model) are averaged (missing grades skipped) and keep their cheapest cost.  One
+    shuffle of the answers: every later group and join uses the same keys.
+    """
+    keys = ["sample_id", "eval_name"]
+    samples = long.withColumn("model_idx", model_idx).groupBy(*keys).agg(
+        F.min("prompt").alias("prompt"),
+        F.collect_list(F.struct("model", "model_idx", "performance", "response")).alias("answers"))
+    priced = price_answers(samples, prices, keys=(*keys, "prompt"))
+    per_model = priced.groupBy(*keys, "prompt", "model", "model_idx").agg(
+        F.avg("performance").alias("performance"), F.min("response").alias("response"),
+        F.min("cost_pico").alias("cost_pico"))
+    lab = oracle_label(per_model, keys=tuple(keys)).select(*keys, "oracle")
+    return per_model.join(lab, keys).withColumn("performance", F.coalesce(F.col("performance"), F.lit(0.0)))
+
+
+def embedder(name: str, encoders: dict) -> tuple:
+    """How prompts are embedded under a model name: ``hash<d>`` is the hash embedder of width d, any
+    other name must be registered in ``encoders`` as (factory, width); see ``encoder_embed``."""
+    if name in encoders:
+        factory, dim = encoders[name]
+        return lambda m: encoder_embed(m, "prompt", "hash", factory, dim)
+    if name.startswith("hash") and name[4:].isdigit():
+        return lambda m: hash_embed(m, "prompt", "hash", int(name[4:]))
+    raise ValueError(f"no encoder for embedding model {name}")
+
+
+def fill_store(spark: SparkSession, texts: DataFrame, store_path: str, name: str, encoders: dict) -> None:
+    """Embeds the prompts that the store lacks for this model and appends them; an absent store is empty."""
+    store = (spark.read.parquet(store_path) if path_exists(spark, store_path) else
+             spark.createDataFrame([], "hash string, embedding_model string, prompt string, embedding array<float>"))
+    embed_with_cache(texts, store, name, embedder(name, encoders), append_to=store_path)
+
+
 def convert_job(spark: SparkSession, opts: ConvertOptions) -> str:
     """Price every answer, label the oracle, fill missing grades with 0 and make sure every
     prompt has its embeddings in the store; writes the converted long table."""
-    long = read_long(spark, opts)
-    prices = read_prices_csv(spark, opts.prices_path)
+    long = materialize(read_long(spark, opts), "convert-long")     # scanned and parsed once
     # model order: by name (a tiny distinct list), the tie-break order of the oracle and routers
     names = sorted(r.model for r in long.select("model").distinct().collect())
     idx = F.element_at(F.create_map(*[x for i, m in enumerate(names) for x in (F.lit(m), F.lit(i))]), F.col("model"))
-    long = long.withColumn("model_idx", idx)
-    samples = long.groupBy("sample_id", "eval_name").agg(
-        F.first("prompt").alias("prompt"),
-        F.collect_list(F.struct("model", "model_idx", "performance", "response")).alias("answers"))
-    priced = price_answers(samples, prices, keys=("sample_id", "eval_name"))
-    lab = oracle_label(priced, keys=("sample_id",)).select("sample_id", "oracle")
-    prompts = samples.select("sample_id", "prompt")
-    out = (priced.join(lab, "sample_id").join(prompts, "sample_id")
-           .withColumn("performance", F.coalesce(F.col("performance"), F.lit(0.0))))
-    out.write.mode("overwrite").parquet(opts.output_path)
+    convert_long(long, read_prices_csv(spark, opts.prices_path), idx).write.mode("overwrite").parquet(opts.output_path)
     if opts.store_path:
         texts = spark.read.parquet(opts.output_path).select(_prompt_text(F.col("prompt")).alias("prompt")).distinct()
         for model in opts.embedding_models:
-            try:
-                store = spark.read.parquet(opts.store_path)
-            except Exception:
-                store = spark.createDataFrame([], "hash string, embedding_model string, prompt string, "
-                                                  "embedding array<float>")
-            # misses only: embedded once, appended to the store
-            embed_with_cache(texts, store, model, lambda m: hash_embed(m, "prompt", "hash"),
-                             append_to=opts.store_path)
+            fill_store(spark, texts, opts.store_path, model, opts.encoders)
     return opts.output_path
 
 
@@ -138,8 +161,7 @@ def evaluate_job(spark: SparkSession, opts: EvaluateOptions) -> str:
     long = spark.read.parquet(opts.data_path)
     # look every prompt up in the store; misses are embedded once and appended (as the cache does)
     texts = long.select(_prompt_text(F.col("prompt")).alias("prompt")).distinct()
-    embed_with_cache(texts, spark.read.parquet(opts.store_path), opts.embedding_model,
-                     lambda m: hash_embed(m, "prompt", "hash"), append_to=opts.store_path)
+    fill_store(spark, texts, opts.store_path, opts.embedding_model, opts.encoders)
     store = (spark.read.parquet(opts.store_path).where(F.col("embedding_model") == opts.embedding_model)
              .select("hash", "embedding").dropDuplicates(["hash"]))
     long = long.withColumn("hash", cache_key(_prompt_text(F.col("prompt")), F.lit(opts.embedding_model)))
@@ -166,8 +188,12 @@ def analyse_job(spark: SparkSession, opts: AnalyseOptions) -> dict[str, str]:
     """Best variants, frontiers (NDCH per variant and of the plain models) and AIQ ranking."""
     res = spark.read.parquet(opts.results_path)
     routers = res.where(F.col("wtp").isNotNull())
-    variant = ["router", "neighbors", "hidden_layer_sizes", "embedding"]
-    routers = routers.fillna({"neighbors": -1, "hidden_layer_sizes": "", "embedding": ""})
+    variant = ["router", "neighbors", "metric", "hidden_layer_sizes", "activation_function", "learning_rate", "embedding"]
+    for c, kind in (("metric", "string"), ("activation_function", "string"), ("learning_rate", "double")):
+        if c not in routers.columns:     # no router family of the results has it
+            routers = routers.withColumn(c, F.lit(None).cast(kind))
+    routers = routers.fillna({"neighbors": -1, "metric": "", "hidden_layer_sizes": "", "activation_function": "",
+                              "learning_rate": -1.0, "embedding": ""})
     points = routers.select("eval_name", *variant, F.col("wtp").alias("willingness_to_pay"), "performance",
                             F.col("total_cost_pico").alias("total_cost"))
     llm = res.where(F.col("wtp").isNull() & F.col("max_cost_per_response").isNull()
@@ -186,8 +212,9 @@ def analyse_job(spark: SparkSession, opts: AnalyseOptions) -> dict[str, str]:
     series = points.join(best, ["eval_name"] + variant, "left_semi").select(
         "eval_name", *variant, F.col("willingness_to_pay").alias("x_value"), "total_cost", "performance")
     casc = res.where(F.col("max_cost_per_response").isNotNull() & (F.col("evaluator_error_rate") == 0.2)).select(
-        "eval_name", "router", F.lit(-1).alias("neighbors"), F.lit("").alias("hidden_layer_sizes"),
-        F.lit("").alias("embedding"), F.col("max_cost_per_response").alias("x_value"),
+        "eval_name", "router", F.lit(-1).alias("neighbors"), F.lit("").alias("metric"),
+        F.lit("").alias("hidden_layer_sizes"), F.lit("").alias("activation_function"),
+        F.lit(-1.0).alias("learning_rate"), F.lit("").alias("embedding"), F.col("max_cost_per_response").alias("x_value"),
         F.col("total_cost_pico").alias("total_cost"), "performance")
     out["plot_series"] = series.unionByName(casc)
     out["eval_names"] = res.select("eval_name").distinct()

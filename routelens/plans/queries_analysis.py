@@ -10,7 +10,7 @@ from routelens.operators.frontier import aiq, aiq_ranking, ndch
 from routelens.operators.results import (best_variant, display_names, macro_mean, mark_baselines, plot_points,
                                          results_wide, results_wide_by_variant, union_results, with_display_name)
 from routelens.operators.scores import eval_scores
-from routelens.plans.registry import query
+from routelens.plans.registry import as_long, query
 from routelens.session import scratch_path
 from routelens.sources.results_io import load_results, save_results
 from routelens.sources.fixtures import eval_long, fixture_variant_names, variant_results
@@ -28,7 +28,7 @@ def _vr(spark, sf_dir):
 
 def _scores(spark, sf_dir):
     s = eval_scores(eval_long(spark, sf_dir))
-    return s.select("eval_name", "model", "performance", F.col("total_cost_pico").alias("total_cost"))
+    return s.select("eval_name", "model", "performance", as_long("total_cost_pico").alias("total_cost"))
 
 
 def _wtp_text():

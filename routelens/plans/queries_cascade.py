@@ -9,7 +9,7 @@ from routelens.functions.text import n_tokens_all
 from routelens.operators.oracle import fill_performance
 from routelens.operators.reshape import drop_null_rows, to_answers
 from routelens.operators.routing import price_vectors
-from routelens.plans.registry import query
+from routelens.plans.registry import as_long, query
 from routelens.session import materialize
 from routelens.sources.fixtures import N_MODELS, eval_long, model_price
 
@@ -42,7 +42,7 @@ def q_cascade(spark, sf_dir):
     r = cascade_run(spark, sf_dir)
     return r.select("eval_name", "max_cost_per_response", "evaluator_error_rate",
                     r6("performance_threshold").alias("performance_threshold"),
-                    r6("performance").alias("performance"), "total_cost_pico")
+                    r6("performance").alias("performance"), as_long("total_cost_pico"))
 
 
 @query("q_cascade_grid")
@@ -52,11 +52,11 @@ def q_cascade_grid(spark, sf_dir):
         F.avg("performance").alias("performance"), F.sum("total_cost_pico").alias("total_cost_pico"),
         F.count(F.lit(1)).alias("n_evals"))
     return g.select("max_cost_per_response", "evaluator_error_rate", r6("performance").alias("performance"),
-                    "total_cost_pico", "n_evals")
+                    as_long("total_cost_pico"), "n_evals")
 
 
 @query("q_cascade_series")
 def q_cascade_series(spark, sf_dir):
     """Plot series of the cascade: its variant at judge error rate 0.2, one point per budget."""
     r = cascade_run(spark, sf_dir).where(F.col("evaluator_error_rate") == 0.2)
-    return r.select("eval_name", "max_cost_per_response", "total_cost_pico", r6("performance").alias("performance"))
+    return r.select("eval_name", "max_cost_per_response", as_long("total_cost_pico"), r6("performance").alias("performance"))

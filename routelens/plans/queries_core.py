@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from routelens.operators.cost import price_answers, response_length
 from routelens.operators.oracle import fill_performance, oracle_label
 from routelens.operators.scores import eval_scores, oracle_scores
-from routelens.plans.registry import query
+from routelens.plans.registry import as_long, query
 from routelens.sources.fixtures import eval_long, model_price
 from routelens.functions.text import n_tokens
 from routelens.sources.tables import read_table
@@ -42,13 +42,13 @@ def q_oracle_label(spark, sf_dir):
 @query("q_oracle_scores")
 def q_oracle_scores(spark, sf_dir):
     s = oracle_scores(eval_long(spark, sf_dir))
-    return s.select("eval_name", "model", r6("performance").alias("performance"), "total_cost_pico")
+    return s.select("eval_name", "model", r6("performance").alias("performance"), as_long("total_cost_pico"))
 
 
 @query("q_eval_scores")
 def q_eval_scores(spark, sf_dir):
     s = eval_scores(eval_long(spark, sf_dir))
-    return s.select("eval_name", "model", r6("performance").alias("performance"), "total_cost_pico")
+    return s.select("eval_name", "model", r6("performance").alias("performance"), as_long("total_cost_pico"))
 
 
 @query("q_fill_performance")

@@ -8,13 +8,15 @@ from routelens.functions.logs import choice_score, metric_value, parse_list_lite
 from routelens.operators.cost import price_answers, with_token_cost
 from routelens.operators.logs import attach_header, fold_events, parse_log_lines, scan_run_logs, write_run_logs
 from routelens.operators.oracle import oracle_label
-from routelens.operators.reshape import (complete_samples, dedupe_first, eval_from_sample_id, filter_family,
+from routelens.operators.reshape import (complete_samples, dedupe_first, eval_from_sample_id, filter_family, one_to_one,
                                          model_list, to_wide, wide_to_long)
 from routelens.plans.registry import query
 from routelens.session import materialize, scratch_path
 from routelens.sources.fixtures import (eval_long, list_literal, log_events, log_lines, model_price, prompt_lines,
                                         stringified_prompts)
-from routelens.sources.tables import read_table
+from routelens.plans.jobs import convert_long
+from routelens.functions.text import n_tokens
+from routelens.sources.tables import read_prices_csv, read_table
 
 MODELS = [f"m{i}" for i in range(5)]
 SEP = "\u0001"
@@ -135,7 +137,8 @@ def q_log_scan(spark, sf_dir):
     ev = attach_header(parse_log_lines(scan_run_logs(spark, path)))
     folded = fold_events(ev.where(F.col("run_id").isNotNull()))
     return folded.select(F.regexp_extract("file", r"file=([^/]+)", 1).alias("file"), "sample_id",
-                         F.size("prompt").alias("n_prompts"), F.size("sampled").alias("n_sampled"), "correct")
+                         F.size("prompt").alias("n_prompts"), _md5_list("prompt").alias("prompt_md5"),
+                         F.size("sampled").alias("n_sampled"), _md5_list("sampled").alias("sampled_md5"), "correct")
 
 
 def converted_logs(spark, sf_dir):
@@ -208,3 +211,36 @@ def q_convert_csv(spark, sf_dir):
     lab = oracle_label(price_answers(samples, model_price(spark)), keys=("sample_id",))
     return lab.select("sample_id", eval_from_sample_id("sample_id").alias("eval_name"), "oracle",
                       "oracle_cost_pico")
+
+
+@query("q_convert_job")
+def q_convert_job(spark, sf_dir):
+    """The long-table convertor on hard keys: evals share sample ids, a (sample, eval, model) may
+    repeat, and some grades are missing."""
+    el = eval_long(spark, sf_dir)
+    long = el.select(F.floor(F.col("doc_id") / 3).cast("string").alias("sample_id"), F.col("family").alias("eval_name"),
+                     "model", "model_idx", "prompt", "response",
+                     F.when(F.col("doc_id") % 11 != 3, F.col("performance")).alias("performance"))
+    out = convert_long(long, model_price(spark), F.col("model_idx"))
+    return out.select("sample_id", "eval_name", "model", r6("performance").alias("performance"), "cost_pico", "oracle")
+
+
+@query("q_one_to_one")
+def q_one_to_one(spark, sf_dir):
+    return one_to_one(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("q_price_list")
+def q_price_list(spark, sf_dir):
+    """What the shipped price list asks for reading every document once, per model."""
+    tokens = read_table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.sum(n_tokens("text")).alias("t"))
+    p = read_prices_csv(spark)
+    one = F.lit(1).alias("one")
+    total = F.col("t") * F.col("prompt_pico") + F.col("n") * F.coalesce("request_pico", F.lit(0))
+    return (p.select("*", one).join(tokens.select("*", one), "one")   # one row of totals
+            .select("model", total.cast("long").alias("cost_pico")))
+
+
+@query("q_eval_names")
+def q_eval_names(spark, sf_dir):
+    return eval_long(spark, sf_dir).select("eval_name").distinct()

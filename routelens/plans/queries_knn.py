@@ -8,7 +8,7 @@ from routelens.constants import KNN_NEIGHBORS, WTP_GRID, WTP_TEXT
 from routelens.functions.variants import variant_name
 from routelens.plans.evaluate import (baseline_results, eval_results, family_prices, knn_neighbors, knn_routed,
                                       knn_results, knn_scores, prepare)
-from routelens.plans.registry import query
+from routelens.plans.registry import as_long, query
 from routelens.sources.fixtures import N_MODELS, model_price, router_samples
 
 
@@ -22,11 +22,25 @@ def _rd(spark, sf_dir):
 
 @query("q_knn_neighbors")
 def q_knn_neighbors(spark, sf_dir):
-    nb = knn_neighbors(_rd(spark, sf_dir), max(KNN_NEIGHBORS))
-    return nb.select("family", F.col("query_id").alias("sample_id"), "neighbor_id", r6("sim").alias("sim"),
+    return _neighbors(spark, sf_dir, "cosine")
+
+
+def _neighbors(spark, sf_dir, metric, digits=6):
+    nb = knn_neighbors(_rd(spark, sf_dir), max(KNN_NEIGHBORS), metric)
+    return nb.select("family", F.col("query_id").alias("sample_id"), "neighbor_id", F.round("sim", digits).alias("sim"),
                      F.col("rank").cast("long").alias("rank"))
 
 
+@query("q_knn_euclidean")
+def q_knn_euclidean(spark, sf_dir):
+    return _neighbors(spark, sf_dir, "euclidean", 4)
+
+
+@query("q_knn_manhattan")
+def q_knn_manhattan(spark, sf_dir):
+    return _neighbors(spark, sf_dir, "manhattan", 4)
+
+
 @query("q_knn_scores")
 def q_knn_scores(spark, sf_dir):
     sc = knn_scores(_rd(spark, sf_dir))
@@ -59,7 +73,7 @@ def q_route_lookup(spark, sf_dir):
 @query("q_wtp_sweep")
 def q_wtp_sweep(spark, sf_dir):
     r = knn_results(_rd(spark, sf_dir), model_price(spark))
-    return r.select("eval_name", "neighbors", "wtp", r6("performance").alias("performance"), "total_cost_pico")
+    return r.select("eval_name", "neighbors", "wtp", r6("performance").alias("performance"), as_long("total_cost_pico"))
 
 
 @query("q_knn_grid")
@@ -70,20 +84,20 @@ def q_knn_grid(spark, sf_dir):
     name = variant_name("knn", [("neighbors", F.col("neighbors").cast("string")), ("metric", F.col("metric")),
                                 ("embedding", F.col("embedding")), ("fraction", F.lit("0.7")),
                                 ("willingness_to_pay", wtp_text)])
-    return r.select("eval_name", name.alias("variant"), r6("performance").alias("performance"), "total_cost_pico")
+    return r.select("eval_name", name.alias("variant"), r6("performance").alias("performance"), as_long("total_cost_pico"))
 
 
 @query("q_router_scores")
 def q_router_scores(spark, sf_dir):
     r = eval_results(_rd(spark, sf_dir), model_price(spark))
     return r.select("eval_name", "router", "neighbors", "wtp", r6("performance").alias("performance"),
-                    "total_cost_pico")
+                    as_long("total_cost_pico"))
 
 
 @query("q_test_baselines")
 def q_test_baselines(spark, sf_dir):
     r = baseline_results(_rd(spark, sf_dir))
-    return r.select("eval_name", "router", r6("performance").alias("performance"), "total_cost_pico")
+    return r.select("eval_name", "router", r6("performance").alias("performance"), as_long("total_cost_pico"))
 
 
 @query("q_route_knn_ood")
@@ -101,4 +115,4 @@ def q_wtp_sweep_sources(spark, sf_dir):
     """kNN sweep with the source-group split (whole sources on one side)."""
     rd = prepare(router_samples(spark, sf_dir), N_MODELS, split_by="source")
     r = knn_results(rd, model_price(spark))
-    return r.select("eval_name", "neighbors", "wtp", r6("performance").alias("performance"), "total_cost_pico")
+    return r.select("eval_name", "neighbors", "wtp", r6("performance").alias("performance"), as_long("total_cost_pico"))

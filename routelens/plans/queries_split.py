@@ -17,7 +17,10 @@ EMBED_MODEL = "hash32"
 
 
 def _samples(spark, sf_dir):
-    return eval_long(spark, sf_dir).select("family", "source", "sample_id").distinct()
+    """The prompts, straight from the documents (an answer per model would repeat each five times)."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select(F.col("lang").alias("family"), "source",
+                    F.concat_ws(".", "lang", "source", F.col("doc_id").cast("string")).alias("sample_id"))
 
 
 @query("q_split_samples")

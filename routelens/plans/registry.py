@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -17,3 +18,8 @@ def query(name: str):
         QUERIES[name] = fn
         return fn
     return deco
+
+
+def as_long(name: str) -> Column:
+    """A money total of a registered query as BIGINT, the type its SQL twin prints."""
+    return F.col(name).cast("long").alias(name)

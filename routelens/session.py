@@ -37,13 +37,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide scratch folder: ``spark.checkpoint.dir``.
 
-    If the session has none (local tests), a fresh local folder is created and
-    registered, so later ``checkpoint()`` calls and written tables land there.
+    A local master without one gets a fresh local folder, so later ``checkpoint()`` calls and written
+    tables land there.  On any other master the setting is required: executors would each write to
+    their own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         path = tempfile.mkdtemp(prefix="routelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -69,6 +73,13 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 _SHIPPED: set[str] = set()
 
 

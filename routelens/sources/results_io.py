@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routelens.session import path_exists
+
 
 def save_results(df: DataFrame, root: str, base_name: str, data_name: str, fmt: str = "parquet",
                  if_absent: bool = False) -> str:
@@ -20,11 +22,8 @@ def save_results(df: DataFrame, root: str, base_name: str, data_name: str, fmt:
     if if_absent:
         # partition-level "write only if absent": skip when this data set's folder exists
         part = os.path.join(path, f"data_name={data_name}")
-        try:
-            df.sparkSession.read.format(fmt).load(part).limit(1).count()
+        if path_exists(df.sparkSession, part):
             return path
-        except Exception:
-            pass
     w = out.write.mode("append").partitionBy("data_name")
     if fmt == "csv":
         w.option("header", True).csv(path)
@@ -44,6 +43,8 @@ def load_results(spark: SparkSession, path: str, data_name: str | None = None, f
     df = r.load(path)
     if data_name is not None:
         df = df.where(F.col("data_name") == data_name)
+    if "accuracy" in df.columns and "performance" not in df.columns:
+        df = df.withColumnRenamed("accuracy", "performance")   # the column's name in old results
     return df.drop("data_name").distinct()
 
 

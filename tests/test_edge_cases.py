@@ -367,12 +367,12 @@ def test_mlp_early_stopping_freezes_converged_nets(spark):
     assert all(np.array_equal(x[0], y[0]) and np.array_equal(x[1], y[1]) for x, y in zip(wa, wb))
 
 
-def test_knn_nan_embedding_ranks_last(spark):
+def test_knn_nan_embedding_is_nobodys_neighbour(spark):
     q = spark.createDataFrame([("g", "q", [0.0, 0.0])], "g string, sample_id string, embedding array<double>")
     t = spark.createDataFrame([("g", "a", [float("nan"), 0.0]), ("g", "b", [1.0, 1.0]), ("g", "c", [3.0, 3.0])],
                               "g string, sample_id string, embedding array<double>")
     r = sorted((x.rank, x.neighbor_id) for x in knn_topk(q, t, 3, ["g"], metric="euclidean").collect())
-    assert [n for _, n in r] == ["b", "c", "a"]
+    assert [n for _, n in r] == ["b", "c"]
 
 
 def test_knn_cosine_zero_vector_and_nan(spark):
@@ -381,7 +381,7 @@ def test_knn_cosine_zero_vector_and_nan(spark):
                                ("g", "zero", [0.0, 0.0]), ("g", "pos", [1.0, 0.1])],
                               "g string, sample_id string, embedding array<double>")
     r = sorted((x.rank, x.neighbor_id) for x in knn_topk(q, t, 4, ["g"]).collect())
-    assert [n for _, n in r] == ["pos", "zero", "neg", "nan"]
+    assert [n for _, n in r] == ["pos", "zero", "neg"]
 
 
 def test_reference_layout_export(spark):
