@@ -145,7 +145,7 @@ FROM eval_long WHERE starts_with(eval_name, 'en') GROUP BY eval_name
 """)
 
 sql("q_eval_from_id", """
-SELECT sample_id, split_part(sample_id, '.', 1) AS eval_family FROM eval_long WHERE model_idx = 0
+SELECT sample_id, model, split_part(sample_id, '.', 1) AS eval_family FROM eval_long
 """)
 
 sql("q_models", "SELECT model, min(model_idx) AS model_idx FROM eval_long GROUP BY model")
@@ -189,7 +189,7 @@ SELECT conv_id, len(sel)::INTEGER AS n_selected, md5(array_to_string(sel, chr(1)
 LOG_FOLD = """
 lab AS (SELECT doc_id AS conv_id, quality::DOUBLE AS correct FROM labels),
 fold AS (
-  SELECT 'conv' || (conv_id % 7)::VARCHAR || '.jsonl' AS file, conv_id,
+  SELECT 'conv' || ((conv_id % 7 + conv_id // 5000 * 7))::VARCHAR || '.jsonl' AS file, conv_id,
          coalesce(list(text ORDER BY turn) FILTER (WHERE role <> 'assistant'), []) AS prompts,
          coalesce(list(text ORDER BY turn) FILTER (WHERE role = 'assistant'), []) AS s0
   FROM conversations GROUP BY conv_id),
@@ -207,10 +207,10 @@ FROM folded
 
 ORACLE_SQL["q_log_header"] = """
 WITH ev AS (
-  SELECT conv_id, conv_id % 7 AS k, conv_id * 100 + turn + 1 AS pos, 'sampling' AS type
+  SELECT conv_id, (conv_id % 7 + conv_id // 5000 * 7) AS k, conv_id * 100 + turn + 1 AS pos, 'sampling' AS type
   FROM conversations
   UNION ALL
-  SELECT DISTINCT c.conv_id, c.conv_id % 7 AS k, c.conv_id * 100 + 99 AS pos, 'match' AS type
+  SELECT DISTINCT c.conv_id, (c.conv_id % 7 + c.conv_id // 5000 * 7) AS k, c.conv_id * 100 + 99 AS pos, 'match' AS type
   FROM conversations c JOIN labels l ON l.doc_id = c.conv_id)
 SELECT 'conv' || k::VARCHAR || '.jsonl' AS file, pos, conv_id::VARCHAR AS sample_id, type,
        'm' || (k % 5)::VARCHAR AS model, 'conv-' || k::VARCHAR AS eval_name
@@ -219,10 +219,10 @@ FROM ev WHERE k <> 3
 
 ORACLE_SQL["q_convert_logs"] = "WITH " + LOG_FOLD.strip() + f""",
 conv AS (
-  SELECT sample_id, 'conv-' || (conv_id % 7)::VARCHAR AS eval_name, 'm' || (conv_id % 7 % 5)::VARCHAR AS model,
-         (conv_id % 7 % 5)::INTEGER AS m, prompts, sampled,
+  SELECT sample_id, 'conv-' || ((conv_id % 7 + conv_id // 5000 * 7))::VARCHAR AS eval_name, 'm' || ((conv_id % 7 + conv_id // 5000 * 7) % 5)::VARCHAR AS model,
+         ((conv_id % 7 + conv_id // 5000 * 7) % 5)::INTEGER AS m, prompts, sampled,
          CASE WHEN correct = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS performance
-  FROM folded WHERE conv_id % 7 <> 3 AND correct IS NOT NULL),
+  FROM folded WHERE (conv_id % 7 + conv_id // 5000 * 7) <> 3 AND correct IS NOT NULL),
 priced AS (
   SELECT sample_id, eval_name, model, performance,
          (coalesce((SELECT sum({ntok('x')}) FROM unnest(prompts) t(x)), 0) * 100000 * (m + 1)
@@ -266,8 +266,8 @@ FROM (SELECT DISTINCT family, source, sample_id FROM s) s JOIN (
 """, SPLIT_CTE)
 
 sql("q_split_ood", """
-SELECT family, sample_id, split FROM split
-WHERE (family <> 'en' AND split = 'train') OR (family = 'en' AND split = 'test')
+SELECT wanted, family, sample_id, split FROM split, (VALUES ('de'), ('en'), ('es'), ('fr')) w(wanted)
+WHERE (family <> wanted AND split = 'train') OR (family = wanted AND split = 'test')
 """, SPLIT_CTE)
 
 sql("q_split_leak_check", """
@@ -623,7 +623,7 @@ SELECT file, sample_id, len(prompts)::INTEGER AS n_prompts, md5(array_to_string(
        len(sampled)::INTEGER AS n_sampled, md5(array_to_string(sampled, chr(1))) AS sampled_md5,
        CASE WHEN correct IS NULL THEN NULL WHEN correct = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS correct
 FROM folded
-WHERE conv_id % 7 <> 3
+WHERE (conv_id % 7 + conv_id // 5000 * 7) <> 3
 """
 
 ORACLE_SQL["q_prompt_extract"] = """
@@ -667,11 +667,12 @@ FROM scores WHERE starts_with(eval_name, 'en') GROUP BY model
 """, VR_CTE)
 
 KNN_OOD_CTE = (KNN_CTE.replace("FROM split s", "FROM split2 s").replace("JOIN split s", "JOIN split2 s")
-               .replace("vec AS (", "split2 AS (SELECT 'en' AS family, sample_id, split FROM split\n"
-                        "  WHERE (family <> 'en' AND split = 'train') OR (family = 'en' AND split = 'test')),\nvec AS (", 1))
+               .replace("vec AS (", "split2 AS (SELECT wanted AS family, sample_id, split\n"
+                        "  FROM split, (VALUES ('de'), ('en'), ('es'), ('fr')) x(wanted)\n"
+                        "  WHERE (family <> wanted AND split = 'train') OR (family = wanted AND split = 'test')),\nvec AS (", 1))
 
 sql("q_route_knn_ood", """
-SELECT k::INTEGER AS neighbors, wtp, query_id AS sample_id, chosen, performance, cost_pico FROM looked
+SELECT family, k::INTEGER AS neighbors, wtp, query_id AS sample_id, chosen, performance, cost_pico FROM looked
 """, KNN_OOD_CTE)
 
 _SRC_SPLIT = """split AS (

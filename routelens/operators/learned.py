@@ -5,14 +5,14 @@ data-parallel: every round is ONE pass over the training rows in which each task
 folds its rows into fixed-size partial sums with numpy (``mapInPandas``); the
 partial sums are added in two grouped steps (neighbouring tasks first), and
 only the fixed-size total (independent of the row count) reaches the driver,
-which takes the solver step.  Predictions are plain Spark expressions (linear)
+which takes the solver step (or averages the weights).  Predictions are plain Spark expressions (linear)
 or one Arrow-batched pass (MLP) -- no per-row Python.
 
 * linear: L2-regularised absolute-error fit (the objective of a linear SVR with
   epsilon 0) by iteratively reweighted least squares; all models in one pass.
-* mlp: feed-forward nets per model (any hidden sizes, e.g. (100,) or (100, 100)),
-  full-batch Adam on squared error with L2 penalty; deviation from mini-batch
-  training is documented in the README.
+* mlp: feed-forward nets per model (any hidden sizes, e.g. (100,) or (100, 100)), mini-batch
+  Adam on squared error with L2 penalty inside each task, weights averaged over the tasks
+  once a pass.
 
 NULL targets get weight 0 (rows with an unknown grade do not train that model).
 """
@@ -182,15 +182,46 @@ def _mlp_forward(X, params, activation: str = "relu"):
     return outs
 
 
+BATCH = 200
+LOCAL_EPOCHS = 10
+
+
+def _train_local(theta: np.ndarray, shapes, act: str, lr: float, X: np.ndarray, y: np.ndarray, alpha: float,
+                 epochs: int, seed: int) -> tuple[np.ndarray, float]:
+    """Mini-batch Adam on 0.5 * squared error + alpha / (2 batch) * ||W||^2 over the given rows;
+    returns the weights after ``epochs`` and the squared error before."""
+    f, df = _ACT[act]
+    rng = np.random.default_rng(seed)
+    m1, v1, t = np.zeros_like(theta), np.zeros_like(theta), 0
+    sse = float(((_mlp_forward(X, [_unflatten(theta, shapes)], act)[0] - y) ** 2).sum())
+    for _ in range(epochs):
+        order = rng.permutation(len(X))
+        for at in range(0, len(X), BATCH):
+            rows = order[at:at + BATCH]
+            layers, Hs, Zs = _unflatten(theta, shapes), [X[rows]], []
+            for i, (W, b) in enumerate(layers):
+                Zs.append(Hs[-1] @ W + b)
+                Hs.append(Zs[-1] if i == len(layers) - 1 else f(Zs[-1]))
+            dZ, parts = (Hs[-1] - y[rows][:, None]) / len(rows), []
+            for i in range(len(layers) - 1, -1, -1):
+                parts.append(np.concatenate([(Hs[i].T @ dZ + alpha / len(rows) * layers[i][0]).ravel(), dZ.sum(0)]))
+                if i > 0:
+                    dZ = (dZ @ layers[i][0].T) * df(Zs[i - 1], Hs[i])
+            grad, t = np.concatenate(parts[::-1]), t + 1
+            m1, v1 = 0.9 * m1 + 0.1 * grad, 0.999 * v1 + 0.001 * grad * grad
+            theta = theta - lr * (m1 / (1 - 0.9 ** t)) / (np.sqrt(v1 / (1 - 0.999 ** t)) + 1e-8)
+    return theta, sse
+
+
 def fit_mlp_grid(train: DataFrame, n_models: int, dim: int, configs: list[tuple], epochs: int = 30,
                  alpha: float = 1e-4, seed: int = 1234, vec: str = "embedding", target: str = "perf",
                  group: str | None = None, tol: float = 1e-4, n_iter_no_change: int = 10) -> dict:
     """Feed-forward nets for every configuration ``(hidden sizes, activation, learning rate)``,
-    group and model, trained together: ONE pass over the data per epoch computes the
-    gradients and losses of all of them.  Full-batch Adam on 0.5 * mean squared error +
-    alpha / (2 n) * ||W||^2.  A net stops once its loss has not improved by ``tol`` for more
-    than ``n_iter_no_change`` epochs (the reference estimator's rule); the passes end when
-    every net has stopped or after ``epochs``.
+    group and model, trained together.  Each pass over the data runs ``LOCAL_EPOCHS`` epochs of
+    mini-batch Adam (batches of ``BATCH``, the configuration's own rate) inside every task and averages
+    the tasks' weights by their rows: ``epochs`` cost ``epochs / LOCAL_EPOCHS`` passes.  A net stops once
+    its loss has not improved by ``tol`` for ``n_iter_no_change`` epochs (the reference estimator's
+    rule, seen once a pass); the passes end when every net has stopped or after ``epochs``.
     Returns ``{(config index, group): [per model [(W, b), ...]]}``."""
     groups = [""] if group is None else sorted(str(r[0]) for r in train.select(group).distinct().collect())
     cols = [vec, target] + ([group] if group else [])
@@ -207,72 +238,50 @@ def fit_mlp_grid(train: DataFrame, n_models: int, dim: int, configs: list[tuple]
             for a, b in shapes:
                 lim = np.sqrt(6.0 / (a + b))
                 parts += [rng.uniform(-lim, lim, a * b), np.zeros(b)]
-        return np.concatenate(parts)
+        return np.concatenate(parts).reshape(n_models, -1)
 
     theta = {(ci, g): init(spec[ci][0]) for ci in range(len(spec)) for g in groups}
-    mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in theta.items()}
     best = {k: np.full(n_models, np.inf) for k in theta}
     stale = {k: np.zeros(n_models, dtype=int) for k in theta}
     active = {k: np.ones(n_models, dtype=bool) for k in theta}
-    for t in range(1, epochs + 1):
+    patience = max(1, n_iter_no_change // LOCAL_EPOCHS)
+    for done in range(0, epochs, LOCAL_EPOCHS):
         if not any(a.any() for a in active.values()):
             break
-        cur = {k: [_unflatten(th[m * spec[k[0]][1]:(m + 1) * spec[k[0]][1]], spec[k[0]][0]) for m in range(n_models)]
-               for k, th in theta.items()}
+        now, on, local = dict(theta), {k: v.copy() for k, v in active.items()}, min(LOCAL_EPOCHS, epochs - done)
 
-        def fold(batches, cur=cur):
+        def fold(batches, now=now, on=on, local=local, done=done):
             acc: dict = {}
             for g, pdf in _batches_by_group(batches, group):
                 X = np.stack(pdf[vec].to_numpy()).astype(np.float64)
                 Y = _targets(pdf, target)
-                for ci, (shapes, per, act, _lr) in enumerate(spec):
-                    f, df = _ACT[act]
-                    # layout: gradients | row counts | sums of squared errors
-                    grads = acc.setdefault(f"{ci}|{g}", np.zeros(n_models * per + 2 * n_models))
-                    for m, layers in enumerate(cur[(ci, g)]):
-                        mask = ~np.isnan(Y[:, m])
-                        if not mask.any():
-                            continue
-                        Hs, Zs = [X[mask]], []
-                        for i, (W, b) in enumerate(layers):
-                            Z = Hs[-1] @ W + b
-                            Zs.append(Z)
-                            Hs.append(Z if i == len(layers) - 1 else f(Z))
-                        dZ = Hs[-1] - Y[mask, m][:, None]
-                        gl = []
-                        for i in range(len(layers) - 1, -1, -1):
-                            gl.append(np.concatenate([(Hs[i].T @ dZ).ravel(), dZ.sum(0)]))
-                            if i > 0:
-                                dZ = (dZ @ layers[i][0].T) * df(Zs[i - 1], Hs[i])
-                        grads[m * per:(m + 1) * per] += np.concatenate(gl[::-1])
-                        grads[n_models * per + m] += mask.sum()
-                        grads[n_models * per + n_models + m] += float(((Hs[-1][:, 0] - Y[mask, m]) ** 2).sum())
+                known = ~np.isnan(Y)
+                for ci, (shapes, per, act, lr) in enumerate(spec):
+                    # layout per model: weights x rows | rows | squared error before
+                    out = acc.setdefault(f"{ci}|{g}", np.zeros((n_models, per + 2)).ravel()).reshape(n_models, per + 2)
+                    for m in range(n_models):
+                        rows = known[:, m]
+                        if on[(ci, g)][m] and rows.any():
+                            w, sse = _train_local(now[(ci, g)][m], shapes, act, lr, X[rows], Y[rows, m], alpha, local,
+                                                  seed + done)
+                            out[m, :per] += w * rows.sum()
+                            out[m, per:] += [rows.sum(), sse]
             yield _emit(acc)
 
         tot = _sum_vectors(train.select(*cols).mapInPandas(fold, PARTS_SCHEMA))
         for key, v in tot.items():
             ci, g = key.split("|", 1)
             k = (int(ci), g)
-            shapes, per, _act, lr = spec[k[0]]
-            cnt = np.maximum(v[n_models * per:n_models * per + n_models], 1.0)
-            sse = v[n_models * per + n_models:]
-            grad = np.concatenate([v[m * per:(m + 1) * per] / cnt[m] for m in range(n_models)])
-            # L2 penalty on weights (not biases), scaled by the number of rows as in the reference objective
-            wsq = np.array([sum(float((W * W).sum()) for W, _ in layers) for layers in cur[k]])
-            grad += np.concatenate([np.concatenate([np.concatenate([W.ravel(), np.zeros(b.shape)]) for W, b in layers])
-                                    * alpha / cnt[m] for m, layers in enumerate(cur[k])])
-            loss = 0.5 * sse / cnt + 0.5 * alpha * wsq / cnt
+            per = spec[k[0]][1]
+            v = v.reshape(n_models, per + 2)
+            n, sse = v[:, per], v[:, per + 1]
+            loss = 0.5 * sse / np.maximum(n, 1.0)
+            moved = on[k] & (n > 0)
+            theta[k] = np.where(moved[:, None], v[:, :per] / np.maximum(n, 1.0)[:, None], theta[k])
             stale[k] = np.where(loss > best[k] - tol, stale[k] + 1, 0)
-            best[k] = np.minimum(best[k], loss)
-            active[k] &= stale[k] <= n_iter_no_change
-            m1, v1 = mom[k]
-            m1 = 0.9 * m1 + 0.1 * grad
-            v1 = 0.999 * v1 + 0.001 * grad * grad
-            mom[k] = (m1, v1)
-            step = lr * (m1 / (1 - 0.9 ** t)) / (np.sqrt(v1 / (1 - 0.999 ** t)) + 1e-8)
-            theta[k] = theta[k] - step * np.repeat(active[k].astype(np.float64), per)   # stopped nets stay put
-    return {k: [_unflatten(th[m * spec[k[0]][1]:(m + 1) * spec[k[0]][1]], spec[k[0]][0]) for m in range(n_models)]
-            for k, th in theta.items()}
+            best[k] = np.where(moved, np.minimum(best[k], loss), best[k])
+            active[k] = moved & (stale[k] <= patience)
+    return {k: [_unflatten(th[m], spec[k[0]][0]) for m in range(n_models)] for k, th in theta.items()}
 
 
 def fit_mlp(train: DataFrame, n_models: int, dim: int, hidden: tuple = (100,), activation: str = "relu",
@@ -289,7 +298,7 @@ def _params_bytes(params: dict) -> int:
 
 def mlp_scores(df: DataFrame, params: dict, key: str, vec: str = "embedding", activation: str = "relu",
                group: str | None = None, max_broadcast_bytes: int = 256 << 20) -> DataFrame:
-    """``(key, scores array<double>)``: one Arrow-batched forward pass per partition.
+    """``(key, scores array<double>[, group])``: one Arrow-batched forward pass per partition.
 
     The fitted nets reach the tasks as a broadcast whose size is known before sending
     (groups x architecture).  Above ``max_broadcast_bytes`` each group is scored with its own
@@ -299,7 +308,7 @@ def mlp_scores(df: DataFrame, params: dict, key: str, vec: str = "embedding", ac
     import pandas as pd
     key_type = df.schema[key].dataType.simpleString()
     cols = [key, vec] + ([group] if group else [])
-    schema = f"{key} {key_type}, scores array<double>"
+    schema = f"{key} {key_type}, scores array<double>" + (f", {group} string" if group else "")
 
     def scorer(bc):
         def run(batches):
@@ -307,7 +316,8 @@ def mlp_scores(df: DataFrame, params: dict, key: str, vec: str = "embedding", ac
             for g, pdf in _batches_by_group(batches, group):
                 X = np.stack(pdf[vec].to_numpy()).astype(np.float64)
                 outs = np.stack(_mlp_forward(X, ps[g], activation), axis=1)
-                yield pd.DataFrame({key: pdf[key].values, "scores": list(outs)})
+                out = pd.DataFrame({key: pdf[key].values, "scores": list(outs)})
+                yield out.assign(**{group: g}) if group else out
         return run
 
     sc = df.sparkSession.sparkContext

@@ -140,9 +140,6 @@ def eval_results(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBO
     return knn_results(rd, prices, ks).unionByName(baseline_results(rd), allowMissingColumns=True)
 
 
-# Full-batch training takes one step per pass over the data; the configured rate (0.001) is tuned
-# for mini-batches of 200, so the full-batch fit uses a larger step and a fixed number of passes.
-MLP_FULL_BATCH_LR = 0.01
 MLP_EPOCHS = MLP_MAX_ITER          # an upper bound: nets stop early by the reference's loss rule
 
 
@@ -177,17 +174,15 @@ def mlp_results(rd: RoutingData, prices: DataFrame, epochs: int = MLP_EPOCHS, em
     train = rd.samples.where(F.col("split") == "train")
     test = rd.samples.where(F.col("split") == "test")
     configs = [(h, a, lr) for h in MLP_HIDDEN_LAYERS for a in MLP_ACTIVATIONS for lr in MLP_LEARNING_RATES]
-    fitted = fit_mlp_grid(train, rd.n_models, _dim(rd), [(h, a, MLP_FULL_BATCH_LR) for h, a, _ in configs],
-                          epochs=epochs, group="family")
+    fitted = fit_mlp_grid(train, rd.n_models, _dim(rd), configs, epochs=epochs, group="family")
     parts = []
-    for ci, (hidden, act, _) in enumerate(configs):
+    for ci, (hidden, act, lr) in enumerate(configs):
         params = {g: p for (c, g), p in fitted.items() if c == ci}
         sc = mlp_scores(test, params, "sample_id", activation=act, group="family")
         # printed as configured: 100 -> "(100,)", [100, 100] -> "([100, 100],)"
         name = f"({hidden[0]},)" if len(hidden) == 1 else f"({list(hidden)},)"
-        parts.append(sc.join(test.select("family", "sample_id"), "sample_id").select(
-            "family", F.col("sample_id").alias("query_id"), "scores", F.lit(name).alias("hidden_layer_sizes"),
-            F.lit(act).alias("activation_function"), F.lit(float(MLP_FULL_BATCH_LR)).alias("learning_rate")))
+        parts.append(sc.select("family", F.col("sample_id").alias("query_id"), "scores", F.lit(name).alias("hidden_layer_sizes"),
+            F.lit(act).alias("activation_function"), F.lit(float(lr)).alias("learning_rate")))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)

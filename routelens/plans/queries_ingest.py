@@ -61,8 +61,7 @@ def q_eval_family(spark, sf_dir):
 
 @query("q_eval_from_id")
 def q_eval_from_id(spark, sf_dir):
-    el = eval_long(spark, sf_dir).where(F.col("model_idx") == 0)
-    return el.select("sample_id", eval_from_sample_id("sample_id").alias("eval_family"))
+    return eval_long(spark, sf_dir).select("sample_id", "model", eval_from_sample_id("sample_id").alias("eval_family"))
 
 
 @query("q_models")

@@ -9,7 +9,7 @@ from routelens.functions.variants import variant_name
 from routelens.plans.evaluate import (baseline_results, eval_results, family_prices, knn_neighbors, knn_routed,
                                       knn_results, knn_scores, prepare)
 from routelens.plans.registry import as_long, query
-from routelens.sources.fixtures import N_MODELS, model_price, router_samples
+from routelens.sources.fixtures import FAMILIES, N_MODELS, model_price, router_samples
 
 
 def r6(c):
@@ -103,10 +103,10 @@ def q_test_baselines(spark, sf_dir):
 @query("q_route_knn_ood")
 def q_route_knn_ood(spark, sf_dir):
     """kNN routing out of distribution: neighbours come from the other families' train parts,
-    queries are the test part of the ``en`` family."""
-    rd = prepare(router_samples(spark, sf_dir), N_MODELS, ood_wanted="en")
+    queries are the test part of the wanted family, for every family."""
+    rd = prepare(router_samples(spark, sf_dir), N_MODELS, ood_wanted=list(FAMILIES))
     r = knn_routed(rd, model_price(spark))
-    return r.select(F.col("k").cast("int").alias("neighbors"), "wtp", F.col("query_id").alias("sample_id"),
+    return r.select("family", F.col("k").cast("int").alias("neighbors"), "wtp", F.col("query_id").alias("sample_id"),
                     "chosen", "performance", "cost_pico")
 
 

@@ -19,6 +19,7 @@ from routelens.sources.tables import read_table
 
 N_MODELS = 5
 EMBEDDING_DIM = 64
+FAMILIES = ("de", "en", "es", "fr")      # the fixture's eval families: the documents' languages
 
 
 def eval_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +85,19 @@ def router_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_long_from(d.join(vectors, "doc_id"), keep=("embedding",))
 
 
+def log_file_no(conv_id):
+    """Which run log a conversation is in: seven for every 5,000 ids, so their number grows with the table."""
+    return conv_id % 7 + F.floor(conv_id / 5000) * 7
+
+
 def _conv_file(conv_id):
-    return F.concat(F.lit("conv"), (conv_id % 7).cast("string"), F.lit(".jsonl"))
+    return F.concat(F.lit("conv"), log_file_no(conv_id).cast("string"), F.lit(".jsonl"))
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-log events derived from ``conversations``.
 
-    file = conv<id % 7>.jsonl, sample = conversation, event position = turn;
+    file = conv<k>.jsonl (k: :func:`log_file_no`), sample = conversation, event position = turn;
     user and system turns are sampling events carrying a prompt, assistant turns
     carry a sampled answer; the grade (``labels.quality``)
     is a final match event, NULL when the conversation has no label.
@@ -137,7 +143,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     conv = read_table(spark, sf_dir, "conversations")
     lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), "quality")
-    k = F.col("conv_id") % 7
+    k = log_file_no(F.col("conv_id"))
     files = conv.select("conv_id").select(k.alias("k")).distinct()
     header = files.select(
         F.concat(F.lit("conv"), F.col("k").cast("string"), F.lit(".jsonl")).alias("file"),
