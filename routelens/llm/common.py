@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 BROADCAST_BYTES = 32 << 20
+BATCH_ROWS = 500
 
 
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -17,6 +18,15 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df``, after lowering the session's Arrow batch to ``rows`` rows: whole texts travel to Python in
+    batches counted in rows, and the default of 10,000 could be gigabytes of long texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > rows or int(conf.get(key)) <= 0:
+        conf.set(key, rows)
+    return df
+
+
 def as_row(df: DataFrame, name: str = "__row") -> DataFrame:
     """All columns of ``df`` packed into one struct, so that helper columns can't clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))

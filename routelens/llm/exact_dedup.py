@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routelens.llm.common import small_side
+from routelens.llm.common import bounded_batches, small_side
 from routelens.session import materialize
 
 FINGERPRINT_BITS = 48
@@ -179,7 +179,7 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, owners: int |
     sc = spark.sparkContext
     carry = docs.columns if carry is None else carry
     fields = list(dict.fromkeys([*carry, "doc_id", "text"]))
-    source = docs.select(*[F.col(f"`{c}`") for c in fields])
+    source = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in fields])
     rows = source.rdd
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text_at = fields.index("text")

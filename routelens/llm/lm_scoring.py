@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routelens.llm.common import bounded_batches
 from routelens.session import materialize
 
 #: Slots per context are 2^BITS; a task's table travels in blocks of 2^BLOCK slots.
@@ -344,7 +345,7 @@ def lm_scores(docs: DataFrame, bits: int = BITS, common_words: int = COMMON_WORD
     gives no rows.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     model, words = train(rows.where(~F.col("held_out")), bits)
     totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import hash63, spread_rank
+from routelens.llm.common import bounded_batches, hash63, spread_rank
 from routelens.session import materialize
 
 CAPACITY = 1024
@@ -145,7 +145,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, toke
                 cols.append(pa.array(ids, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(cols, [*out, *["ids"] * with_ids])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def fullest(counts: np.ndarray, capacity: int, first: int) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import as_row, small_side
+from routelens.llm.common import as_row, bounded_batches, small_side
 from routelens.llm.components import star_components
 from routelens.session import materialize
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                                  count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def correlated_groups(bits: np.ndarray, groups: int) -> list[list[int]]:

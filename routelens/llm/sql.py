@@ -1,12 +1,14 @@
 """DuckDB twins of the ``opN_<name>`` queries that SQL can express.
 
 Not here: toxicity, quality and LM scoring (trained models), packing (a tokenizer and a subset-sum
-search), SimHash (XXH64), nearest neighbours (approximate), chat repair (a dynamic programme) and the
-URL tree; their tests hold them against brute force or plain versions.
+search), SimHash (XXH64), nearest neighbours (approximate) and chat repair (a dynamic programme); their
+tests hold them against brute force or plain versions.
 """
 
 from __future__ import annotations
 
+from routelens.llm.url_filter import DEPTH, RULES
+
 OP4_MIX = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -44,4 +46,67 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_MIX, "op7_exact_dedup": OP7_EXACT_DEDUP}
+_TOKEN = r"""
+CASE WHEN regexp_extract(s, '\.([A-Za-z]{1,5})$', 1) <> '' THEN kind(regexp_replace(s, '\.[A-Za-z]{1,5}$', ''))
+          || '.' || lower(regexp_extract(s, '\.([A-Za-z]{1,5})$', 1)) ELSE kind(s) END"""
+_KIND = r"""
+CASE WHEN regexp_matches(x, '^\d{4}-\d{2}(-\d{2})?$') THEN '{date}' WHEN regexp_matches(x, '^\d+$') THEN '{n}'
+     WHEN regexp_matches(x, '^[0-9a-fA-F-]{8,}$') THEN '{hex}' WHEN regexp_matches(x, '\d') THEN '{mixed}' ELSE lower(x) END"""
+
+
+def _token(s: str) -> str:
+    """The typed token of a segment, the SQL for its kind put in twice."""
+    stem = r"regexp_replace(s, '\.[A-Za-z]{1,5}$', '')"
+    body = _TOKEN.replace(f"kind({stem})", _KIND.replace("x,", f"{stem},").replace("lower(x)", f"lower({stem})"))
+    return body.replace("kind(s)", _KIND.replace("x,", "s,").replace("lower(x)", "lower(s)")).replace("(s,", f"({s},").replace(
+        "lower(s)", f"lower({s})")
+
+
+def _level(n: int) -> str:
+    """One level of the template tree: the branches that the rows of level n - 1 take."""
+    return f"""
+c{n} AS (SELECT host, template, purity, tokens[{n}] AS token, sum(bad) AS bad, sum(seen) AS seen
+         FROM r{n - 1} WHERE len(tokens) >= {n} GROUP BY ALL),
+w{n} AS (SELECT host, template, count(*) FILTER (WHERE NOT starts_with(token, '{{')) AS words FROM c{n} GROUP BY ALL),
+n{n} AS (SELECT c.*, CASE WHEN words >= 30 AND NOT starts_with(token, '{{') THEN '*' ELSE token END AS name
+         FROM c{n} c JOIN w{n} USING (host, template)),
+b{n} AS (SELECT host, template, purity, name, sum(bad)::DOUBLE AS b, sum(seen)::DOUBLE AS n FROM n{n} GROUP BY ALL),
+z{n} AS (SELECT *, (b / greatest(n, 1) - purity)
+                   / sqrt(greatest(purity * (1 - purity), 0.01::DOUBLE) / greatest(n, 1)) AS z FROM b{n}),
+s{n} AS (SELECT *, CASE WHEN n = 0 THEN 'unlabelled' WHEN z > 1.0 THEN 'worse' WHEN z < -1.0 THEN 'better'
+                        ELSE 'alike' END AS side FROM z{n}),
+m{n} AS (SELECT host, template, side, sum(b) AS mb, sum(n) AS mn FROM s{n} GROUP BY ALL),
+t{n} AS (SELECT host, template, name, template || '/' || side AS next, (mb + 4.0::DOUBLE * purity) / (mn + 4.0::DOUBLE) AS next_purity
+         FROM s{n} JOIN m{n} USING (host, template, side)),
+k{n} AS (SELECT host, template, token, next, next_purity FROM n{n} JOIN t{n} USING (host, template, name)),
+r{n} AS (SELECT r.host, r.tokens, r.bad, r.seen, coalesce(k.next, r.template) AS template,
+                coalesce(k.next_purity, r.purity) AS purity
+         FROM r{n - 1} r LEFT JOIN k{n} k ON k.host = r.host AND k.template = r.template AND k.token = r.tokens[{n}])"""
+
+
+def _fits(host: str, prefix: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{prefix}')"
+
+
+_LONGEST_FIRST = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP10_URL_FILTER = rf"""
+WITH u AS (SELECT page_id, strpos(coalesce(url, ''), '://') AS mark, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+p AS (SELECT page_id, CASE WHEN mark > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') ELSE '' END AS host,
+             CASE WHEN mark > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+f AS (SELECT *, CASE {' '.join(f"WHEN {_fits(h, x)} THEN '{h}{x}'" for h, x, _ in _LONGEST_FIRST)} END AS rule,
+             CASE {' '.join(f"WHEN {_fits(h, x)} THEN '{v}'" for h, x, v in _LONGEST_FIRST)} END AS ruled,
+             list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {_token('s')})[1:4] AS tokens FROM p),
+shapes AS (SELECT host, tokens, count(*) FILTER (WHERE ruled = 'block') AS bad, count(*) FILTER (WHERE rule IS NOT NULL) AS seen
+           FROM f GROUP BY ALL),
+base AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(seen), 0) + 1.0::DOUBLE) AS base FROM shapes),
+hosts AS (SELECT host, (sum(bad) + 4.0::DOUBLE * any_value(base)) / (sum(seen) + 4.0::DOUBLE) AS p0 FROM shapes, base GROUP BY host),
+r0 AS (SELECT host, tokens, bad, seen, '' AS template, p0 AS purity FROM shapes JOIN hosts USING (host)),
+{','.join(_level(n) for n in range(1, DEPTH + 1))}
+SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.ruled, CASE WHEN r.purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       r.template, r.purity
+FROM f JOIN r{DEPTH} r ON r.host = f.host AND r.tokens = f.tokens
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_MIX, "op7_exact_dedup": OP7_EXACT_DEDUP, "op10_url_filter": OP10_URL_FILTER}

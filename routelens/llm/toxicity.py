@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import small_side
+from routelens.llm.common import bounded_batches, small_side
 from routelens.llm.trees import Boosted, fit_boosted, isotonic
 from routelens.session import materialize
 
@@ -61,7 +61,7 @@ def terms_of(word: str) -> tuple[str, ...]:
 class Codes(dict):
     """Flags of a word as it is written, worked out once per spelling (at most ``limit`` kept)."""
 
-    def __init__(self, strong: frozenset, mild: frozenset, limit: int = 300_000):
+    def __init__(self, strong: frozenset, mild: frozenset, limit: int = 100_000):
         super().__init__()
         self.strong, self.mild, self.limit = strong, mild, limit
 
@@ -135,7 +135,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
          .groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
          .withColumn("fold", fold_of(F.col("__id"))).where("fold <> 0"))
     y = small_side(materialize(y, "labels"), 24)
-    return docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y", "fold")
+    return bounded_batches(docs).select("doc_id", "text").join(y, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y", "fold")
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def _count_known(known: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Found(dict):
             def __missing__(self, word: str) -> tuple[str, ...]:
-                if len(self) > 300_000:
+                if len(self) > 100_000:
                     self.clear()
                 got = self[word] = tuple(t for t in terms_of(bare(word)) if t in known)
                 return got
