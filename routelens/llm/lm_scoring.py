@@ -1,14 +1,15 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 The text is the stream of its lower-cased words, one space after each, and an end mark.  A symbol is
-five binary decisions for the commonest bytes and thirteen for the rest.  For every decision five
-contexts (the word so far; the word so far after the kind of byte that ended the word before; the last
-two, three and five bytes) look up counts in hashed tables; the log odds of the five predictions are
-mixed by a weight vector that a gate chooses (how well the word contexts are known, and the level),
-and an adaptive probability map refines the mix.
+five binary decisions for the commonest bytes and thirteen for the rest.  For every decision four
+contexts (the word so far; the last two, three and five bytes, which at a word's start include the kind
+of byte that ended the word before) look up counts in hashed tables; the log odds of the four
+predictions are mixed by a weight vector that a gate chooses (how well the contexts are known, and the
+level), and an adaptive probability map refines the mix.
 
 Training is online within each task: a batch of the text is predicted from what the task has seen so
 far, the weights follow the error, the map counts the outcome, and only then are the tables updated.
+The tables count every batch; the weights and the map, a few hundred numbers, learn from every fourth.
 Tasks send their tables in blocks to be summed, and their weights to be averaged.  The tables'
 size is a parameter (``bits``), so the model has a proven size and can travel to the scoring tasks;
 what the corpus sends to it grows with the corpus.  Words repeat, and all contexts of a word's bytes lie
@@ -37,13 +38,16 @@ BITS = 20
 BLOCK = 14
 #: Distinct (kind, word) units gathered before they are learned, and learned in one step; units
 #: remembered while scoring.
-UNITS = 250_000
+UNITS = 300_000
 STEP_UNITS = 20_000
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Words of a group of documents scored together; batches of which one also teaches weights and map.
+GROUP_WORDS = 100_000
+MIX_EVERY = 4
 #: Words whose counts travel to the scoring tasks.
-COMMON_WORDS = 200_000
+COMMON_WORDS = 100_000
 FOLDS, HELD_OUT = 7, 2
-CONTEXTS, GATES, STEPS = 5, 32, 33
+CONTEXTS, GATES, STEPS = 4, 32, 33
 END = b" "  # no word
 
 # The bytes with five-decision codes.
@@ -61,7 +65,7 @@ def words_of(text: str | None) -> list[bytes]:
 def _kind(byte: int) -> bytes:
     """The four bytes before a word: padding, what kind of byte ended the word before, a space."""
     c = chr(byte)
-    return b"\0\0" + (b"a" if byte > 127 or c.isalpha() else b"0" if c.isdigit() else c.encode() if c in ".,!?:;|" else b"#") + b" "
+    return b"\0\0" + (b"a" if byte > 127 or c.isalnum() else b"." if c in ".!?" else b",") + b" "
 
 
 KINDS = [_kind(b) for b in range(256)]
@@ -86,12 +90,11 @@ class Decisions:
         wide = by.astype(np.uint32)
         rolled = np.cumsum(wide * ROLL[pos & 1023], dtype=np.uint32)
         prefix = rolled[at - 1] - rolled[starts + 3][unit[at]]
-        kind = wide[starts + 2][unit[at]]
         two = wide[at - 1] | wide[at - 2] << np.uint32(8)
         three = two | wide[at - 3] << np.uint32(16)
         fifth = np.where(pos[at] > 4, wide[at - 5], np.uint32(0))
         five = (three | wide[at - 4] << np.uint32(24)) * C2 + fifth * C1
-        self.contexts = [prefix * C2 + np.uint32(1), (prefix + kind * C1) * C2 + np.uint32(2), two * C1 + np.uint32(3),
+        self.contexts = [prefix * C2 + np.uint32(1), two * C1 + np.uint32(3),
                          (three ^ three >> np.uint32(11)) * C2 + np.uint32(4), five * C1 + np.uint32(5)]
         self.unit, self.symbol, self.byte = unit[at], CODE[by[at]], wide[at]
 
@@ -125,7 +128,7 @@ def gate_of(word: np.ndarray, five: np.ndarray, level: int) -> np.ndarray:
 def start_weights() -> np.ndarray:
     """The better the word so far is known, the more it counts."""
     trust = np.arange(GATES) // 4 / 7
-    return np.stack([0.1 + 0.7 * trust, 0.1 + 0.1 * trust, *[0.3 * (1 - trust)] * 3], axis=1)
+    return np.stack([0.1 + 0.8 * trust, *[0.3 * (1 - trust)] * 3], axis=1)
 
 
 class Learner:
@@ -138,18 +141,20 @@ class Learner:
         self.map = np.zeros((GATES, STEPS, 2))
         self.seen = 0.0
 
-    def learn(self, units: list[bytes], counts: np.ndarray) -> None:
+    def learn(self, units: list[bytes], counts: np.ndarray, mix: bool = True) -> None:
         d = Decisions(units)
         for j, unit, contexts, node, bit in d.levels():
             n, odds, known = counts[unit], [], []
             for k in range(CONTEXTS):
                 at = slots(contexts[k], node, self.bits)
-                pair = self.tables[k][at]
-                pair32 = pair.astype(np.float32)
-                odds.append(np.log((pair32[:, 1] + np.float32(0.4)) / (pair32[:, 0] + np.float32(0.4))))
-                if k in (0, 4):
-                    known.append(confidence(pair[:, 0] + pair[:, 1]))
-                np.add.at(self.tables[k].reshape(-1), at * 2 + bit, n)
+                if mix:
+                    pair = self.tables[k][at].astype(np.float32)
+                    odds.append(np.log((pair[:, 1] + np.float32(0.4)) / (pair[:, 0] + np.float32(0.4))))
+                    if k in (0, 3):
+                        known.append(confidence(pair[:, 0] + pair[:, 1]))
+                np.add.at(self.tables[k].reshape(-1), at * np.uint32(2) + bit, n)
+            if not mix:
+                continue
             gate = gate_of(known[0], known[1], j)
             w = self.weights.astype(np.float32)
             z = sum(w[gate, k] * odds[k] for k in range(CONTEXTS))
@@ -158,7 +163,7 @@ class Learner:
             total = np.bincount(gate, weight, GATES) + 1.0
             grad = np.stack([np.bincount(gate, error * odds[k], GATES) for k in range(CONTEXTS)], axis=1) / total[:, None]
             self.power += grad ** 2
-            self.weights += 0.02 * grad / np.sqrt(self.power)
+            self.weights += 0.04 * grad / np.sqrt(self.power)
             cell = (gate * STEPS + step_of(z)) * 2 + bit
             self.map += np.bincount(cell, weight, GATES * STEPS * 2).reshape(GATES, STEPS, 2)
         self.seen += float(counts.sum())
@@ -185,7 +190,7 @@ class Model:
     def __init__(self, tables: np.ndarray, weights: np.ndarray, refine: np.ndarray, bits: int):
         self.bits = bits
         self.odds = np.log((tables[:, :, 1] + np.float32(0.4)) / (tables[:, :, 0] + np.float32(0.4))).astype(np.float32)
-        self.known = [confidence(tables[k, :, 0] + tables[k, :, 1]) for k in (0, 4)]
+        self.known = [confidence(tables[k, :, 0] + tables[k, :, 1]) for k in (0, 3)]
         self.weights = weights.astype(np.float32)
         centre = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2.0))
         self.refine = ((refine[:, :, 1] + 4 * centre) / (refine.sum(axis=2) + 4)).astype(np.float32).ravel()
@@ -196,7 +201,7 @@ class Model:
         d = Decisions(units)
         for j, unit, contexts, node, bit in d.levels():
             at = [slots(contexts[k], node, self.bits) for k in range(CONTEXTS)]
-            gate = gate_of(self.known[0][at[0]], self.known[1][at[4]], j)
+            gate = gate_of(self.known[0][at[0]], self.known[1][at[3]], j)
             z = sum(self.weights[gate, k] * self.odds[k][at[k]] for k in range(CONTEXTS))
             p = 0.5 / (1 + np.exp(-np.clip(z, -15, 15))) + 0.5 * self.refine[gate * STEPS + step_of(z)]
             p = np.clip(np.where(bit == 1, p, 1 - p), 1e-7, 1.0)
@@ -227,9 +232,10 @@ def _learn(bits: int):
 
         def study() -> pa.RecordBatch:
             keys = sorted(units, key=lambda u: (zlib.crc32(u), u))  # one order however the rows came
-            for at in range(0, len(keys), STEP_UNITS):
+            for i, at in enumerate(range(0, len(keys), STEP_UNITS)):
                 part = keys[at:at + STEP_UNITS]
-                learner.learn(part, np.fromiter((units[k] for k in part), dtype=np.uint32, count=len(part)))
+                learner.learn(part, np.fromiter((units[k] for k in part), dtype=np.uint32, count=len(part)),
+                              mix=i % MIX_EVERY == MIX_EVERY - 1 or len(keys) <= STEP_UNITS)
             words: Counter = Counter()
             for u, n in units.items():
                 words[u[4:]] += n
@@ -303,7 +309,7 @@ def _score(model, common):
             at = 0
             while at < len(rows):  # groups of documents, so that units of a batch of long texts stay bounded
                 stop, size = at, 0
-                while stop < len(rows) and size < 2 * UNITS:
+                while stop < len(rows) and size < GROUP_WORDS:
                     size += len(rows[stop])
                     stop += 1
                 group = [units_of(w) for w in rows[at:stop]]
@@ -312,8 +318,8 @@ def _score(model, common):
                     known.clear()
                     new = list({u for g in group for u in g})
                 new.sort()
-                for a in range(0, len(new), UNITS):
-                    part = new[a:a + UNITS]
+                for a in range(0, len(new), STEP_UNITS):
+                    part = new[a:a + STEP_UNITS]
                     known.update(zip(part, m.log10(part).tolist(), strict=True))
                 score = [sum(map(known.__getitem__, g)) for g in group]
                 out = {"n": [], "found": [], "base": [], "others": [], "times": []}
@@ -349,8 +355,8 @@ def lm_scores(docs: DataFrame, bits: int = BITS, common_words: int = COMMON_WORD
     model, words = train(rows.where(~F.col("held_out")), bits)
     totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    top = words.where("word <> ''").orderBy(F.desc("n"), "word").limit(common_words).collect()  # bounded
-    common = {r["word"].encode(): float(np.log10(r["n"] + 1)) for r in top}
+    top = words.where("word <> ''").orderBy(F.desc("n"), "word").limit(common_words).toPandas()  # bounded
+    common = {w.encode(): x for w, x in zip(top["word"], np.log10(top["n"].to_numpy() + 1.0).tolist(), strict=True)}
     ends = words.where("word = ''").select("n").collect()
     end = ends[0]["n"] if ends else 0
     found = materialize(

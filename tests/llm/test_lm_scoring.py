@@ -96,7 +96,7 @@ def test_next_symbols_share_one(spark):
     total = np.zeros(len(first))
     for j, unit, contexts, node, bit in d.levels():
         at = [L.slots(c, node, model.bits) for c in contexts]
-        gate = L.gate_of(model.known[0][at[0]], model.known[1][at[4]], j)
+        gate = L.gate_of(model.known[0][at[0]], model.known[1][at[3]], j)
         z = sum(model.weights[gate, k] * model.odds[k][at[k]] for k in range(L.CONTEXTS))
         p = 0.5 / (1 + np.exp(-np.clip(z, -15, 15))) + 0.5 * model.refine[gate * L.STEPS + L.step_of(z)]
         total += np.bincount(unit, np.log10(np.where(bit == 1, p, 1 - p)), len(first))
