@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as E
 from routelens.checks.compare import compare, duck_connect
+from routelens.plans import all_queries
 from tests.conftest import SF0001
 
-SQL = E.oracle_sql()
-QUERIES = E.queries()
+QUERIES = {name: fn for name, fn in E.queries().items() if name in all_queries()}
+SQL = {name: sql for name, sql in E.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
