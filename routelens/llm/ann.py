@@ -36,6 +36,8 @@ SAMPLE = 4096
 AXES = 32
 #: Queries whose neighbours are found by brute force, and the share of these the window must hold.
 PROBES = 64
+#: Finds that a task holds before it sends them on.
+HELD = 500_000
 TARGET = 0.97
 
 
@@ -163,20 +165,40 @@ def measured_window(blocks: DataFrame, neighbours: list, target: float) -> int:
     return int(gaps[min(len(gaps) - 1, int(np.ceil(target * len(gaps))) - 1)])
 
 
+def merged(q: np.ndarray, cls: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest distinct finds of each query, in order."""
+    order = np.lexsort((cls, d, q))
+    q, cls, d = q[order], cls[order], d[order]
+    new = np.ones(len(q), dtype=bool)
+    new[1:] = (q[1:] != q[:-1]) | (cls[1:] != cls[:-1])
+    q, cls, d = q[new], cls[new], d[new]
+    starts = np.flatnonzero(np.diff(q, prepend=q[:1] - 1))
+    place = np.arange(len(q)) - np.repeat(starts, np.diff([*starts, len(q)]))
+    return q[place < k], cls[place < k], d[place < k]
+
+
 def _search(dim: int, k: int):
-    """Over rows sorted by (curve, block, role): queries (role 0) of a block against its points (role 1)."""
+    """Over rows sorted by (curve, block, role): queries (role 0) of a block against its points (role 1).
+    A task merges what its blocks find for a query before it sends anything on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, q_ids, q, p_ids, p = None, [], [], [], []
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+        def send() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["q", "cls", "d"])
+            held[:] = [x[:0] for x in held]
+            return out
 
-        def found() -> pa.RecordBatch | None:
+        def found() -> None:
             if not sum(map(len, q_ids)) or not sum(map(len, p_ids)):
-                return None
+                return
             qi, qx, pi, px = np.concatenate(q_ids), np.concatenate(q), np.concatenate(p_ids), np.concatenate(p)
             out: list[tuple] = []
             for a in range(0, len(qi), 1024):
                 for i, ids, ds in nearest(qx[a:a + 1024], pi, px, k + 1):
                     out += [(qi[a + i], c, d) for c, d in zip(ids.tolist(), ds.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["q", "cls", "d"])
+            new = [np.array(x) for x in zip(*out, strict=True)]
+            held[:] = merged(*[np.concatenate(x) for x in zip(held, new, strict=True)], k + 1)
 
         for b in batches:
             curve, block, role, ids = (b.column(i).to_numpy() for i in range(4))
@@ -186,16 +208,18 @@ def _search(dim: int, k: int):
                 if a == e:
                     continue
                 if (curve[a], block[a]) != group:
-                    if (got := found()) is not None:
-                        yield got
+                    found()
+                    if len(held[0]) > HELD:
+                        yield send()
                     group, q_ids, q, p_ids, p = (curve[a], block[a]), [], [], [], []
                 asks = role[a:e] == 0
                 q_ids.append(ids[a:e][asks])
                 q.append(x[a:e][asks])
                 p_ids.append(ids[a:e][~asks])
                 p.append(x[a:e][~asks])
-        if (got := found()) is not None:
-            yield got
+        found()
+        if len(held[0]):
+            yield send()
 
     return run
 
@@ -244,7 +268,7 @@ def knn(table: DataFrame, is_query, k: int = 10, curves: int = CURVES, block: in
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = (asks.unionByName(data).repartition(partitions, "curve", "block")
              .sortWithinPartitions("curve", "block", "role").mapInArrow(_search(dim, k), "q long, cls long, d double"))
-    # a query's finds: at most k + 1 from each of its blocks, in several curves perhaps the same
+    # a query's finds: at most k + 1 from each task, perhaps the same from several
     top = Window.partitionBy("q").orderBy("d", "cls")
     near = (pairs.groupBy("q", "cls").agg(F.min("d").alias("d"))
             .withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).select("q", F.col("cls").alias("c1"), "d"))
