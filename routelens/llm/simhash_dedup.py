@@ -99,7 +99,8 @@ def mask_of(bits: list[int]) -> int:
 
 def plan(sample: np.ndarray, total: int, distance: int) -> list[tuple[list[int], int]]:
     """Groups in use and their thresholds: [(bit numbers, threshold)], the cheapest for ``total``
-    distinct fingerprints by what the sample (unsigned 64-bit) shows."""
+    distinct fingerprints (1,000 at least) by what the sample (unsigned 64-bit) shows."""
+    total = max(total, 1000)
     if len(sample) < 2:
         sample = np.array([0, 1], dtype=np.uint64)
     bits = np.unpackbits(sample.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
@@ -141,14 +142,19 @@ def _bucket_rows(classes: DataFrame, used: list[tuple[list[int], int]]) -> DataF
         return F.struct(F.lit(path).alias("path"), F.xxhash64(F.lit(path), value).alias("key"),
                         F.lit(role).cast("byte").alias("role"))
 
-    entries = []
+    def probes(path: int, here: Column, bits: list[int], threshold: int) -> Column:
+        flips = F.array(*[F.lit(mask_of(list(flip))).cast("long") for n in range(threshold + 1)
+                          for flip in itertools.combinations(bits, n)])
+        return F.transform(flips, lambda flip: entry(path, 2, here.bitwiseXOR(flip)))
+
+    own, probed = [], []
     for path, (bits, threshold) in enumerate(used):
         here = F.col("fp").bitwiseAND(F.lit(mask_of(bits)).cast("long"))
-        entries.append(entry(path, int(threshold > 0), here))
-        for n in range(threshold + 1 if threshold else 0):
-            entries += [entry(path, 2, here.bitwiseXOR(F.lit(mask_of(list(flip))).cast("long")))
-                        for flip in itertools.combinations(bits, n)]
-    return classes.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.path", "e.key", "e.role", "fp")
+        own.append(entry(path, int(threshold > 0), here))
+        if threshold:
+            probed.append(probes(path, here, bits, threshold))
+    entries = F.concat(F.array(*own), *probed) if probed else F.array(*own)
+    return classes.select("fp", F.explode(entries).alias("e")).select("e.path", "e.key", "e.role", "fp")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
