@@ -1,50 +1,48 @@
-"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+"""Language-model scores by logistic mixing of hashed-context bit predictors.
 
 The text is the stream of its lower-cased words, one space after each, and an end mark.  A symbol is
-five binary decisions for the commonest bytes and thirteen for the rest.  For every decision four
+five binary decisions for the commonest bytes and thirteen for the rest.  For every decision the
 contexts (the word so far; the last two, three and five bytes, which at a word's start include the kind
-of byte that ended the word before) look up counts in hashed tables; the log odds of the four
-predictions are mixed by a weight vector that a gate chooses (how well the contexts are known, and the
-level), and an adaptive probability map refines the mix.
-
-Training is online within each task: a batch of the text is predicted from what the task has seen so
-far, the weights follow the error, the map counts the outcome, and only then are the tables updated.
-The tables count every batch; the weights and the map, a few hundred numbers, learn from every fourth.
-Tasks send their tables in blocks to be summed, and their weights to be averaged.  The tables'
-size is a parameter (``bits``), so the model has a proven size and can travel to the scoring tasks;
-what the corpus sends to it grows with the corpus.  Words repeat, and all contexts of a word's bytes lie
-within the word and the kind before it: a task works each distinct (kind, word) out once a batch.
-
-A unigram base score is computed beside it with exact counts: the commonest words travel to the
-scoring tasks (a bounded number), all other words are joined to the word counts.
+of byte that ended the word before) give counts of both outcomes; the log odds of the predictions are
+mixed by a weight vector that a gate chooses (how well the contexts are known, and the level), and an
+adaptive probability map refines the mix.
+
+A unit is a word with the kind before it, and all contexts of its bytes lie inside it: no context
+crosses a word border.  The counts are those of all training units and no two contexts share them: a
+context is a 51-bit hash.  Sorted blocks of units ask for the counts of their distinct (context, byte)
+pairs; buckets, as many as the counted positions need, add up what all blocks hold of a pair and
+answer each block.  So the table grows with the corpus and no task holds more than a bucket of it.
+
+Weights and map learn online, block by block within a task, each decision predicted from the counts
+without its own occurrence; every block with training units teaches.  Tasks' weights are averaged.
+
+A unigram base score is computed beside it with exact counts.  The commonest units travel to the
+scoring tasks with their scores (a bounded number), all others are joined.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelens.llm.common import bounded_batches
 from routelens.session import materialize
 
-#: Slots per context are 2^BITS; a task's table travels in blocks of 2^BLOCK slots.
+#: A bucket of the context table answers for about 2^BITS positions (and 2^BITS are the slots of a
+#: context where a single process keeps hashed tables).
 BITS = 20
-BLOCK = 14
-#: Distinct (kind, word) units gathered before they are learned, and learned in one step; units
-#: remembered while scoring.
+#: Distinct units gathered before a task sends them, and units of a block.
 UNITS = 300_000
 STEP_UNITS = 20_000
-REMEMBERED = 300_000
-#: Words of a group of documents scored together; batches of which one also teaches weights and map.
+#: Words of a group of documents scored together.
 GROUP_WORDS = 100_000
-MIX_EVERY = 4
-#: Words whose counts travel to the scoring tasks.
+#: Units whose scores and counts travel to the scoring tasks.
 COMMON_WORDS = 100_000
 FOLDS, HELD_OUT = 7, 2
 CONTEXTS, GATES, STEPS = 4, 32, 33
@@ -55,7 +53,11 @@ SYMBOLS = b" etaoinshrdlucmfwypvbgkjqxz.,|\xc3"
 CODE = np.full(256, 31, dtype=np.uint32)
 CODE[list(SYMBOLS)] = np.arange(len(SYMBOLS))
 ROLL = np.random.default_rng(42).integers(0, 1 << 31, 1024).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+ROLL64 = np.random.default_rng(43).integers(0, 1 << 63, 1024).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 C1, C2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+#: The 13 low bits of a key: a byte's code of five bits and, for the bytes without one, the byte.
+PATH = np.where(CODE == 31, 31 << 8 | np.arange(256), CODE << 8).astype(np.uint64)
+PATH_BITS = 13
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -97,6 +99,21 @@ class Decisions:
         self.contexts = [prefix * C2 + np.uint32(1), two * C1 + np.uint32(3),
                          (three ^ three >> np.uint32(11)) * C2 + np.uint32(4), five * C1 + np.uint32(5)]
         self.unit, self.symbol, self.byte = unit[at], CODE[by[at]], wide[at]
+        self._bytes, self._starts, self._pos, self._at = by, starts, pos, at
+
+    def keys(self) -> np.ndarray:
+        """(context, position): the hash of the context, and in the low bits the path of the byte."""
+        at, wide = self._at, self._bytes.astype(np.uint64)
+        pos = self._pos.astype(np.uint64)
+        rolled = np.cumsum((wide + np.uint64(1)) * ROLL64[self._pos & 1023] * ((pos >> np.uint64(10)) * np.uint64(2) + np.uint64(1)))
+        prefix = rolled[at - 1] - rolled[self._starts + 3][self.unit]
+        two = wide[at - 1] | wide[at - 2] << np.uint64(8)
+        three = two | wide[at - 3] << np.uint64(16)
+        fifth = np.where(self._pos[at] > 4, wide[at - 5], np.uint64(0))
+        five = three | wide[at - 4] << np.uint64(24) | fifth << np.uint64(32)
+        path = PATH[self._bytes[at]]
+        return np.stack([spread(c, k) >> np.uint64(PATH_BITS) << np.uint64(PATH_BITS) | path
+                         for k, c in enumerate([prefix, two, three, five])])
 
     def levels(self) -> Iterator[tuple]:
         """(level, units, contexts, node, bit) of each level."""
@@ -111,11 +128,23 @@ class Decisions:
                        (byte >> np.uint32(7 - j)) & np.uint32(1))
 
 
+def spread(context: np.ndarray, k: int) -> np.ndarray:
+    """64 well-mixed bits of the k-th context; a bijection for each k."""
+    h = context + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
 def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     h = (context ^ node * C1) * C2
     return (h ^ h >> np.uint32(13)) * C1 >> np.uint32(32 - bits)
 
 
+def log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))).astype(np.float32)
+
+
 def confidence(n: np.ndarray) -> np.ndarray:
     """0 to 7 by how often a context was seen: each step doubles."""
     return np.minimum(np.ceil(np.log2(n.astype(np.float32) + np.float32(1))), 7).astype(np.uint8)
@@ -131,81 +160,91 @@ def start_weights() -> np.ndarray:
     return np.stack([0.1 + 0.8 * trust, *[0.3 * (1 - trust)] * 3], axis=1)
 
 
-class Learner:
-    """One task's tables, weights and map, learned online."""
+class Mixer:
+    """Weights and map, learned online."""
 
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.tables = np.zeros((CONTEXTS, 1 << bits, 2), dtype=np.uint32)
+    def __init__(self):
         self.weights, self.power = start_weights(), np.full((GATES, CONTEXTS), 1e-3)
         self.map = np.zeros((GATES, STEPS, 2))
         self.seen = 0.0
 
-    def learn(self, units: list[bytes], counts: np.ndarray, mix: bool = True) -> None:
+    def teach(self, odds: list, known: list, level: int, bit: np.ndarray, n: np.ndarray) -> None:
+        gate = gate_of(known[0], known[1], level)
+        w = self.weights.astype(np.float32)
+        z = sum(w[gate, k] * odds[k] for k in range(CONTEXTS))
+        weight = n.astype(np.float32)
+        error = (bit - 1 / (1 + np.exp(-np.clip(z, -15, 15)))) * weight
+        total = np.bincount(gate, weight, GATES) + 1.0
+        grad = np.stack([np.bincount(gate, error * odds[k], GATES) for k in range(CONTEXTS)], axis=1) / total[:, None]
+        self.power += grad ** 2
+        self.weights += 0.04 * grad / np.sqrt(self.power)
+        cell = (gate * STEPS + step_of(z)) * 2 + bit
+        self.map += np.bincount(cell, weight, GATES * STEPS * 2).reshape(GATES, STEPS, 2)
+
+    def numbers(self) -> np.ndarray:
+        """Weights times what was seen, what was seen, and the map: sums over tasks."""
+        return np.concatenate([(self.weights * self.seen).ravel(), [self.seen], self.map.ravel()])
+
+
+class Learner(Mixer):
+    """A single process's model of a small text, in hashed tables of 2^bits slots a context."""
+
+    def __init__(self, bits: int):
+        super().__init__()
+        self.bits = bits
+        self.tables = np.zeros((CONTEXTS, 1 << bits, 2), dtype=np.uint32)
+
+    def learn(self, units: list[bytes], counts: np.ndarray) -> None:
         d = Decisions(units)
         for j, unit, contexts, node, bit in d.levels():
             n, odds, known = counts[unit], [], []
             for k in range(CONTEXTS):
                 at = slots(contexts[k], node, self.bits)
-                if mix:
-                    pair = self.tables[k][at].astype(np.float32)
-                    odds.append(np.log((pair[:, 1] + np.float32(0.4)) / (pair[:, 0] + np.float32(0.4))))
-                    if k in (0, 3):
-                        known.append(confidence(pair[:, 0] + pair[:, 1]))
+                pair = self.tables[k][at].astype(np.float32)
+                odds.append(log_odds(pair[:, 0], pair[:, 1]))
+                if k in (0, 3):
+                    known.append(confidence(pair[:, 0] + pair[:, 1]))
                 np.add.at(self.tables[k].reshape(-1), at * np.uint32(2) + bit, n)
-            if not mix:
-                continue
-            gate = gate_of(known[0], known[1], j)
-            w = self.weights.astype(np.float32)
-            z = sum(w[gate, k] * odds[k] for k in range(CONTEXTS))
-            weight = n.astype(np.float32)
-            error = (bit - 1 / (1 + np.exp(-np.clip(z, -15, 15)))) * weight
-            total = np.bincount(gate, weight, GATES) + 1.0
-            grad = np.stack([np.bincount(gate, error * odds[k], GATES) for k in range(CONTEXTS)], axis=1) / total[:, None]
-            self.power += grad ** 2
-            self.weights += 0.04 * grad / np.sqrt(self.power)
-            cell = (gate * STEPS + step_of(z)) * 2 + bit
-            self.map += np.bincount(cell, weight, GATES * STEPS * 2).reshape(GATES, STEPS, 2)
+            self.teach(odds, known, j, bit, n)
         self.seen += float(counts.sum())
 
-    def rows(self) -> Iterator[tuple[int, int, bytes]]:
-        """(context, block, numbers): tables as float32 pairs, and the weights and map as context -1."""
-        size = 1 << min(BLOCK, self.bits)
-        for k in range(CONTEXTS):
-            for b in range((1 << self.bits) // size):
-                part = self.tables[k, b * size:(b + 1) * size]
-                if part.any():
-                    yield k, b, part.astype("<f4").tobytes()
-        rest = np.concatenate([(self.weights * self.seen).ravel(), [self.seen], self.map.ravel()])
-        yield -1, 0, rest.astype("<f4").tobytes()
-
 
 def step_of(z: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(z * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
 
 
-class Model:
-    """The frozen model: log odds and confidence of every slot, weights, map."""
+class Frozen:
+    """Weights and map as learned."""
 
-    def __init__(self, tables: np.ndarray, weights: np.ndarray, refine: np.ndarray, bits: int):
-        self.bits = bits
-        self.odds = np.log((tables[:, :, 1] + np.float32(0.4)) / (tables[:, :, 0] + np.float32(0.4))).astype(np.float32)
-        self.known = [confidence(tables[k, :, 0] + tables[k, :, 1]) for k in (0, 3)]
+    def __init__(self, weights: np.ndarray, refine: np.ndarray):
         self.weights = weights.astype(np.float32)
         centre = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2.0))
         self.refine = ((refine[:, :, 1] + 4 * centre) / (refine.sum(axis=2) + 4)).astype(np.float32).ravel()
 
+    def log10_bit(self, odds: list, known: list, level: int, bit: np.ndarray) -> np.ndarray:
+        gate = gate_of(known[0], known[1], level)
+        z = sum(self.weights[gate, k] * odds[k] for k in range(CONTEXTS))
+        p = 0.5 / (1 + np.exp(-np.clip(z, -15, 15))) + 0.5 * self.refine[gate * STEPS + step_of(z)]
+        return np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-7, 1.0))
+
+
+class Model(Frozen):
+    """The frozen model of a Learner."""
+
+    def __init__(self, tables: np.ndarray, weights: np.ndarray, refine: np.ndarray, bits: int):
+        super().__init__(weights, refine)
+        self.bits = bits
+        self.odds = log_odds(tables[:, :, 0], tables[:, :, 1])
+        self.known = [confidence(tables[k, :, 0] + tables[k, :, 1]) for k in (0, 3)]
+
     def log10(self, units: list[bytes]) -> np.ndarray:
         """log10 probability of each unit's word and the space after it, given the kind before."""
         out = np.zeros(len(units))
         d = Decisions(units)
         for j, unit, contexts, node, bit in d.levels():
             at = [slots(contexts[k], node, self.bits) for k in range(CONTEXTS)]
-            gate = gate_of(self.known[0][at[0]], self.known[1][at[3]], j)
-            z = sum(self.weights[gate, k] * self.odds[k][at[k]] for k in range(CONTEXTS))
-            p = 0.5 / (1 + np.exp(-np.clip(z, -15, 15))) + 0.5 * self.refine[gate * STEPS + step_of(z)]
-            p = np.clip(np.where(bit == 1, p, 1 - p), 1e-7, 1.0)
-            out += np.bincount(unit, np.log10(p), len(units))
+            known = [self.known[0][at[0]], self.known[1][at[3]]]
+            out += np.bincount(unit, self.log10_bit([self.odds[k][at[k]] for k in range(CONTEXTS)], known, j, bit), len(units))
         return out
 
 
@@ -214,129 +253,250 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold == HELD_OUT, F.lit(False))
 
 
-LEARNED = "word string, n long, context int, block int, numbers binary"
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, n): how often training texts hold each unit; 0 for those of held-out texts only."""
+    units: Counter = Counter()
+    for batch in batches:
+        for out, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            got = units_of(words_of(t.as_py()))
+            if out:
+                for u in got:
+                    units.setdefault(u, 0)
+            else:
+                units.update(got)
+            if len(units) > UNITS:
+                yield pa.RecordBatch.from_pydict({"unit": list(units), "n": list(units.values())})
+                units.clear()
+    if units:
+        yield pa.RecordBatch.from_pydict({"unit": list(units), "n": list(units.values())})
+
+
+def pack(units: list[bytes], counts: np.ndarray) -> bytes:
+    return np.array([len(units), *map(len, units), *counts], dtype="<i8").tobytes() + b"".join(units)
+
+
+def unpack(packed: bytes) -> tuple[list[bytes], np.ndarray]:
+    size = int(np.frombuffer(packed, "<i8", 1)[0])
+    numbers = np.frombuffer(packed, "<i8", 2 * size, 8)
+    ends = np.cumsum(numbers[:size]) + 8 + 16 * size
+    return [packed[e - n:e] for e, n in zip(ends.tolist(), numbers[:size].tolist(), strict=True)], numbers[size:]
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Rows of 32-bit counts, all lowest bytes first: most are small, so that the rest compresses away."""
+    return np.ascontiguousarray(np.moveaxis(numbers.astype("<u4")[..., None].view(np.uint8), -1, 0)).tobytes()
 
 
-def _learned(words=(), counts=(), context=(), block=(), numbers=()) -> pa.RecordBatch:
-    n, m = len(words), len(context)
-    return pa.RecordBatch.from_arrays([
-        pa.array([*words, *[None] * m], pa.string()), pa.array([*counts, *[None] * m], pa.int64()),
-        pa.array([*[None] * n, *context], pa.int32()), pa.array([*[None] * n, *block], pa.int32()),
-        pa.array([*[None] * n, *numbers], pa.binary())], ["word", "n", "context", "block", "numbers"])
+def unplanes(data: bytes, rows: int) -> np.ndarray:
+    return np.ascontiguousarray(np.moveaxis(np.frombuffer(data, np.uint8).reshape(4, rows, -1), 0, -1)).view("<u4")[..., 0]
 
 
-def _learn(bits: int):
-    """Over one task's training texts: word counts, and the learner's blocks."""
+ASKED = "block long, bucket int, keys binary, n binary, units binary"
+
+
+def _ask(bucket_bits: int):
+    """Blocks of units: what each holds of its distinct (context, byte) pairs, by bucket, and its units."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, units, docs = Learner(bits), Counter(), 0
-
-        def study() -> pa.RecordBatch:
-            keys = sorted(units, key=lambda u: (zlib.crc32(u), u))  # one order however the rows came
-            for i, at in enumerate(range(0, len(keys), STEP_UNITS)):
-                part = keys[at:at + STEP_UNITS]
-                learner.learn(part, np.fromiter((units[k] for k in part), dtype=np.uint32, count=len(part)),
-                              mix=i % MIX_EVERY == MIX_EVERY - 1 or len(keys) <= STEP_UNITS)
-            words: Counter = Counter()
-            for u, n in units.items():
-                words[u[4:]] += n
-            del words[END]  # counted by documents
-            units.clear()
-            return _learned([w.decode() for w in words], words.values())
+        block, units, counts = TaskContext.get().partitionId() << 32, [], []
+
+        def asked() -> pa.RecordBatch:
+            own = np.array(counts, dtype=np.int64)
+            d = Decisions(units)
+            keys, at = np.unique(d.keys(), return_inverse=True)
+            n = np.bincount(at.ravel(), np.tile(own[d.unit], CONTEXTS), len(keys)).astype("<i8")
+            bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(keys), np.int64)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends, size = [*cuts[1:].tolist(), len(keys)], len(cuts) + 1
+            return pa.RecordBatch.from_arrays([
+                pa.array([block] * size, pa.int64()), pa.array([*bucket[cuts], block % (1 << bucket_bits)], pa.int32()),
+                pa.array([*[keys[a:b].astype("<u8").tobytes() for a, b in zip(cuts, ends, strict=True)], None], pa.binary()),
+                pa.array([*[n[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], None], pa.binary()),
+                pa.array([*[None] * len(cuts), pack(units, own)], pa.binary())], ["block", "bucket", "keys", "n", "units"])
 
         for batch in batches:
-            for t in batch.column(0):
-                units.update(units_of(words_of(t.as_py())))
-                docs += 1
-                if len(units) > UNITS:
-                    yield study()
-        if docs:
-            yield study()
-            yield _learned([""], [docs])  # the end
-            for k, b, numbers in learner.rows():
-                yield _learned(context=[k], block=[b], numbers=[numbers])
+            for u, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                units.append(u)
+                counts.append(n)
+                if len(units) == STEP_UNITS:
+                    yield asked()
+                    block, units, counts = block + 1, [], []
+        if units:
+            yield asked()
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the blocks of a (context, block), whose rows come together."""
-    def put(key: tuple, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()),
-                                           pa.array([total.astype("<f4").tobytes()], pa.binary())],
-                                          ["context", "block", "numbers"])
+ANSWERED = "block long, bucket int, five binary, rare binary, units binary"
+
+
+def outcomes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted distinct keys: counts of both outcomes at the five decisions of each, which keys have
+    eight more, and the counts at those."""
+    def level(keys: np.ndarray, n: np.ndarray, j: int) -> list[np.ndarray]:
+        node = keys >> np.uint64(PATH_BITS - j)
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        size = np.diff(starts, append=len(keys))
+        one = n * (keys >> np.uint64(PATH_BITS - 1 - j) & np.uint64(1)).astype(np.int64)
+        return [np.repeat(np.minimum(np.add.reduceat(x, starts), (1 << 32) - 1), size).astype(np.uint32) for x in (n - one, one)]
+
+    rare = np.flatnonzero(keys >> np.uint64(8) & np.uint64(31) == 31)
+    five = np.stack([x for j in range(5) for x in level(keys, n, j)])
+    more = [x for j in range(5, 13) for x in level(keys[rare], n[rare], j)] if len(rare) else np.zeros((16, 0), np.uint32)
+    return five, rare, np.stack(list(more))
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the pairs of a bucket, whose rows come together, and answers each block that asked."""
+    bucket, asked = None, []
+
+    def answers() -> Iterator[pa.RecordBatch]:
+        all_keys, at = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
+        n = np.zeros(len(all_keys), dtype=np.int64)
+        np.add.at(n, at, np.concatenate([n for _, _, n in asked]))
+        five, rare, more = outcomes(all_keys, n)
+        where = np.full(len(all_keys), -1)
+        where[rare] = np.arange(len(rare))
+        stop = 0
+        for block, keys, _ in asked:
+            start, stop = stop, stop + len(keys)
+            part = at[start:stop]
+            extra = where[part]
+            yield one(block, bucket, planes(five[:, part]), planes(more[:, extra[extra >= 0]]), None)
+
+    def one(block, bucket, five, rare, units) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), *[
+            pa.array([x], pa.binary()) for x in (five, rare, units)]], ["block", "bucket", "five", "rare", "units"])
+
+    for batch in batches:
+        for block, b, keys, n, units in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if units is not None:
+                yield one(block, -1, None, None, units)
+                continue
+            if b != bucket:
+                if asked:
+                    yield from answers()
+                bucket, asked = b, []
+            asked.append((block, np.frombuffer(keys, "<u8"), np.frombuffer(n, "<i8")))
+    if asked:
+        yield from answers()
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: its units and all answers in the order of its keys."""
+    block, units, got = None, None, []
+
+    def one() -> pa.RecordBatch:
+        five, rare = (np.concatenate([unplanes(g[i], rows) for g in got], axis=1) for i, rows in ((0, 10), (1, 16)))
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (units, planes(five), planes(rare))],
+                                          ["units", "five", "rare"])
 
-    key, total = None, None
     for batch in batches:
-        for k, b, numbers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            part = np.frombuffer(numbers, "<f4").astype(np.float64)
-            if (k, b) != key:
-                if key is not None:
-                    yield put(key, total)
-                key, total = (k, b), part
+        for b, _, five, rare, u in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if b != block:
+                if got:
+                    yield one()
+                block, got = b, []
+            if u is not None:
+                units = u
             else:
-                total = total + part
-    if key is not None:
-        yield put(key, total)
-
-
-def train(texts: DataFrame, bits: int = BITS) -> tuple[Model, DataFrame]:
-    """The model and the word counts (word, n; "" counts the ends) of ``texts`` (text), in one pass."""
-    learned = materialize(texts.select("text").mapInArrow(_learn(bits), LEARNED), "lm-learned")
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = (learned.where("context is not null").select("context", "block", "numbers")
-              .repartition(partitions, "context", "block").sortWithinPartitions("context", "block")
-              .mapInArrow(_add_up, "context int, block int, numbers binary"))
-    tables, size = np.zeros((CONTEXTS, 1 << bits, 2), dtype=np.float32), 1 << min(BLOCK, bits)
-    weights, refine = start_weights(), np.zeros((GATES, STEPS, 2))
-    for r in blocks.toLocalIterator():  # 2^bits slots of eight bytes a context, whatever the corpus
-        numbers = np.frombuffer(bytes(r["numbers"]), "<f4")
-        if r["context"] >= 0:
-            tables[r["context"], r["block"] * size:(r["block"] + 1) * size] = numbers.reshape(-1, 2)
-        else:
-            cut = GATES * CONTEXTS
-            weights = numbers[:cut].reshape(GATES, CONTEXTS) / max(numbers[cut], 1e-9)
-            refine = numbers[cut + 1:].reshape(GATES, STEPS, 2)
-    counts = learned.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    return Model(tables, weights, refine, bits), materialize(counts, "lm-words")
-
-
-def _score(model, common):
-    """Per document: n_tokens, score, the common words' share of the base score, and its other words."""
+                got.append((five, rare))
+    if got:
+        yield one()
+
+
+def decisions_of(units: list[bytes], five: bytes, rare: bytes) -> Iterator[tuple]:
+    """(level, units, bit, counts of both outcomes by context) of a block with its answers."""
+    d = Decisions(units)
+    keys, at = np.unique(d.keys(), return_inverse=True)
+    at, counts, more = at.reshape(CONTEXTS, -1), unplanes(five, 10), unplanes(rare, 16)
+    where = np.cumsum(keys >> np.uint64(8) & np.uint64(31) == 31) - 1
+    few = where[at[:, d.symbol == 31]]
+    for j, unit, _, _, bit in d.levels():
+        table, i, row = (counts, at, 2 * j) if j < 5 else (more, few, 2 * (j - 5))
+        yield j, unit, bit, [(table[row][i[k]].astype(np.float32), table[row + 1][i[k]].astype(np.float32)) for k in range(CONTEXTS)]
+
+
+def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's weights and map: every block teaches, its decisions predicted without themselves."""
+    mixer = Mixer()
+    for batch in batches:
+        for packed, five, rare in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            units, n = unpack(packed)
+            for j, unit, bit, pairs in decisions_of(units, five, rare):
+                use = np.flatnonzero(n[unit] > 0)
+                if not len(use):
+                    continue
+                one = bit[use].astype(np.float32)
+                pairs = [(np.maximum(a[use] - (1 - one), 0), np.maximum(b[use] - one, 0)) for a, b in pairs]
+                mixer.teach([log_odds(a, b) for a, b in pairs], [confidence(sum(pairs[k])) for k in (0, 3)],
+                            j, bit[use], n[unit][use])
+            mixer.seen += float(n.sum())
+    if mixer.seen:
+        yield pa.RecordBatch.from_pydict({"numbers": [mixer.numbers().tolist()]})
+
+
+def _log10(model):
+    """(unit, n, score) of every unit of the blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            for packed, five, rare in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                units, n = unpack(packed)
+                out = np.zeros(len(units))
+                for j, unit, bit, pairs in decisions_of(units, five, rare):
+                    got = m.log10_bit([log_odds(a, b) for a, b in pairs], [confidence(sum(pairs[k])) for k in (0, 3)], j, bit)
+                    out += np.bincount(unit, got, len(units))
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array(n), pa.array(out)], ["unit", "n", "score"])
+    return run
+
+
+def score_units(units: DataFrame, bits: int = BITS) -> DataFrame:
+    """unit, n and score (log10 probability) of ``units`` (distinct unit, n: its training count)."""
+    spark = units.sparkSession
+    positions = units.agg(F.sum(F.length("unit") - 3)).first()[0] or 0
+    bucket_bits = max(0, (positions * CONTEXTS >> bits).bit_length())
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = (units.repartitionByRange(partitions, F.substring("unit", 5, 1 << 30), "unit")
+             .sortWithinPartitions(F.substring("unit", 5, 1 << 30), "unit").mapInArrow(_ask(bucket_bits), ASKED))
+    answered = (asked.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, ANSWERED))
+    blocks = materialize(answered.repartition(partitions, "block").sortWithinPartitions("block", "bucket")
+                         .mapInArrow(_gather, "units binary, five binary, rare binary"), "lm-blocks")
+    total = np.zeros(GATES * CONTEXTS + 1 + GATES * STEPS * 2)
+    for r in blocks.mapInArrow(_teach, "numbers array<double>").toLocalIterator():
+        total += np.array(r["numbers"])
+    cut = GATES * CONTEXTS
+    weights = total[:cut].reshape(GATES, CONTEXTS) / total[cut] if total[cut] else start_weights()
+    model = spark.sparkContext.broadcast(Frozen(weights, total[cut + 1:].reshape(GATES, STEPS, 2)))
+    return blocks.mapInArrow(_log10(model), "unit binary, n long, score double")
+
+
+def _score(common):
+    """Per document: n_tokens, the common units' share of the scores, and its other units."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, logs = model.value, common.value
-        known: dict[bytes, float] = {}
+        known = common.value
         for batch in batches:
             rows = [words_of(t.as_py()) for t in batch.column(2)]
             at = 0
             while at < len(rows):  # groups of documents, so that units of a batch of long texts stay bounded
                 stop, size = at, 0
+                out = {"n": [], "found": [], "base": [], "score": [], "others": [], "times": []}
                 while stop < len(rows) and size < GROUP_WORDS:
-                    size += len(rows[stop])
+                    units = units_of(rows[stop])
+                    size += len(units)
                     stop += 1
-                group = [units_of(w) for w in rows[at:stop]]
-                new = list({u for g in group for u in g if u not in known})
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list({u for g in group for u in g})
-                new.sort()
-                for a in range(0, len(new), STEP_UNITS):
-                    part = new[a:a + STEP_UNITS]
-                    known.update(zip(part, m.log10(part).tolist(), strict=True))
-                score = [sum(map(known.__getitem__, g)) for g in group]
-                out = {"n": [], "found": [], "base": [], "others": [], "times": []}
-                for words in rows[at:stop]:
-                    got = [logs.get(w) for w in words]
-                    others = Counter(w for w, g in zip(words, got, strict=True) if g is None)
+                    got = [known.get(u) for u in units]
+                    others = Counter(u for u, g in zip(units, got, strict=True) if g is None)
                     hit = [g for g in got if g is not None]
-                    out["n"].append(len(words) + 1)
-                    out["found"].append(len(hit))
-                    out["base"].append(float(sum(hit)))
-                    out["others"].append([w.decode() for w in others])
+                    out["n"].append(len(units))
+                    out["found"].append(sum(g[1] > 0 for g in hit))
+                    out["base"].append(float(sum(g[1] for g in hit)))
+                    out["score"].append(float(sum(g[0] for g in hit)))
+                    out["others"].append(list(others))
                     out["times"].append(list(others.values()))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[at:stop], batch.column(1)[at:stop], pa.array(out["n"], pa.int64()), pa.array(score),
-                    pa.array(out["found"], pa.int64()), pa.array(out["base"], pa.float64()),
-                    pa.array(out["others"], pa.list_(pa.string())), pa.array(out["times"], pa.list_(pa.int64()))],
-                    ["doc_id", "held_out", "n_tokens", "score", "found", "base", "others", "times"])
+                    batch.column(0)[at:stop], batch.column(1)[at:stop], pa.array(out["n"], pa.int64()),
+                    pa.array(out["score"], pa.float64()), pa.array(out["found"], pa.int64()), pa.array(out["base"], pa.float64()),
+                    pa.array(out["others"], pa.list_(pa.binary())), pa.array(out["times"], pa.list_(pa.int64()))],
+                    ["doc_id", "held_out", "n_tokens", "common_score", "found", "base", "others", "times"])
                 at = stop
     return run
 
@@ -352,26 +512,31 @@ def lm_scores(docs: DataFrame, bits: int = BITS, common_words: int = COMMON_WORD
     """
     sc = docs.sparkSession.sparkContext
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    model, words = train(rows.where(~F.col("held_out")), bits)
-    totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    units = materialize(rows.select("held_out", "text").mapInArrow(_units, "unit binary, n long")
+                        .groupBy("unit").agg(F.sum("n").alias("n")), "lm-units")
+    words = (units.groupBy(F.substring("unit", 5, 1 << 30).alias("word")).agg(F.sum("n").alias("word_n")))
+    totals = words.where("word_n > 0").agg(F.sum("word_n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    top = words.where("word <> ''").orderBy(F.desc("n"), "word").limit(common_words).toPandas()  # bounded
-    common = {w.encode(): x for w, x in zip(top["word"], np.log10(top["n"].to_numpy() + 1.0).tolist(), strict=True)}
-    ends = words.where("word = ''").select("n").collect()
-    end = ends[0]["n"] if ends else 0
+    scored = materialize(score_units(units, bits).withColumn("w", F.substring("unit", 5, 1 << 30))
+                         .join(words, F.col("w") == F.col("word")).select("unit", "n", "score", "word_n"), "lm-scored")
+    top = scored.orderBy(F.desc("n"), "unit").limit(common_words).toPandas()  # bounded
+    common = {bytes(u): x for u, *x in zip(top["unit"], top["score"].astype(float).tolist(),
+                                           np.log10(top["word_n"].to_numpy(float) + 1.0).tolist(), strict=True)}
     found = materialize(
-        rows.mapInArrow(_score(sc.broadcast(model), sc.broadcast(common)),
-                        "doc_id long, held_out boolean, n_tokens long, score double, found long, base double, "
-                        "others array<string>, times array<long>")
+        rows.mapInArrow(_score(sc.broadcast(common)),
+                        "doc_id long, held_out boolean, n_tokens long, common_score double, found long, base double, "
+                        "others array<binary>, times array<long>")
         .withColumn("rid", F.monotonically_increasing_id()), "lm-found")
     pairs = found.select("rid", F.explode(F.arrays_zip("others", "times")).alias("o")).select(
         "rid", F.col("o.others").alias("other"), F.col("o.times").alias("t"))
-    rare = (pairs.join(words, F.col("other") == F.col("word"))
+    rare = (pairs.join(scored, F.col("other") == F.col("unit"))
             .groupBy(F.col("rid").alias("r0")).agg(
-                F.sum("t").alias("rare_found"), F.sum(F.col("t") * F.log10(F.col("n") + F.lit(1.0))).alias("rare_base")))
-    known = F.col("found") + F.coalesce("rare_found", F.lit(0)) + F.lit(int(end > 0))
-    base = (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + F.lit(float(np.log10(end + 1)))
-            - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1))))
+                F.sum(F.when(F.col("word_n") > 0, F.col("t")).otherwise(F.lit(0))).alias("rare_found"),
+                F.sum(F.col("t") * F.log10(F.col("word_n") + F.lit(1.0))).alias("rare_base"),
+                F.sum(F.col("t") * F.col("score")).alias("rare_score")))
+    known = F.col("found") + F.coalesce("rare_found", F.lit(0))
+    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
     return (found.join(rare, F.col("rid") == F.col("r0"), "left")
             .select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"),
-                    F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score"))
+                    F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"),
+                    (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0))).alias("score")))

@@ -107,3 +107,41 @@ def test_learns():
     model = small_model(["the cat sat on the mat"] * 50)
     seen, unseen = model.log10([L.START + b"the", L.START + b"xqz"])
     assert seen > unseen + 2
+
+
+def test_context_counts_are_exact_and_grow(spark):
+    """The counts behind each decision are those of its own context alone, however many contexts there
+    are (in 2^14 slots a context most of these were mixed)."""
+    rng = np.random.default_rng(1)
+    units = sorted({L.START + bytes(w) for w in rng.integers(97, 123, (30_000, 6)).astype(np.uint8)} | {L.START + "é日".encode()})
+    n = rng.integers(1, 5, len(units))
+    want = Counter()
+    for u, times in zip(units, n.tolist(), strict=True):
+        for i in range(4, len(u) + 1):
+            want[u[4:i], (u + b" ")[i]] += times
+    d = L.Decisions(units)
+    keys, at = np.unique(d.keys(), return_inverse=True)
+    at = at.reshape(L.CONTEXTS, -1)
+    pairs = [(u[4:i], (u + b" ")[i]) for u in units for i in range(4, len(u) + 1)]
+    assert len(set(at[0].tolist())) == len(want)
+    df = spark.createDataFrame([(u, int(x)) for u, x in zip(units, n, strict=True)], "unit binary, n long")
+    asked = df.repartition(3).mapInArrow(L._ask(4), L.ASKED)
+    got = asked.repartition(4, "bucket").sortWithinPartitions("bucket").mapInArrow(L._answer, L.ANSWERED)
+    blocks = got.repartition(2, "block").sortWithinPartitions("block", "bucket").mapInArrow(L._gather, "units binary, five binary, rare binary")
+    seen = 0
+    after = Counter()  # (prefix, first bit of the next symbol)
+    for (p, b), times in want.items():
+        after[p, int(L.CODE[b]) >> 4] += times
+    for r in blocks.collect():
+        part, own = L.unpack(bytes(r["units"]))
+        seen += int(own.sum())
+        mine = [u[4:i] for u in part for i in range(4, len(u) + 1)]
+        j, _, _, counts = next(L.decisions_of(part, bytes(r["five"]), bytes(r["rare"])))
+        assert j == 0 and counts[0][0].tolist() == [after[p, 0] for p in mine] and counts[0][1].tolist() == [after[p, 1] for p in mine]
+    assert seen == n.sum() and len(pairs) == at.shape[1]
+
+
+def test_score_does_not_hang_on_a_table_size(spark):
+    docs = read_table(spark, SF0001, "documents").limit(60).coalesce(1)
+    a, b = (sorted((r["doc_id"], r["score"]) for r in L.lm_scores(docs, bits=bits).collect()) for bits in (8, 20))
+    assert [x[1] for x in a] == pytest.approx([x[1] for x in b], rel=1e-2)  # blocks differ a little
