@@ -3,7 +3,7 @@
 The text is the stream of its lower-cased words, one space after each, and an end mark.  A symbol is
 five binary decisions for the commonest bytes and thirteen for the rest.  For every decision the
 contexts (the word so far; the last two, three and five bytes, which at a word's start include the kind
-of byte that ended the word before) give counts of both outcomes; the log odds of the predictions are
+of byte that ended the word before; that kind with the word so far) give counts of both outcomes; the log odds of the predictions are
 mixed by a weight vector that a gate chooses (how well the contexts are known, and the level), and an
 adaptive probability map refines the mix.
 
@@ -37,15 +37,16 @@ from routelens.session import materialize
 #: A bucket of the context table answers for about 2^BITS positions (and 2^BITS are the slots of a
 #: context where a single process keeps hashed tables).
 BITS = 20
-#: Distinct units gathered before a task sends them, and units of a block.
+#: Distinct units gathered before a task sends them, and units of a block: the larger, the fewer pairs
+#: are asked for more than once.
 UNITS = 300_000
-STEP_UNITS = 20_000
+STEP_UNITS = 60_000
 #: Words of a group of documents scored together.
 GROUP_WORDS = 100_000
 #: Units whose scores and counts travel to the scoring tasks.
 COMMON_WORDS = 100_000
 FOLDS, HELD_OUT = 7, 2
-CONTEXTS, GATES, STEPS = 4, 32, 33
+CONTEXTS, GATES, STEPS = 5, 32, 33
 END = b" "  # no word
 
 # The bytes with five-decision codes.
@@ -97,7 +98,8 @@ class Decisions:
         fifth = np.where(pos[at] > 4, wide[at - 5], np.uint32(0))
         five = (three | wide[at - 4] << np.uint32(24)) * C2 + fifth * C1
         self.contexts = [prefix * C2 + np.uint32(1), two * C1 + np.uint32(3),
-                         (three ^ three >> np.uint32(11)) * C2 + np.uint32(4), five * C1 + np.uint32(5)]
+                         (three ^ three >> np.uint32(11)) * C2 + np.uint32(4), five * C1 + np.uint32(5),
+                         (prefix + wide[starts + 2][unit[at]] * C1) * C2 + np.uint32(6)]
         self.unit, self.symbol, self.byte = unit[at], CODE[by[at]], wide[at]
         self._bytes, self._starts, self._pos, self._at = by, starts, pos, at
 
@@ -111,9 +113,10 @@ class Decisions:
         three = two | wide[at - 3] << np.uint64(16)
         fifth = np.where(self._pos[at] > 4, wide[at - 5], np.uint64(0))
         five = three | wide[at - 4] << np.uint64(24) | fifth << np.uint64(32)
+        kind = prefix + spread(wide[self._starts + 2], CONTEXTS)[self.unit]
         path = PATH[self._bytes[at]]
         return np.stack([spread(c, k) >> np.uint64(PATH_BITS) << np.uint64(PATH_BITS) | path
-                         for k, c in enumerate([prefix, two, three, five])])
+                         for k, c in enumerate([prefix, two, three, five, kind])])
 
     def levels(self) -> Iterator[tuple]:
         """(level, units, contexts, node, bit) of each level."""
@@ -157,7 +160,7 @@ def gate_of(word: np.ndarray, five: np.ndarray, level: int) -> np.ndarray:
 def start_weights() -> np.ndarray:
     """The better the word so far is known, the more it counts."""
     trust = np.arange(GATES) // 4 / 7
-    return np.stack([0.1 + 0.8 * trust, *[0.3 * (1 - trust)] * 3], axis=1)
+    return np.stack([0.1 + 0.8 * trust, *[0.3 * (1 - trust)] * 3, 0.1 + 0 * trust], axis=1)
 
 
 class Mixer:
@@ -283,12 +286,14 @@ def unpack(packed: bytes) -> tuple[list[bytes], np.ndarray]:
 
 
 def planes(numbers: np.ndarray) -> bytes:
-    """Rows of 32-bit counts, all lowest bytes first: most are small, so that the rest compresses away."""
-    return np.ascontiguousarray(np.moveaxis(numbers.astype("<u4")[..., None].view(np.uint8), -1, 0)).tobytes()
+    """Rows of counts or gaps, all lowest bytes first: the highest are mostly zero and compress away."""
+    data = np.ascontiguousarray(np.moveaxis(numbers.astype("<u8")[..., None].view(np.uint8), -1, 0)).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def unplanes(data: bytes, rows: int) -> np.ndarray:
-    return np.ascontiguousarray(np.moveaxis(np.frombuffer(data, np.uint8).reshape(4, rows, -1), 0, -1)).view("<u4")[..., 0]
+    flat = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(np.moveaxis(flat.reshape(8, rows, -1), 0, -1)).view("<u8")[..., 0]
 
 
 ASKED = "block long, bucket int, keys binary, n binary, units binary"
@@ -303,14 +308,14 @@ def _ask(bucket_bits: int):
             own = np.array(counts, dtype=np.int64)
             d = Decisions(units)
             keys, at = np.unique(d.keys(), return_inverse=True)
-            n = np.bincount(at.ravel(), np.tile(own[d.unit], CONTEXTS), len(keys)).astype("<i8")
+            n = np.bincount(at.ravel(), np.tile(own[d.unit], CONTEXTS), len(keys)).astype(np.int64)
             bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(keys), np.int64)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends, size = [*cuts[1:].tolist(), len(keys)], len(cuts) + 1
             return pa.RecordBatch.from_arrays([
                 pa.array([block] * size, pa.int64()), pa.array([*bucket[cuts], block % (1 << bucket_bits)], pa.int32()),
-                pa.array([*[keys[a:b].astype("<u8").tobytes() for a, b in zip(cuts, ends, strict=True)], None], pa.binary()),
-                pa.array([*[n[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], None], pa.binary()),
+                pa.array([*[planes(np.diff(keys[a:b], prepend=np.uint64(0))[None]) for a, b in zip(cuts, ends, strict=True)], None], pa.binary()),
+                pa.array([*[planes(n[None, a:b]) for a, b in zip(cuts, ends, strict=True)], None], pa.binary()),
                 pa.array([*[None] * len(cuts), pack(units, own)], pa.binary())], ["block", "bucket", "keys", "n", "units"])
 
         for batch in batches:
@@ -329,19 +334,17 @@ ANSWERED = "block long, bucket int, five binary, rare binary, units binary"
 
 
 def outcomes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted distinct keys: counts of both outcomes at the five decisions of each, which keys have
-    eight more, and the counts at those."""
-    def level(keys: np.ndarray, n: np.ndarray, j: int) -> list[np.ndarray]:
+    """For sorted distinct keys: the count of the context and of the outcome of each key at its five
+    decisions (a decision's total is the outcome before), which keys have eight more, and their outcomes."""
+    def below(keys: np.ndarray, n: np.ndarray, j: int) -> np.ndarray:
         node = keys >> np.uint64(PATH_BITS - j)
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        size = np.diff(starts, append=len(keys))
-        one = n * (keys >> np.uint64(PATH_BITS - 1 - j) & np.uint64(1)).astype(np.int64)
-        return [np.repeat(np.minimum(np.add.reduceat(x, starts), (1 << 32) - 1), size).astype(np.uint32) for x in (n - one, one)]
+        return np.repeat(np.add.reduceat(n, starts), np.diff(starts, append=len(keys)))
 
     rare = np.flatnonzero(keys >> np.uint64(8) & np.uint64(31) == 31)
-    five = np.stack([x for j in range(5) for x in level(keys, n, j)])
-    more = [x for j in range(5, 13) for x in level(keys[rare], n[rare], j)] if len(rare) else np.zeros((16, 0), np.uint32)
-    return five, rare, np.stack(list(more))
+    five = np.stack([below(keys, n, j) for j in range(6)])
+    more = np.stack([below(keys[rare], n[rare], j) for j in range(6, 14)]) if len(rare) else np.zeros((8, 0), np.int64)
+    return five, rare, more
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +378,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if asked:
                     yield from answers()
                 bucket, asked = b, []
-            asked.append((block, np.frombuffer(keys, "<u8"), np.frombuffer(n, "<i8")))
+            asked.append((block, np.cumsum(unplanes(keys, 1)[0], dtype=np.uint64), unplanes(n, 1)[0].astype(np.int64)))
     if asked:
         yield from answers()
 
@@ -385,7 +388,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, units, got = None, None, []
 
     def one() -> pa.RecordBatch:
-        five, rare = (np.concatenate([unplanes(g[i], rows) for g in got], axis=1) for i, rows in ((0, 10), (1, 16)))
+        five, rare = (np.concatenate([unplanes(g[i], rows) for g in got], axis=1) for i, rows in ((0, 6), (1, 8)))
         return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (units, planes(five), planes(rare))],
                                           ["units", "five", "rare"])
 
@@ -407,12 +410,19 @@ def decisions_of(units: list[bytes], five: bytes, rare: bytes) -> Iterator[tuple
     """(level, units, bit, counts of both outcomes by context) of a block with its answers."""
     d = Decisions(units)
     keys, at = np.unique(d.keys(), return_inverse=True)
-    at, counts, more = at.reshape(CONTEXTS, -1), unplanes(five, 10), unplanes(rare, 16)
+    at, counts, more = at.reshape(CONTEXTS, -1), unplanes(five, 6).view(np.int64), unplanes(rare, 8).view(np.int64)
     where = np.cumsum(keys >> np.uint64(8) & np.uint64(31) == 31) - 1
-    few = where[at[:, d.symbol == 31]]
+    is_rare = d.symbol == 31
+    few = where[at[:, is_rare]]
+    total = [counts[0][at[k]] for k in range(CONTEXTS)]
     for j, unit, _, _, bit in d.levels():
-        table, i, row = (counts, at, 2 * j) if j < 5 else (more, few, 2 * (j - 5))
-        yield j, unit, bit, [(table[row][i[k]].astype(np.float32), table[row + 1][i[k]].astype(np.float32)) for k in range(CONTEXTS)]
+        if j == 5:
+            total = [t[is_rare] for t in total]
+        own = [counts[j + 1][at[k]] if j < 5 else more[j - 5][few[k]] for k in range(CONTEXTS)]
+        one = bit == 1
+        yield j, unit, bit, [(np.where(one, t - o, o).astype(np.float32), np.where(one, o, t - o).astype(np.float32))
+                              for t, o in zip(total, own, strict=True)]
+        total = own
 
 
 def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,8 +465,9 @@ def score_units(units: DataFrame, bits: int = BITS) -> DataFrame:
     positions = units.agg(F.sum(F.length("unit") - 3)).first()[0] or 0
     bucket_bits = max(0, (positions * CONTEXTS >> bits).bit_length())
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = (units.repartitionByRange(partitions, F.substring("unit", 5, 1 << 30), "unit")
-             .sortWithinPartitions(F.substring("unit", 5, 1 << 30), "unit").mapInArrow(_ask(bucket_bits), ASKED))
+    word = F.substring("unit", 5, 1 << 30)
+    asked = (units.repartition(partitions, F.substring("unit", 5, 3), F.pmod(F.crc32(word), F.lit(4)))  # the same blocks in every run
+             .sortWithinPartitions(word, "unit").mapInArrow(_ask(bucket_bits), ASKED))
     answered = (asked.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, ANSWERED))
     blocks = materialize(answered.repartition(partitions, "block").sortWithinPartitions("block", "bucket")
                          .mapInArrow(_gather, "units binary, five binary, rare binary"), "lm-blocks")
