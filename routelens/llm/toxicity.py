@@ -11,6 +11,7 @@ Rows of a fold are told by crc32(doc_id as text) mod 5: 0 is held out, 1 calibra
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -171,19 +172,26 @@ def _count_known(known: frozenset):
 
 
 def _sketch(texts: pd.Series) -> pd.Series:
-    """The smallest hash of a text's word pairs: copies agree in it, near copies mostly."""
-    def low(t: str | None) -> int:
+    """The smallest hashes of a text's word pairs in each of eight classes, which copies share, near copies
+    mostly, and different texts hardly ever; the lower-cased words themselves if a class has no pair."""
+    def low(t: str | None) -> str:
         words = (t or "").lower().encode().split()
-        return min((zlib.crc32(a + b" " + b) for a, b in zip(words, words[1:], strict=False)), default=-1)
-    return texts.map(low).astype("int64")
+        least: dict[int, int] = {}
+        for a, b in zip(words, words[1:], strict=False):
+            h = zlib.crc32(a + b" " + b)
+            least[h & 7] = min(h, least.get(h & 7, h))
+        if len(least) < 8:
+            return "=" + hashlib.md5(b" ".join(words)).hexdigest()
+        return ",".join(str(least[i]) for i in range(8))
+    return texts.map(low).astype(object)
 
 
 def learn_lexicon(train: DataFrame) -> tuple[frozenset, frozenset]:
     """Strong and mild terms by document counts over all of ``train`` (text, y).  Of toxic texts with
     one sketch, one counts, so that (near) copies don't make their words a lexicon.  A stem must occur
     in clearly more documents than any single word that has it."""
-    toxic = materialize(train.where("y = 1").select("text").withColumn("sketch", F.pandas_udf(_sketch, "long")("text"))
-                        .dropDuplicates(["sketch"]).select("text"), "lexicon-toxic")
+    toxic = materialize(train.where("y = 1").select("text").withColumn("sketch", F.pandas_udf(_sketch, "string")("text"))
+                        .groupBy("sketch").agg(F.min("text").alias("text")).select("text"), "lexicon-toxic")
     sizes = {1: toxic.count(), 0: train.where("y = 0").count()}
     counted = materialize(toxic.mapInArrow(_count_terms, "term string, n long")
                           .groupBy("term").agg(F.sum("n").alias("toxic_docs")), "lexicon-terms")

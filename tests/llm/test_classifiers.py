@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from routelens.llm import quality as Q
@@ -127,3 +128,17 @@ def test_keep_clean_keeps_the_columns(spark):
     assert kept.columns == docs.columns
     scores = {r["doc_id"]: r["predicted"] for r in X.toxicity_digest(docs, labels).collect()}
     assert {r["doc_id"] for r in kept.collect()} == {i for i, p in scores.items() if not p}
+
+
+def test_toxic_texts_that_share_a_pair_all_count(spark):
+    """Only copies count once: not one-word texts, nor texts that merely share their lowest-hashed pair."""
+    insults = [f"grolk{chr(97 + i)}" for i in range(6)]
+    common = min((f"w{i} w{i + 1}" for i in range(400)), key=lambda p: zlib.crc32(p.encode()))
+    long = [" ".join([common, *(f"grolk{n}x{i}" for i in range(60))]) for n in range(6)]
+    key = X._sketch(pd.Series([*insults, *long, insults[0].upper(), long[0].upper()]))
+    assert key.nunique() == 12 and key[0] == key[12] and key[6] == key[13]
+    rows = [(t, 1) for t in insults + long] + [(f"clean{i} words{i} here", 0) for i in range(200)]
+    strong, mild = X.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    assert "grolk*" in strong | mild  # five letters of twelve texts; one of the one-word texts alone counted before
+    one_word, _ = X.learn_lexicon(spark.createDataFrame([(t, 1) for t in insults] + rows[12:], "text string, y int"))
+    assert "grolk*" in one_word
