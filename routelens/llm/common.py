@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every text contract here: space and the controls 9 to 13.
@@ -27,6 +30,19 @@ def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     return df
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside the block; the session's own
+    setting comes back afterwards.  For passes over whole texts or wide rows that are written at once."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, rows if int(before) <= 0 else min(rows, int(before)))
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 def as_row(df: DataFrame, name: str = "__row") -> DataFrame:
     """All columns of ``df`` packed into one struct, so that helper columns can't clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routelens.llm import ann, chat_format, exact_dedup, lm_scoring, mixing, packing, quality, simhash_dedup, toxicity, url_filter
+from routelens.llm import ann, chat_format, exact_dedup, line_dedup, lm_scoring, mixing, packing, quality, simhash_dedup, toxicity, url_filter
 from routelens.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,4 +52,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_digest(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pack, op4_mix, op5_simhash_dedup, op6_quality, op7_exact_dedup, op8_ann, op9_lm_score, op10_url_filter)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_toxicity, op2_chat_format, op3_pack, op4_mix, op5_simhash_dedup, op6_quality, op7_exact_dedup, op8_ann, op9_lm_score,
+    op10_url_filter, op11_line_dedup)}

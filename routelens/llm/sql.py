@@ -109,4 +109,17 @@ SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.ruled, CASE WHEN r.purity >
 FROM f JOIN r{DEPTH} r ON r.host = f.host AND r.tokens = f.tokens
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_MIX, "op7_exact_dedup": OP7_EXACT_DEDUP, "op10_url_filter": OP10_URL_FILTER}
+_SPACE = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+
+OP11_LINE_DEDUP = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, row, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, {_SPACE}), '{_UPPER}', '{_LOWER}') AS key FROM l),
+f AS (SELECT *, length(key) >= 10 AND doc_id IS DISTINCT FROM min(doc_id) OVER (PARTITION BY key) AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id, row
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_MIX, "op7_exact_dedup": OP7_EXACT_DEDUP, "op10_url_filter": OP10_URL_FILTER,
+                              "op11_line_dedup": OP11_LINE_DEDUP}
