@@ -121,5 +121,33 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM f GROUP BY doc_id, row
 """
 
+
+
+def _round(n: int) -> str:
+    """Round n of the clustering: vectors to their nearest centroid of round n - 1, then new centroids."""
+    return f"""
+a{n} AS (SELECT row, min(struct_pack(d := {_squared}, c := cluster)) AS best FROM v, c{n - 1} GROUP BY row),
+s{n} AS (SELECT best.c AS cluster, j, sum(x[j])::HUGEINT AS s, count(*)::HUGEINT AS n
+         FROM a{n} JOIN v USING (row), range(1, 65) t(j) GROUP BY ALL),
+m{n} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS moved FROM s{n} GROUP BY cluster),
+c{n} AS (SELECT cluster, coalesce(moved, c) AS c FROM c{n - 1} LEFT JOIN m{n} USING (cluster))"""
+
+
+_squared = "list_sum(list_transform(range(1, 65), lambda j: (x[j] - c[j]) * (x[j] - c[j])))::BIGINT"
+
+OP12_CENTROIDS = rf"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS cluster, x AS c FROM v
+  QUALIFY cluster < 16),
+{','.join(_round(n).replace(' AS (SELECT', ' AS MATERIALIZED (SELECT') for n in (1, 2, 3))},
+f AS MATERIALIZED (SELECT row, min(struct_pack(d := {_squared}, c := cluster)) AS best FROM v, c3 GROUP BY row)
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.c, ',')) AS centroid_sha256
+FROM f JOIN v USING (row) JOIN c3 ON c3.cluster = best.c
+"""
+
 ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_MIX, "op7_exact_dedup": OP7_EXACT_DEDUP, "op10_url_filter": OP10_URL_FILTER,
-                              "op11_line_dedup": OP11_LINE_DEDUP}
+                              "op11_line_dedup": OP11_LINE_DEDUP, "op12_centroids": OP12_CENTROIDS}
