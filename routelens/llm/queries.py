@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routelens.llm import ann, centroids, chat_format, exact_dedup, line_dedup, lm_scoring, mixing, packing, quality, simhash_dedup, toxicity, url_filter
+from routelens.llm import ann, centroids, chat_format, exact_dedup, hard_negatives, line_dedup, lm_scoring, mixing, packing, quality, simhash_dedup, toxicity, url_filter
 from routelens.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_digest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.every_hundredth(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_toxicity, op2_chat_format, op3_pack, op4_mix, op5_simhash_dedup, op6_quality, op7_exact_dedup, op8_ann, op9_lm_score,
-    op10_url_filter, op11_line_dedup, op12_centroids)}
+    op10_url_filter, op11_line_dedup, op12_centroids, op13_hard_negatives)}

@@ -149,5 +149,25 @@ SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PA
 FROM f JOIN v USING (row) JOIN c3 ON c3.cluster = best.c
 """
 
+OP13_HARD_NEGATIVES = r"""
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS vec_id, a.label = r.label AS same,
+         list_sum(list_transform(list_zip(a.x, r.x), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a, v r WHERE a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_MIX, "op7_exact_dedup": OP7_EXACT_DEDUP, "op10_url_filter": OP10_URL_FILTER,
-                              "op11_line_dedup": OP11_LINE_DEDUP, "op12_centroids": OP12_CENTROIDS}
+                              "op11_line_dedup": OP11_LINE_DEDUP, "op12_centroids": OP12_CENTROIDS, "op13_hard_negatives": OP13_HARD_NEGATIVES}
