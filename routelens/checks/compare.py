@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import os
 from collections import Counter
+from decimal import Decimal
 
 from routelens.sources.tables import TABLES
 
@@ -34,6 +35,8 @@ def _norm(v):
         return tuple(sorted((k, _norm(x)) for k, x in v.items()))
     if hasattr(v, "asDict"):
         return _norm(v.asDict())
+    if isinstance(v, Decimal) and v == v.to_integral_value():
+        return int(v)              # money totals, exact beyond what a double holds
     if hasattr(v, "__float__") and not isinstance(v, (int, bool)):
         return round(float(v), 6) + 0.0
     return v

@@ -763,7 +763,7 @@ def _price_rows() -> str:
 
 
 ORACLE_SQL["q_price_list"] = f"""
-SELECT model, (t * prompt_pico + n * request_pico)::BIGINT AS cost_pico
+SELECT model, (t::HUGEINT * prompt_pico + n::HUGEINT * request_pico)::DECIMAL(38,0) AS cost_pico
 FROM (VALUES {_price_rows()}) p(model, prompt_pico, request_pico),
      (SELECT count(*) AS n, sum({ntok('text')}) AS t FROM documents)
 """

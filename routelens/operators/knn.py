@@ -1,148 +1,364 @@
-"""Exact k-nearest-neighbour search and neighbour-vote scores.
+"""Exact k-nearest-neighbour search with pruned cells, and neighbour-vote scores.
 
 Plan (no cross join, no pair rows):
 
-* queries are hashed into ``QB`` blocks and training rows into ``TB`` blocks;
-  each query row is replicated once per training block and each training row
-  once per query block, so that cell ``(group, qb, tb)`` of a ``cogroup`` holds
-  one query block and one training block (a replicated equi-join; data moved
-  is ``Q * TB + T * QB`` rows, never ``Q * T``);
-* inside a cell numpy computes the similarity block in query chunks and keeps
-  only the top ``k`` per query (ties by training id; similarities that are not finite are left out);
-* a final ``row_number() <= k`` per query merges the ``TB`` partial lists
-  (``WindowGroupLimit``), at most ``TB * k`` rows per query.
-
-A hot group (a third of all rows in one family) is spread over ``QB * TB``
-tasks instead of one.  Block counts are set per group from its measured row counts.
+* the training rows of a group are cut into cells around pivots (chosen from a bounded sample, in tasks,
+  one row set per group), and cells are laid out in shards of some thousand rows by a range partition, so
+  that a hot group or cell is many shards;
+* a cell's distance to its pivot's farthest row (its radius) bounds the distance of any query to any of
+  its rows from below: d(query, pivot) - radius, by the triangle inequality.  Cosine uses the distance of
+  unit vectors, which orders rows as the similarity does;
+* a query first visits the shard of its nearest pivot; its k-th similarity there is the floor with which
+  it is sent to those other shards alone that may hold a nearer row;
+* inside a shard queries visit cells nearest bound first, whole batches of queries per numpy call, and stop
+  as soon as the next bound lies beyond the running k-th distance;
+* a final ``row_number() <= k`` per query (``WindowGroupLimit``) merges at most ``k`` rows per visited shard.
+
+The result does not depend on the pivots: they decide what is skipped, not what is found.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from routelens.operators.meet import matrix, meet
+from routelens.session import materialize
+
 METRICS = ("cosine", "euclidean", "manhattan")
-CELL_BYTES = 64 << 20
-
-
-def _block_fn(k: int, metric: str, qid: str, tid: str, payload: str | None, group_cols: list[str],
-              chunk: int = 512):
-    import numpy as np
-    import pandas as pd
-
-    def fn(qdf: pd.DataFrame, tdf: pd.DataFrame) -> pd.DataFrame:
-        cols = group_cols + [qid, tid, "sim"] + ([payload] if payload else [])
-        if len(qdf) == 0 or len(tdf) == 0:
-            return pd.DataFrame({c: [] for c in cols})
-        Q = np.stack(qdf["vec"].to_numpy()).astype(np.float64)
-        Tm = np.stack(tdf["vec"].to_numpy()).astype(np.float64)
-        tids = tdf[tid].to_numpy()
-        order = np.argsort(tids, kind="stable")            # columns by training id: equal similarities
-        Tm, tids = Tm[order], tids[order]                  # then rank by id in a stable sort
-        if metric == "cosine":
-            tn = np.sqrt((Tm * Tm).sum(axis=1))
-        elif metric == "euclidean":
-            finite = np.isfinite(Tm).all(axis=1)
-            centre = Tm[finite].mean(axis=0) if finite.any() else 0.0
-            Q, Tm = Q - centre, Tm - centre                # distances keep, cancellation shrinks
-        slack = 0.0
-        if metric == "euclidean":
-            size = np.abs(np.concatenate([Q, Tm])).max(initial=0.0, where=np.isfinite(np.concatenate([Q, Tm])))
-            slack = 1e-6 * size * np.sqrt(Tm.shape[1])
-        kk = min(k, len(tids))
-        out_q, out_t, out_s = [], [], []
-        # a chunk's working arrays stay below CELL_BYTES whatever the block size and dimension
-        row_bytes = 8 * len(tids) * (Tm.shape[1] + 2 if metric == "manhattan" else 4)
-        step = max(1, min(chunk, CELL_BYTES // row_bytes))
-        for s in range(0, len(Q), step):
-            Qc = Q[s:s + step]
-            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-                if metric == "cosine":
-                    qn = np.sqrt((Qc * Qc).sum(axis=1))
-                    S = (Qc @ Tm.T) / (qn[:, None] * tn[None, :])
-                    S[(qn[:, None] == 0) | (tn[None, :] == 0)] = 0.0     # a zero vector has similarity 0
-                elif metric == "euclidean":
-                    d2 = (Qc * Qc).sum(1)[:, None] + (Tm * Tm).sum(1)[None, :] - 2.0 * (Qc @ Tm.T)
-                    S = -np.sqrt(np.maximum(d2, 0.0))
-                else:
-                    S = -np.abs(Qc[:, None, :] - Tm[None, :, :]).sum(axis=2)
-                S = np.where(np.isfinite(S), np.round(S, 9), -np.inf)    # invalid vectors are nobody's neighbour
-            kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
-            for r in range(len(Qc)):
-                cand = np.flatnonzero((S[r] >= kth[r] - slack) & (S[r] > -np.inf))
-                sim = S[r, cand]
-                if metric == "euclidean":                  # the expansion is off near zero: measure again
-                    sim = -np.round(np.sqrt(((Tm[cand] - Qc[r]) ** 2).sum(axis=1)), 9)
-                best = np.argsort(-sim, kind="stable")[:kk]
-                out_q.append(np.full(len(best), s + r))
-                out_t.append(cand[best])
-                out_s.append(sim[best])
-        qi = np.concatenate(out_q)
-        ti = np.concatenate(out_t)
-        res = {c: np.repeat(qdf[c].iloc[0], len(qi)) for c in group_cols}
-        res[qid] = qdf[qid].to_numpy()[qi]
-        res[tid] = tids[ti]
-        res["sim"] = np.concatenate(out_s)
-        if payload:
-            res[payload] = tdf[payload].to_numpy()[order][ti]
-        return pd.DataFrame(res)
-
-    return fn
+#: Bytes of a similarity block, training rows aimed at per cell, most pivots of a group.
+CELL_BYTES, CELL_ROWS, MOST_PIVOTS = 64 << 20, 128, 1024
+#: Rows that pivots are chosen from (per group), training rows of a shard, queries (or rows) of a task.
+SAMPLE, SHARD_ROWS, TASK_ROWS = 4096, 8192, 4096
+#: Similarities are rounded to this many digits, equal ones rank by training id.
+DIGITS = 9
+#: Rows of the shard directory that one task holds.
+DIRECTORY = 16384
+
+
+def space(x: np.ndarray, metric: str) -> np.ndarray:
+    """Coordinates in which the metric's order is that of a distance: unit vectors for cosine."""
+    if metric != "cosine":
+        return x
+    n = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(n > 0, n, 1.0)[:, None]
+
+
+def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Every row of ``a`` against every row of ``b`` (points of :func:`space`)."""
+    if metric == "manhattan":
+        out = np.empty((len(a), len(b)))
+        step = max(1, CELL_BYTES // max(1, 8 * b.size))
+        for s in range(0, len(a), step):
+            out[s:s + step] = np.abs(a[s:s + step, None, :] - b[None]).sum(axis=2)
+        return out
+    if metric == "euclidean":              # distances keep, cancellation shrinks
+        a, b = a - b.mean(axis=0), b - b.mean(axis=0)
+    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2.0 * (a @ b.T), 0.0))
+
+
+def margin(a: np.ndarray, b: np.ndarray, metric: str) -> float:
+    """By how much rounding may move a similarity bound made from :func:`distances` of ``a`` and ``b``."""
+    if metric == "cosine":
+        return 10.0 ** -DIGITS * 3
+    size = max((float(np.abs(v - b.mean(axis=0)).max(initial=0.0)) for v in (a, b)), default=0.0)
+    return 10.0 ** -DIGITS * 2 + 1e-6 * size * np.sqrt(b.shape[1])
+
+
+def choose_pivots(points: np.ndarray, n: int, metric: str, seed: int = 5, rounds: int = 6) -> np.ndarray:
+    """About ``n`` pivots: k-means centres of the sample ``points``."""
+    points = np.unique(points, axis=0)
+    if len(points) <= n:
+        return points
+    pivots = points[np.random.default_rng(seed).choice(len(points), n, replace=False)]
+    for _ in range(rounds):
+        at = distances(points, pivots, metric).argmin(axis=1)
+        seen = np.bincount(at, minlength=n)
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, at, points)
+        pivots = np.where(seen[:, None] > 0, sums / np.maximum(seen, 1)[:, None], pivots)
+    return pivots
+
+
+class Cells:
+    """The training rows of one shard by cell, and the search for the nearest of them.
+
+    ``visited`` counts the (query, cell) pairs that were measured, ``pairs`` all there were.
+    """
+
+    def __init__(self, metric: str, tids: np.ndarray, x: np.ndarray, cell: np.ndarray):
+        rank = np.empty(len(tids), dtype=np.int64)
+        rank[np.argsort(tids, kind="stable")] = np.arange(len(tids))
+        self.metric, self.order = metric, np.lexsort((rank, cell))
+        self.x, self.rank, cell = x[self.order], rank[self.order], cell[self.order]
+        self.starts = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
+        self.ends = np.append(self.starts[1:], len(cell))
+        self.points = space(self.x, metric)
+        # a cell's own centre is as good a pivot as the one that drew its border, and nearer to its rows
+        self.pivots = np.stack([self.points[a:e].mean(axis=0) for a, e in zip(self.starts, self.ends, strict=True)])
+        self.radius = np.array([distances(self.points[a:e], p[None], metric).max()
+                                for a, e, p in zip(self.starts, self.ends, self.pivots, strict=True)])
+        self.norm = np.sqrt((self.x * self.x).sum(axis=1))
+        self.visited = self.pairs = 0
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """The greatest similarity that a row of each cell may have to each query."""
+        least = np.maximum(distances(space(q, self.metric), self.pivots, self.metric) - self.radius, 0.0)
+        least = np.where(np.isnan(least), 0.0, least)
+        if self.metric != "cosine":
+            return -least
+        # zero vectors have similarity 0 to everything
+        has_zero = np.array([(self.norm[a:e] == 0).any() for a, e in zip(self.starts, self.ends, strict=True)])
+        most = np.where(has_zero, np.maximum(1.0 - least ** 2 / 2, 0.0), 1.0 - least ** 2 / 2)
+        return np.where((q * q).sum(axis=1)[:, None] > 0, most, 0.0)
+
+    def similar(self, q: np.ndarray, a: int, e: int) -> tuple[np.ndarray, float]:
+        """Similarities of queries to the rows ``a`` to ``e``, and by how much they may be off."""
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            if self.metric == "cosine":
+                qn = np.sqrt((q * q).sum(axis=1))
+                s = (q @ self.x[a:e].T) / (qn[:, None] * self.norm[a:e])
+                s[(qn[:, None] == 0) | (self.norm[a:e] == 0)] = 0.0
+                return np.where(np.isfinite(s), np.round(s, DIGITS), -np.inf), 0.0
+            if self.metric == "manhattan":
+                s = -distances(q, self.x[a:e], "manhattan")
+                return np.where(np.isfinite(s), np.round(s, DIGITS), -np.inf), 0.0
+            s = -distances(q, self.x[a:e], "euclidean")
+            return np.where(np.isfinite(s), s, -np.inf), margin(q, self.x[a:e], "euclidean")
+
+    def nearest(self, q: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, similarity) of the first ``k`` rows of every query, those below its floor left out."""
+        most = self.bounds(q)
+        by = np.argsort(-most, axis=1, kind="stable")
+        need, active = floors.copy(), np.arange(len(q))
+        tie = margin(space(q, self.metric), self.points, self.metric)
+        qs, rows, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.pairs += most.size
+        for r in range(by.shape[1]):
+            cells = by[active, r]
+            go = ~(most[active, cells] < need[active] - tie)
+            active, cells = active[go], cells[go]
+            if not len(active):
+                break
+            self.visited += len(active)
+            found = [(qs, rows, sims)]
+            for c in np.unique(cells):
+                asking, a, e = active[cells == c], self.starts[c], self.ends[c]
+                step = max(1, CELL_BYTES // (32 * (e - a)))
+                for s in range(0, len(asking), step):
+                    part = asking[s:s + step]
+                    near, off = self.similar(q[part], a, e)
+                    least = need[part] - off
+                    if e - a > k:
+                        least = np.maximum(least, -np.partition(-near, k - 1, axis=1)[:, k - 1] - off)
+                    i, j = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+                    value = near[i, j]
+                    if off:                # the expansion is off near zero: measure the few again
+                        value = -np.round(np.sqrt(((self.x[a + j] - q[part[i]]) ** 2).sum(axis=1)), DIGITS)
+                    found.append((part[i], a + j, value))
+            qs, rows, sims = (np.concatenate(v) for v in zip(*found, strict=True))
+            order = np.lexsort((self.rank[rows], -sims, qs))
+            qs, rows, sims = qs[order], rows[order], sims[order]
+            first = np.flatnonzero(np.diff(qs, prepend=-1))
+            place = np.arange(len(qs)) - np.repeat(first, np.diff([*first, len(qs)]))
+            last = place == k - 1
+            need[qs[last]] = np.maximum(need[qs[last]], sims[last])
+            qs, rows, sims = qs[place < k], rows[place < k], sims[place < k]
+        keep = sims >= floors[qs] if len(qs) else np.zeros(0, bool)
+        return qs[keep], self.order[rows[keep]], sims[keep]
+
+
+def _group(cols: list[str]) -> F.Column:
+    return F.to_json(F.struct(*[F.col(c) for c in cols])) if cols else F.lit("")
+
+
+class _Index:
+    """The training rows' cells and shards, and every row's nearest pivot on both sides."""
+
+    def __init__(self, queries: DataFrame, train: DataFrame, metric: str, carried: list[str], shard_rows: int, cell_rows: int):
+        self.metric = metric
+        sizes = train.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+        sampled = (train.join(sizes, "grp")
+                   .where(F.xxhash64(F.lit(17), "tid").bitwiseAND(F.lit((1 << 62) - 1)).cast("double")
+                          < F.lit(float(SAMPLE << 62)) / F.col("n"))
+                   .select("grp", "n", "vec"))
+        most = MOST_PIVOTS
+
+        def pivots_of(batch):
+            import pandas as pd
+            x = space(np.stack(batch["vec"].to_numpy()).astype(np.float64), metric)
+            p = choose_pivots(x, max(1, min(most, -(-int(batch["n"].iloc[0]) // cell_rows))), metric)
+            return pd.DataFrame({"grp": batch["grp"].iloc[0], "cell": np.arange(len(p), dtype=np.int32), "pivot": list(p)})
+
+        # the sample of a group has SAMPLE rows or so, whatever the group's size; a group that is so unlucky
+        # as to get none (it would have to be tiny) keeps its first row
+        least = train.groupBy("grp").agg(F.min_by("vec", "tid").alias("vec")).withColumn("n", F.lit(1).cast("long"))
+        sampled = sampled.unionByName(least)
+        self.pivots = materialize(sampled.groupBy("grp").applyInPandas(pivots_of, "grp string, cell int, pivot array<double>"), "knn-pivots")
+
+        both = train.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+        kinds = {f.name: f.dataType for f in both.schema}
+        fields = [c for c in both.columns if c != "grp"]
+        schema = T.StructType([T.StructField("grp", T.StringType()), T.StructField("cell", T.IntegerType()),
+                               T.StructField("far", T.DoubleType()), *[T.StructField(c, kinds[c]) for c in fields]])
+
+        def build(t: pa.Table):
+            cell = t.column("cell").to_numpy()
+            order = np.argsort(cell)
+            return cell[order], matrix(t.column("pivot"))[order]
+
+        def assign(made, b: pa.RecordBatch):
+            cell, pivots = made
+            x = matrix(b.column("vec"), pivots.shape[1])
+            good = np.isfinite(x).all(axis=1)          # rows with other components are nobody's neighbours
+            d = distances(space(np.where(good[:, None], x, 0.0), metric), pivots, metric)
+            at = d.argmin(axis=1)
+            out = pa.RecordBatch.from_arrays(
+                [b.column("key"), pa.array(cell[at]), pa.array(d[np.arange(len(at)), at]), *[b.column(c) for c in fields]],
+                ["grp", "cell", "far", *fields])
+            yield out.filter(pa.array(good))
+
+        rows = both.withColumnRenamed("grp", "key").withColumn("spread", F.coalesce(F.col("tid").cast("string"), F.col("qid").cast("string")))
+        assigned = materialize(
+            meet(self.pivots.withColumnRenamed("grp", "key"), rows, build, assign, schema, "spread", 8 * TASK_ROWS), "knn-assigned")
+
+        def numbered(batches):
+            from pyspark import TaskContext
+            pid = TaskContext.get().partitionId()
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, pid, np.int32)), *b.columns], ["pid", *b.schema.names])
+
+        kept = ["grp", "cell", "far", "tid", "vec", *carried]
+        data = assigned.where(~F.col("asks")).select(*kept)
+        shards = max(1, -(-data.count() // shard_rows))
+        pid = T.StructField("pid", T.IntegerType())
+        self.data = materialize(
+            data.repartitionByRange(shards, "grp", "cell", "tid")
+            .mapInArrow(numbered, T.StructType([pid, *[data.schema[c] for c in kept]])), "knn-shards")
+        # a row per shard and cell: shards hold thousands of rows
+        self.directory = materialize(self.data.groupBy("grp", "pid", "cell").agg(F.max("far").alias("far")), "knn-directory")
+        self.several = self.directory.select("grp", "pid").distinct().groupBy("grp").count().where("count > 1").limit(1).count() > 0
+        self.asks = assigned.where("asks").drop("asks", "tid", "far", *carried)
+
+    def _key(self) -> F.Column:
+        return F.concat_ws("/", F.col("pid").cast("string"), F.col("grp"))
+
+    def visits(self, asks: DataFrame, k: int, out: T.StructType, carried: list[str], payload: list[str]) -> DataFrame:
+        """Queries (key = the shard to visit, qid, vec, floor, ...) -> their nearest rows in that shard."""
+        metric, names = self.metric, out.names
+
+        def build(t: pa.Table):
+            tids = t.column("tid").to_numpy() if pa.types.is_integer(t.column("tid").type) else np.array(t.column("tid").to_pylist(), dtype=object)
+            return t, Cells(metric, tids, matrix(t.column("vec")), t.column("cell").to_numpy())
+
+        def answer(made, b: pa.RecordBatch):
+            t, cells = made
+            q = matrix(b.column("vec"), cells.x.shape[1])
+            floors = b.column("floor").to_numpy(zero_copy_only=False)
+            for s in range(0, len(q), 512):
+                i, row, sim = cells.nearest(q[s:s + 512], k, floors[s:s + 512])
+                if len(i):
+                    i, row = pa.array(i + s), pa.array(row)
+                    got = {**{c: b.column(c).take(i) for c in (*carried, "qid")},
+                           **{c: t.column(c).take(row).combine_chunks() for c in ("tid", *payload)}, "sim": pa.array(sim)}
+                    yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in
+                                                      (got[c] for c in names)], names)
+
+        data = self.data.select(self._key().alias("key"), "cell", "tid", "vec", *payload)
+        return meet(data, asks, build, answer, out, "qid", TASK_ROWS)
+
+    def homes(self) -> DataFrame:
+        """Every query with the shard that holds (the first rows of) its nearest pivot's cell."""
+        home = self.directory.groupBy("grp", "cell").agg(F.min("pid").alias("pid"))
+        anywhere = self.directory.groupBy("grp").agg(F.min("pid").alias("any"))
+        return (self.asks.join(home, ["grp", "cell"], "left").join(anywhere, "grp")
+                .withColumn("pid", F.coalesce("pid", "any")).drop("any"))
+
+    def routes(self, asks: DataFrame) -> DataFrame:
+        """(grp, qid, pid) for the shards besides its home that may hold a row above the query's floor."""
+        metric = self.metric
+        kind = {f.name: f.dataType for f in asks.schema}["qid"]
+        rows = self.directory.join(self.pivots, ["grp", "cell"])
+        groups = max(1, -(-self.directory.count() // DIRECTORY))
+
+        def build(t: pa.Table):
+            order = np.argsort(t.column("shard").to_numpy(), kind="stable")
+            shard = t.column("shard").to_numpy()[order]
+            starts = np.flatnonzero(np.diff(shard, prepend=-1))
+            return shard[starts], starts, t.column("far").to_numpy()[order], matrix(t.column("pivot"))[order]
+
+        def answer(made, b: pa.RecordBatch):
+            shards, starts, far, pivots = made
+            q = matrix(b.column("vec"), pivots.shape[1])
+            floor, home = b.column("floor").to_numpy(zero_copy_only=False), b.column("pid").to_numpy()
+            points = space(q, metric)
+            least = np.minimum.reduceat(np.maximum(distances(points, pivots, metric) - far, 0.0), starts, axis=1)
+            tie = margin(points, pivots, metric) + 1e-6 * float(far.max(initial=0.0)) * (metric != "cosine")
+            if metric == "cosine":   # a zero vector's similarity is 0, whatever its distance
+                most = np.where((q * q).sum(axis=1)[:, None] > 0, np.maximum(1.0 - least ** 2 / 2, 0.0), 0.0)
+            else:
+                most = -least
+            i, j = np.nonzero(~(most < floor[:, None] - tie) & (shards != home[:, None]))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([b.column("grp").take(pa.array(i)), b.column("qid").take(pa.array(i)),
+                                                  pa.array(shards[j].astype(np.int32))], ["grp", "qid", "pid"])
+
+        part = F.pmod(F.xxhash64("pid"), F.lit(groups)).cast("string")
+        reference = rows.select(F.concat_ws("/", part, F.col("grp")).alias("key"), F.col("pid").alias("shard"), "far", "pivot")
+        others = (asks.select("grp", "qid", "vec", "floor", "pid", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+                  .withColumn("key", F.concat_ws("/", F.col("part").cast("string"), F.col("grp"))).drop("part"))
+        schema = T.StructType([T.StructField("grp", T.StringType()), T.StructField("qid", kind), T.StructField("pid", T.IntegerType())])
+        return meet(reference, others, build, answer, schema, "qid", TASK_ROWS)
 
 
 def knn_topk(queries: DataFrame, train: DataFrame, k: int, group_cols: list[str], qid: str = "sample_id",
              tid: str = "sample_id", vec: str = "embedding", metric: str = "cosine", payload: str | None = None,
-             block_rows: int = 20000) -> DataFrame:
+             shard_rows: int = SHARD_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Top-``k`` training rows of every query within its group.
 
     Returns ``(group..., query_id, neighbor_id, sim, rank[, payload])``; ``sim`` is the
     similarity (negated distance for euclidean/manhattan) rounded to 1e-9, ties
     broken by the smaller training id.  ``payload`` (a training column) is
     carried along so that scoring needs no join back to the training table.
+    Rows whose vector is null or holds other than finite numbers, or whose group is null, take no part;
+    a query is known by its group and id.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
-    queries = queries.where(F.col(vec).isNotNull())
-    train = train.where(F.col(vec).isNotNull())
-    # fresh aliases: queries and training rows usually share a lineage, and cogroup
-    # needs distinct attribute ids on its two sides
-    q = queries.select(*[F.col(c).alias(c) for c in group_cols], F.col(qid).alias("_qid"), F.col(vec).alias("vec"))
-    t = train.select(*[F.col(c).alias(c) for c in group_cols], F.col(tid).alias("_tid"), F.col(vec).alias("vec"),
-                     *([F.col(payload).alias(payload)] if payload else []))
-    if group_cols:
-        # block counts per group from its own sizes (a tiny table, broadcast by AQE after it is
-        # measured): a hot group is spread over many cells, a small one stays in one
-        qn = queries.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_nq"))
-        tn = train.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_nt"))
-        sizes = qn.join(tn, group_cols).select(
-            *[F.col(c).alias(c) for c in group_cols],
-            F.greatest(F.lit(1), F.ceil(F.col("_nq") / F.lit(block_rows))).cast("long").alias("_qbn"),
-            F.greatest(F.lit(1), F.ceil(F.col("_nt") / F.lit(block_rows))).cast("long").alias("_tbn"))
-        q = q.join(sizes, group_cols)
-        t = t.join(sizes, group_cols)
+    there = [F.col(c).isNotNull() for c in (*group_cols, vec)]
+    for c in there:
+        queries, train = queries.where(c), train.where(c)
+    payload_cols = [payload] if payload else []
+    q = queries.select(_group(group_cols).alias("grp"), *group_cols, F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("vec"))
+    t = train.select(_group(group_cols).alias("grp"), F.col(tid).alias("tid"), F.col(vec).cast("array<double>").alias("vec"), *payload_cols)
+    out = T.StructType([*[queries.schema[c] for c in group_cols], T.StructField("qid", queries.schema[qid].dataType),
+                        T.StructField("tid", train.schema[tid].dataType), T.StructField("sim", T.DoubleType()),
+                        *[T.StructField(c, train.schema[c].dataType) for c in payload_cols]])
+    index = _Index(q, t, metric, payload_cols, shard_rows, cell_rows)
+    lowest = F.lit(float("-inf"))
+    homes = index.homes().withColumn("floor", lowest)
+    if index.several:
+        homes = materialize(homes, "knn-homes")
+    near = index.visits(homes.withColumn("key", index._key()), k, out, group_cols, payload_cols)
+    if index.several:
+        near = materialize(near, "knn-home-finds")
+        by = [*group_cols, "qid"]
+        floors = (near.groupBy(_group(group_cols).alias("grp"), "qid").agg(F.count(F.lit(1)).alias("found"), F.min("sim").alias("kth"))
+                  .where(F.col("found") >= k).select("grp", "qid", "kth"))
+        asks = materialize(homes.drop("floor").join(floors, ["grp", "qid"], "left").withColumn("floor", F.coalesce("kth", lowest)).drop("kth"),
+                           "knn-asks")
+        to = index.routes(asks)
+        rest = index.visits(asks.drop("pid").join(to, ["grp", "qid"]).withColumn("key", index._key()), k, out, group_cols, payload_cols)
+        w = Window.partitionBy(*by).orderBy(F.col("sim").desc(), F.col("tid"))
+        near = near.unionByName(rest)
     else:
-        # one group: its two sizes are driver scalars (no join with a constant key)
-        nq, nt = queries.count(), train.count()
-        blocks = [F.lit(max(1, -(-nq // block_rows))).cast("long").alias("_qbn"),
-                  F.lit(max(1, -(-nt // block_rows))).cast("long").alias("_tbn")]
-        q, t = q.select("*", *blocks), t.select("*", *blocks)
-    q = q.select(*group_cols, "_qid", "vec", F.pmod(F.xxhash64("_qid"), F.col("_qbn")).alias("_qb"),
-                 F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tbn") - 1)).alias("_tb"))
-    t = t.select(*group_cols, "_tid", "vec", *([payload] if payload else []),
-                 F.pmod(F.xxhash64("_tid"), F.col("_tbn")).alias("_tb"),
-                 F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qbn") - 1)).alias("_qb"))
-    keys = group_cols + ["_qb", "_tb"]
-    fields = [queries.schema[c] for c in group_cols]
-    fields += [T.StructField("_qid", queries.schema[qid].dataType), T.StructField("_tid", train.schema[tid].dataType),
-               T.StructField("sim", T.DoubleType())]
-    if payload:
-        fields.append(T.StructField(payload, train.schema[payload].dataType))
-    fn = _block_fn(k, metric, "_qid", "_tid", payload, list(group_cols))
-    part = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(fn, T.StructType(fields))
-    w = Window.partitionBy(*group_cols, "_qid").orderBy(F.col("sim").desc(), F.col("_tid"))
-    ranked = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.withColumnRenamed("_qid", "query_id").withColumnRenamed("_tid", "neighbor_id")
+        w = Window.partitionBy(*group_cols, "qid").orderBy(F.col("sim").desc(), F.col("tid"))
+    ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.withColumnRenamed("qid", "query_id").withColumnRenamed("tid", "neighbor_id").select(
+        *group_cols, "query_id", "neighbor_id", "sim", *payload_cols, "rank")
 
 
 def neighbor_scores(neighbors: DataFrame, ks: list[int], n_models: int, group_cols: list[str],

@@ -34,9 +34,12 @@ class RoutingData:
 
 def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRAIN_FRACTION,
             checkpoint: bool = True, ood_wanted: str | list[str] | None = None,
-            split_by: str = "sample") -> RoutingData:
+            split_by: str = "sample", answers: bool = True) -> RoutingData:
     """Per-prompt rows with the answers array, dense performance vector and split side.
 
+    ``answers=False`` is for plans that need grades and vectors alone: no response is derived or counted
+    in tokens, and the answers array holds the grades only.
+
     ``ood_wanted``: out-of-distribution routing for that family -- routers train on the train
     part of every other family and are evaluated on the test part of the wanted family; all
     kept prompts are labelled with the wanted family (the eval being evaluated).
@@ -46,10 +49,9 @@ def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRA
     # one aggregate per prompt builds the answers array (with each answer's response length in
     # tokens) and keeps the prompt's embedding and source
     extra = [F.first("source").alias("source")] if "source" in filled.columns else []
+    detail = ["model", "performance", "cost_pico", n_tokens_all(F.col("response")).alias("response_tokens")] if answers else ["performance"]
     ans = filled.groupBy("family", "sample_id", "eval_name").agg(
-        F.array_sort(F.collect_list(F.struct("model_idx", "model", "performance", "cost_pico",
-                                             n_tokens_all(F.col("response")).alias("response_tokens"))))
-        .alias("answers"),
+        F.array_sort(F.collect_list(F.struct("model_idx", *detail))).alias("answers"),
         F.first("embedding").alias("embedding"), *extra)
     perf = F.transform(F.sequence(F.lit(0), F.lit(n_models - 1)),
                        lambda i: F.element_at(F.filter(F.col("answers"), lambda a: a["model_idx"] == i), 1)["performance"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from routelens.constants import MONEY
 from routelens.functions.logs import choice_score, metric_value, parse_list_literal, select_prompts
 from routelens.operators.cost import price_answers, with_token_cost
 from routelens.operators.logs import attach_header, fold_events, parse_log_lines, scan_run_logs, write_run_logs
@@ -229,15 +230,19 @@ def q_one_to_one(spark, sf_dir):
     return one_to_one(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "doc_id")
 
 
+def reading_cost(prices, n_texts: int, n_tokens: int):
+    """What each model of the price list asks for reading ``n_texts`` texts of ``n_tokens`` in all.
+    Whole numbers of any size: a corpus of 10^13 tokens costs more pico-USD than BIGINT holds."""
+    total = (F.lit(str(n_tokens)).cast("decimal(20,0)") * F.col("prompt_pico").cast("decimal(18,0)")
+             + F.lit(str(n_texts)).cast("decimal(20,0)") * F.coalesce("request_pico", F.lit(0)).cast("decimal(17,0)"))
+    return prices.select("model", total.cast(MONEY).alias("cost_pico"))
+
+
 @query("q_price_list")
 def q_price_list(spark, sf_dir):
     """What the shipped price list asks for reading every document once, per model."""
-    tokens = read_table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.sum(n_tokens("text")).alias("t"))
-    p = read_prices_csv(spark)
-    one = F.lit(1).alias("one")
-    total = F.col("t") * F.col("prompt_pico") + F.col("n") * F.coalesce("request_pico", F.lit(0))
-    return (p.select("*", one).join(tokens.select("*", one), "one")   # one row of totals
-            .select("model", total.cast("long").alias("cost_pico")))
+    t = read_table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.sum(n_tokens("text")).alias("t")).first()
+    return reading_cost(read_prices_csv(spark), t["n"], t["t"] or 0)
 
 
 @query("q_eval_names")

@@ -16,8 +16,8 @@ def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def _rd(spark, sf_dir):
-    return prepare(router_samples(spark, sf_dir), N_MODELS)
+def _rd(spark, sf_dir, answers=True):
+    return prepare(router_samples(spark, sf_dir), N_MODELS, answers=answers)
 
 
 @query("q_knn_neighbors")
@@ -26,7 +26,7 @@ def q_knn_neighbors(spark, sf_dir):
 
 
 def _neighbors(spark, sf_dir, metric, digits=6):
-    nb = knn_neighbors(_rd(spark, sf_dir), max(KNN_NEIGHBORS), metric)
+    nb = knn_neighbors(_rd(spark, sf_dir, answers=False), max(KNN_NEIGHBORS), metric)
     return nb.select("family", F.col("query_id").alias("sample_id"), "neighbor_id", F.round("sim", digits).alias("sim"),
                      F.col("rank").cast("long").alias("rank"))
 
@@ -43,7 +43,7 @@ def q_knn_manhattan(spark, sf_dir):
 
 @query("q_knn_scores")
 def q_knn_scores(spark, sf_dir):
-    sc = knn_scores(_rd(spark, sf_dir))
+    sc = knn_scores(_rd(spark, sf_dir, answers=False))
     x = sc.select("family", F.col("k").cast("int").alias("neighbors"), F.col("query_id").alias("sample_id"),
                   F.posexplode("scores").alias("model_idx", "score"))
     return x.select("family", "neighbors", "sample_id", "model_idx", r6("score").alias("score"))

@@ -145,11 +145,11 @@ def test_knn_multi_block_equals_single_block(spark):
     vec = lambda: [rnd.uniform(-1, 1) for _ in range(8)]
     q = spark.createDataFrame([("g", f"q{i}", vec()) for i in range(60)], "g string, sample_id string, embedding array<double>")
     t = spark.createDataFrame([("g", f"t{i:03d}", vec()) for i in range(300)], "g string, sample_id string, embedding array<double>")
-    one = knn_topk(q, t, 7, ["g"], block_rows=100000).select("query_id", "neighbor_id", "rank").collect()
-    many = knn_topk(q, t, 7, ["g"], block_rows=25).select("query_id", "neighbor_id", "rank").collect()
+    one = knn_topk(q, t, 7, ["g"], shard_rows=100000).select("query_id", "neighbor_id", "rank").collect()
+    many = knn_topk(q, t, 7, ["g"], shard_rows=25, cell_rows=5).select("query_id", "neighbor_id", "rank").collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
     for metric in ("euclidean", "manhattan"):
-        assert knn_topk(q, t, 3, ["g"], metric=metric, block_rows=50).count() == 180
+        assert knn_topk(q, t, 3, ["g"], metric=metric, shard_rows=50, cell_rows=10).count() == 180
 
 
 def test_linear_abs_recovers_planted_weights(spark):
@@ -394,3 +394,11 @@ def test_reference_layout_export(spark):
     assert out["m0"].total_cost == 1.0 and out["m0"].neighbors is None and out["m0"].hidden_layer_sizes is None
     assert {"eval_name", "model_name", "performance", "total_cost", "willingness_to_pay",
             "max_cost_per_response"} <= set(to_reference_layout(res).columns)
+
+
+def test_reading_cost_of_a_huge_corpus(spark):
+    from routelens.plans.queries_ingest import reading_cost
+    prices = spark.createDataFrame([("dear", 60_000_000, 5_000_000_000), ("cheap", 100_000, None)],
+                                   "model string, prompt_pico long, request_pico long")
+    got = {r.model: int(r.cost_pico) for r in reading_cost(prices, 10 ** 12, 10 ** 16).collect()}
+    assert got == {"dear": 10 ** 16 * 60_000_000 + 10 ** 12 * 5_000_000_000, "cheap": 10 ** 21}
