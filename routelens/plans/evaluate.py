@@ -56,6 +56,9 @@ def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRA
     perf = F.transform(F.sequence(F.lit(0), F.lit(n_models - 1)),
                        lambda i: F.element_at(F.filter(F.col("answers"), lambda a: a["model_idx"] == i), 1)["performance"])
     samples = ans.withColumn("perf", perf)
+    if checkpoint:
+        # the split reads the ids several times: from a written table, not from the prompts' whole lineage
+        samples = materialize(samples, "routing-prompts")
     if split_by == "source":
         split = split_by_source(samples.select("family", "source", "sample_id"), fraction=fraction)
     else:

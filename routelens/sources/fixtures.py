@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from routelens.constants import WTP_GRID, WTP_TEXT
 from routelens.functions.hashing import uniform01
 from routelens.operators.embed import hash_embed
-from routelens.sources.tables import read_table
+from routelens.sources.tables import dealt, read_table
 
 N_MODELS = 5
 EMBEDDING_DIM = 64
@@ -27,7 +27,7 @@ def eval_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents x models m = 0..4 (a generator, not a join).
     """
-    return eval_long_from(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return eval_long_from(dealt(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
 
 
 def eval_long_from(d: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -78,7 +78,7 @@ def router_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long answers of every prompt with its embedding: the held vector (``doc_id = vec_id``) where
     there is one, else the hash embedder's of the same width."""
     emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = dealt(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     missing = d.join(emb.select("doc_id"), "doc_id", "left_anti")
     vectors = emb.unionByName(hash_embed(missing, "text", "doc_id", EMBEDDING_DIM))
     # join before deriving answers: the vectors are carried, not repeated work per answer

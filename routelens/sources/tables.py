@@ -16,6 +16,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Bytes of a Parquet row group, which no split divides.
+ROW_GROUP = 128 << 20
+
+
+def dealt(scan: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt round robin over the session's cores where the files are smaller than a row
+    group a core: such files are read by a task or two, however much work their rows mean.  Larger scans,
+    as on a cluster, stay as they are and shuffle nothing."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(cores) if size < cores * ROW_GROUP else scan
+
+
 def read_prices_csv(spark: SparkSession, path: str | None = None) -> DataFrame:
     """The shipped model price list as ``model_price`` (pico-USD per token).
 
