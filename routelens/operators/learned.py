@@ -1,18 +1,20 @@
 """Learned per-model performance predictors over prompt embeddings (SVR- and MLP-style routers).
 
-Spark has no support-vector regressor and no regression MLP, so both are fitted
-data-parallel: every round is ONE pass over the training rows in which each task
-folds its rows into fixed-size partial sums with numpy (``mapInPandas``); the
-partial sums are added in two grouped steps (neighbouring tasks first), and
-only the fixed-size total (independent of the row count) reaches the driver,
-which takes the solver step (or averages the weights).  Predictions are plain Spark expressions (linear)
-or one Arrow-batched pass (MLP) -- no per-row Python.
-
-* linear: L2-regularised absolute-error fit (the objective of a linear SVR with
-  epsilon 0) by iteratively reweighted least squares; all models in one pass.
-* mlp: feed-forward nets per model (any hidden sizes, e.g. (100,) or (100, 100)), mini-batch
-  Adam on squared error with L2 penalty inside each task, weights averaged over the tasks
-  once a pass.
+Spark has no support-vector regressor and no regression MLP, so both are fitted data-parallel, over one
+layout and by one shape of pass:
+
+* the training rows are packed once into *blocks* (a table row holds some thousand prompts of one group);
+  which rows share a block, and their order in it, follow from the rows, not from tasks or Arrow batches;
+* the weights are a table too, a row per group (eval family) and model or configuration.  A pass joins
+  blocks with their group's weights, folds every block with numpy, adds the results in two grouped steps
+  and moves the weights in tasks keyed by group.  The driver learns only whether any of them still moves:
+  nothing it holds, and no closure, grows with the groups.
+
+* linear: L2-regularised absolute-error fit (the objective of a linear SVR with epsilon 0) by iteratively
+  reweighted least squares, with a certificate of its optimality (:func:`linear_certificate`).
+* mlp: feed-forward nets per model (any hidden sizes, e.g. (100,) or (100, 100)), mini-batch Adam on
+  squared error with L2 penalty; weights and optimiser state run through all batches of a block for ten
+  epochs, and the blocks' weights are averaged by their rows once a pass.
 
 NULL targets get weight 0 (rows with an unknown grade do not train that model).
 """
@@ -20,122 +22,190 @@ NULL targets get weight 0 (rows with an unknown grade do not train that model).
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routelens.operators.meet import matrix, meet
+from routelens.session import arrow_batches, materialize
 
-CHUNK = 4096
-FAN_IN = 1024
+#: Values of a chunk of a summed vector, vectors added in the first step.
+CHUNK, FAN_IN = 4096, 1024
+#: Bytes of the vectors of a block, blocks that travel to Python at once.
+BLOCK_BYTES, BLOCKS_AT_ONCE = 4 << 20, 4
 
 
-def _emit(acc: dict):
-    """Per-task partial sums ``{key: vector}`` as rows ``(grp, c, g)`` of at most CHUNK values."""
-    import pandas as pd
-    grp, cs, gs = [], [], []
-    for k, v in acc.items():
-        for c in range(0, len(v), CHUNK):
-            grp.append(k)
-            cs.append(c // CHUNK)
-            gs.append(v[c:c + CHUNK])
-    return pd.DataFrame({"grp": grp, "c": cs, "g": gs})
+def _grp(group: str | None) -> F.Column:
+    return F.col(group).cast("string") if group else F.lit("")
 
 
-PARTS_SCHEMA = "grp string, c int, g array<double>"
+def training_blocks(train: DataFrame, dim: int, vec: str = "embedding", target: str = "perf", group: str | None = None,
+                    key: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(grp, block, n, x, y)``: the training rows packed, x and y as rows of doubles (unknown grades NaN).
 
-
-def _sum_vectors(parts: DataFrame, size: int | None = None) -> dict:
-    """Element-wise sum of the per-task partial vectors of each key, in two steps.
-
-    First the vectors of up to ``FAN_IN`` neighbouring tasks are added per (key, chunk), then those
-    sums: a task holds at most ``FAN_IN`` chunks, or tasks / ``FAN_IN`` of them.  The driver receives
-    one fixed-size vector per key, never per-row data.
+    ``key`` (a column; by default the row's own content) decides a row's block and place, so that equal
+    inputs give equal blocks.  A block holds twice ``block_bytes`` at most, however often a key repeats.
+    """
+    partitions = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block_rows = max(1, block_bytes // (8 * dim))
+    ident = [F.col(key)] if key else [F.col(vec), F.col(target)]
+    rows = train.where(F.col(vec).isNotNull()).select(
+        _grp(group).alias("grp"), F.xxhash64(F.lit(1), *ident).alias("h1"), F.xxhash64(F.lit(2), *ident).alias("h2"),
+        F.col(vec).cast("array<double>").alias("vec"), F.col(target).cast("array<double>").alias("y"))
+    sizes = rows.groupBy(F.col("grp").alias("g0")).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    rows = (rows.join(sizes, F.col("grp").eqNullSafe(F.col("g0"))).withColumn("block", F.pmod("h1", "blocks"))
+            .select("grp", "block", "h2", "vec", "y"))
+
+    def pack(batches):
+        held, of, at = [], None, 0
+
+        def out():
+            x, y = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([of[0]], pa.string()), pa.array([of[1] * 1024 + at], pa.int64()), pa.array([len(x)], pa.int64()),
+                 pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["grp", "block", "n", "x", "y"])
+
+        for b in batches:
+            grp, block = b.column("grp").to_pylist(), b.column("block").to_pylist()
+            cuts = [0, *[i for i in range(1, len(grp)) if grp[i] != grp[i - 1] or block[i] != block[i - 1]], len(grp)]
+            for a, e in zip(cuts, cuts[1:], strict=False):
+                if a == e:
+                    continue
+                if (grp[a], block[a]) != of:
+                    if held:
+                        yield out()
+                    held, of, at = [], (grp[a], block[a]), 0
+                x, y = matrix(b.column("vec").slice(a, e - a), dim), matrix(b.column("y").slice(a, e - a))
+                while len(x):
+                    room = 2 * block_rows - sum(len(h[0]) for h in held)
+                    if not room:
+                        yield out()
+                        held, at = [], at + 1
+                        continue
+                    held.append((x[:room], y[:room]))
+                    x, y = x[room:], y[room:]
+        if held:
+            yield out()
+
+    return materialize(
+        rows.repartition(partitions, "grp", "block").sortWithinPartitions("grp", "block", "h2")
+        .mapInArrow(pack, "grp string, block long, n long, x binary, y binary"), "training-blocks")
+
+
+def _unpacked(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(r["x"]).reshape(r["n"], -1), np.frombuffer(r["y"]).reshape(r["n"], -1)
+
+
+def _chunks(grp, net: int, v: np.ndarray) -> pa.RecordBatch:
+    parts = [v[c:c + CHUNK].tolist() for c in range(0, len(v), CHUNK)]
+    n = len(parts)
+    return pa.RecordBatch.from_arrays([pa.array([grp] * n, pa.string()), pa.array([net] * n, pa.int32()), pa.array(range(n), pa.int32()),
+                                       pa.array(parts, pa.list_(pa.float64()))], ["grp", "net", "c", "g"])
+
+
+def _by_row(change):
+    """Arrow batches with ``change`` applied to every row (a dict, changed in place); ``g`` is taken off."""
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            for r in rows:
+                change(r)
+            fields = [f for f in b.schema if f.name != "g"]
+            yield pa.RecordBatch.from_pylist([{f.name: r[f.name] for f in fields} for r in rows], schema=pa.schema(fields))
+    return run
+
+
+PARTS_SCHEMA = "grp string, net int, c int, g array<double>"
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """``(grp, net, g)``: the element-wise sum of the partial vectors of each (group, net), in two steps.
+
+    First the vectors of up to ``FAN_IN`` neighbouring tasks are added per chunk, then those sums: a task
+    holds at most ``FAN_IN`` chunks, or tasks / ``FAN_IN`` of them.
     """
-    add = F.aggregate(F.slice(F.col("_l"), 2, F.greatest(F.size("_l") - 1, F.lit(0))), F.col("_l")[0],
+    add = F.aggregate(F.slice(F.col("l"), 2, F.greatest(F.size("l") - 1, F.lit(0))), F.col("l")[0],
                       lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-    near = parts.withColumn("_s", F.floor(F.spark_partition_id() / FAN_IN)).groupBy("grp", "c", "_s").agg(
-        F.collect_list("g").alias("_l")).select("grp", "c", add.alias("g"))
-    rows = near.groupBy("grp", "c").agg(F.collect_list("g").alias("_l")).select("grp", "c", add.alias("g")).collect()
-    chunks: dict = {}
-    for r in rows:
-        chunks.setdefault(r.grp, {})[r.c] = np.asarray(r.g, dtype=np.float64)
-    return {k: np.concatenate([v[i] for i in sorted(v)]) for k, v in chunks.items()}
-
-
-def _batches_by_group(batches, group):
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        if group is None:
-            yield "", pdf
-        else:
-            for g, sub in pdf.groupby(group, sort=False):
-                yield str(g), sub
-
-
-def _targets(pdf, target):
-    """Per-row target vectors as one float matrix; missing grades (None) become NaN."""
-    return np.array(pdf[target].tolist(), dtype=np.float64)
-
-
-def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, rounds: int = 20,
-                   delta: float = 1e-4, vec: str = "embedding", target: str = "perf",
-                   group: str | None = None, tol: float = 1e-4) -> dict:
-    """Per group (e.g. eval family; ``""`` when ungrouped): weights ``(n_models, dim + 1)``,
-    last column = intercept, minimising 0.5 ||w||^2 + c * sum |y - Xw|.  One pass per round
-    serves every group and model: it folds the reweighted normal equations and the objective
-    of the current weights; rounds stop when every objective changes by less than ``tol``
-    (relative) or after ``rounds``."""
+    near = parts.withColumn("s", F.floor(F.spark_partition_id() / FAN_IN)).groupBy("grp", "net", "c", "s").agg(
+        F.collect_list("g").alias("l")).select("grp", "net", "c", add.alias("g"))
+    whole = near.groupBy("grp", "net", "c").agg(F.collect_list("g").alias("l")).select("grp", "net", "c", add.alias("g"))
+    return whole.groupBy("grp", "net").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("l")).select(
+        "grp", "net", F.flatten(F.transform("l", lambda x: x["g"])).alias("g"))
+
+
+# ------------------------------------------------------------------ linear
+
+DELTA = 1e-4
+
+
+def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, rounds: int = 40, vec: str = "embedding",
+                   target: str = "perf", group: str | None = None, tol: float = 1e-6, key: str | None = None,
+                   blocks: DataFrame | None = None) -> DataFrame:
+    """``(grp, net, theta, objective, rows)`` per group (e.g. eval family; ``""`` when ungrouped) and model
+    ``net``: ``theta`` = weights and intercept, minimising 0.5 ||theta||^2 + c * sum |y - x theta|; the
+    objective is that of the weights before the last step.  One pass per round serves every group and
+    model; a model stops when its objective changes by less than ``tol`` (relative), the passes end when
+    all have or after ``rounds``."""
+    spark = train.sparkSession
+    blocks = training_blocks(train, dim, vec, target, group, key) if blocks is None else blocks
     p = dim + 1
-    size = n_models * (p * p + p) + n_models
-    W: dict = {}
-    last_obj: dict = {}
-    cols = [vec, target] + ([group] if group else [])
-    for _ in range(rounds):
-        Wb = dict(W)
-
-        def fold(batches, Wb=Wb):
-            acc: dict = {}
-            for g, pdf in _batches_by_group(batches, group):
-                G = acc.setdefault(g, np.zeros(size))
-                X = np.hstack([np.stack(pdf[vec].to_numpy()).astype(np.float64), np.ones((len(pdf), 1))])
-                Y = _targets(pdf, target)
-                mask = ~np.isnan(Y)
-                Y0 = np.where(mask, Y, 0.0)
-                if g in Wb:
-                    E = np.abs(Y0 - X @ Wb[g].T) * mask
-                    R = mask / np.maximum(E, delta)
-                    G[n_models * (p * p + p):] += E.sum(axis=0)          # sum |residual| per model
-                else:
-                    R = mask.astype(np.float64)
-                for m in range(n_models):
-                    Xr = X * R[:, m:m + 1]
-                    G[m * p * p:(m + 1) * p * p] += (Xr.T @ X).ravel()
-                    o = n_models * p * p + m * p
-                    G[o:o + p] += Xr.T @ Y0[:, m]
-            yield _emit(acc)
-
-        tot = _sum_vectors(train.select(*cols).mapInPandas(fold, PARTS_SCHEMA))
-        converged = bool(Wb)
-        for g, v in tot.items():
-            if g in Wb:   # objective of the weights this pass was folded with
-                obj = 0.5 * (Wb[g] ** 2).sum(axis=1) + c * v[n_models * (p * p + p):]
-                if g in last_obj:
-                    converged &= bool(np.all(np.abs(last_obj[g] - obj) <= tol * np.maximum(np.abs(obj), 1e-12)))
-                else:
-                    converged = False
-                last_obj[g] = obj
-            G = v[: n_models * p * p].reshape(n_models, p, p)
-            b = v[n_models * p * p:n_models * (p * p + p)].reshape(n_models, p)
-            W[g] = np.stack([np.linalg.solve(c * G[m] + np.eye(p), c * b[m]) for m in range(n_models)])
-        if converged:
-            break
-    return W
-
-
-def linear_weights_table(spark, W: dict, group: str = "family") -> DataFrame:
-    """Fitted weights as a small table ``(group, w array<array<double>>, b array<double>)``."""
-    rows = [(g, [list(map(float, r[:-1])) for r in Wg], [float(r[-1]) for r in Wg]) for g, Wg in W.items()]
-    return spark.createDataFrame(rows, f"{group} string, w array<array<double>>, b array<double>")
+    nets = (blocks.select("grp").distinct()
+            .select("grp", F.explode(F.sequence(F.lit(0), F.lit(n_models - 1))).alias("net"))
+            .select("grp", "net", F.array_repeat(F.lit(0.0), p).alias("theta"), F.lit(float("inf")).alias("objective"),
+                    F.lit(0.0).alias("rows"), F.lit(True).alias("active"), F.lit(0).alias("seen")))
+    nets = materialize(nets, "svr-weights")
+
+    def fold(batches):
+        sums: dict = {}
+        for b in batches:
+            for r in b.to_pylist():
+                x, y = _unpacked(r)
+                x = np.hstack([x, np.ones((len(x), 1))])
+                for m, theta, active, seen in ((t["net"], t["theta"], t["active"], t["seen"]) for t in r["nets"]):
+                    if not active:
+                        continue
+                    known = ~np.isnan(y[:, m])
+                    xk, yk = x[known], y[known, m]
+                    e = np.abs(yk - xk @ np.array(theta))
+                    w = 1.0 / np.maximum(e, DELTA) if seen else np.ones(len(e))
+                    g = sums.setdefault((r["grp"], m), np.zeros(p * p + p + 2))
+                    g[:p * p] += ((xk * w[:, None]).T @ xk).ravel()
+                    g[p * p:p * p + p] += (xk * w[:, None]).T @ yk
+                    g[p * p + p:] += [e.sum(), len(e)]
+        for (grp, m), g in sums.items():
+            yield _chunks(grp, m, g)
+
+    def step(r: dict) -> None:
+        if r["g"] is None or not r["active"]:
+            return
+        g, theta = np.array(r["g"]), np.array(r["theta"])
+        objective = 0.5 * float(theta @ theta) + c * float(g[p * p + p])
+        moved = np.linalg.solve(c * g[:p * p].reshape(p, p) + np.eye(p), c * g[p * p:p * p + p])
+        still = not (r["seen"] > 1 and abs(r["objective"] - objective) <= tol * max(abs(objective), 1e-12))
+        r.update(theta=moved.tolist() if still else r["theta"], objective=objective, rows=float(g[p * p + p + 1]), active=still,
+                 seen=r["seen"] + 1)
+
+    schema = "grp string, net int, theta array<double>, objective double, rows double, active boolean, seen int"
+    with arrow_batches(spark, BLOCKS_AT_ONCE):
+        for _ in range(rounds):
+            now = nets.groupBy(F.col("grp").alias("g0")).agg(F.collect_list(F.struct("net", "theta", "active", "seen")).alias("nets"))
+            joined = blocks.join(now, F.col("grp").eqNullSafe(F.col("g0"))).select("grp", "n", "x", "y", "nets")
+            sums = _summed(joined.mapInArrow(fold, PARTS_SCHEMA)).select(F.col("grp").alias("g0"), F.col("net").alias("n0"), "g")
+            nets = materialize(
+                nets.join(sums, F.col("grp").eqNullSafe(F.col("g0")) & (F.col("net") == F.col("n0")), "left").drop("g0", "n0")
+                .select("grp", "net", "theta", "objective", "rows", "active", "seen", "g").mapInArrow(_by_row(step), schema), "svr-weights")
+            if nets.where("active").limit(1).count() == 0:
+                break
+    return nets.select("grp", "net", "theta", "objective", "rows")
+
+
+def linear_weights_table(nets: DataFrame, group: str = "family") -> DataFrame:
+    """Fitted weights by group: ``(group, w array<array<double>>, b array<double>)``."""
+    by_model = F.array_sort(F.collect_list(F.struct("net", "theta")))
+    p = F.size(F.col("t")[0]["theta"])
+    return nets.groupBy(F.col("grp").alias(group)).agg(by_model.alias("t")).select(
+        group, F.transform("t", lambda t: F.slice(t["theta"], F.lit(1), p - 1)).alias("w"),
+        F.transform("t", lambda t: F.element_at(t["theta"], -1)).alias("b"))
 
 
 def linear_scores(vec: str = "embedding") -> F.Column:
@@ -146,6 +216,41 @@ def linear_scores(vec: str = "embedding") -> F.Column:
         F.col("b")[m], lambda s, x: s + x))
 
 
+def linear_certificate(train: DataFrame, nets: DataFrame, n_models: int, dim: int, c: float = 1.0, vec: str = "embedding",
+                       target: str = "perf", group: str | None = None) -> DataFrame:
+    """``(grp, net, rows, objective, bound, gap)``: how far the weights may be from the optimum.
+
+    The dual of the fit is: maximise sum(a y) - 0.5 ||sum(a x)||^2 over |a| <= c, one ``a`` a row; any such
+    ``a`` bounds every objective from below.  Here a = c * clip(residual / s), which only the rows near the
+    fit leave undecided, for several widths s, and the best bound counts.  Everything is one aggregate of
+    the training rows joined with their weights: sums of |residual|, of a*y and of a*x per coordinate.
+    """
+    widths = [DELTA * 10 ** i for i in range(4)]
+    w = linear_weights_table(nets, "g0")
+    rows = train.where(F.col(vec).isNotNull()).select(_grp(group).alias("grp"), F.col(vec).cast("array<double>").alias("x"), F.col(target).alias("y"))
+    j = rows.join(w, F.col("grp").eqNullSafe(F.col("g0"))).select(
+        "grp", "x", F.posexplode("y").alias("net", "y"), "w", "b").where(F.col("y").isNotNull() & (F.col("net") < n_models))
+    fit = F.aggregate(F.zip_with("x", F.col("w")[F.col("net")], lambda a, b: a * b), F.col("b")[F.col("net")], lambda s, v: s + v)
+    j = j.select("grp", "net", "x", "y", (F.col("y") - fit).alias("r"))
+    a = F.array(*[F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r") / F.lit(s))) * F.lit(c) for s in widths])
+    j = j.select("grp", "net", "x", "y", "r", F.posexplode(a).alias("width", "a"))
+    coord = [F.sum(F.col("a") * F.col("x")[i]).alias(f"x{i}") for i in range(dim)]
+    s = j.groupBy("grp", "net", "width").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.abs("r")).alias("loss"),
+                                             F.sum(F.col("a") * F.col("y")).alias("ay"), F.sum("a").alias("a"), *coord)
+    norm = sum((F.col(f"x{i}") * F.col(f"x{i}") for i in range(dim)), F.col("a") * F.col("a"))
+    # a scaled a is feasible too as long as the scale is at most 1: the best scale maximises t * ay - t^2 norm / 2
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(norm > 0, F.col("ay") / norm).otherwise(F.lit(0.0))))
+    bounds = s.groupBy("grp", "net").agg(F.max("rows").alias("rows"), F.max("loss").alias("loss"),
+                                         F.max(t * F.col("ay") - F.lit(0.5) * t * t * norm).alias("bound"))
+    size = nets.select(F.col("grp").alias("g1"), F.col("net").alias("n1"), F.aggregate("theta", F.lit(0.0), lambda s, v: s + v * v).alias("sq"))
+    out = bounds.join(size, F.col("grp").eqNullSafe(F.col("g1")) & (F.col("net") == F.col("n1")))
+    objective = F.lit(0.5) * F.col("sq") + F.lit(c) * F.col("loss")
+    return out.select("grp", "net", "rows", objective.alias("objective"), "bound",
+                      ((objective - F.col("bound")) / F.greatest(objective, F.lit(1e-12))).alias("gap"))
+
+
+# --------------------------------------------------------------------- mlp
+
 _ACT = {
     "relu": (lambda z: np.maximum(z, 0.0), lambda z, h: (z > 0).astype(np.float64)),
     "tanh": (np.tanh, lambda z, h: 1.0 - h * h),
@@ -159,173 +264,169 @@ def _layer_shapes(dim: int, hidden: tuple) -> list[tuple[int, int]]:
     return [(sizes[i], sizes[i + 1]) for i in range(len(sizes) - 1)]
 
 
-def _unflatten(vec: np.ndarray, shapes) -> list[tuple[np.ndarray, np.ndarray]]:
-    out, o = [], 0
+def _layers(theta: np.ndarray, shapes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``theta`` (models x parameters) as [(W models x a x b, bias models x 1 x b), ...]."""
+    out, o, m = [], 0, len(theta)
     for a, b in shapes:
-        W = vec[o:o + a * b].reshape(a, b)
+        w = theta[:, o:o + a * b].reshape(m, a, b)
         o += a * b
-        out.append((W, vec[o:o + b]))
+        out.append((w, theta[:, o:o + b].reshape(m, 1, b)))
         o += b
     return out
 
 
-def _mlp_forward(X, params, activation: str = "relu"):
-    """Predictions of every model's net: list of (n,) arrays; ``params`` = per model [(W, b), ...]."""
-    f = _ACT[activation][0]
-    outs = []
-    for layers in params:
-        H = X
-        for i, (W, b) in enumerate(layers):
-            Z = H @ W + b
-            H = Z if i == len(layers) - 1 else f(Z)
-        outs.append(H[:, 0])
-    return outs
+def _mlp_forward(x: np.ndarray, theta: np.ndarray, shapes, activation: str = "relu") -> np.ndarray:
+    """Predictions of every model's net: (rows, models)."""
+    f, h, layers = _ACT[activation][0], x, _layers(theta, shapes)
+    for i, (w, b) in enumerate(layers):
+        z = np.matmul(h, w) + b
+        h = z if i == len(layers) - 1 else f(z)
+    return h[:, :, 0].T
 
 
 BATCH = 200
 LOCAL_EPOCHS = 10
 
 
-def _train_local(theta: np.ndarray, shapes, act: str, lr: float, X: np.ndarray, y: np.ndarray, alpha: float,
-                 epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Mini-batch Adam on 0.5 * squared error + alpha / (2 batch) * ||W||^2 over the given rows;
-    returns the weights after ``epochs`` and the squared error before."""
+def _train_block(theta: np.ndarray, on: np.ndarray, shapes, act: str, lr: float, x: np.ndarray, y: np.ndarray, alpha: float,
+                 epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mini-batch Adam on 0.5 * squared error + alpha / (2 batch) * ||W||^2 over a block's rows, all models at
+    once, one optimiser state throughout; returns the weights after ``epochs`` and each model's squared
+    error before.  Models that are not ``on`` keep their weights."""
     f, df = _ACT[act]
     rng = np.random.default_rng(seed)
     m1, v1, t = np.zeros_like(theta), np.zeros_like(theta), 0
-    sse = float(((_mlp_forward(X, [_unflatten(theta, shapes)], act)[0] - y) ** 2).sum())
+    known = ~np.isnan(y)
+    y0 = np.where(known, y, 0.0)
+    sse = (((_mlp_forward(x, theta, shapes, act) - y0) * known) ** 2).sum(axis=0)
     for _ in range(epochs):
-        order = rng.permutation(len(X))
-        for at in range(0, len(X), BATCH):
+        order = rng.permutation(len(x))
+        for at in range(0, len(x), BATCH):
             rows = order[at:at + BATCH]
-            layers, Hs, Zs = _unflatten(theta, shapes), [X[rows]], []
-            for i, (W, b) in enumerate(layers):
-                Zs.append(Hs[-1] @ W + b)
-                Hs.append(Zs[-1] if i == len(layers) - 1 else f(Zs[-1]))
-            dZ, parts = (Hs[-1] - y[rows][:, None]) / len(rows), []
+            k = known[rows].T[:, :, None]
+            n = np.maximum(k.sum(axis=1, keepdims=True), 1.0)
+            layers, hs, zs = _layers(theta, shapes), [x[rows]], []
+            for i, (w, b) in enumerate(layers):
+                zs.append(np.matmul(hs[-1], w) + b)
+                hs.append(zs[-1] if i == len(layers) - 1 else f(zs[-1]))
+            dz, parts = (hs[-1] - y0[rows].T[:, :, None]) * k / n, []
             for i in range(len(layers) - 1, -1, -1):
-                parts.append(np.concatenate([(Hs[i].T @ dZ + alpha / len(rows) * layers[i][0]).ravel(), dZ.sum(0)]))
+                up = np.matmul(np.swapaxes(hs[i], -1, -2), dz) + alpha / n * layers[i][0]
+                parts.append(np.concatenate([up.reshape(len(theta), -1), dz.sum(axis=1)], axis=1))
                 if i > 0:
-                    dZ = (dZ @ layers[i][0].T) * df(Zs[i - 1], Hs[i])
-            grad, t = np.concatenate(parts[::-1]), t + 1
+                    dz = np.matmul(dz, np.swapaxes(layers[i][0], -1, -2)) * df(zs[i - 1], hs[i])
+            grad, t = np.concatenate(parts[::-1], axis=1), t + 1
             m1, v1 = 0.9 * m1 + 0.1 * grad, 0.999 * v1 + 0.001 * grad * grad
-            theta = theta - lr * (m1 / (1 - 0.9 ** t)) / (np.sqrt(v1 / (1 - 0.999 ** t)) + 1e-8)
+            move = lr * (m1 / (1 - 0.9 ** t)) / (np.sqrt(v1 / (1 - 0.999 ** t)) + 1e-8)
+            theta = theta - move * (on[:, None] & k.any(axis=1))
     return theta, sse
 
 
+def _specs(configs: list[tuple], dim: int) -> list[tuple]:
+    """(layer shapes, parameters of a net, activation, rate) per configuration (hidden, activation, rate)."""
+    out = []
+    for hidden, act, lr in configs:
+        shapes = _layer_shapes(dim, tuple(hidden) if isinstance(hidden, (tuple, list)) else (int(hidden),))
+        out.append((shapes, sum(a * b + b for a, b in shapes), act, lr))
+    return out
+
+
+NETS_SCHEMA = "grp string, net int, theta array<double>, best array<double>, stale array<int>, active array<boolean>"
+
+
 def fit_mlp_grid(train: DataFrame, n_models: int, dim: int, configs: list[tuple], epochs: int = 30,
                  alpha: float = 1e-4, seed: int = 1234, vec: str = "embedding", target: str = "perf",
-                 group: str | None = None, tol: float = 1e-4, n_iter_no_change: int = 10) -> dict:
+                 group: str | None = None, tol: float = 1e-4, n_iter_no_change: int = 10, key: str | None = None,
+                 blocks: DataFrame | None = None) -> DataFrame:
     """Feed-forward nets for every configuration ``(hidden sizes, activation, learning rate)``,
-    group and model, trained together.  Each pass over the data runs ``LOCAL_EPOCHS`` epochs of
-    mini-batch Adam (batches of ``BATCH``, the configuration's own rate) inside every task and averages
-    the tasks' weights by their rows: ``epochs`` cost ``epochs / LOCAL_EPOCHS`` passes.  A net stops once
+    group and model, trained together: ``(grp, net, theta, ...)``, ``net`` the configuration's number and
+    ``theta`` the parameters of all its models in turn.  Each pass runs ``LOCAL_EPOCHS`` epochs of
+    mini-batch Adam (batches of ``BATCH``, the configuration's own rate) over every block and averages the
+    blocks' weights by their rows: ``epochs`` cost ``epochs / LOCAL_EPOCHS`` passes.  A net stops once
     its loss has not improved by ``tol`` for ``n_iter_no_change`` epochs (the reference estimator's
-    rule, seen once a pass); the passes end when every net has stopped or after ``epochs``.
-    Returns ``{(config index, group): [per model [(W, b), ...]]}``."""
-    groups = [""] if group is None else sorted(str(r[0]) for r in train.select(group).distinct().collect())
-    cols = [vec, target] + ([group] if group else [])
-    spec = []
-    for hidden, act, lr in configs:
-        hidden = tuple(hidden) if isinstance(hidden, (tuple, list)) else (int(hidden),)
-        shapes = _layer_shapes(dim, hidden)
-        spec.append((shapes, sum(a * b + b for a, b in shapes), act, lr))
-
-    def init(shapes):
-        rng = np.random.default_rng(seed)
-        parts = []
+    rule, seen once a pass); the passes end when every net has stopped or after ``epochs``."""
+    spark = train.sparkSession
+    blocks = training_blocks(train, dim, vec, target, group, key) if blocks is None else blocks
+    spec = _specs(configs, dim)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def start(r: dict) -> None:
+        rng, parts = np.random.default_rng(seed), []
         for _ in range(n_models):
-            for a, b in shapes:
+            for a, b in spec[r["net"]][0]:
                 lim = np.sqrt(6.0 / (a + b))
                 parts += [rng.uniform(-lim, lim, a * b), np.zeros(b)]
-        return np.concatenate(parts).reshape(n_models, -1)
+        r.update(theta=np.concatenate(parts).tolist(), best=[float("inf")] * n_models, stale=[0] * n_models, active=[True] * n_models)
 
-    theta = {(ci, g): init(spec[ci][0]) for ci in range(len(spec)) for g in groups}
-    best = {k: np.full(n_models, np.inf) for k in theta}
-    stale = {k: np.zeros(n_models, dtype=int) for k in theta}
-    active = {k: np.ones(n_models, dtype=bool) for k in theta}
     patience = max(1, n_iter_no_change // LOCAL_EPOCHS)
-    for done in range(0, epochs, LOCAL_EPOCHS):
-        if not any(a.any() for a in active.values()):
-            break
-        now, on, local = dict(theta), {k: v.copy() for k, v in active.items()}, min(LOCAL_EPOCHS, epochs - done)
-
-        def fold(batches, now=now, on=on, local=local, done=done):
-            acc: dict = {}
-            for g, pdf in _batches_by_group(batches, group):
-                X = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-                Y = _targets(pdf, target)
-                known = ~np.isnan(Y)
-                for ci, (shapes, per, act, lr) in enumerate(spec):
-                    # layout per model: weights x rows | rows | squared error before
-                    out = acc.setdefault(f"{ci}|{g}", np.zeros((n_models, per + 2)).ravel()).reshape(n_models, per + 2)
-                    for m in range(n_models):
-                        rows = known[:, m]
-                        if on[(ci, g)][m] and rows.any():
-                            w, sse = _train_local(now[(ci, g)][m], shapes, act, lr, X[rows], Y[rows, m], alpha, local,
-                                                  seed + done)
-                            out[m, :per] += w * rows.sum()
-                            out[m, per:] += [rows.sum(), sse]
-            yield _emit(acc)
-
-        tot = _sum_vectors(train.select(*cols).mapInPandas(fold, PARTS_SCHEMA))
-        for key, v in tot.items():
-            ci, g = key.split("|", 1)
-            k = (int(ci), g)
-            per = spec[k[0]][1]
-            v = v.reshape(n_models, per + 2)
-            n, sse = v[:, per], v[:, per + 1]
-            loss = 0.5 * sse / np.maximum(n, 1.0)
-            moved = on[k] & (n > 0)
-            theta[k] = np.where(moved[:, None], v[:, :per] / np.maximum(n, 1.0)[:, None], theta[k])
-            stale[k] = np.where(loss > best[k] - tol, stale[k] + 1, 0)
-            best[k] = np.where(moved, np.minimum(best[k], loss), best[k])
-            active[k] = moved & (stale[k] <= patience)
-    return {k: [_unflatten(th[m], spec[k[0]][0]) for m in range(n_models)] for k, th in theta.items()}
-
-
-def fit_mlp(train: DataFrame, n_models: int, dim: int, hidden: tuple = (100,), activation: str = "relu",
-            epochs: int = 30, lr: float = 0.01, alpha: float = 1e-4, seed: int = 1234, vec: str = "embedding",
-            target: str = "perf", group: str | None = None) -> dict:
-    """One configuration of :func:`fit_mlp_grid`; returns ``{group: [per model [(W, b), ...]]}``."""
-    grid = fit_mlp_grid(train, n_models, dim, [(hidden, activation, lr)], epochs, alpha, seed, vec, target, group)
-    return {g: p for (_, g), p in grid.items()}
-
-
-def _params_bytes(params: dict) -> int:
-    return sum(W.nbytes + b.nbytes for nets in params.values() for layers in nets for W, b in layers)
-
-
-def mlp_scores(df: DataFrame, params: dict, key: str, vec: str = "embedding", activation: str = "relu",
-               group: str | None = None, max_broadcast_bytes: int = 256 << 20) -> DataFrame:
-    """``(key, scores array<double>[, group])``: one Arrow-batched forward pass per partition.
-
-    The fitted nets reach the tasks as a broadcast whose size is known before sending
-    (groups x architecture).  Above ``max_broadcast_bytes`` each group is scored with its own
-    broadcast over that group's rows only (a filtered scan per group), so no task or
-    broadcast ever holds more than one group's nets.
+
+    def trainer(local: int, done: int):
+        def fold(batches):
+            for b in batches:
+                for r in b.to_pylist():
+                    (shapes, per, act, lr), on = spec[r["net"]], np.array(r["active"])
+                    x, y = _unpacked(r)
+                    theta = np.array(r["theta"]).reshape(n_models, per)
+                    moved, sse = _train_block(theta, on, shapes, act, lr, x, y[:, :n_models], alpha, local, seed + done + r["block"] % 65536)
+                    n = (~np.isnan(y[:, :n_models])).sum(axis=0)
+                    # per model: weights x rows | rows | squared error before
+                    yield _chunks(r["grp"], r["net"], np.hstack([moved * n[:, None], n[:, None], sse[:, None]]).ravel())
+        return fold
+
+    def step(r: dict) -> None:
+        if r["g"] is None:
+            return
+        per, on = spec[r["net"]][1], np.array(r["active"])
+        v, theta = np.array(r["g"]).reshape(n_models, per + 2), np.array(r["theta"]).reshape(n_models, per)
+        best, n, sse = np.array(r["best"]), v[:, per], v[:, per + 1]
+        loss = 0.5 * sse / np.maximum(n, 1.0)
+        moved = on & (n > 0)
+        stale = np.where(loss > best - tol, np.array(r["stale"]) + 1, 0)
+        r.update(theta=np.where(moved[:, None], v[:, :per] / np.maximum(n, 1.0)[:, None], theta).ravel().tolist(),
+                 best=np.where(moved, np.minimum(best, loss), best).tolist(), stale=stale.tolist(), active=(moved & (stale <= patience)).tolist())
+
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("theta", "array<double>"), ("best", "array<double>"), ("stale", "array<int>"),
+                                                       ("active", "array<boolean>"))]
+    nets = blocks.select("grp").distinct().select("grp", F.explode(F.sequence(F.lit(0), F.lit(len(spec) - 1))).alias("net"), *blank)
+    nets = materialize(nets.mapInArrow(_by_row(start), NETS_SCHEMA), "mlp-nets")
+    with arrow_batches(spark, BLOCKS_AT_ONCE):
+        for done in range(0, epochs, LOCAL_EPOCHS):
+            moving = nets.where(F.exists("active", lambda a: a))
+            joined = (blocks.join(moving.withColumnRenamed("grp", "g0"), F.col("grp").eqNullSafe(F.col("g0")))
+                      .select("grp", "block", "n", "x", "y", "net", "theta", "active")
+                      .repartition(partitions, "grp", "block", "net").sortWithinPartitions("grp", "net", "block"))
+            sums = _summed(joined.mapInArrow(trainer(min(LOCAL_EPOCHS, epochs - done), done), PARTS_SCHEMA))
+            sums = sums.select(F.col("grp").alias("g0"), F.col("net").alias("n0"), "g")
+            nets = materialize(
+                nets.join(sums, F.col("grp").eqNullSafe(F.col("g0")) & (F.col("net") == F.col("n0")), "left").drop("g0", "n0")
+                .select("grp", "net", "theta", "best", "stale", "active", "g").mapInArrow(_by_row(step), NETS_SCHEMA), "mlp-nets")
+            if nets.where(F.exists("active", lambda a: a)).limit(1).count() == 0:
+                break
+    return nets
+
+
+def mlp_scores(df: DataFrame, nets: DataFrame, configs: list[tuple], n_models: int, dim: int, key: str, vec: str = "embedding",
+               group: str | None = None) -> DataFrame:
+    """``(key, net, scores array<double>[, group])``: every row's predictions under each configuration.
+
+    Rows meet their group's nets in bounded tasks (:func:`meet`): no task holds more than one group's nets.
     """
-    import pandas as pd
     key_type = df.schema[key].dataType.simpleString()
-    cols = [key, vec] + ([group] if group else [])
-    schema = f"{key} {key_type}, scores array<double>" + (f", {group} string" if group else "")
-
-    def scorer(bc):
-        def run(batches):
-            ps = bc.value
-            for g, pdf in _batches_by_group(batches, group):
-                X = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-                outs = np.stack(_mlp_forward(X, ps[g], activation), axis=1)
-                out = pd.DataFrame({key: pdf[key].values, "scores": list(outs)})
-                yield out.assign(**{group: g}) if group else out
-        return run
-
-    sc = df.sparkSession.sparkContext
-    if group is None or _params_bytes(params) <= max_broadcast_bytes:
-        return df.select(*cols).mapInPandas(scorer(sc.broadcast(params)), schema)
-    out = None
-    for g, nets in params.items():
-        part = df.where(F.col(group).cast("string") == g).select(*cols).mapInPandas(
-            scorer(sc.broadcast({g: nets})), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    spec = _specs(configs, dim)
+    rows = df.where(F.col(vec).isNotNull()).select(_grp(group).alias("key"), F.col(key).alias("row"), F.col(vec).cast("array<double>").alias("vec"))
+
+    def build(t: pa.Table):
+        return [(r["net"], np.array(r["theta"]).reshape(n_models, -1)) for r in t.to_pylist()]
+
+    def answer(made, b: pa.RecordBatch):
+        x = matrix(b.column("vec"), dim)
+        for net, theta in made:
+            scores = _mlp_forward(x, theta, spec[net][0], spec[net][2])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), pa.array(np.full(len(x), net, np.int32)), pa.array(scores.tolist(), pa.list_(pa.float64())), b.column("key")],
+                ["row", "net", "scores", "grp"])
+
+    out = meet(nets.select(F.col("grp").alias("key"), "net", "theta"), rows, build, answer,
+               f"row {key_type}, net int, scores array<double>, grp string", "row", 65536)
+    out = out.withColumnRenamed("row", key)
+    return out.withColumnRenamed("grp", group) if group else out.drop("grp")

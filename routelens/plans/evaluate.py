@@ -163,10 +163,9 @@ def _dim(rd: RoutingData) -> int:
 
 def svr_results(rd: RoutingData, prices: DataFrame, embedding: str = "given") -> DataFrame:
     """Linear absolute-error predictors per family and model, routed over the wtp grid."""
-    spark = rd.samples.sparkSession
     train = rd.samples.where(F.col("split") == "train")
     test = rd.samples.where(F.col("split") == "test")
-    wt = linear_weights_table(spark, fit_linear_abs(train, rd.n_models, _dim(rd), group="family"), "family")
+    wt = linear_weights_table(fit_linear_abs(train, rd.n_models, _dim(rd), group="family", key="sample_id"), "family")
     scored = test.join(wt, "family").select("family", F.col("sample_id").alias("query_id"),
                                             linear_scores().alias("scores"))
     return _scored_results(rd, prices, scored).select(
@@ -179,18 +178,14 @@ def mlp_results(rd: RoutingData, prices: DataFrame, epochs: int = MLP_EPOCHS, em
     train = rd.samples.where(F.col("split") == "train")
     test = rd.samples.where(F.col("split") == "test")
     configs = [(h, a, lr) for h in MLP_HIDDEN_LAYERS for a in MLP_ACTIVATIONS for lr in MLP_LEARNING_RATES]
-    fitted = fit_mlp_grid(train, rd.n_models, _dim(rd), configs, epochs=epochs, group="family")
-    parts = []
-    for ci, (hidden, act, lr) in enumerate(configs):
-        params = {g: p for (c, g), p in fitted.items() if c == ci}
-        sc = mlp_scores(test, params, "sample_id", activation=act, group="family")
-        # printed as configured: 100 -> "(100,)", [100, 100] -> "([100, 100],)"
-        name = f"({hidden[0]},)" if len(hidden) == 1 else f"({list(hidden)},)"
-        parts.append(sc.select("family", F.col("sample_id").alias("query_id"), "scores", F.lit(name).alias("hidden_layer_sizes"),
-            F.lit(act).alias("activation_function"), F.lit(float(lr)).alias("learning_rate")))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    dim = _dim(rd)
+    nets = fit_mlp_grid(train, rd.n_models, dim, configs, epochs=epochs, group="family", key="sample_id")
+    # printed as configured: 100 -> "(100,)", [100, 100] -> "([100, 100],)"
+    named = F.array(*[F.struct(F.lit(f"({h[0]},)" if len(h) == 1 else f"({list(h)},)").alias("hidden_layer_sizes"),
+                               F.lit(a).alias("activation_function"), F.lit(float(lr)).alias("learning_rate")) for h, a, lr in configs])
+    scored = (mlp_scores(test, nets, configs, rd.n_models, dim, "sample_id", group="family")
+              .withColumn("c", named[F.col("net")])
+              .select("family", F.col("sample_id").alias("query_id"), "scores", "c.*"))
     out = _scored_results(rd, prices, scored, ("hidden_layer_sizes", "activation_function", "learning_rate"))
     return out.select("eval_name", F.lit("mlp").alias("router"), "hidden_layer_sizes", "activation_function",
                       F.lit("constant").alias("learning_rate_method"), "learning_rate",

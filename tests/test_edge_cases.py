@@ -162,20 +162,23 @@ def test_linear_abs_recovers_planted_weights(spark):
     Y[::20, 0] += 5.0                        # outliers: absolute error ignores them
     rows = [(X[i].tolist(), [float(Y[i, 0]), None if i % 7 == 0 else float(Y[i, 1])]) for i in range(600)]
     df = spark.createDataFrame(rows, "embedding array<double>, perf array<double>").repartition(4)
-    W = fit_linear_abs(df, 2, 4, c=100.0, rounds=12)[""]
+    W = np.array([r.theta for r in fit_linear_abs(df, 2, 4, c=100.0, rounds=12).orderBy("net").collect()])
     assert np.allclose(W[:, :4], w, atol=0.05) and np.allclose(W[:, 4], [0.1, -0.3], atol=0.05)
 
 
 def test_mlp_fits_nonlinear_target(spark):
     import numpy as np
-    from routelens.operators.learned import _mlp_forward, fit_mlp
+    from routelens.operators.learned import fit_mlp_grid, mlp_scores
     rng = np.random.default_rng(1)
     X = rng.normal(size=(400, 3))
     y = np.abs(X[:, 0]) * 0.5
     df = spark.createDataFrame([(X[i].tolist(), [float(y[i])]) for i in range(400)],
                                "embedding array<double>, perf array<double>").repartition(3)
-    params = fit_mlp(df, 1, 3, hidden=(16, 8), epochs=150, lr=0.02)[""]
-    mse = float(np.mean((_mlp_forward(X, params)[0] - y) ** 2))
+    configs = [((16, 8), "relu", 0.02)]
+    nets = fit_mlp_grid(df, 1, 3, configs, epochs=150)
+    scored = mlp_scores(df.withColumn("y", F.col("perf")[0]), nets, configs, 1, 3, "y").collect()
+    mse = float(np.mean([(r.scores[0] - r.y) ** 2 for r in scored]))
+    assert len(scored) == 400
     assert mse < 0.5 * float(np.var(y))
 
 
@@ -189,9 +192,10 @@ def test_grouped_fit_equals_separate_fits(spark):
         y = X @ np.array(w) + 0.05
         rows += [(g, X[i].tolist(), [float(y[i])]) for i in range(200)]
     df = spark.createDataFrame(rows, "family string, embedding array<double>, perf array<double>").repartition(3)
-    both = fit_linear_abs(df, 1, 2, rounds=5, group="family")
-    only_a = fit_linear_abs(df.where("family = 'a'"), 1, 2, rounds=5)[""]
-    assert set(both) == {"a", "b"} and np.allclose(both["a"], only_a, atol=1e-9)
+    both = {r.grp: r.theta for r in fit_linear_abs(df, 1, 2, rounds=5, group="family").collect()}
+    for g in ("a", "b"):
+        alone = fit_linear_abs(df.where(F.col("family") == g), 1, 2, rounds=5).first().theta
+        assert np.allclose(both[g], alone)
 
 
 def test_list_literal_quotes_and_escapes(spark):
@@ -263,17 +267,53 @@ def test_shipped_price_list(spark):
     assert p["togethercomputer/llama-2-70b-chat"] == p["meta/llama-2-70b-chat"]
 
 
-def test_mlp_scores_per_group_path_equals_broadcast(spark):
+def test_mlp_fit_hangs_neither_on_batches_nor_on_other_groups(spark):
     import numpy as np
-    from routelens.operators.learned import fit_mlp, mlp_scores
+    from routelens.operators.learned import fit_mlp_grid, mlp_scores
     rng = np.random.default_rng(9)
-    rows = [(g, f"{g}{i}", rng.normal(size=3).tolist(), [float(rng.random())]) for g in ("a", "b") for i in range(60)]
+    rows = [(g, f"{g}{i}", rng.normal(size=3).tolist(), [float(rng.random()), None if i % 5 == 0 else 1.0])
+            for g in ("a", "b") for i in range(1500)]
     df = spark.createDataFrame(rows, "family string, sample_id string, embedding array<double>, perf array<double>")
-    params = fit_mlp(df, 1, 3, hidden=(4,), epochs=3, group="family")
-    one = {r.sample_id: r.scores for r in mlp_scores(df, params, "sample_id", group="family").collect()}
-    per = {r.sample_id: r.scores for r in mlp_scores(df, params, "sample_id", group="family",
-                                                     max_broadcast_bytes=1).collect()}
-    assert one.keys() == per.keys() and all(np.allclose(one[k], per[k]) for k in one)
+    configs = [((4,), "relu", 0.01), ((5, 3), "tanh", 0.02)]
+    conf, fits = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(conf)
+    for rows_a_batch, slices in ((500, 7), (10_000, 2)):
+        spark.conf.set(conf, rows_a_batch)
+        nets = fit_mlp_grid(df.repartition(slices), 2, 3, configs, epochs=20, group="family", key="sample_id")
+        fits.append({(r.grp, r.net): r.theta for r in nets.collect()})
+        assert spark.conf.get(conf) == str(rows_a_batch)
+    spark.conf.set(conf, before)
+    assert fits[0] == fits[1] and len(fits[0]) == 4
+    alone = fit_mlp_grid(df.where("family = 'a'"), 2, 3, configs, epochs=20, group="family", key="sample_id")
+    assert {(r.grp, r.net): r.theta for r in alone.collect()} == {k: v for k, v in fits[0].items() if k[0] == "a"}
+    scored = mlp_scores(df, nets, configs, 2, 3, "sample_id", group="family")
+    assert scored.count() == 6000 and scored.select("family", "sample_id", "net").distinct().count() == 6000
+
+
+def test_training_blocks_hold_every_row_once(spark):
+    import numpy as np
+    from routelens.operators.learned import _unpacked, training_blocks
+    rows = [("a", 1, [float(i), 0.0], [0.5]) for i in range(700)] + [("b", i, [float(i), 1.0], [None]) for i in range(90)] + [("b", 5, None, [1.0])]
+    df = spark.createDataFrame(rows, "family string, id int, embedding array<double>, perf array<double>").repartition(5)
+    blocks = training_blocks(df, 2, group="family", key="id", block_bytes=16 * 100).collect()      # one hot key: 700 rows
+    assert max(b.n for b in blocks) <= 200
+    got = sorted((b.grp, *x, *y) for b in blocks for x, y in zip(*_unpacked(b.asDict()), strict=True))
+    assert np.array_equal(np.array([g[1:] for g in got]), np.array(sorted((*v, p[0] if p[0] is not None else np.nan) for g, _, v, p in rows if v and g == "a")
+                          + sorted((*v, np.nan) for g, _, v, p in rows if v and g == "b")), equal_nan=True)
+
+
+def test_linear_certificate_shows_optimality(spark):
+    import numpy as np
+    from routelens.operators.learned import fit_linear_abs, linear_certificate
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(500, 4))
+    Y = np.stack([X @ [0.3, -0.2, 0.1, 0.4] + 0.2 * rng.normal(size=500), (rng.random(500) < 0.6).astype(float)], axis=1)
+    df = spark.createDataFrame([("a", x.tolist(), y.tolist()) for x, y in zip(X, Y, strict=True)], "g string, embedding array<double>, perf array<double>")
+    nets = fit_linear_abs(df, 2, 4, group="g")
+    good = linear_certificate(df, nets, 2, 4, group="g").collect()
+    assert len(good) == 2 and all(-1e-9 <= r.gap < 0.02 and r.rows == 500 for r in good)
+    worse = nets.withColumn("theta", F.transform("theta", lambda t: t + 0.3))
+    assert all(r.gap > 0.05 for r in linear_certificate(df, worse, 2, 4, group="g").collect())
 
 
 def test_best_point_all_zero_keeps_cheapest(spark):
@@ -363,8 +403,7 @@ def test_mlp_early_stopping_freezes_converged_nets(spark):
     df = spark.createDataFrame(rows, "embedding array<double>, perf array<double>")
     a = fit_mlp_grid(df, 1, 2, [((4,), "relu", 0.05)], epochs=80, tol=1e-2, n_iter_no_change=2)
     b = fit_mlp_grid(df, 1, 2, [((4,), "relu", 0.05)], epochs=120, tol=1e-2, n_iter_no_change=2)
-    wa, wb = a[(0, "")][0], b[(0, "")][0]
-    assert all(np.array_equal(x[0], y[0]) and np.array_equal(x[1], y[1]) for x, y in zip(wa, wb))
+    assert a.first().theta == b.first().theta and a.first().active == [False]
 
 
 def test_knn_nan_embedding_is_nobodys_neighbour(spark):
