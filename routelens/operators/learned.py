@@ -30,7 +30,7 @@ from routelens.operators.meet import matrix, meet
 from routelens.session import arrow_batches, materialize
 
 #: Values of a chunk of a summed vector, vectors added in the first step.
-CHUNK, FAN_IN = 4096, 1024
+CHUNK, FAN_IN = 1 << 16, 512
 #: Bytes of the vectors of a block, blocks that travel to Python at once.
 BLOCK_BYTES, BLOCKS_AT_ONCE = 4 << 20, 4
 
@@ -118,18 +118,23 @@ def _by_row(change):
 PARTS_SCHEMA = "grp string, net int, c int, g array<double>"
 
 
-def _summed(parts: DataFrame) -> DataFrame:
-    """``(grp, net, g)``: the element-wise sum of the partial vectors of each (group, net), in two steps.
+def _summed(parts: DataFrame, size: int, vectors: int) -> DataFrame:
+    """``(grp, net, g)``: the element-wise sum of the partial vectors (of ``size`` values, ``vectors`` at most
+    of each) by group and net.
 
-    First the vectors of up to ``FAN_IN`` neighbouring tasks are added per chunk, then those sums: a task
-    holds at most ``FAN_IN`` chunks, or tasks / ``FAN_IN`` of them.
+    Vectors of several chunks are added chunk by chunk; more than ``FAN_IN`` of them in two steps, first
+    those of up to ``FAN_IN`` neighbouring tasks: a task holds at most ``FAN_IN`` chunks of a key.  They are
+    sorted first: equal vectors give equal sums, in whatever order they come.
     """
     add = F.aggregate(F.slice(F.col("l"), 2, F.greatest(F.size("l") - 1, F.lit(0))), F.col("l")[0],
                       lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-    near = parts.withColumn("s", F.floor(F.spark_partition_id() / FAN_IN)).groupBy("grp", "net", "c", "s").agg(
-        F.collect_list("g").alias("l")).select("grp", "net", "c", add.alias("g"))
-    whole = near.groupBy("grp", "net", "c").agg(F.collect_list("g").alias("l")).select("grp", "net", "c", add.alias("g"))
-    return whole.groupBy("grp", "net").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("l")).select(
+    if vectors > FAN_IN:
+        parts = parts.withColumn("s", F.floor(F.spark_partition_id() / FAN_IN)).groupBy("grp", "net", "c", "s").agg(
+            F.sort_array(F.collect_list("g")).alias("l")).select("grp", "net", "c", add.alias("g"))
+    parts = parts.groupBy("grp", "net", "c").agg(F.sort_array(F.collect_list("g")).alias("l")).select("grp", "net", "c", add.alias("g"))
+    if size <= CHUNK:
+        return parts.drop("c")
+    return parts.groupBy("grp", "net").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("l")).select(
         "grp", "net", F.flatten(F.transform("l", lambda x: x["g"])).alias("g"))
 
 
@@ -138,7 +143,7 @@ def _summed(parts: DataFrame) -> DataFrame:
 DELTA = 1e-4
 
 
-def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, rounds: int = 40, vec: str = "embedding",
+def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, rounds: int = 30, vec: str = "embedding",
                    target: str = "perf", group: str | None = None, tol: float = 1e-6, key: str | None = None,
                    blocks: DataFrame | None = None) -> DataFrame:
     """``(grp, net, theta, objective, rows)`` per group (e.g. eval family; ``""`` when ungrouped) and model
@@ -148,13 +153,17 @@ def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, ro
     all have or after ``rounds``."""
     spark = train.sparkSession
     blocks = training_blocks(train, dim, vec, target, group, key) if blocks is None else blocks
-    p = dim + 1
+    p, n_blocks = dim + 1, blocks.count()
     nets = (blocks.select("grp").distinct()
             .select("grp", F.explode(F.sequence(F.lit(0), F.lit(n_models - 1))).alias("net"))
             .select("grp", "net", F.array_repeat(F.lit(0.0), p).alias("theta"), F.lit(float("inf")).alias("objective"),
                     F.lit(0.0).alias("rows"), F.lit(True).alias("active"), F.lit(0).alias("seen")))
     nets = materialize(nets, "svr-weights")
 
+    def width(seen: int) -> float:
+        """Residuals below this count as squares: wide at first, for quick steps, then ``DELTA``."""
+        return max(DELTA, 0.5 * 0.4 ** seen)
+
     def fold(batches):
         sums: dict = {}
         for b in batches:
@@ -167,7 +176,7 @@ def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, ro
                     known = ~np.isnan(y[:, m])
                     xk, yk = x[known], y[known, m]
                     e = np.abs(yk - xk @ np.array(theta))
-                    w = 1.0 / np.maximum(e, DELTA) if seen else np.ones(len(e))
+                    w = 1.0 / np.maximum(e, width(seen)) if seen else np.ones(len(e))
                     g = sums.setdefault((r["grp"], m), np.zeros(p * p + p + 2))
                     g[:p * p] += ((xk * w[:, None]).T @ xk).ravel()
                     g[p * p:p * p + p] += (xk * w[:, None]).T @ yk
@@ -181,7 +190,7 @@ def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, ro
         g, theta = np.array(r["g"]), np.array(r["theta"])
         objective = 0.5 * float(theta @ theta) + c * float(g[p * p + p])
         moved = np.linalg.solve(c * g[:p * p].reshape(p, p) + np.eye(p), c * g[p * p:p * p + p])
-        still = not (r["seen"] > 1 and abs(r["objective"] - objective) <= tol * max(abs(objective), 1e-12))
+        still = not (width(r["seen"] - 1) == DELTA and abs(r["objective"] - objective) <= tol * max(abs(objective), 1e-12))
         r.update(theta=moved.tolist() if still else r["theta"], objective=objective, rows=float(g[p * p + p + 1]), active=still,
                  seen=r["seen"] + 1)
 
@@ -190,7 +199,7 @@ def fit_linear_abs(train: DataFrame, n_models: int, dim: int, c: float = 1.0, ro
         for _ in range(rounds):
             now = nets.groupBy(F.col("grp").alias("g0")).agg(F.collect_list(F.struct("net", "theta", "active", "seen")).alias("nets"))
             joined = blocks.join(now, F.col("grp").eqNullSafe(F.col("g0"))).select("grp", "n", "x", "y", "nets")
-            sums = _summed(joined.mapInArrow(fold, PARTS_SCHEMA)).select(F.col("grp").alias("g0"), F.col("net").alias("n0"), "g")
+            sums = _summed(joined.mapInArrow(fold, PARTS_SCHEMA), p * p + p + 2, n_blocks).select(F.col("grp").alias("g0"), F.col("net").alias("n0"), "g")
             nets = materialize(
                 nets.join(sums, F.col("grp").eqNullSafe(F.col("g0")) & (F.col("net") == F.col("n0")), "left").drop("g0", "n0")
                 .select("grp", "net", "theta", "objective", "rows", "active", "seen", "g").mapInArrow(_by_row(step), schema), "svr-weights")
@@ -347,7 +356,8 @@ def fit_mlp_grid(train: DataFrame, n_models: int, dim: int, configs: list[tuple]
     rule, seen once a pass); the passes end when every net has stopped or after ``epochs``."""
     spark = train.sparkSession
     blocks = training_blocks(train, dim, vec, target, group, key) if blocks is None else blocks
-    spec = _specs(configs, dim)
+    spec, n_blocks = _specs(configs, dim), blocks.count()
+    size = n_models * (max(per for _, per, _, _ in spec) + 2)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def start(r: dict) -> None:
@@ -395,7 +405,7 @@ def fit_mlp_grid(train: DataFrame, n_models: int, dim: int, configs: list[tuple]
             joined = (blocks.join(moving.withColumnRenamed("grp", "g0"), F.col("grp").eqNullSafe(F.col("g0")))
                       .select("grp", "block", "n", "x", "y", "net", "theta", "active")
                       .repartition(partitions, "grp", "block", "net").sortWithinPartitions("grp", "net", "block"))
-            sums = _summed(joined.mapInArrow(trainer(min(LOCAL_EPOCHS, epochs - done), done), PARTS_SCHEMA))
+            sums = _summed(joined.mapInArrow(trainer(min(LOCAL_EPOCHS, epochs - done), done), PARTS_SCHEMA), size, n_blocks)
             sums = sums.select(F.col("grp").alias("g0"), F.col("net").alias("n0"), "g")
             nets = materialize(
                 nets.join(sums, F.col("grp").eqNullSafe(F.col("g0")) & (F.col("net") == F.col("n0")), "left").drop("g0", "n0")
