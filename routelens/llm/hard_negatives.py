@@ -232,16 +232,19 @@ class Index:
             self.cells.groupBy("shard", "i", "j").agg(F.max("r1").alias("r1"), F.max("r2").alias("r2")), "negatives-directory")
         self.groups = max(1, -(-self.directory.count() // DIRECTORY))
 
-    def _meet(self, data: DataFrame, asks: DataFrame, n_asks: int, run, schema: str) -> DataFrame:
-        """Both sides by (key, salt): a key's anchors are dealt to as many tasks as they need, each with
-        the key's data."""
-        salts = max(1, -(-n_asks // ANCHORS))
-        data = data.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("role", F.lit(0))
-        asks = asks.withColumn("salt", F.pmod(F.xxhash64("ask"), F.lit(salts)).cast("int")).withColumn("role", F.lit(1))
+    def _meet(self, data: DataFrame, asks: DataFrame, run, schema: str) -> DataFrame:
+        """Both sides by (key, salt): a key's anchors are dealt to as many tasks as they need, and only so
+        often is the key's data copied; data of keys that nobody asks stays where it is."""
+        sizes = asks.groupBy(F.col("key").alias("k0")).agg(F.ceil(F.count(F.lit(1)) / ANCHORS).cast("int").alias("salts"))
+        same = F.col("key") == F.col("k0")
+        data = (data.join(sizes, same).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+                .drop("k0", "salts").withColumn("role", F.lit(0)))
+        asks = (asks.join(sizes, same).withColumn("salt", F.pmod(F.xxhash64("ask"), F.col("salts")).cast("int"))
+                .drop("k0", "salts").withColumn("role", F.lit(1)))
         return (data.unionByName(asks, allowMissingColumns=True).repartition(self.partitions, "key", "salt")
                 .sortWithinPartitions("key", "salt", "role").mapInArrow(run, schema))
 
-    def visits(self, asks: DataFrame, n_asks: int, same: bool, k: int) -> DataFrame:
+    def visits(self, asks: DataFrame, same: bool, k: int) -> DataFrame:
         """Anchors (key = the shard to visit, ask, label, x, marks, floors, home) -> ask, mark, cls, first, score."""
         dim, books = self.dim, self.books
 
@@ -257,9 +260,9 @@ class Index:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["ask", "mark", "cls", "first", "score"])
 
         data = self.cells.select(F.col("shard").alias("key"), "cls", "first", "label", "i", "j", "x")
-        return self._meet(data, asks, n_asks, _joint(build, answer), "ask long, mark long, cls long, first long, score long")
+        return self._meet(data, asks, _joint(build, answer), "ask long, mark long, cls long, first long, score long")
 
-    def routes(self, asks: DataFrame, n_asks: int, same: bool) -> DataFrame:
+    def routes(self, asks: DataFrame, same: bool) -> DataFrame:
         """ask, key: the shards besides its home whose bound reaches what an anchor still needs."""
         dim, half, books, groups = self.dim, self.half, self.books, self.groups
 
@@ -289,22 +292,21 @@ class Index:
 
         data = self.directory.withColumn("key", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int"))
         everywhere = asks.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        return self._meet(data, everywhere, n_asks, _joint(build, answer), "ask long, key int")
+        return self._meet(data, everywhere, _joint(build, answer), "ask long, key int")
 
     def first(self, asks: DataFrame, same: bool, k: int) -> DataFrame:
         """Per anchor (ask, label, x, marks, home) and mark the first ``k`` points: ask, mark, cls, score.
         ``same``: of the anchor's label; else of other labels with a score in the mark's window."""
-        n = asks.count()
         blank = F.transform("marks", lambda _: F.lit(NONE))
-        here = materialize(self.visits(asks.withColumn("floors", blank).withColumn("key", F.col("home")), n, same, k), "negatives-home")
+        here = materialize(self.visits(asks.withColumn("floors", blank).withColumn("key", F.col("home")), same, k), "negatives-home")
         floors = (here.groupBy(F.col("ask").alias("a0"), "mark").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
                   .where(F.col("n") >= k).groupBy("a0").agg(F.map_from_entries(F.collect_list(F.struct("mark", "s"))).alias("known")))
         floor = F.transform("marks", lambda m: F.coalesce(F.try_element_at(F.col("known"), m), F.lit(NONE)))
         asks = materialize(asks.join(floors, F.col("ask") == F.col("a0"), "left").withColumn("floors", floor).drop("a0", "known"),
                            "negatives-asks")
-        routes = materialize(self.routes(asks, n, same), "negatives-routes")
+        routes = materialize(self.routes(asks, same), "negatives-routes")
         to = routes.withColumnRenamed("ask", "a0")
-        rest = self.visits(asks.join(to, F.col("ask") == F.col("a0")).drop("a0"), n, same, k)
+        rest = self.visits(asks.join(to, F.col("ask") == F.col("a0")).drop("a0"), same, k)
         top = Window.partitionBy("ask", "mark").orderBy(F.desc("score"), "first", "cls")
         return (here.unionByName(rest).withColumn("r", F.row_number().over(top)).where(F.col("r") <= k)
                 .select("ask", "mark", "cls", "score"))
