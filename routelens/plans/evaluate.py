@@ -7,12 +7,12 @@ where LLM baselines and the oracle have NULL router parameters.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.constants import (CASCADE_ROUTER, KNN_NEIGHBORS, MLP_ACTIVATIONS, MLP_HIDDEN_LAYERS,
+from routelens.constants import (CASCADE_BUDGETS, CASCADE_ERROR_RATES, CASCADE_ROUTER, KNN_METRICS, KNN_NEIGHBORS, MLP_ACTIVATIONS, MLP_HIDDEN_LAYERS,
                                  MLP_LEARNING_RATES, MLP_MAX_ITER, MONEY, ORACLE, TRAIN_FRACTION, WTP_GRID)
 from routelens.operators.cascade import accept_thresholds, cascade_results, order_chains, simulate
 from routelens.operators.learned import fit_linear_abs, fit_mlp_grid, linear_scores, linear_weights_table, mlp_scores
@@ -110,20 +110,22 @@ def _answers(rd: RoutingData) -> DataFrame:
 
 
 def knn_routed(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBORS,
-               wtp_values: list[float] = WTP_GRID) -> DataFrame:
+               wtp_values: list[float] = WTP_GRID, metric: str = KNN_METRICS[0]) -> DataFrame:
     """``(family, k, query_id, wtp, chosen_idx, chosen, performance, cost_pico)`` for every test prompt."""
     # answers join one row per (k, prompt) before the 32-way wtp explode
-    sc = knn_scores(rd, ks).join(family_prices(rd, prices), "family").join(_answers(rd), ["family", "query_id"])
+    sc = knn_scores(rd, ks, metric).join(family_prices(rd, prices), "family").join(_answers(rd), ["family", "query_id"])
     return with_choice(route(sc, wtp_values))
 
 
 def knn_results(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBORS,
-                wtp_values: list[float] = WTP_GRID, embedding: str = "given", fraction: float = TRAIN_FRACTION):
-    r = knn_routed(rd, prices, ks, wtp_values)
+                wtp_values: list[float] = WTP_GRID, embedding: str = "given", fraction: float = TRAIN_FRACTION,
+                metric: str = KNN_METRICS[0]):
+    """The sweep of one vector space and metric; one ranking at the largest k serves every k."""
+    r = knn_routed(rd, prices, ks, wtp_values, metric)
     g = r.groupBy("family", "k", "wtp").agg(F.avg("performance").alias("performance"),
                                            F.sum(F.col("cost_pico").cast(MONEY)).alias("total_cost_pico"))
     return g.select(F.col("family").alias("eval_name"), F.lit("knn").alias("router"),
-                    F.col("k").cast("int").alias("neighbors"), F.lit("cosine").alias("metric"),
+                    F.col("k").cast("int").alias("neighbors"), F.lit(metric).alias("metric"),
                     F.lit(embedding).alias("embedding"), F.lit(float(fraction)).alias("fraction"),
                     F.col("wtp"), "performance", "total_cost_pico")
 
@@ -148,10 +150,11 @@ def eval_results(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBO
 MLP_EPOCHS = MLP_MAX_ITER          # an upper bound: nets stop early by the reference's loss rule
 
 
-def _scored_results(rd: RoutingData, prices: DataFrame, scored: DataFrame, extra_cols=()) -> DataFrame:
+def _scored_results(rd: RoutingData, prices: DataFrame, scored: DataFrame, extra_cols=(),
+                    wtp_values: list[float] = WTP_GRID) -> DataFrame:
     """``scored(family, query_id, scores[, extra...])`` -> per (family, extra..., wtp) results."""
     sc = scored.join(family_prices(rd, prices), "family").join(_answers(rd), ["family", "query_id"])
-    r = with_choice(route(sc))
+    r = with_choice(route(sc, wtp_values))
     g = r.groupBy("family", *extra_cols, "wtp").agg(F.avg("performance").alias("performance"),
                                                     F.sum(F.col("cost_pico").cast(MONEY)).alias("total_cost_pico"))
     return g.select(F.col("family").alias("eval_name"), *extra_cols, "wtp", "performance", "total_cost_pico")
@@ -161,23 +164,30 @@ def _dim(rd: RoutingData) -> int:
     return rd.samples.select(F.size("embedding")).first()[0]
 
 
-def svr_results(rd: RoutingData, prices: DataFrame, embedding: str = "given") -> DataFrame:
+def svr_results(rd: RoutingData, prices: DataFrame, embedding: str = "given",
+                wtp_values: list[float] = WTP_GRID) -> DataFrame:
     """Linear absolute-error predictors per family and model, routed over the wtp grid."""
     train = rd.samples.where(F.col("split") == "train")
     test = rd.samples.where(F.col("split") == "test")
     wt = linear_weights_table(fit_linear_abs(train, rd.n_models, _dim(rd), group="family", key="sample_id"), "family")
     scored = test.join(wt, "family").select("family", F.col("sample_id").alias("query_id"),
                                             linear_scores().alias("scores"))
-    return _scored_results(rd, prices, scored).select(
+    return _scored_results(rd, prices, scored, wtp_values=wtp_values).select(
         "eval_name", F.lit("svm").alias("router"), F.lit(embedding).alias("embedding"), "wtp", "performance",
         "total_cost_pico")
 
 
-def mlp_results(rd: RoutingData, prices: DataFrame, epochs: int = MLP_EPOCHS, embedding: str = "given") -> DataFrame:
+def mlp_configs(hidden=MLP_HIDDEN_LAYERS, activations=MLP_ACTIVATIONS, rates=MLP_LEARNING_RATES) -> list[tuple]:
+    """The grid of (hidden sizes, activation, learning rate)."""
+    return [(tuple(h), a, lr) for h in hidden for a in activations for lr in rates]
+
+
+def mlp_results(rd: RoutingData, prices: DataFrame, epochs: int = MLP_EPOCHS, embedding: str = "given",
+                configs: list[tuple] | None = None, wtp_values: list[float] = WTP_GRID) -> DataFrame:
     """MLP predictors for every configuration of the grid, all trained in the same passes."""
+    configs = mlp_configs() if configs is None else configs
     train = rd.samples.where(F.col("split") == "train")
     test = rd.samples.where(F.col("split") == "test")
-    configs = [(h, a, lr) for h in MLP_HIDDEN_LAYERS for a in MLP_ACTIVATIONS for lr in MLP_LEARNING_RATES]
     dim = _dim(rd)
     nets = fit_mlp_grid(train, rd.n_models, dim, configs, epochs=epochs, group="family", key="sample_id")
     # printed as configured: 100 -> "(100,)", [100, 100] -> "([100, 100],)"
@@ -186,42 +196,81 @@ def mlp_results(rd: RoutingData, prices: DataFrame, epochs: int = MLP_EPOCHS, em
     scored = (mlp_scores(test, nets, configs, rd.n_models, dim, "sample_id", group="family")
               .withColumn("c", named[F.col("net")])
               .select("family", F.col("sample_id").alias("query_id"), "scores", "c.*"))
-    out = _scored_results(rd, prices, scored, ("hidden_layer_sizes", "activation_function", "learning_rate"))
+    out = _scored_results(rd, prices, scored, ("hidden_layer_sizes", "activation_function", "learning_rate"), wtp_values)
     return out.select("eval_name", F.lit("mlp").alias("router"), "hidden_layer_sizes", "activation_function",
                       F.lit("constant").alias("learning_rate_method"), "learning_rate",
                       F.lit(embedding).alias("embedding"), "wtp", "performance", "total_cost_pico")
 
 
-def cascade_split_results(rd: RoutingData, prices: DataFrame) -> DataFrame:
+def cascade_split_results(rd: RoutingData, prices: DataFrame, budgets: list[float] = CASCADE_BUDGETS,
+                          error_rates: list[float] = CASCADE_ERROR_RATES) -> DataFrame:
     """The cascade over the budget x judge-error grid on the test split of every family."""
     te = rd.long.where(F.col("split") == "test").withColumn("eval_name", F.col("family"))
     thr = accept_thresholds(te)
     lengths = te.groupBy("eval_name", "model", "model_idx").agg(F.avg("response_tokens").alias("avg_response_tokens"))
     price = price_vectors(prices, lengths, rd.n_models, ["eval_name"])
-    res = cascade_results(simulate(order_chains(to_answers(te), price, thr)))
+    res = cascade_results(simulate(order_chains(to_answers(te), price, thr), budgets, error_rates))
     return res.withColumn("router", F.lit(CASCADE_ROUTER))
 
 
 ROUTER_FAMILIES = ("knn", "svm", "mlp", "cascading router")
 
 
-def evaluate_all(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBORS,
-                 mlp_epochs: int = MLP_EPOCHS, routers: tuple = ROUTER_FAMILIES) -> DataFrame:
-    """The evaluation job end to end: the chosen router families' variants x wtp (or budget x
-    error rate for the cascade) and the LLM / oracle baselines in one long table."""
+@dataclass
+class Grid:
+    """Every router family's hyper-parameter grid; the defaults are the surveyed evaluator's."""
+
+    neighbors: list[int] = field(default_factory=lambda: list(KNN_NEIGHBORS))
+    metrics: list[str] = field(default_factory=lambda: list(KNN_METRICS))
+    mlp_hidden_layers: list = field(default_factory=lambda: list(MLP_HIDDEN_LAYERS))
+    mlp_activations: list[str] = field(default_factory=lambda: list(MLP_ACTIVATIONS))
+    mlp_learning_rates: list[float] = field(default_factory=lambda: list(MLP_LEARNING_RATES))
+    mlp_epochs: int = MLP_EPOCHS
+    wtp_values: list[float] = field(default_factory=lambda: list(WTP_GRID))
+    cascade_budgets: list[float] = field(default_factory=lambda: list(CASCADE_BUDGETS))
+    cascade_error_rates: list[float] = field(default_factory=lambda: list(CASCADE_ERROR_RATES))
+
+
+def in_space(rd: RoutingData, store: DataFrame, name: str) -> RoutingData:
+    """``rd`` with the prompts' vectors of one embedding model.
+
+    The prompts carry their cache keys (``embedding`` is a struct with a key per model); the store is
+    partitioned by model, so a space reads its own vectors only, whatever their width.
+    """
+    vectors = (store.where(F.col("embedding_model") == name).dropDuplicates(["hash"])
+               .select(F.col("hash").alias("_h"), F.col("embedding").alias("_v")))
+    keyed = rd.samples.withColumn("_h", F.col("embedding")[name]).drop("embedding")
+    return RoutingData(rd.long, materialize(keyed.join(vectors, "_h").drop("_h").withColumnRenamed("_v", "embedding"), "routing-space"),
+                       rd.n_models)
+
+
+def evaluate_grid(rd: RoutingData, spaces: dict[str, RoutingData], prices: DataFrame, grid: Grid | None = None,
+                  routers: tuple = ROUTER_FAMILIES, fraction: float = TRAIN_FRACTION) -> DataFrame:
+    """The evaluation job end to end: the chosen router families' variants x wtp in every vector space
+    (kNN also under every metric), the cascade over its own grid, and the LLM / oracle baselines, in one
+    long table.  Baselines and cascade need no vectors and are worked out once."""
+    grid = Grid() if grid is None else grid
     unknown = set(routers) - set(ROUTER_FAMILIES)
     if unknown:
         raise ValueError(f"unknown router families {sorted(unknown)}")
     parts = []
-    if "knn" in routers:
-        parts.append(knn_results(rd, prices, ks))
-    if "svm" in routers:
-        parts.append(svr_results(rd, prices))
-    if "mlp" in routers:
-        parts.append(mlp_results(rd, prices, mlp_epochs))
+    for name, own in spaces.items():
+        if "knn" in routers:
+            parts += [knn_results(own, prices, grid.neighbors, grid.wtp_values, name, fraction, metric) for metric in grid.metrics]
+        if "svm" in routers:
+            parts.append(svr_results(own, prices, name, grid.wtp_values))
+        if "mlp" in routers:
+            configs = mlp_configs(grid.mlp_hidden_layers, grid.mlp_activations, grid.mlp_learning_rates)
+            parts.append(mlp_results(own, prices, grid.mlp_epochs, name, configs, grid.wtp_values))
     if "cascading router" in routers:
-        parts.append(cascade_split_results(rd, prices))
+        parts.append(cascade_split_results(rd, prices, grid.cascade_budgets, grid.cascade_error_rates))
     out = baseline_results(rd)
     for part in parts:
         out = part.unionByName(out, allowMissingColumns=True)
     return out
+
+
+def evaluate_all(rd: RoutingData, prices: DataFrame, ks: list[int] = KNN_NEIGHBORS,
+                 mlp_epochs: int = MLP_EPOCHS, routers: tuple = ROUTER_FAMILIES) -> DataFrame:
+    """:func:`evaluate_grid` in the one vector space that the prompts carry ("given")."""
+    return evaluate_grid(rd, {"given": rd}, prices, Grid(neighbors=list(ks), mlp_epochs=mlp_epochs), routers)

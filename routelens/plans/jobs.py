@@ -6,12 +6,13 @@ Hadoop URI.  Nothing but small option values and fitted weights passes through t
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelens.constants import KNN_NEIGHBORS, TRAIN_FRACTION
+from routelens.constants import ROUTER_PARAMS, TRAIN_FRACTION
 from routelens.functions.hashing import cache_key
 from routelens.functions.logs import parse_list_literal
 from routelens.operators.cost import price_answers
@@ -21,7 +22,7 @@ from routelens.operators.logs import attach_header, fold_events, parse_log_lines
 from routelens.operators.oracle import oracle_label
 from routelens.operators.reshape import complete_samples, dedupe_first
 from routelens.operators.results import best_variant
-from routelens.plans.evaluate import evaluate_all, prepare
+from routelens.plans.evaluate import Grid, evaluate_grid, in_space, prepare
 from routelens.session import materialize, path_exists
 from routelens.sources.results_io import to_reference_layout
 from routelens.sources.tables import read_prices_csv
@@ -46,11 +47,11 @@ class EvaluateOptions:
     store_path: str
     output_path: str
     wanted_evals: list[str] | None = None    # eval families (name prefixes); None: every eval
-    embedding_model: str = "hash32"
+    embedding_models: list[str] = field(default_factory=lambda: ["hash32"])
     fraction: float = TRAIN_FRACTION
     out_of_distribution: bool = False
-    neighbors: list[int] = field(default_factory=lambda: list(KNN_NEIGHBORS))
-    mlp_epochs: int = 200
+    split_by: str = "sample"                 # sample | source (whole source groups on one side)
+    grid: Grid = field(default_factory=Grid)
     prices_path: str | None = None
     routers: tuple = ("knn", "svm", "mlp", "cascading router")
     encoders: dict = field(default_factory=dict)   # embedding model -> (encoder factory, width)
@@ -63,6 +64,15 @@ class AnalyseOptions:
     output_path: str
 
 
+def options_from(spark: SparkSession, path: str, kind: type):
+    """Options of a job (``kind``) from a JSON file on any file system that Spark reads: the options' names
+    with their values, ``grid`` an object of :class:`Grid` options.  Unknown names fail."""
+    raw = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    if "grid" in raw:
+        raw["grid"] = Grid(**raw["grid"])
+    return kind(**raw)
+
+
 def _prompt_text(prompt: F.Column) -> F.Column:
     """The text an embedding is computed from: the prompt's turns joined by newlines."""
     return F.concat_ws("\n", prompt)
@@ -160,22 +170,21 @@ def evaluate_job(spark: SparkSession, opts: EvaluateOptions) -> str:
     the long results table with the LLM and oracle baselines."""
     long = spark.read.parquet(opts.data_path)
     # look every prompt up in the store; misses are embedded once and appended (as the cache does)
-    texts = long.select(_prompt_text(F.col("prompt")).alias("prompt")).distinct()
-    fill_store(spark, texts, opts.store_path, opts.embedding_model, opts.encoders)
-    store = (spark.read.parquet(opts.store_path).where(F.col("embedding_model") == opts.embedding_model)
-             .select("hash", "embedding").dropDuplicates(["hash"]))
-    long = long.withColumn("hash", cache_key(_prompt_text(F.col("prompt")), F.lit(opts.embedding_model)))
-    long = long.join(store, "hash").withColumn("family", _family(F.col("eval_name"), opts.wanted_evals))
-    long = long.where(F.col("family").isNotNull())
+    text = _prompt_text(F.col("prompt"))
+    texts = long.select(text.alias("prompt")).distinct()
+    for model in opts.embedding_models:
+        fill_store(spark, texts, opts.store_path, model, opts.encoders)
+    store = spark.read.parquet(opts.store_path)
+    long = long.withColumn("family", _family(F.col("eval_name"), opts.wanted_evals)).where(F.col("family").isNotNull())
+    # prompts carry their cache keys; every vector space is joined to them on its own
+    long = long.withColumn("embedding", F.struct(*[cache_key(text, F.lit(m)).alias(m) for m in opts.embedding_models]))
     n_models = long.agg(F.max("model_idx")).first()[0] + 1
     prices = read_prices_csv(spark, opts.prices_path)
-    if opts.out_of_distribution and opts.wanted_evals:
-        # every wanted family at once: train prompts carry each other wanted family's label
-        rd = prepare(long, n_models, opts.fraction, ood_wanted=list(opts.wanted_evals))
-        res = evaluate_all(rd, prices, opts.neighbors, opts.mlp_epochs, tuple(opts.routers))
-    else:
-        res = evaluate_all(prepare(long, n_models, opts.fraction), prices, opts.neighbors, opts.mlp_epochs,
-                           tuple(opts.routers))
+    # out of distribution every wanted family at once: train prompts carry each other wanted family's label
+    wanted = list(opts.wanted_evals) if opts.out_of_distribution and opts.wanted_evals else None
+    rd = prepare(long, n_models, opts.fraction, ood_wanted=wanted, split_by=opts.split_by)
+    spaces = {m: in_space(rd, store, m) for m in opts.embedding_models}
+    res = evaluate_grid(rd, spaces, prices, opts.grid, tuple(opts.routers), opts.fraction)
     res.write.mode("overwrite").parquet(opts.output_path)
     if opts.csv_path:
         # the same results in the surveyed tool's CSV layout (USD costs, parameter columns)
@@ -188,12 +197,15 @@ def analyse_job(spark: SparkSession, opts: AnalyseOptions) -> dict[str, str]:
     """Best variants, frontiers (NDCH per variant and of the plain models) and AIQ ranking."""
     res = spark.read.parquet(opts.results_path)
     routers = res.where(F.col("wtp").isNotNull())
-    variant = ["router", "neighbors", "metric", "hidden_layer_sizes", "activation_function", "learning_rate", "embedding"]
-    for c, kind in (("metric", "string"), ("activation_function", "string"), ("learning_rate", "double")):
-        if c not in routers.columns:     # no router family of the results has it
-            routers = routers.withColumn(c, F.lit(None).cast(kind))
-    routers = routers.fillna({"neighbors": -1, "metric": "", "hidden_layer_sizes": "", "activation_function": "",
-                              "learning_rate": -1.0, "embedding": ""})
+    # what names a variant: the parameters of the router families that are swept over wtp
+    params = list(dict.fromkeys(p for r in ("knn", "mlp", "svm") for p in ROUTER_PARAMS[r] if p != "willingness_to_pay"))
+    variant = ["router", *params]
+    blank = {p: {"neighbors": -1, "learning_rate": -1.0}.get(p, "") for p in params}
+    kinds = {int: "int", float: "double", str: "string"}
+    for p, value in blank.items():
+        if p not in routers.columns:     # no router family of the results has it
+            routers = routers.withColumn(p, F.lit(None).cast(kinds[type(value)]))
+    routers = routers.fillna(blank)
     points = routers.select("eval_name", *variant, F.col("wtp").alias("willingness_to_pay"), "performance",
                             F.col("total_cost_pico").alias("total_cost"))
     llm = res.where(F.col("wtp").isNull() & F.col("max_cost_per_response").isNull()
@@ -212,9 +224,7 @@ def analyse_job(spark: SparkSession, opts: AnalyseOptions) -> dict[str, str]:
     series = points.join(best, ["eval_name"] + variant, "left_semi").select(
         "eval_name", *variant, F.col("willingness_to_pay").alias("x_value"), "total_cost", "performance")
     casc = res.where(F.col("max_cost_per_response").isNotNull() & (F.col("evaluator_error_rate") == 0.2)).select(
-        "eval_name", "router", F.lit(-1).alias("neighbors"), F.lit("").alias("metric"),
-        F.lit("").alias("hidden_layer_sizes"), F.lit("").alias("activation_function"),
-        F.lit(-1.0).alias("learning_rate"), F.lit("").alias("embedding"), F.col("max_cost_per_response").alias("x_value"),
+        "eval_name", "router", *[F.lit(v).alias(p) for p, v in blank.items()], F.col("max_cost_per_response").alias("x_value"),
         F.col("total_cost_pico").alias("total_cost"), "performance")
     out["plot_series"] = series.unionByName(casc)
     out["eval_names"] = res.select("eval_name").distinct()

@@ -52,16 +52,15 @@ def to_reference_layout(results: DataFrame) -> DataFrame:
     """``eval_results`` in the surveyed tool's long CSV layout: ``model_name`` (router family or
     model), ``performance``, ``total_cost`` in USD, and one nullable column per router parameter
     under its name in variant strings (``willingness_to_pay``, ``neighbors``, ...)."""
-    from routelens.constants import PICO_PER_USD
+    from routelens.constants import PICO_PER_USD, ROUTER_PARAMS
     cols = {
         "eval_name": F.col("eval_name"),
         "model_name": F.col("router"),
         "performance": F.col("performance"),
         "total_cost": F.col("total_cost_pico").cast("double") / F.lit(float(PICO_PER_USD)),
     }
-    optional = ["neighbors", "metric", "hidden_layer_sizes", "activation_function", "learning_rate_method",
-                "learning_rate", "embedding", "fraction", "max_cost_per_response", "evaluator_error_rate",
-                "performance_threshold"]
+    named = [p for router in ROUTER_PARAMS.values() for p in router if p != "willingness_to_pay"]
+    optional = list(dict.fromkeys([*named, "fraction"]))
     for c in optional:
         cols[c] = F.col(c) if c in results.columns else F.lit(None).cast("string")
     cols["willingness_to_pay"] = F.col("wtp") if "wtp" in results.columns else F.lit(None).cast("double")
