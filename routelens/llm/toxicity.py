@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,6 +40,7 @@ LEAST_SHARE = 0.01
 ADDRESS = frozenset("""you your yours yourself u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous
 votre vos tú ti usted ustedes vosotros tus su""".split())
 LOOKALIKE = str.maketrans("013457@$!*+", "oieastasiit")
+MASKED = re.compile(r"[013457@$!*+]|(.)\1\1", re.DOTALL)
 EDGES = ".,;:!?\"'()[]{}<>|-_/\\«»¿¡…*#$%&@+="
 
 HIT, MILD, UNMASKED, YOU, SHOUT, ODD, LOUD, STRETCHED = (1 << i for i in range(8))
@@ -50,6 +52,8 @@ def bare(word: str) -> str:
 
 def unmasked(word: str) -> str:
     """``word`` with look-alikes as letters and stretches of a letter shortened; itself if nothing is odd."""
+    if not MASKED.search(word):
+        return word
     plain = word.translate(LOOKALIKE)
     return "".join(c for i, c in enumerate(plain) if i < 2 or not c == plain[i - 1] == plain[i - 2])
 
@@ -60,26 +64,44 @@ def terms_of(word: str) -> tuple[str, ...]:
 
 
 class Codes(dict):
-    """Flags of a word as it is written, worked out once per spelling (at most ``limit`` kept)."""
+    """Flags of a word as it is written, worked out once per spelling while it is in use: of two generations
+    of at most ``limit`` spellings each, the older one goes when the younger is full."""
 
-    def __init__(self, strong: frozenset, mild: frozenset, limit: int = 100_000):
+    def __init__(self, strong: frozenset, mild: frozenset, limit: int = 250_000):
         super().__init__()
-        self.strong, self.mild, self.limit = strong, mild, limit
+        self.terms = {**dict.fromkeys(mild, MILD), **dict.fromkeys(strong, HIT)}
+        self.older: dict[str, int] = {}
+        self.limit = limit
+
+    def listed(self, word: str) -> int:
+        """HIT if the word or one of its stems is a strong term, else MILD if one is a mild term, else 0."""
+        found, n = self.terms.get(word, 0), len(word)
+        for stem in STEMS:
+            if n <= stem or found & HIT:
+                break
+            found |= self.terms.get(word[:stem] + "*", 0)
+        return HIT if found & HIT else found
 
     def __missing__(self, word: str) -> int:
+        code = self.older.get(word)
+        if code is None:
+            code = self.flags(word)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[word] = code
+        return code
+
+    def flags(self, word: str) -> int:
         code, low = 0, bare(word)
         letters = low.isalpha()
         if low:
-            terms = terms_of(low)
-            if any(t in self.strong for t in terms):
-                code |= HIT
-            elif any(t in self.mild for t in terms):
-                code |= MILD
+            code |= self.listed(low)
             if low in ADDRESS:
                 code |= YOU
             plain = unmasked(low)
             if plain != low:
-                if not code & HIT and any(t in self.strong for t in terms_of(plain)):
+                if not code & HIT and self.listed(plain) & HIT:
                     code |= HIT | UNMASKED
                 if letters:
                     code |= STRETCHED
@@ -90,9 +112,6 @@ class Codes(dict):
             code |= ODD
         if word[-1:] == "!":
             code |= LOUD
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = code
         return code
 
 

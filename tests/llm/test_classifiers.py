@@ -142,3 +142,37 @@ def test_toxic_texts_that_share_a_pair_all_count(spark):
     assert "grolk*" in strong | mild  # five letters of twelve texts; one of the one-word texts alone counted before
     one_word, _ = X.learn_lexicon(spark.createDataFrame([(t, 1) for t in insults] + rows[12:], "text string, y int"))
     assert "grolk*" in one_word
+
+
+def test_word_flags_equal_plain_ones_whatever_the_cache():
+    import random
+
+    from routelens.llm import toxicity as X
+    strong, mild = frozenset(["idiot", "stup*", "trash"]), frozenset(["bad", "sill*", "trash*", "stupi*"])
+
+    def plain(word):
+        code, low = 0, X.bare(word)
+        if low:
+            for flag, terms in ((X.HIT, strong), (X.MILD, mild)):
+                if not code and any(t in terms for t in X.terms_of(low)):
+                    code |= flag
+            code |= X.YOU if low in X.ADDRESS else 0
+            whole = low.translate(X.LOOKALIKE)
+            whole = "".join(c for i, c in enumerate(whole) if i < 2 or not c == whole[i - 1] == whole[i - 2])
+            if whole != low:
+                if not code & X.HIT and any(t in strong for t in X.terms_of(whole)):
+                    code |= X.HIT | X.UNMASKED
+                code |= X.STRETCHED if low.isalpha() else 0
+        code |= X.SHOUT if len(low) > 2 and word.isupper() else 0
+        if low and not low.isalpha() and any(c.isalpha() for c in low) and not low.isalnum() or low[:1].isalpha() and any(c.isdigit() for c in low):
+            code |= X.ODD
+        return code | (X.LOUD if word[-1:] == "!" else 0)
+
+    rng = random.Random(1)
+    words = ["idiot", "1d10t!", "stupid", "STUPID!!", "stuuupid", "trashy", "trash", "silly", "bad", "you", "a-b", "x2", "!!!", "", "Tú", "ßß"]
+    words += ["".join(rng.choice("stupid10!a$") for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    for limit in (1, 7, 10_000):
+        codes = X.Codes(strong, mild, limit)
+        for w in words + words[::-1]:
+            assert codes[w] == plain(w), w
+        assert len(codes) <= limit and len(codes.older) <= limit
