@@ -52,10 +52,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
             .select("source", "source_size", "position", "target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 1, whole: bool = True) -> DataFrame:
     """Copies of each row of ``docs`` (doc_id, text, source and any other columns).
 
-    Returns ``__row`` (the input row as a struct), size, source_size, target and copies (long).
+    Returns ``__row`` (the input row as a struct; its doc_id alone unless ``whole``, and then texts are read
+    once and never shuffled), size, source_size, target and copies (long).
     Null text has size 0; null source is a source of its own; documents of size 0 get copies like any
     other and take no words; a repeated row is a document of its own; an empty table gives no rows.
     Equal input gives equal output, whatever the partitioning.
@@ -69,7 +70,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
             .select("__row", size.alias("size"), F.col("__row.source").alias("source"),
                     (md5_number(15, F.lit(str(seed)), "__row.doc_id", "__row.text") * 8).alias("h"))
             .withColumn("bucket", bucket))
-    slim = materialize(rows.select("source", "size", "bucket", "h"), "mix-slim")
+    slim = materialize(rows.select("source", "size", "bucket", "h", F.struct("__row.doc_id").alias("__row")), "mix-slim")
+    rows = rows if whole else slim
     targets = materialize(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")),
                                          weights, cap), "mix-targets")
     t = targets.select(F.col("source").alias("s0"), F.col("position").alias("key"), "source_size", "target")
@@ -89,12 +91,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 1) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` once per copy, with the columns of ``docs``."""
+    """The mixed corpus: every row of ``docs`` once per copy, with the columns of ``docs``.  Nulls, empty
+    texts, repeated rows and empty tables as in :func:`mix`; very long texts are rows like any other."""
     out = mix(docs, weights, cap, seed).where("copies > 0")
     return (out.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy"))
             .select("__row.*"))
 
 
 def mix_digest(docs: DataFrame, **params) -> DataFrame:
-    return mix(docs, **params).select("__row.doc_id", "size", "source_size", "target",
+    return mix(docs, whole=False, **params).select("__row.doc_id", "size", "source_size", "target",
                                       (F.col("size") * F.col("copies")).alias("taken"))
