@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import bounded_batches, hash63, spread_rank
+from routelens.llm.common import as_row, bounded_batches, hash63, spread_rank
 from routelens.session import materialize
 
 CAPACITY = 1024
@@ -210,25 +210,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to ``pieces`` (a written table with doc_id, piece, start, length,
     ids_crc32 and any other columns): one gapless sequence per bin, as few as minimum bin slack finds.
 
-    Equal rows are pieces of their own; an empty table gives no rows.
+    Equal rows are pieces of their own; an empty table gives no rows; the other columns come back as they
+    are, whatever their names (but for sequence_id and offset, which are replaced).
     """
     spark = pieces.sparkSession
+    others = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    pieces = pieces.select(*[f"`{c}`" for c in others])
     counts = {r["length"]: r["n"] for r in
               pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     plan = slack_plan(counts, capacity)
-    tie = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
-    keyed = pieces.withColumns({"key": F.col("length"), "bucket": F.lit(0), "h": hash63(*tie),
-                                "tie": F.struct(*tie)})
+    tie = [F.col(f"__row.{c}") for c in ("doc_id", "piece", "start", "ids_crc32")]
+    keyed = as_row(pieces).withColumns({"key": F.col("__row.length"), "bucket": F.lit(0), "h": hash63(*tie),
+                                        "tie": F.struct(*tie)})
     ranked = spread_rank(keyed, keyed.select("key", "bucket", "h"))
     segments = spark.createDataFrame(
         plan.rename(columns={"length": "l0"}) if len(plan) else [],
         "l0 long, lo long, hi long, uses long, bin long, base long")
-    on = (F.col("length") == F.col("l0")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    on = (F.col("key") == F.col("l0")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     place = F.col("rank") - F.col("lo")
     return (ranked.join(F.broadcast(segments), on)  # its size is bounded by the capacity, see above
             .withColumn("sequence_id", F.col("bin") + F.floor(place / F.col("uses")).cast("long"))
-            .withColumn("offset", F.col("base") + (place % F.col("uses")) * F.col("length"))
-            .select(*[f"`{c}`" for c in pieces.columns], "sequence_id", "offset"))
+            .withColumn("offset", F.col("base") + (place % F.col("uses")) * F.col("key"))
+            .select("__row.*", "sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str = "byte_bpe_50k.json",
@@ -238,7 +241,12 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, to
 
 
 def packed_sequences(packed: DataFrame) -> DataFrame:
-    """The sequences themselves: sequence_id, ids (at most the capacity) and the pieces in their order."""
+    """The sequences themselves: sequence_id, ids (at most the capacity) and the pieces in their order.
+
+    ``packed`` is the result of :func:`pack` with ids: a sequence holds at most the capacity's tokens and
+    pieces, so that no group grows with the data; repeated documents are pieces of their own, a null doc_id
+    stays null, and an empty table gives no rows.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids")))
     return (packed.groupBy("sequence_id").agg(ordered.alias("p"))
             .select("sequence_id", F.flatten(F.col("p.ids")).alias("ids"),

@@ -84,6 +84,11 @@ def test_odd_rows_and_sequences(spark, tokenizer):
     twice = P.pack_digest(df.where("doc_id in (3, 5)").union(df.where("doc_id in (3, 5)"))).collect()
     assert len(twice) == 4
     assert P.pack_digest(df.limit(0)).count() == 0
+    # columns named like the helpers inside come back as they were
+    clash = P.token_pieces(df, 1024, P.END, "byte_bpe_50k.json", False).selectExpr(
+        "*", "'mine' AS key", "7 AS bucket", "'h' AS h", "'t' AS tie", "'r' AS rank", "'s' AS sequence_id")
+    assert {(r["key"], r["bucket"], r["h"], r["tie"], r["rank"]) for r in P.pack(clash).collect()} == {("mine", 7, "h", "t", "r")}
+    assert P.pack(clash).columns[-2:] == ["sequence_id", "offset"]
 
 
 def brute_fullest(lengths, capacity, first):
