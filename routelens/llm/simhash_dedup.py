@@ -58,14 +58,17 @@ def simhash(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row; null and wordless texts have 0."""
+    """doc_id, tag (the whole text's XXH64, seed 42) and fp (the 64 bits as a signed long) of every row;
+    null and wordless texts have fp 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((simhash(t.as_py(), words) for t in batch.column(1)), dtype=np.uint64,
                                  count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))],
+                                             ["doc_id", "tag", "fp"])
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return (bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
+            .mapInArrow(run, "doc_id long, tag long, fp long"))
 
 
 def correlated_groups(bits: np.ndarray, groups: int) -> list[list[int]]:
@@ -261,13 +264,8 @@ def links(classes: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataFr
     return out
 
 
-def near_groups(docs: DataFrame, words: int = 3, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp (signed long) and component_id (the smallest doc_id reachable over fingerprints that
-    differ in at most ``distance`` bits) of every row of ``docs`` (doc_id, text, any other columns).
-
-    Null and wordless texts have fingerprint 0 and link like any other; rows that repeat a doc_id each
-    get a row; null doc_ids are never a component_id unless a component has no other.
-    """
+def grouped(docs: DataFrame, words: int, distance: int, bucket: int) -> DataFrame:
+    """doc_id, tag, fp, root (a fingerprint that names the component) and component_id of every row."""
     prints = materialize(fingerprints(docs, words), "simhash-prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     joined = materialize(star_components(links(classes.select("fp"), distance, bucket)), "simhash-joined")
@@ -276,18 +274,49 @@ def near_groups(docs: DataFrame, words: int = 3, distance: int = 3, bucket: int
     lowest = materialize(linked.groupBy(F.col("root").alias("r0")).agg(F.min("first_id").alias("component_id")),
                          "simhash-lowest")
     of_class = materialize(linked.join(small_side(lowest, 40), F.col("root") == F.col("r0"))
-                           .select(F.col("fp").alias("f0"), "component_id"), "simhash-components")
-    return (prints.join(small_side(of_class, 40), F.col("fp") == F.col("f0"))
-            .select("doc_id", "fp", "component_id"))
+                           .select(F.col("fp").alias("f0"), "root", "component_id"), "simhash-components")
+    return (prints.join(small_side(of_class, 48), F.col("fp") == F.col("f0"))
+            .select("doc_id", "tag", "fp", "root", "component_id"))
+
+
+def near_groups(docs: DataFrame, words: int = 3, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fp (signed long) and component_id (the smallest doc_id reachable over fingerprints that
+    differ in at most ``distance`` bits) of every row of ``docs`` (doc_id, text, any other columns).
+
+    Null and wordless texts have fingerprint 0 and link like any other; texts of any length are read
+    whole; rows that repeat a doc_id each get a row; null doc_ids are never a component_id unless a
+    component has no other; an empty table gives no rows.
+    """
+    return grouped(docs, words, distance, bucket).select("doc_id", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with the columns of ``docs``.
-    A doc_id names one document: rows that repeat it stay or go together; null doc_ids stay."""
-    gone = (near_groups(docs, words, distance).where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("__id")).distinct())
-    gone = small_side(materialize(gone, "simhash-gone"), 24)
-    return as_row(docs).join(gone, F.col("__row.doc_id") == F.col("__id"), "left_anti").select("__row.*")
+    """One row of each component of ``docs``, with the columns of ``docs``: that with the smallest doc_id
+    (null last), of several the one whose text has the smallest XXH64, of rows equal in both the one whose
+    JSON form is smallest.  Rows are told apart by doc_id and text, so a repeated doc_id loses only those
+    of its rows that are near copies of a row that stays; an empty table gives no rows."""
+    rows = materialize(grouped(docs, words, distance, BUCKET).select("doc_id", "tag", "root", "component_id"), "simhash-grouped")
+    lowest = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # components with several rows of their smallest doc_id; none where doc_ids are unique
+    several = materialize(rows.where(lowest).groupBy(F.col("root").alias("r0"))
+                          .agg(F.min("tag").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-several")
+    rivals = materialize(rows.where(lowest).join(small_side(several, 32), F.col("root") == F.col("r0"))
+                         .select("doc_id", "tag", "keep"), "simhash-rivals")
+    gone = rows.where(~lowest).select("doc_id", "tag").unionByName(rivals.where("tag <> keep").select("doc_id", "tag"))
+
+    def known(ids: DataFrame, name: str) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
+        return small_side(materialize(ids, name), 32)
+
+    on = F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("__row.text") == F.col("__tag"))
+    left = as_row(docs).join(known(gone.distinct(), "simhash-gone"), on, "left_anti")
+    if rivals.isEmpty():
+        return left.select("__row.*")
+    again = known(rivals.where("tag = keep").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+                  "simhash-repeats")
+    least = (left.join(again, on).groupBy("__id", "__tag")
+             .agg(F.min_by("__row", F.to_json("__row")).alias("__row")).select("__row.*"))
+    return left.join(again, on, "left_anti").select("__row.*").unionAll(least)
 
 
 def simhash_digest(docs: DataFrame, **params) -> DataFrame:

@@ -147,10 +147,24 @@ def test_odd_rows(spark):
     kept = S.one_per_group(df)
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [
-        (False, 3), (False, 4), (False, 7), (False, 7), (True, 0)]
+        (False, 3), (False, 4), (False, 7)]
     assert S.near_groups(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    """Repeated doc_ids lose near copies only, keep one row of equal ones and never another text."""
+    w, v = "one two three four five six", "seven eight nine ten eleven twelve"
+    def kept(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string, __id string")
+        return sorted(map(tuple, S.one_per_group(df).collect()), key=lambda r: (r[0], r[2]))
+    assert kept([(1, w, "a"), (2, w, "b"), (2, v, "c")]) == [(1, w, "a"), (2, v, "c")]
+    assert kept([(1, w, "b"), (1, w, "a"), (1, v, "c"), (None, v, "d")]) == [(1, w, "a"), (1, v, "c")]
+    assert len(kept([(None, w, "b"), (None, w, None)])) == 1
+    near = kept([(5, w, "x"), (5, w + " ", "y"), (9, w, "z")])   # one fingerprint, two texts, one id
+    assert len(near) == 1 and near[0][0] == 5
+    assert kept([]) == []
+
+
 def df_lit():
     from pyspark.sql import functions as F
     return F.lit(1)
