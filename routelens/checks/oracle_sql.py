@@ -91,6 +91,17 @@ SELECT e.sample_id, e.model,
 FROM eval_long e JOIN model_price p USING (model)
 """)
 
+_PIECES = "len(regexp_extract_all(x, '[0-9A-Za-z]+|[^ \\t\\n\\x0b\\f\\r0-9A-Za-z]'))"
+_OWN = f"sum(CASE WHEN e.model IN ('m1', 'm3') THEN {_PIECES} ELSE {ntok('x')} END)"
+
+sql("q_token_cost_plugin", f"""
+SELECT e.sample_id, e.model,
+       ((SELECT {_OWN} FROM unnest(e.prompt) t(x)) * p.prompt_pico
+        + (SELECT {_OWN} FROM unnest(e.response) t(x)) * p.completion_pico
+        + coalesce(p.request_pico, 0))::BIGINT AS cost_pico
+FROM eval_long e JOIN model_price p USING (model)
+""")
+
 ORACLE_SQL["q_token_count"] = f"SELECT doc_id, {ntok('text')}::BIGINT AS n_tokens FROM documents"
 
 sql("q_oracle_label", """
@@ -175,7 +186,7 @@ FROM labels
 
 ORACLE_SQL["q_select_prompts"] = """
 WITH firsts AS (
-  SELECT conv_id, text, min(turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id, text),
+  SELECT conv_id, text, min(turn) AS t FROM conversations WHERE role <> 'assistant' GROUP BY conv_id, text),
 d AS (SELECT conv_id, list(text ORDER BY t) AS d FROM firsts GROUP BY conv_id),
 s AS (SELECT conv_id, CASE WHEN len(d) = 1 THEN d
                            WHEN len(d) = 4 THEN [d[1], d[3]]
@@ -266,7 +277,7 @@ FROM (SELECT DISTINCT family, source, sample_id FROM s) s JOIN (
 """, SPLIT_CTE)
 
 sql("q_split_ood", """
-SELECT wanted, family, sample_id, split FROM split, (VALUES ('de'), ('en'), ('es'), ('fr')) w(wanted)
+SELECT wanted, family, sample_id, split FROM split, (SELECT DISTINCT family AS wanted FROM split) w
 WHERE (family <> wanted AND split = 'train') OR (family = wanted AND split = 'test')
 """, SPLIT_CTE)
 
@@ -627,7 +638,7 @@ WHERE (conv_id % 7 + conv_id // 5000 * 7) <> 3
 """
 
 ORACLE_SQL["q_prompt_extract"] = """
-WITH u AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id),
+WITH u AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE role <> 'assistant' GROUP BY conv_id),
 p AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN t ELSE [array_to_string(t, chr(10))] END AS prompt FROM u)
 SELECT conv_id::VARCHAR AS sample_id, len(prompt)::INTEGER AS n_prompts, md5(array_to_string(prompt, chr(1))) AS prompt_md5
 FROM p
@@ -635,7 +646,7 @@ FROM p
 
 ORACLE_SQL["q_list_parse"] = """
 SELECT conv_id, len(t)::INTEGER AS n_prompts, md5(array_to_string(t, chr(1))) AS prompt_md5
-FROM (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)
+FROM (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE role <> 'assistant' GROUP BY conv_id)
 """
 
 ORACLE_SQL["q_encoder_embed"] = ORACLE_SQL["q_embed_cache"]
@@ -668,7 +679,7 @@ FROM scores WHERE starts_with(eval_name, 'en') GROUP BY model
 
 KNN_OOD_CTE = (KNN_CTE.replace("FROM split s", "FROM split2 s").replace("JOIN split s", "JOIN split2 s")
                .replace("vec AS (", "split2 AS (SELECT wanted AS family, sample_id, split\n"
-                        "  FROM split, (VALUES ('de'), ('en'), ('es'), ('fr')) x(wanted)\n"
+                        "  FROM split, (SELECT DISTINCT family AS wanted FROM split) x\n"
                         "  WHERE (family <> wanted AND split = 'train') OR (family = wanted AND split = 'test')),\nvec AS (", 1))
 
 sql("q_route_knn_ood", """

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelens.functions.text import n_tokens_all, token_cost_pico
+from routelens.operators.tokens import WHITESPACE, token_counter
 
 
 def with_token_cost(long_df: DataFrame, prices: DataFrame, prompt_col: str = "prompt",
@@ -33,17 +34,32 @@ def response_length(long_df: DataFrame, response_col: str = "response", by: tupl
 
 
 def price_answers(samples: DataFrame, prices: DataFrame, keys: tuple = ("sample_id",), prompt_col: str = "prompt",
-                  answers_col: str = "answers", out_col: str = "cost_pico") -> DataFrame:
+                  answers_col: str = "answers", out_col: str = "cost_pico", tokenizers: dict | None = None) -> DataFrame:
     """Price per-prompt rows (``prompt`` + ``answers`` array of structs with ``model`` and
     ``response``): the prompt's token count is counted ONCE per prompt (whitespace tokens do not
     depend on the model), then the answers are exploded and priced.  Returns one row per
-    (prompt, answer) with every answer field and the cost."""
-    pt = samples.select(*keys, n_tokens_all(F.col(prompt_col)).alias("_pt"), answers_col)
+    (prompt, answer) with every answer field and the cost.
+
+    ``tokenizers`` (name -> factory, see :func:`token_counter`) lets models count tokens their own way:
+    ``prices`` then has a column ``tokenizer`` (null: whitespace), a prompt is counted once for each
+    tokenizer, an answer by its model's, and its count is returned as ``response_tokens``."""
+    names = [WHITESPACE, *sorted(tokenizers or {})]
+    if tokenizers:
+        count = token_counter(tokenizers)
+        asked = F.create_map(*[x for n in names for x in (F.lit(n), count(F.lit(n), F.col(prompt_col)))])
+    else:
+        asked = n_tokens_all(F.col(prompt_col))
+    pt = samples.select(*keys, asked.alias("_pt"), answers_col)
     x = pt.select(*keys, "_pt", F.explode(answers_col).alias("_a")).select(*keys, "_pt", "_a.*")
-    p = prices.select("model", "prompt_pico", "completion_pico", "request_pico")
+    p = prices.select("model", "prompt_pico", "completion_pico", "request_pico", *(["tokenizer"] if tokenizers else []))
     j = x.join(p, "model", "left")
+    prompt_tokens, said = F.col("_pt"), n_tokens_all(F.col("response"))
+    if tokenizers:
+        own = F.coalesce(F.col("tokenizer"), F.lit(WHITESPACE))
+        j = j.withColumn("response_tokens", count(own, F.col("response")))
+        prompt_tokens, said = F.col("_pt")[own], F.col("response_tokens")
     cost = F.when(F.col("prompt_pico").isNull(),
                   F.raise_error(F.concat(F.lit("no price for model "), F.col("model"))).cast("long")
-                  ).otherwise(F.col("_pt") * F.col("prompt_pico") + n_tokens_all(F.col("response")) * F.col("completion_pico")
+                  ).otherwise(prompt_tokens * F.col("prompt_pico") + said * F.col("completion_pico")
                               + F.coalesce(F.col("request_pico"), F.lit(0).cast("long")))
-    return j.withColumn(out_col, cost).drop("_pt", "prompt_pico", "completion_pico", "request_pico")
+    return j.withColumn(out_col, cost).drop("_pt", "prompt_pico", "completion_pico", "request_pico", "tokenizer")

@@ -84,3 +84,9 @@ def leak_check(split: DataFrame, family: str = "family", sample: str = "sample_i
     both = F.least(F.col("_tr"), F.lit(1)) * F.col("_te") * (F.col("_tr") > 0).cast("long")
     return per_prompt.groupBy(family).agg(F.sum("_tr").alias("n_train"), F.sum("_te").alias("n_test"),
                                           F.sum(F.when(both > 0, F.col("_tr")).otherwise(0)).alias("n_overlap"))
+
+
+def families(df: DataFrame, family: str = "family") -> list[str]:
+    """The eval families that the rows hold, in order: as many names as there are evals, not rows."""
+    names = df.where(F.col(family).isNotNull()).select(family).distinct().collect()
+    return sorted(r[0] for r in names)

@@ -7,7 +7,8 @@ where LLM baselines and the oracle have NULL router parameters.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +50,9 @@ def prepare(long_with_embedding: DataFrame, n_models: int, fraction: float = TRA
     # one aggregate per prompt builds the answers array (with each answer's response length in
     # tokens) and keeps the prompt's embedding and source
     extra = [F.first("source").alias("source")] if "source" in filled.columns else []
-    detail = ["model", "performance", "cost_pico", n_tokens_all(F.col("response")).alias("response_tokens")] if answers else ["performance"]
+    # a converted table may hold the tokens as the models' own tokenizers count them
+    said = F.col("response_tokens") if "response_tokens" in filled.columns else n_tokens_all(F.col("response"))
+    detail = ["model", "performance", "cost_pico", said.alias("response_tokens")] if answers else ["performance"]
     ans = filled.groupBy("family", "sample_id", "eval_name").agg(
         F.array_sort(F.collect_list(F.struct("model_idx", *detail))).alias("answers"),
         F.first("embedding").alias("embedding"), *extra)
@@ -160,21 +163,10 @@ def _scored_results(rd: RoutingData, prices: DataFrame, scored: DataFrame, extra
     return g.select(F.col("family").alias("eval_name"), *extra_cols, "wtp", "performance", "total_cost_pico")
 
 
-def _dim(rd: RoutingData) -> int:
-    return rd.samples.select(F.size("embedding")).first()[0]
-
-
 def svr_results(rd: RoutingData, prices: DataFrame, embedding: str = "given",
                 wtp_values: list[float] = WTP_GRID) -> DataFrame:
     """Linear absolute-error predictors per family and model, routed over the wtp grid."""
-    train = rd.samples.where(F.col("split") == "train")
-    test = rd.samples.where(F.col("split") == "test")
-    wt = linear_weights_table(fit_linear_abs(train, rd.n_models, _dim(rd), group="family", key="sample_id"), "family")
-    scored = test.join(wt, "family").select("family", F.col("sample_id").alias("query_id"),
-                                            linear_scores().alias("scores"))
-    return _scored_results(rd, prices, scored, wtp_values=wtp_values).select(
-        "eval_name", F.lit("svm").alias("router"), F.lit(embedding).alias("embedding"), "wtp", "performance",
-        "total_cost_pico")
+    return routed_results(rd, prices, ROUTERS["svm"], Grid(wtp_values=wtp_values), embedding)
 
 
 def mlp_configs(hidden=MLP_HIDDEN_LAYERS, activations=MLP_ACTIVATIONS, rates=MLP_LEARNING_RATES) -> list[tuple]:
@@ -183,23 +175,9 @@ def mlp_configs(hidden=MLP_HIDDEN_LAYERS, activations=MLP_ACTIVATIONS, rates=MLP
 
 
 def mlp_results(rd: RoutingData, prices: DataFrame, epochs: int = MLP_EPOCHS, embedding: str = "given",
-                configs: list[tuple] | None = None, wtp_values: list[float] = WTP_GRID) -> DataFrame:
+                wtp_values: list[float] = WTP_GRID) -> DataFrame:
     """MLP predictors for every configuration of the grid, all trained in the same passes."""
-    configs = mlp_configs() if configs is None else configs
-    train = rd.samples.where(F.col("split") == "train")
-    test = rd.samples.where(F.col("split") == "test")
-    dim = _dim(rd)
-    nets = fit_mlp_grid(train, rd.n_models, dim, configs, epochs=epochs, group="family", key="sample_id")
-    # printed as configured: 100 -> "(100,)", [100, 100] -> "([100, 100],)"
-    named = F.array(*[F.struct(F.lit(f"({h[0]},)" if len(h) == 1 else f"({list(h)},)").alias("hidden_layer_sizes"),
-                               F.lit(a).alias("activation_function"), F.lit(float(lr)).alias("learning_rate")) for h, a, lr in configs])
-    scored = (mlp_scores(test, nets, configs, rd.n_models, dim, "sample_id", group="family")
-              .withColumn("c", named[F.col("net")])
-              .select("family", F.col("sample_id").alias("query_id"), "scores", "c.*"))
-    out = _scored_results(rd, prices, scored, ("hidden_layer_sizes", "activation_function", "learning_rate"), wtp_values)
-    return out.select("eval_name", F.lit("mlp").alias("router"), "hidden_layer_sizes", "activation_function",
-                      F.lit("constant").alias("learning_rate_method"), "learning_rate",
-                      F.lit(embedding).alias("embedding"), "wtp", "performance", "total_cost_pico")
+    return routed_results(rd, prices, ROUTERS["mlp"], Grid(mlp_epochs=epochs, wtp_values=wtp_values), embedding)
 
 
 def cascade_split_results(rd: RoutingData, prices: DataFrame, budgets: list[float] = CASCADE_BUDGETS,
@@ -213,7 +191,7 @@ def cascade_split_results(rd: RoutingData, prices: DataFrame, budgets: list[floa
     return res.withColumn("router", F.lit(CASCADE_ROUTER))
 
 
-ROUTER_FAMILIES = ("knn", "svm", "mlp", "cascading router")
+ROUTER_FAMILIES = ("knn", "svm", "mlp", CASCADE_ROUTER)
 
 
 @dataclass
@@ -229,6 +207,115 @@ class Grid:
     wtp_values: list[float] = field(default_factory=lambda: list(WTP_GRID))
     cascade_budgets: list[float] = field(default_factory=lambda: list(CASCADE_BUDGETS))
     cascade_error_rates: list[float] = field(default_factory=lambda: list(CASCADE_ERROR_RATES))
+    fraction: float = TRAIN_FRACTION         # the split's; the job's own option sets it
+
+
+@dataclass(frozen=True)
+class Router:
+    """A router that predicts every model's performance on a prompt from other prompts' vectors.
+
+    ``fit(train, n_models, grid)`` gives its weights as a table that can be written and read back;
+    ``score(test, weights, n_models, grid)`` gives ``(family, query_id, scores array<double>)`` and a column
+    for every name in ``params``, one row per prompt and point of the grid.  The rows of ``train`` and
+    ``test`` are prompts: family, sample_id, embedding, perf (grades by model index), answers.
+    """
+
+    name: str
+    fit: Callable[[DataFrame, int, Grid], DataFrame]
+    score: Callable[[DataFrame, DataFrame, int, Grid], DataFrame]
+    params: tuple[str, ...] = ()
+
+
+ROUTERS: dict[str, Router] = {}
+
+
+def register_router(router: Router) -> Router:
+    """Makes a router known to the evaluation by its name; a later one replaces an earlier one."""
+    if router.name == CASCADE_ROUTER:
+        raise ValueError(f"{CASCADE_ROUTER} predicts nothing from vectors and can't be replaced")
+    ROUTERS[router.name] = router
+    return router
+
+
+def _width(rows: DataFrame) -> int:
+    return rows.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()[0]
+
+
+def _fit_knn(train: DataFrame, n_models: int, grid: Grid) -> DataFrame:
+    return train.select("family", "sample_id", "embedding", "perf")
+
+
+def _score_knn(test: DataFrame, weights: DataFrame, n_models: int, grid: Grid) -> DataFrame:
+    """One ranking at the largest k serves every k of a metric."""
+    parts = [neighbor_scores(knn_topk(test, weights, max(grid.neighbors), ["family"], metric=m, payload="perf"),
+                             grid.neighbors, n_models, ["family"]).withColumn("metric", F.lit(m)) for m in grid.metrics]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumns({"neighbors": F.col("k").cast("int"), "fraction": F.lit(float(grid.fraction))}).drop("k")
+
+
+def _fit_svm(train: DataFrame, n_models: int, grid: Grid) -> DataFrame:
+    return fit_linear_abs(train, n_models, _width(train), group="family", key="sample_id")
+
+
+def _score_svm(test: DataFrame, weights: DataFrame, n_models: int, grid: Grid) -> DataFrame:
+    return test.join(linear_weights_table(weights, "family"), "family").select(
+        "family", F.col("sample_id").alias("query_id"), linear_scores().alias("scores"))
+
+
+def _mlp_grid(grid: Grid) -> list[tuple]:
+    return mlp_configs(grid.mlp_hidden_layers, grid.mlp_activations, grid.mlp_learning_rates)
+
+
+def _fit_mlp(train: DataFrame, n_models: int, grid: Grid) -> DataFrame:
+    return fit_mlp_grid(train, n_models, _width(train), _mlp_grid(grid), epochs=grid.mlp_epochs, group="family", key="sample_id")
+
+
+def _score_mlp(test: DataFrame, weights: DataFrame, n_models: int, grid: Grid) -> DataFrame:
+    configs = _mlp_grid(grid)
+    # printed as configured: 100 -> "(100,)", [100, 100] -> "([100, 100],)"
+    named = F.array(*[F.struct(F.lit(f"({h[0]},)" if len(h) == 1 else f"({list(h)},)").alias("hidden_layer_sizes"),
+                               F.lit(a).alias("activation_function"), F.lit("constant").alias("learning_rate_method"),
+                               F.lit(float(lr)).alias("learning_rate")) for h, a, lr in configs])
+    return (mlp_scores(test, weights, configs, n_models, _width(test), "sample_id", group="family")
+            .withColumn("c", named[F.col("net")])
+            .select("family", F.col("sample_id").alias("query_id"), "scores", "c.*"))
+
+
+register_router(Router("knn", _fit_knn, _score_knn, ("neighbors", "metric", "fraction")))
+register_router(Router("svm", _fit_svm, _score_svm))
+register_router(Router("mlp", _fit_mlp, _score_mlp,
+                       ("hidden_layer_sizes", "activation_function", "learning_rate_method", "learning_rate")))
+
+
+def weights_of(weights_path: str, router: str, embedding: str) -> str:
+    """Where the weights of a router in a vector space are kept."""
+    return f"{weights_path}/router={router}/embedding={embedding}"
+
+
+def saved_scores(test: DataFrame, weights_path: str, router: str, embedding: str, n_models: int,
+                 grid: Grid | None = None) -> DataFrame:
+    """Scores of prompts (family, sample_id, embedding) by a router's kept weights, nothing fitted anew;
+    ``grid`` is the one that the weights were fitted with."""
+    known = ROUTERS[router]
+    weights = test.sparkSession.read.parquet(weights_of(weights_path, router, embedding))
+    return known.score(test, weights, n_models, Grid() if grid is None else grid)
+
+
+def routed_results(rd: RoutingData, prices: DataFrame, router: Router, grid: Grid, embedding: str = "given",
+                   weights_path: str | None = None) -> DataFrame:
+    """A router fitted on the train prompts, its scores on the test prompts routed over the wtp grid.
+    With ``weights_path`` the weights are written there first and read back for scoring."""
+    weights = router.fit(rd.samples.where(F.col("split") == "train"), rd.n_models, grid)
+    if weights_path:
+        path = weights_of(weights_path, router.name, embedding)
+        weights.write.mode("overwrite").parquet(path)
+        weights = rd.samples.sparkSession.read.parquet(path)
+    scored = router.score(rd.samples.where(F.col("split") == "test"), weights, rd.n_models, grid)
+    out = _scored_results(rd, prices, scored, router.params, grid.wtp_values)
+    return out.select("eval_name", F.lit(router.name).alias("router"), *router.params, F.lit(embedding).alias("embedding"),
+                      "wtp", "performance", "total_cost_pico")
 
 
 def in_space(rd: RoutingData, store: DataFrame, name: str) -> RoutingData:
@@ -245,24 +332,18 @@ def in_space(rd: RoutingData, store: DataFrame, name: str) -> RoutingData:
 
 
 def evaluate_grid(rd: RoutingData, spaces: dict[str, RoutingData], prices: DataFrame, grid: Grid | None = None,
-                  routers: tuple = ROUTER_FAMILIES, fraction: float = TRAIN_FRACTION) -> DataFrame:
-    """The evaluation job end to end: the chosen router families' variants x wtp in every vector space
-    (kNN also under every metric), the cascade over its own grid, and the LLM / oracle baselines, in one
-    long table.  Baselines and cascade need no vectors and are worked out once."""
-    grid = Grid() if grid is None else grid
-    unknown = set(routers) - set(ROUTER_FAMILIES)
+                  routers: tuple = ROUTER_FAMILIES, fraction: float = TRAIN_FRACTION,
+                  weights_path: str | None = None) -> DataFrame:
+    """The evaluation job end to end: the chosen routers' variants x wtp in every vector space (kNN also
+    under every metric; any registered router by its name), the cascade over its own grid, and the LLM /
+    oracle baselines, in one long table.  Baselines and cascade need no vectors and are worked out once."""
+    grid = replace(Grid() if grid is None else grid, fraction=fraction)
+    unknown = set(routers) - set(ROUTERS) - {CASCADE_ROUTER}
     if unknown:
         raise ValueError(f"unknown router families {sorted(unknown)}")
-    parts = []
-    for name, own in spaces.items():
-        if "knn" in routers:
-            parts += [knn_results(own, prices, grid.neighbors, grid.wtp_values, name, fraction, metric) for metric in grid.metrics]
-        if "svm" in routers:
-            parts.append(svr_results(own, prices, name, grid.wtp_values))
-        if "mlp" in routers:
-            configs = mlp_configs(grid.mlp_hidden_layers, grid.mlp_activations, grid.mlp_learning_rates)
-            parts.append(mlp_results(own, prices, grid.mlp_epochs, name, configs, grid.wtp_values))
-    if "cascading router" in routers:
+    parts = [routed_results(own, prices, ROUTERS[r], grid, name, weights_path)
+             for name, own in spaces.items() for r in routers if r != CASCADE_ROUTER]
+    if CASCADE_ROUTER in routers:
         parts.append(cascade_split_results(rd, prices, grid.cascade_budgets, grid.cascade_error_rates))
     out = baseline_results(rd)
     for part in parts:

@@ -14,31 +14,33 @@ from pyspark.sql import functions as F
 
 from routelens.constants import ROUTER_PARAMS, TRAIN_FRACTION
 from routelens.functions.hashing import cache_key
-from routelens.functions.logs import parse_list_literal
 from routelens.operators.cost import price_answers
 from routelens.operators.embed import embed_with_cache, encoder_embed, hash_embed
 from routelens.operators.frontier import aiq, aiq_ranking, ndch
-from routelens.operators.logs import attach_header, fold_events, parse_log_lines, scan_run_logs
 from routelens.operators.oracle import oracle_label
-from routelens.operators.reshape import complete_samples, dedupe_first
 from routelens.operators.results import best_variant
-from routelens.plans.evaluate import Grid, evaluate_grid, in_space, prepare
-from routelens.session import materialize, path_exists
+from routelens.operators.split import families
+from routelens.plans.convertors import read_answers
+from routelens.plans.evaluate import ROUTERS, Grid, evaluate_grid, in_space, prepare
+from routelens.session import arrow_batches, materialize, path_exists
 from routelens.sources.results_io import to_reference_layout
 from routelens.sources.tables import read_prices_csv
 
-LONG_COLUMNS = ["sample_id", "eval_name", "model_name", "prompt", "model_response", "performance"]
+#: Rows of whole texts that travel to a Python tokenizer at once.
+TEXT_ROWS = 500
 
 
 @dataclass
 class ConvertOptions:
     input_path: str
     output_path: str
-    input_format: str = "parquet"            # parquet | csv | runlogs
+    input_format: str = "parquet"            # a registered convertor (csv, runlogs, ...) or any format Spark reads
     store_path: str | None = None            # embedding store (parquet, partitioned by embedding model)
     embedding_models: list[str] = field(default_factory=lambda: ["hash32"])
     prices_path: str | None = None           # default: the shipped price list
     encoders: dict = field(default_factory=dict)   # embedding model -> (encoder factory, width)
+    tokenizers: dict = field(default_factory=dict)         # tokenizer -> factory of a token counter
+    model_tokenizers: dict[str, str] = field(default_factory=dict)   # model -> tokenizer; others: whitespace
 
 
 @dataclass
@@ -53,7 +55,8 @@ class EvaluateOptions:
     split_by: str = "sample"                 # sample | source (whole source groups on one side)
     grid: Grid = field(default_factory=Grid)
     prices_path: str | None = None
-    routers: tuple = ("knn", "svm", "mlp", "cascading router")
+    routers: tuple = ("knn", "svm", "mlp", "cascading router")   # names of registered routers, or the cascade
+    weights_path: str | None = None          # where every router's fitted weights are kept
     encoders: dict = field(default_factory=dict)   # embedding model -> (encoder factory, width)
     csv_path: str | None = None              # also write the results in the surveyed CSV layout
 
@@ -78,47 +81,23 @@ def _prompt_text(prompt: F.Column) -> F.Column:
     return F.concat_ws("\n", prompt)
 
 
-def _as_list(c: F.Column, dtype) -> F.Column:
-    return parse_list_literal(c) if dtype == "string" else c
-
-
-def read_long(spark: SparkSession, opts: ConvertOptions) -> DataFrame:
-    """Long answers ``(sample_id, eval_name, model, prompt, response, performance)``."""
-    if opts.input_format == "runlogs":
-        ev = attach_header(parse_log_lines(scan_run_logs(spark, opts.input_path))).where(F.col("run_id").isNotNull())
-        f = fold_events(ev, extra_keys=("model", "eval_name")).where(F.col("correct").isNotNull())
-        f = f.select("file", "sample_id", "eval_name", "model", "prompt", F.col("sampled").alias("response"),
-                     F.col("correct").alias("performance"))
-        f = dedupe_first(f, ["sample_id", "model", "prompt"], ["file"]).drop("file")
-        return complete_samples(f, ["sample_id", "eval_name", "model", "prompt", "response", "performance"])
-    if opts.input_format == "csv":
-        raw = (spark.read.option("header", True).option("escape", '"')
-               .schema("sample_id string, eval_name string, model_name string, prompt string, "
-                       "model_response string, performance double").csv(opts.input_path))
-    else:
-        raw = spark.read.parquet(opts.input_path).select(*LONG_COLUMNS)
-    types = dict(raw.dtypes)
-    return raw.select("sample_id", "eval_name", F.col("model_name").alias("model"),
-                      _as_list(F.col("prompt"), types["prompt"]).alias("prompt"),
-                      _as_list(F.col("model_response"), types["model_response"]).alias("response"),
-                      F.nanvl(F.col("performance").cast("double"), F.lit(None).cast("double")).alias("performance"))
-
-
-def convert_long(long: DataFrame, prices: DataFrame, model_idx: F.Column) -> DataFrame:
+def convert_long(long: DataFrame, prices: DataFrame, model_idx: F.Column, tokenizers: dict | None = None) -> DataFrame:
     """Long answers -> one row per (sample, eval, model) with mean performance, cost, oracle and prompt.
 
     A prompt is known by its sample id and eval name together (evals may share ids).  Rows that repeat
     a (sample, eval, model) are averaged (missing grades skipped) and keep their cheapest cost.  One
-    shuffle of the answers: every later group and join uses the same keys.
+    shuffle of the answers: every later group and join uses the same keys.  With ``tokenizers`` the price
+    list names each model's (see :func:`price_answers`) and the response's tokens are kept.
     """
     keys = ["sample_id", "eval_name"]
     samples = long.withColumn("model_idx", model_idx).groupBy(*keys).agg(
         F.min("prompt").alias("prompt"),
         F.collect_list(F.struct("model", "model_idx", "performance", "response")).alias("answers"))
-    priced = price_answers(samples, prices, keys=(*keys, "prompt"))
+    priced = price_answers(samples, prices, keys=(*keys, "prompt"), tokenizers=tokenizers)
+    counted = [F.min_by("response_tokens", "response").alias("response_tokens")] if tokenizers else []
     per_model = priced.groupBy(*keys, "prompt", "model", "model_idx").agg(
         F.avg("performance").alias("performance"), F.min("response").alias("response"),
-        F.min("cost_pico").alias("cost_pico"))
+        F.min("cost_pico").alias("cost_pico"), *counted)
     lab = oracle_label(per_model, keys=tuple(keys)).select(*keys, "oracle")
     return per_model.join(lab, keys).withColumn("performance", F.coalesce(F.col("performance"), F.lit(0.0)))
 
@@ -144,11 +123,19 @@ def fill_store(spark: SparkSession, texts: DataFrame, store_path: str, name: str
 def convert_job(spark: SparkSession, opts: ConvertOptions) -> str:
     """Price every answer, label the oracle, fill missing grades with 0 and make sure every
     prompt has its embeddings in the store; writes the converted long table."""
-    long = materialize(read_long(spark, opts), "convert-long")     # scanned and parsed once
+    long = materialize(read_answers(spark, opts.input_path, opts.input_format), "convert-long")     # scanned and parsed once
     # model order: by name (a tiny distinct list), the tie-break order of the oracle and routers
     names = sorted(r.model for r in long.select("model").distinct().collect())
     idx = F.element_at(F.create_map(*[x for i, m in enumerate(names) for x in (F.lit(m), F.lit(i))]), F.col("model"))
-    convert_long(long, read_prices_csv(spark, opts.prices_path), idx).write.mode("overwrite").parquet(opts.output_path)
+    prices = read_prices_csv(spark, opts.prices_path)
+    if opts.tokenizers:
+        chosen = F.create_map(*[F.lit(x) for pair in sorted(opts.model_tokenizers.items()) for x in pair])
+        prices = prices.withColumn("tokenizer", F.element_at(chosen, F.col("model")) if opts.model_tokenizers
+                                   else F.lit(None).cast("string"))
+    elif opts.model_tokenizers:
+        raise ValueError("model_tokenizers names tokenizers, but tokenizers holds none")
+    with arrow_batches(spark, TEXT_ROWS):
+        convert_long(long, prices, idx, opts.tokenizers).write.mode("overwrite").parquet(opts.output_path)
     if opts.store_path:
         texts = spark.read.parquet(opts.output_path).select(_prompt_text(F.col("prompt")).alias("prompt")).distinct()
         for model in opts.embedding_models:
@@ -181,10 +168,10 @@ def evaluate_job(spark: SparkSession, opts: EvaluateOptions) -> str:
     n_models = long.agg(F.max("model_idx")).first()[0] + 1
     prices = read_prices_csv(spark, opts.prices_path)
     # out of distribution every wanted family at once: train prompts carry each other wanted family's label
-    wanted = list(opts.wanted_evals) if opts.out_of_distribution and opts.wanted_evals else None
+    wanted = (list(opts.wanted_evals or families(long))) if opts.out_of_distribution else None
     rd = prepare(long, n_models, opts.fraction, ood_wanted=wanted, split_by=opts.split_by)
     spaces = {m: in_space(rd, store, m) for m in opts.embedding_models}
-    res = evaluate_grid(rd, spaces, prices, opts.grid, tuple(opts.routers), opts.fraction)
+    res = evaluate_grid(rd, spaces, prices, opts.grid, tuple(opts.routers), opts.fraction, opts.weights_path)
     res.write.mode("overwrite").parquet(opts.output_path)
     if opts.csv_path:
         # the same results in the surveyed tool's CSV layout (USD costs, parameter columns)
@@ -196,9 +183,17 @@ def evaluate_job(spark: SparkSession, opts: EvaluateOptions) -> str:
 def analyse_job(spark: SparkSession, opts: AnalyseOptions) -> dict[str, str]:
     """Best variants, frontiers (NDCH per variant and of the plain models) and AIQ ranking."""
     res = spark.read.parquet(opts.results_path)
+    for c in ("wtp", "max_cost_per_response", "evaluator_error_rate"):     # absent if nothing swept it
+        if c not in res.columns:
+            res = res.withColumn(c, F.lit(None).cast("double"))
     routers = res.where(F.col("wtp").isNotNull())
     # what names a variant: the parameters of the router families that are swept over wtp
     params = list(dict.fromkeys(p for r in ("knn", "mlp", "svm") for p in ROUTER_PARAMS[r] if p != "willingness_to_pay"))
+    # other registered routers' own parameters, as text
+    own = [p for r in ROUTERS.values() if r.name not in ROUTER_PARAMS for p in r.params if p not in params]
+    for p in own:
+        routers = routers.withColumn(p, F.col(p).cast("string") if p in routers.columns else F.lit(None).cast("string"))
+    params += list(dict.fromkeys(own))
     variant = ["router", *params]
     blank = {p: {"neighbors": -1, "learning_rate": -1.0}.get(p, "") for p in params}
     kinds = {int: "int", float: "double", str: "string"}

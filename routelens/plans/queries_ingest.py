@@ -99,7 +99,7 @@ def q_metric_select(spark, sf_dir):
 
 @query("q_select_prompts")
 def q_select_prompts(spark, sf_dir):
-    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") != "assistant")
     g = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_t"))
     sel = select_prompts(F.transform(F.col("_t"), lambda x: x["text"]))
     out = g.select("conv_id", sel.alias("sel"))
@@ -148,12 +148,12 @@ def converted_logs(spark, sf_dir):
     folded = fold_events(ev, extra_keys=("model", "eval_name")).where(F.col("correct").isNotNull())
     folded = folded.select("file", "sample_id", "eval_name", "model", "prompt",
                            F.col("sampled").alias("response"), F.col("correct").alias("performance"))
-    d = dedupe_first(folded, ["sample_id", "model", "prompt"], ["file"])
+    d = dedupe_first(folded, ["sample_id", "eval_name", "model", "prompt"], ["file"])
     d = complete_samples(d, ["sample_id", "eval_name", "model", "prompt", "response", "performance"])
     d = d.withColumn("model_idx", F.substring("model", 2, 10).cast("int"))
     priced = with_token_cost(d, model_price(spark))
-    lab = oracle_label(priced).select("sample_id", "oracle")
-    return priced.join(lab, "sample_id")
+    keys = ["sample_id", "eval_name"]
+    return priced.join(oracle_label(priced, keys=tuple(keys)).select(*keys, "oracle"), keys)
 
 
 @query("q_convert_logs")
@@ -175,6 +175,23 @@ def q_convert_long(spark, sf_dir):
                       "oracle_cost_pico")
 
 
+def pieces_tokenizer():
+    """A user's tokenizer: a run of ASCII letters and digits is a token, any other character but white space too."""
+    import re
+    pieces = re.compile(r"[0-9A-Za-z]+|[^ \t\n\x0b\f\r0-9A-Za-z]")
+    return lambda text: len(pieces.findall(text))
+
+
+@query("q_token_cost_plugin")
+def q_token_cost_plugin(spark, sf_dir):
+    """Every answer priced by its model's own tokenizer: m1 and m3 use a plug-in, the others whitespace."""
+    samples = eval_long(spark, sf_dir).groupBy("sample_id").agg(
+        F.first("prompt").alias("prompt"), F.collect_list(F.struct("model", "response")).alias("answers"))
+    prices = model_price(spark).withColumn("tokenizer", F.when(F.col("model").isin("m1", "m3"), F.lit("pieces")))
+    priced = price_answers(samples, prices, tokenizers={"pieces": pieces_tokenizer})
+    return priced.select("sample_id", "model", "cost_pico")
+
+
 @query("q_prompt_extract")
 def q_prompt_extract(spark, sf_dir):
     f = fold_events(parse_log_lines(prompt_lines(spark, sf_dir)))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from routelens.constants import KNN_NEIGHBORS, WTP_GRID, WTP_TEXT
 from routelens.functions.variants import variant_name
+from routelens.operators.split import families
 from routelens.plans.evaluate import (baseline_results, eval_results, family_prices, knn_neighbors, knn_routed,
                                       knn_results, knn_scores, prepare)
 from routelens.plans.registry import as_long, query
-from routelens.sources.fixtures import FAMILIES, N_MODELS, model_price, router_samples
+from routelens.sources.fixtures import N_MODELS, model_price, router_samples
+from routelens.sources.tables import read_table
 
 
 def r6(c):
@@ -104,7 +106,8 @@ def q_test_baselines(spark, sf_dir):
 def q_route_knn_ood(spark, sf_dir):
     """kNN routing out of distribution: neighbours come from the other families' train parts,
     queries are the test part of the wanted family, for every family."""
-    rd = prepare(router_samples(spark, sf_dir), N_MODELS, ood_wanted=list(FAMILIES))
+    wanted = families(read_table(spark, sf_dir, "documents"), "lang")
+    rd = prepare(router_samples(spark, sf_dir), N_MODELS, ood_wanted=wanted)
     r = knn_routed(rd, model_price(spark))
     return r.select("family", F.col("k").cast("int").alias("neighbors"), "wtp", F.col("query_id").alias("sample_id"),
                     "chosen", "performance", "cost_pico")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from routelens.operators.cost import with_token_cost
 from routelens.operators.embed import cache_misses, embed_with_cache, encoder_embed, hash_embed, with_cache_key
 from routelens.operators.oracle import oracle_label
-from routelens.operators.split import leak_check, split_by_source, split_samples
+from routelens.operators.split import families, leak_check, split_by_source, split_samples
 from routelens.plans.registry import query
 from routelens.session import scratch_path
-from routelens.sources.fixtures import FAMILIES, eval_long, model_price
+from routelens.sources.fixtures import eval_long, model_price
 from routelens.sources.tables import read_table
 
 EMBED_MODEL = "hash32"
@@ -36,7 +36,9 @@ def q_split_sources(spark, sf_dir):
 @query("q_split_ood")
 def q_split_ood(spark, sf_dir):
     """Every family as the wanted one: the train parts of the others and its own test part."""
-    split = split_samples(_samples(spark, sf_dir)).select("*", F.explode(F.array(*map(F.lit, FAMILIES))).alias("wanted"))
+    samples = _samples(spark, sf_dir)
+    wanted = F.array(*map(F.lit, families(samples))).cast("array<string>")
+    split = split_samples(samples).select("*", F.explode(wanted).alias("wanted"))
     own = F.col("family") == F.col("wanted")
     return split.where(own & (F.col("split") == "test") | ~own & (F.col("split") == "train")).select(
         "wanted", "family", "sample_id", "split")

@@ -19,7 +19,6 @@ from routelens.sources.tables import dealt, read_table
 
 N_MODELS = 5
 EMBEDDING_DIM = 64
-FAMILIES = ("de", "en", "es", "fr")      # the fixture's eval families: the documents' languages
 
 
 def eval_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,9 +224,9 @@ def _py_repr(s):
 
 
 def stringified_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation, its user turns as a stringified list ``"['t1', 't2']"`` (as stored in
+    """Per conversation, its user and system turns as a stringified list ``"['t1', 't2']"`` (as stored in
     pickled/CSV long tables)."""
-    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") != "assistant")
     g = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_t"))
     texts = F.transform(F.col("_t"), lambda x: x["text"])
     return g.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform(texts, _py_repr), ", "), F.lit("]"))
@@ -236,10 +235,10 @@ def stringified_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling events with the two prompt shapes of run logs: even conversations carry a chat
-    list per user turn, odd ones a completion string (turn text + newline)."""
-    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    list per user or system turn, odd ones a completion string (turn text + newline)."""
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") != "assistant")
     chat = F.to_json(F.struct(F.lit("sampling").alias("type"), F.col("conv_id").cast("string").alias("sample_id"),
-                              F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+                              F.struct(F.array(F.struct("role", F.col("text").alias("content")))
                                        .alias("prompt")).alias("data")))
     comp = F.to_json(F.struct(F.lit("sampling").alias("type"), F.col("conv_id").cast("string").alias("sample_id"),
                               F.struct(F.concat(F.col("text"), F.lit("\n")).alias("prompt")).alias("data")))
