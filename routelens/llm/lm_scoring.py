@@ -14,18 +14,22 @@ pairs; buckets, as many as the counted positions need, add up what all blocks ho
 answer each block.  So the table grows with the corpus and no task holds more than a bucket of it.
 
 Weights and map learn online, block by block within a task, each decision predicted from the counts
-without its own occurrence; every block with training units teaches.  Tasks' weights are averaged.
+without its own occurrence; every block with training units teaches.  Tasks' weights are averaged, in
+one job whose sums do not hang on the order in which tasks end.
 
 A unigram base score is computed beside it with exact counts.  The commonest units travel to the
-scoring tasks with their scores (a bounded number), all others are joined.
+scoring tasks with their scores (at most ``COMMON_WORDS`` of at most ``COMMON_BYTES`` bytes, chosen by a
+count that few enough units reach), all others are joined.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -34,8 +38,7 @@ from pyspark.sql import functions as F
 from routelens.llm.common import bounded_batches
 from routelens.session import materialize
 
-#: A bucket of the context table answers for about 2^BITS positions (and 2^BITS are the slots of a
-#: context where a single process keeps hashed tables).
+#: A bucket of the context table answers for about 2^BITS positions.
 BITS = 20
 #: Distinct units gathered before a task sends them, and units of a block: the larger, the fewer pairs
 #: are asked for more than once.
@@ -43,8 +46,8 @@ UNITS = 300_000
 STEP_UNITS = 60_000
 #: Words of a group of documents scored together.
 GROUP_WORDS = 100_000
-#: Units whose scores and counts travel to the scoring tasks.
-COMMON_WORDS = 100_000
+#: Units whose scores and counts travel to the scoring tasks: how many at most, and their length.
+COMMON_WORDS, COMMON_BYTES = 250_000, 64
 FOLDS, HELD_OUT = 7, 2
 CONTEXTS, GATES, STEPS = 5, 32, 33
 END = b" "  # no word
@@ -53,9 +56,7 @@ END = b" "  # no word
 SYMBOLS = b" etaoinshrdlucmfwypvbgkjqxz.,|\xc3"
 CODE = np.full(256, 31, dtype=np.uint32)
 CODE[list(SYMBOLS)] = np.arange(len(SYMBOLS))
-ROLL = np.random.default_rng(42).integers(0, 1 << 31, 1024).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 ROLL64 = np.random.default_rng(43).integers(0, 1 << 63, 1024).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-C1, C2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 #: The 13 low bits of a key: a byte's code of five bits and, for the bytes without one, the byte.
 PATH = np.where(CODE == 31, 31 << 8 | np.arange(256), CODE << 8).astype(np.uint64)
 PATH_BITS = 13
@@ -90,17 +91,7 @@ class Decisions:
         unit = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
         pos = np.arange(len(by), dtype=np.int64) - starts[unit]
         at = np.flatnonzero(pos >= 4)
-        wide = by.astype(np.uint32)
-        rolled = np.cumsum(wide * ROLL[pos & 1023], dtype=np.uint32)
-        prefix = rolled[at - 1] - rolled[starts + 3][unit[at]]
-        two = wide[at - 1] | wide[at - 2] << np.uint32(8)
-        three = two | wide[at - 3] << np.uint32(16)
-        fifth = np.where(pos[at] > 4, wide[at - 5], np.uint32(0))
-        five = (three | wide[at - 4] << np.uint32(24)) * C2 + fifth * C1
-        self.contexts = [prefix * C2 + np.uint32(1), two * C1 + np.uint32(3),
-                         (three ^ three >> np.uint32(11)) * C2 + np.uint32(4), five * C1 + np.uint32(5),
-                         (prefix + wide[starts + 2][unit[at]] * C1) * C2 + np.uint32(6)]
-        self.unit, self.symbol, self.byte = unit[at], CODE[by[at]], wide[at]
+        self.unit, self.symbol, self.byte = unit[at], CODE[by[at]], by[at].astype(np.uint32)
         self._bytes, self._starts, self._pos, self._at = by, starts, pos, at
 
     def keys(self) -> np.ndarray:
@@ -119,16 +110,23 @@ class Decisions:
                          for k, c in enumerate([prefix, two, three, five, kind])])
 
     def levels(self) -> Iterator[tuple]:
-        """(level, units, contexts, node, bit) of each level."""
+        """(level, units, bit) of each level."""
         for j in range(5):
-            yield (j, self.unit, self.contexts, np.uint32(1 << j) | self.symbol >> np.uint32(5 - j),
-                   (self.symbol >> np.uint32(4 - j)) & np.uint32(1))
+            yield j, self.unit, (self.symbol >> np.uint32(4 - j)) & np.uint32(1)
         rare = np.flatnonzero(self.symbol == 31)
         if len(rare):
-            unit, byte, contexts = self.unit[rare], self.byte[rare], [c[rare] for c in self.contexts]
+            unit, byte = self.unit[rare], self.byte[rare]
             for j in range(8):
-                yield (j + 5, unit, contexts, np.uint32(32 + (1 << j)) + (byte >> np.uint32(8 - j)),
-                       (byte >> np.uint32(7 - j)) & np.uint32(1))
+                yield j + 5, unit, (byte >> np.uint32(7 - j)) & np.uint32(1)
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and where each value is among them (hashed: few repeat often)."""
+    codes, found = pd.factorize(values.ravel())
+    order = np.argsort(found)
+    rank = np.empty(len(found), dtype=np.int32)
+    rank[order] = np.arange(len(found), dtype=np.int32)
+    return found[order], rank[codes].reshape(values.shape)
 
 
 def spread(context: np.ndarray, k: int) -> np.ndarray:
@@ -139,11 +137,6 @@ def spread(context: np.ndarray, k: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    h = (context ^ node * C1) * C2
-    return (h ^ h >> np.uint32(13)) * C1 >> np.uint32(32 - bits)
-
-
 def log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))).astype(np.float32)
 
@@ -189,29 +182,6 @@ class Mixer:
         return np.concatenate([(self.weights * self.seen).ravel(), [self.seen], self.map.ravel()])
 
 
-class Learner(Mixer):
-    """A single process's model of a small text, in hashed tables of 2^bits slots a context."""
-
-    def __init__(self, bits: int):
-        super().__init__()
-        self.bits = bits
-        self.tables = np.zeros((CONTEXTS, 1 << bits, 2), dtype=np.uint32)
-
-    def learn(self, units: list[bytes], counts: np.ndarray) -> None:
-        d = Decisions(units)
-        for j, unit, contexts, node, bit in d.levels():
-            n, odds, known = counts[unit], [], []
-            for k in range(CONTEXTS):
-                at = slots(contexts[k], node, self.bits)
-                pair = self.tables[k][at].astype(np.float32)
-                odds.append(log_odds(pair[:, 0], pair[:, 1]))
-                if k in (0, 3):
-                    known.append(confidence(pair[:, 0] + pair[:, 1]))
-                np.add.at(self.tables[k].reshape(-1), at * np.uint32(2) + bit, n)
-            self.teach(odds, known, j, bit, n)
-        self.seen += float(counts.sum())
-
-
 def step_of(z: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(z * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
 
@@ -231,26 +201,6 @@ class Frozen:
         return np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-7, 1.0))
 
 
-class Model(Frozen):
-    """The frozen model of a Learner."""
-
-    def __init__(self, tables: np.ndarray, weights: np.ndarray, refine: np.ndarray, bits: int):
-        super().__init__(weights, refine)
-        self.bits = bits
-        self.odds = log_odds(tables[:, :, 0], tables[:, :, 1])
-        self.known = [confidence(tables[k, :, 0] + tables[k, :, 1]) for k in (0, 3)]
-
-    def log10(self, units: list[bytes]) -> np.ndarray:
-        """log10 probability of each unit's word and the space after it, given the kind before."""
-        out = np.zeros(len(units))
-        d = Decisions(units)
-        for j, unit, contexts, node, bit in d.levels():
-            at = [slots(contexts[k], node, self.bits) for k in range(CONTEXTS)]
-            known = [self.known[0][at[0]], self.known[1][at[3]]]
-            out += np.bincount(unit, self.log10_bit([self.odds[k][at[k]] for k in range(CONTEXTS)], known, j, bit), len(units))
-        return out
-
-
 def held_out(doc_id: Column) -> Column:
     fold = F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
     return F.coalesce(fold == HELD_OUT, F.lit(False))
@@ -307,7 +257,7 @@ def _ask(bucket_bits: int):
         def asked() -> pa.RecordBatch:
             own = np.array(counts, dtype=np.int64)
             d = Decisions(units)
-            keys, at = np.unique(d.keys(), return_inverse=True)
+            keys, at = distinct(d.keys())
             n = np.bincount(at.ravel(), np.tile(own[d.unit], CONTEXTS), len(keys)).astype(np.int64)
             bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(keys), np.int64)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -352,7 +302,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket, asked = None, []
 
     def answers() -> Iterator[pa.RecordBatch]:
-        all_keys, at = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
+        all_keys, at = distinct(np.concatenate([k for _, k, _ in asked]))
         n = np.zeros(len(all_keys), dtype=np.int64)
         np.add.at(n, at, np.concatenate([n for _, _, n in asked]))
         five, rare, more = outcomes(all_keys, n)
@@ -406,22 +356,28 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield one()
 
 
-def decisions_of(units: list[bytes], five: bytes, rare: bytes) -> Iterator[tuple]:
-    """(level, units, bit, counts of both outcomes by context) of a block with its answers."""
+def decisions_of(units: list[bytes], five: bytes, rare: bytes, less: int = 0) -> Iterator[tuple]:
+    """(level, units, bit, log odds by context, confidence of the word so far and of five bytes) of a
+    block with its answers; the counts without ``less`` occurrences of the decision itself.
+
+    A key fixes its decision and both counts, so log odds are taken once per key, not per position."""
     d = Decisions(units)
-    keys, at = np.unique(d.keys(), return_inverse=True)
-    at, counts, more = at.reshape(CONTEXTS, -1), unplanes(five, 6).view(np.int64), unplanes(rare, 8).view(np.int64)
-    where = np.cumsum(keys >> np.uint64(8) & np.uint64(31) == 31) - 1
-    is_rare = d.symbol == 31
-    few = where[at[:, is_rare]]
-    total = [counts[0][at[k]] for k in range(CONTEXTS)]
-    for j, unit, _, _, bit in d.levels():
+    keys, at = distinct(d.keys())
+    five, more = unplanes(five, 6).view(np.int64), unplanes(rare, 8).view(np.int64)
+    rare_keys = np.flatnonzero(keys >> np.uint64(8) & np.uint64(31) == 31)
+    where = np.zeros(len(keys), dtype=np.int32)
+    where[rare_keys] = np.arange(len(rare_keys), dtype=np.int32)
+    total, shift = five[0], PATH_BITS
+    for j, unit, bit in d.levels():
         if j == 5:
-            total = [t[is_rare] for t in total]
-        own = [counts[j + 1][at[k]] if j < 5 else more[j - 5][few[k]] for k in range(CONTEXTS)]
-        one = bit == 1
-        yield j, unit, bit, [(np.where(one, t - o, o).astype(np.float32), np.where(one, o, t - o).astype(np.float32))
-                              for t, o in zip(total, own, strict=True)]
+            keys, total, at = keys[rare_keys], total[rare_keys], where[at[:, d.symbol == 31]]
+        own = five[j + 1] if j < 5 else more[j - 5]
+        shift -= 1
+        one = (keys >> np.uint64(shift) & np.uint64(1)).astype(bool)
+        odds = log_odds((total - own).astype(np.float32), np.maximum(own - less, 0).astype(np.float32))  # of the outcome the key has
+        odds = np.where(one, odds, -odds)
+        known = confidence(np.maximum(total - less, 0))
+        yield j, unit, bit, [odds[at[k]] for k in range(CONTEXTS)], [known[at[k]] for k in (0, 3)]
         total = own
 
 
@@ -431,14 +387,13 @@ def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for packed, five, rare in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             units, n = unpack(packed)
-            for j, unit, bit, pairs in decisions_of(units, five, rare):
-                use = np.flatnonzero(n[unit] > 0)
-                if not len(use):
-                    continue
-                one = bit[use].astype(np.float32)
-                pairs = [(np.maximum(a[use] - (1 - one), 0), np.maximum(b[use] - one, 0)) for a, b in pairs]
-                mixer.teach([log_odds(a, b) for a, b in pairs], [confidence(sum(pairs[k])) for k in (0, 3)],
-                            j, bit[use], n[unit][use])
+            for j, unit, bit, odds, known in decisions_of(units, five, rare, less=1):
+                times = n[unit]
+                use = np.flatnonzero(times)
+                if 0 < len(use) < len(times):
+                    odds, known, bit, times = [o[use] for o in odds], [x[use] for x in known], bit[use], times[use]
+                if len(use):
+                    mixer.teach(odds, known, j, bit, times)
             mixer.seen += float(n.sum())
     if mixer.seen:
         yield pa.RecordBatch.from_pydict({"numbers": [mixer.numbers().tolist()]})
@@ -452,13 +407,25 @@ def _log10(model):
             for packed, five, rare in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 units, n = unpack(packed)
                 out = np.zeros(len(units))
-                for j, unit, bit, pairs in decisions_of(units, five, rare):
-                    got = m.log10_bit([log_odds(a, b) for a, b in pairs], [confidence(sum(pairs[k])) for k in (0, 3)], j, bit)
-                    out += np.bincount(unit, got, len(units))
+                for j, unit, bit, odds, known in decisions_of(units, five, rare):
+                    out += np.bincount(unit, m.log10_bit(odds, known, j, bit), len(units))
                 yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array(n), pa.array(out)], ["unit", "n", "score"])
     return run
 
 
+def taught(blocks: DataFrame) -> Frozen:
+    """The model all tasks' blocks teach: one job; a task sends one row of fixed size, and the sums are
+    of decimals, the same whatever order they come in."""
+    sums = (blocks.mapInArrow(_teach, "numbers array<double>").select(F.posexplode("numbers").alias("at", "x"))
+            .groupBy("at").agg(F.sum(F.col("x").cast("decimal(38,9)")).cast("double").alias("x")))
+    cut = GATES * CONTEXTS
+    total = np.zeros(cut + 1 + GATES * STEPS * 2)
+    for r in sums.collect():  # as many rows as the model has numbers
+        total[r["at"]] = r["x"]
+    weights = total[:cut].reshape(GATES, CONTEXTS) / total[cut] if total[cut] else start_weights()
+    return Frozen(weights, total[cut + 1:].reshape(GATES, STEPS, 2))
+
+
 def score_units(units: DataFrame, bits: int = BITS) -> DataFrame:
     """unit, n and score (log10 probability) of ``units`` (distinct unit, n: its training count)."""
     spark = units.sparkSession
@@ -471,47 +438,57 @@ def score_units(units: DataFrame, bits: int = BITS) -> DataFrame:
     answered = (asked.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, ANSWERED))
     blocks = materialize(answered.repartition(partitions, "block").sortWithinPartitions("block", "bucket")
                          .mapInArrow(_gather, "units binary, five binary, rare binary"), "lm-blocks")
-    total = np.zeros(GATES * CONTEXTS + 1 + GATES * STEPS * 2)
-    for r in blocks.mapInArrow(_teach, "numbers array<double>").toLocalIterator():
-        total += np.array(r["numbers"])
-    cut = GATES * CONTEXTS
-    weights = total[:cut].reshape(GATES, CONTEXTS) / total[cut] if total[cut] else start_weights()
-    model = spark.sparkContext.broadcast(Frozen(weights, total[cut + 1:].reshape(GATES, STEPS, 2)))
+    model = spark.sparkContext.broadcast(taught(blocks))
     return blocks.mapInArrow(_log10(model), "unit binary, n long, score double")
 
 
 def _score(common):
     """Per document: n_tokens, the common units' share of the scores, and its other units."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
+        place, score, base, seen = common.value
         for batch in batches:
             rows = [words_of(t.as_py()) for t in batch.column(2)]
             at = 0
             while at < len(rows):  # groups of documents, so that units of a batch of long texts stay bounded
-                stop, size = at, 0
-                out = {"n": [], "found": [], "base": [], "score": [], "others": [], "times": []}
-                while stop < len(rows) and size < GROUP_WORDS:
-                    units = units_of(rows[stop])
-                    size += len(units)
+                stop, units, sizes = at, [], []
+                while stop < len(rows) and len(units) < GROUP_WORDS:
+                    own = units_of(rows[stop])
+                    units += own
+                    sizes.append(len(own))
                     stop += 1
-                    got = [known.get(u) for u in units]
-                    others = Counter(u for u, g in zip(units, got, strict=True) if g is None)
-                    hit = [g for g in got if g is not None]
-                    out["n"].append(len(units))
-                    out["found"].append(sum(g[1] > 0 for g in hit))
-                    out["base"].append(float(sum(g[1] for g in hit)))
-                    out["score"].append(float(sum(g[0] for g in hit)))
-                    out["others"].append(list(others))
-                    out["times"].append(list(others.values()))
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                i = np.fromiter(map(place.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+                others = [Counter() for _ in sizes]
+                for k in np.flatnonzero(i < 0).tolist():
+                    others[doc[k]][units[k]] += 1
+                doc, i = doc[i >= 0], i[i >= 0]
+                found, based, scored = (np.bincount(doc, x[i], len(sizes)) for x in (seen, base, score))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[at:stop], batch.column(1)[at:stop], pa.array(out["n"], pa.int64()),
-                    pa.array(out["score"], pa.float64()), pa.array(out["found"], pa.int64()), pa.array(out["base"], pa.float64()),
-                    pa.array(out["others"], pa.list_(pa.binary())), pa.array(out["times"], pa.list_(pa.int64()))],
+                    batch.column(0)[at:stop], batch.column(1)[at:stop], pa.array(sizes, pa.int64()),
+                    pa.array(scored, pa.float64()), pa.array(found.astype(np.int64)), pa.array(based, pa.float64()),
+                    pa.array([list(o) for o in others], pa.list_(pa.binary())),
+                    pa.array([list(o.values()) for o in others], pa.list_(pa.int64()))],
                     ["doc_id", "held_out", "n_tokens", "common_score", "found", "base", "others", "times"])
                 at = stop
     return run
 
 
+def commonest(scored: DataFrame, most: int) -> DataFrame:
+    """The rows of ``scored`` (a written table) that reach the least count which at most ``most`` units
+    of at most ``COMMON_BYTES`` bytes reach: an aggregate of a few thousand levels finds it, no sort."""
+    short = scored.where(F.length("unit") <= COMMON_BYTES + 4)
+    exact = 4096  # counts below are levels of their own, larger ones share sixteen per doubling
+    level = F.when(F.col("n") < exact, F.col("n")).otherwise(exact + F.floor(F.log2(F.col("n") / exact) * 16))
+    levels = short.groupBy(level.cast("long").alias("level")).agg(F.count(F.lit(1)).alias("units")).collect()
+    least, units = 1 << 62, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        units += r["units"]
+        if units > most:
+            break
+        least = r["level"]
+    return short.where(level >= least)
+
+
 def lm_scores(docs: DataFrame, bits: int = BITS, common_words: int = COMMON_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every
     row of ``docs`` (doc_id, text and any other columns).
@@ -530,9 +507,10 @@ def lm_scores(docs: DataFrame, bits: int = BITS, common_words: int = COMMON_WORD
     n, v = totals["n"] or 0, totals["v"]
     scored = materialize(score_units(units, bits).withColumn("w", F.substring("unit", 5, 1 << 30))
                          .join(words, F.col("w") == F.col("word")).select("unit", "n", "score", "word_n"), "lm-scored")
-    top = scored.orderBy(F.desc("n"), "unit").limit(common_words).toPandas()  # bounded
-    common = {bytes(u): x for u, *x in zip(top["unit"], top["score"].astype(float).tolist(),
-                                           np.log10(top["word_n"].to_numpy(float) + 1.0).tolist(), strict=True)}
+    top = commonest(scored, common_words).select("unit", "score", "word_n").toPandas()  # at most common_words rows
+    times = top["word_n"].to_numpy(float)
+    common = ({bytes(u): i for i, u in enumerate(top["unit"])}, top["score"].to_numpy(float), np.log10(times + 1.0),
+              (times > 0).astype(float))
     found = materialize(
         rows.mapInArrow(_score(sc.broadcast(common)),
                         "doc_id long, held_out boolean, n_tokens long, common_score double, found long, base double, "

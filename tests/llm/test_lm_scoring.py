@@ -74,39 +74,137 @@ def test_odd_rows(spark):
     compare(only_held, got)
 
 
-def small_model(texts, bits=14):
-    learner = L.Learner(bits)
+def model_blocks(units, blocks=1):
+    """What the buckets answer to ``units`` (dict of counts) cut into ``blocks`` blocks, without Spark's shuffles."""
+    keys, out = sorted(units, key=lambda u: u[4:]), []
+    parts = [keys[i::blocks] for i in range(blocks)]
+    pairs = [L.Decisions(p).keys() for p in parts]
+    every, at = L.distinct(np.concatenate([p.ravel() for p in pairs]))
+    n = np.bincount(at, np.concatenate([np.tile(np.array([units[u] for u in p])[L.Decisions(p).unit], L.CONTEXTS) for p in parts]),
+                    len(every)).astype(np.int64)
+    five, rare, more = L.outcomes(every, n)
+    for p, pair in zip(parts, pairs, strict=True):
+        own = np.isin(every, pair)
+        out.append((L.pack(p, np.array([units[u] for u in p])), L.planes(five[:, own]), L.planes(more[:, own[rare]])))
+    return out
+
+
+def plain_decisions(units):
+    """(unit, level, contexts as bytes with the bits before, bit) by a loop over bytes."""
+    for u in sorted(units, key=lambda u: u[4:]):
+        text = u + b" "
+        for i in range(4, len(text)):
+            before = text[4:i]
+            contexts = [("word", before), ("two", text[i - 2:i]), ("three", text[i - 3:i]),
+                        ("five", text[i - 5:i] if i > 4 else text[:i]), ("kind", u[2:3], before)]
+            code = L.SYMBOLS.find(text[i:i + 1])
+            path = format(31 if code < 0 else code, "05b") + (format(text[i], "08b") if code < 0 else "")
+            for j, bit in enumerate(path):
+                yield u, j, [(c, path[:j]) for c in contexts], int(bit)
+
+
+def plain_model(units):
+    """Counts, weights and map learned, and all units scored, one decision at a time."""
+    counts, steps = Counter(), {}
+    for u, j, contexts, bit in plain_decisions(units):
+        steps.setdefault(j, []).append((u, contexts, bit))
+        for k, c in enumerate(contexts):
+            counts[k, c, bit] += units[u]
+
+    def look(contexts, bit, less):
+        pairs = [[counts[k, c, b] - (less if b == bit else 0) for b in (0, 1)] for k, c in enumerate(contexts)]
+        known = [min(7, int(np.ceil(np.log2(sum(pairs[k]) + 1)))) for k in (0, 3)]
+        return [np.log((b + 0.4) / (a + 0.4)) for a, b in pairs], known[0] * 4 + (known[1] > 2) * 2
+
+    step = lambda z: min(max(int(np.rint(z * 2)) + L.STEPS // 2, 0), L.STEPS - 1)
+    w, power, refine = L.start_weights(), np.full((L.GATES, L.CONTEXTS), 1e-3), np.zeros((L.GATES, L.STEPS, 2))
+    for j in sorted(steps):
+        grad, total = np.zeros((L.GATES, L.CONTEXTS)), np.ones(L.GATES)
+        for u, contexts, bit in steps[j]:
+            if units[u]:
+                odds, gate = look(contexts, bit, 1)
+                gate += j > 0
+                z = float(w[gate] @ odds)
+                grad[gate] += (bit - 1 / (1 + np.exp(-z))) * units[u] * np.array(odds)
+                total[gate] += units[u]
+                refine[gate, step(z), bit] += units[u]
+        grad /= total[:, None]
+        power += grad ** 2
+        w = w + 0.04 * grad / np.sqrt(power)
+    scores = Counter()
+    for j in sorted(steps):
+        for u, contexts, bit in steps[j]:
+            odds, gate = look(contexts, bit, 0)
+            gate += j > 0
+            z = float(w[gate] @ odds)
+            zero, one = refine[gate, step(z)]
+            centre = 1 / (1 + np.exp(-(step(z) - L.STEPS // 2) / 2))
+            p = 0.5 / (1 + np.exp(-z)) + 0.5 * (one + 4 * centre) / (zero + one + 4)
+            scores[u] += np.log10(p if bit else 1 - p)
+    return w, refine, scores
+
+
+TEXTS = ["the cat and the hat, the end", "a Zebra's caf\u00e9! 99 naïve cats?", "sat on the mat the cat"]
+
+
+def training(texts, others=()):
     units = Counter(u for t in texts for u in L.units_of(L.words_of(t)))
-    for _ in range(3):
-        keys = sorted(units)
-        learner.learn(keys, np.array([units[k] for k in keys], dtype=np.uint32))
-    return L.Model(learner.tables.astype(np.float32), learner.weights, learner.map, bits)
-
-
-def test_next_symbols_share_one(spark):
-    """Over every byte that can follow a prefix, the probabilities sum to one at most, and nearly one."""
-    model = small_model(["the cat and the hat", "the end"] * 20)
-    bare = float(model.log10([L.START + b"th"])[0])
-    assert bare < 0
-    first = [L.START + bytes([b]) for b in range(256) if b != 32]
-    d = L.Decisions(first)
-    # probability of the first byte alone: stop after its decisions
-    keep = np.flatnonzero(np.diff(d.unit, prepend=-1))
-    d.contexts, d.unit, d.symbol, d.byte = [c[keep] for c in d.contexts], d.unit[keep], d.symbol[keep], d.byte[keep]
-    total = np.zeros(len(first))
-    for j, unit, contexts, node, bit in d.levels():
-        at = [L.slots(c, node, model.bits) for c in contexts]
-        gate = L.gate_of(model.known[0][at[0]], model.known[1][at[3]], j)
-        z = sum(model.weights[gate, k] * model.odds[k][at[k]] for k in range(L.CONTEXTS))
-        p = 0.5 / (1 + np.exp(-np.clip(z, -15, 15))) + 0.5 * model.refine[gate * L.STEPS + L.step_of(z)]
-        total += np.bincount(unit, np.log10(np.where(bit == 1, p, 1 - p)), len(first))
-    assert 0.8 < (10 ** total).sum() <= 1.0001
-
-
-def test_learns():
-    model = small_model(["the cat sat on the mat"] * 50)
-    seen, unseen = model.log10([L.START + b"the", L.START + b"xqz"])
-    assert seen > unseen + 2
+    return {**dict.fromkeys(others, 0), **units}
+
+
+def test_model_equals_a_loop_over_bytes(spark):
+    """Weights, map and scores of the distributed path against one decision at a time."""
+    units = training(TEXTS * 5, [L.START + b"unseen", L.KINDS[97] + "日".encode()])
+    w, refine, scores = plain_model(units)
+    df = spark.createDataFrame([(bytes(u), n) for u, n in units.items()], "unit binary, n long")
+    one = spark.createDataFrame(model_blocks(units), "units binary, five binary, rare binary")
+    got = L.taught(one)
+    assert got.weights == pytest.approx(w, abs=1e-4)
+    centre = 1 / (1 + np.exp(-(np.arange(L.STEPS) - L.STEPS // 2) / 2))
+    assert got.refine.reshape(L.GATES, L.STEPS) == pytest.approx((refine[:, :, 1] + 4 * centre) / (refine.sum(axis=2) + 4), abs=1e-4)
+    found = {bytes(r["unit"]): r["score"] for r in one.mapInArrow(L._log10(spark.sparkContext.broadcast(got)),
+                                                                "unit binary, n long, score double").collect()}
+    assert found == {u: pytest.approx(x, rel=1e-3) for u, x in scores.items()}
+    # the whole job, in one partition: one block, answered by 2^n buckets
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        whole = {bytes(r["unit"]): r["score"] for r in L.score_units(df, bits=6).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert whole == {u: pytest.approx(x, rel=1e-3) for u, x in scores.items()}
+
+
+def test_words_share_one(spark):
+    """The probabilities of different words after one kind sum to one at most, and nearly one over those seen."""
+    words = {L.START + w: n for w, n in ((b"the", 500), (b"cat", 300), (b"hat", 200), (b"then", 100))}
+    rare = {L.START + bytes([b]): 0 for b in range(256) if b not in b" \t\n\x0b\f\r"}
+    got = L.score_units(spark.createDataFrame([(u, n) for u, n in {**rare, **words}.items()], "unit binary, n long"), bits=8).collect()
+    share = {bytes(r["unit"]): 10 ** r["score"] for r in got}
+    assert len(share) == len(words) + len(rare) and sum(share.values()) <= 1.0001
+    assert sum(share[u] for u in words) > 0.8
+
+
+def test_learns_and_sums_agree(spark):
+    """Seen words score far above others; weights taught by several tasks are the same in any order of rows."""
+    units = training(["the cat sat on the mat"] * 50, [L.START + b"xqz"])
+    blocks = model_blocks(units, 5)
+    a, b = (L.taught(spark.createDataFrame(rows, "units binary, five binary, rare binary").repartition(5)) for rows in (blocks, blocks))
+    assert (a.weights == b.weights).all() and (a.refine == b.refine).all()
+    got = {bytes(r["unit"]): r["score"] for r in L.score_units(
+        spark.createDataFrame([(bytes(u), n) for u, n in units.items()], "unit binary, n long"), bits=8).collect()}
+    assert got[L.START + b"the"] > got[L.START + b"xqz"] + 2
+
+
+def test_commonest_is_bounded_by_count(spark):
+    """No sort: the least count that few enough units reach; long units are never among them."""
+    rows = [(f"{i:04d}".encode(), 9000 + i) for i in range(50)] + [(b"x%d" % i, 3) for i in range(30)] + [(b"y" * 100, 10 ** 12)]
+    df = spark.createDataFrame(rows, "unit binary, n long")
+    assert L.commonest(df, 1000).count() == 80
+    assert L.commonest(df, 79).count() == 50
+    few = [r["n"] for r in L.commonest(df, 20).collect()]
+    assert len(few) <= 20 and all(n >= max(9049 - 50, 0) for n in few)
+    assert L.commonest(df, 0).count() == 0 and L.commonest(df.limit(0), 5).count() == 0
 
 
 def test_context_counts_are_exact_and_grow(spark):
@@ -136,8 +234,10 @@ def test_context_counts_are_exact_and_grow(spark):
         part, own = L.unpack(bytes(r["units"]))
         seen += int(own.sum())
         mine = [u[4:i] for u in part for i in range(4, len(u) + 1)]
-        j, _, _, counts = next(L.decisions_of(part, bytes(r["five"]), bytes(r["rare"])))
-        assert j == 0 and counts[0][0].tolist() == [after[p, 0] for p in mine] and counts[0][1].tolist() == [after[p, 1] for p in mine]
+        j, _, _, odds, known = next(L.decisions_of(part, bytes(r["five"]), bytes(r["rare"])))
+        pair = np.array([(after[p, 0], after[p, 1]) for p in mine], dtype=np.float32)
+        assert j == 0 and odds[0] == pytest.approx(L.log_odds(pair[:, 0], pair[:, 1]), abs=1e-5)
+        assert known[0].tolist() == L.confidence(pair.sum(axis=1)).tolist()
     assert seen == n.sum() and len(pairs) == at.shape[1]
 
 
