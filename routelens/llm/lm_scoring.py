@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -458,9 +458,9 @@ def _score(common):
                     stop += 1
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 i = np.fromiter(map(place.get, units, repeat(-1)), dtype=np.int64, count=len(units))
-                others = [Counter() for _ in sizes]
-                for k in np.flatnonzero(i < 0).tolist():
-                    others[doc[k]][units[k]] += 1
+                missing = list(compress(units, (i < 0).tolist()))
+                ends = np.cumsum(np.bincount(doc[i < 0], minlength=len(sizes))).tolist()
+                others = [Counter(missing[a:b]) for a, b in pairwise([0, *ends])]
                 doc, i = doc[i >= 0], i[i >= 0]
                 found, based, scored = (np.bincount(doc, x[i], len(sizes)) for x in (seen, base, score))
                 yield pa.RecordBatch.from_arrays([
