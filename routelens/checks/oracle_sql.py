@@ -245,6 +245,28 @@ SELECT sample_id, eval_name, model, performance, cost_pico,
 FROM priced
 """
 
+ORACLE_SQL["q_convert_logs_models"] = "WITH " + LOG_FOLD.strip() + f""",
+runs AS (
+  SELECT sample_id, 'conv-' || k::VARCHAR AS eval_name, (k + CASE WHEN o = 2 THEN 3 ELSE o END) % 5 AS m,
+         CASE WHEN o = 2 AND conv_id % 11 = 5 THEN list_append(prompts, 'again') ELSE prompts END AS prompts,
+         CASE WHEN o = 2 THEN [x || ' ' || x for x in sampled] ELSE sampled END AS sampled,
+         CASE WHEN o = 2 THEN (conv_id % 3 = 0)::INTEGER::DOUBLE ELSE (correct = 1)::INTEGER::DOUBLE END AS performance
+  FROM (SELECT *, conv_id % 7 + conv_id // 5000 * 7 AS k, unnest([0, 1, 2]) AS o FROM folded WHERE correct IS NOT NULL)
+  WHERE NOT (o = 1 AND (k = 3 OR conv_id % 13 = 4))),
+priced AS (
+  SELECT *, (coalesce((SELECT sum({ntok('x')}) FROM unnest(prompts) t(x)), 0) * 100000 * (m + 1)
+             + coalesce((SELECT sum({ntok('x')}) FROM unnest(sampled) t(x)), 0) * 200000 * (m + 1)
+             + CASE WHEN m = 4 THEN 5000000000 ELSE 0 END)::BIGINT AS cost
+  FROM runs),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY sample_id, eval_name, prompts ORDER BY performance DESC, cost, m) AS r FROM priced)
+SELECT sample_id, eval_name, len(prompts)::INTEGER AS n_prompts, md5(array_to_string(prompts, chr(1))) AS prompt_md5,
+       CASE WHEN max(performance) > 0 THEN 'm' || (max(m) FILTER (WHERE r = 1))::VARCHAR ELSE 'no_model_correct' END AS oracle,
+       CASE WHEN max(performance) > 0 THEN max(cost) FILTER (WHERE r = 1) ELSE 0 END::BIGINT AS oracle_cost_pico,
+       {', '.join(f"max(performance) FILTER (WHERE m = {m}) AS m{m}_perf, max(cost) FILTER (WHERE m = {m}) AS m{m}_cost" for m in range(5))}
+FROM ranked GROUP BY sample_id, eval_name, prompts
+"""
+
 sql("q_convert_long", """
 SELECT sample_id, split_part(sample_id, '.', 1) AS eval_name, oracle, oracle_cost_pico FROM oracle_lab
 """)

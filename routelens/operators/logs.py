@@ -95,6 +95,20 @@ def fold_events(events: DataFrame, extra_keys: tuple = ()) -> DataFrame:
     )
 
 
+def meet_models(graded: DataFrame) -> DataFrame:
+    """Graded answers of run logs of several models -> one row per prompt with all models' answers.
+
+    ``graded(sample_id, eval_name, model, model_idx, prompt, response, performance)``.  Answers meet by eval,
+    sample and the prompts themselves (their hash, ``prompt_key``): a model that was asked something else under
+    the same ids is a prompt of its own.  ``answers`` is bounded by the number of models where each
+    answered once (``dedupe_first``); a row of a null prompt or null ids meets its equals.
+    """
+    key = F.sha2(F.to_json("prompt"), 256)
+    return graded.groupBy("sample_id", "eval_name", key.alias("prompt_key")).agg(
+        F.first("prompt").alias("prompt"),
+        F.collect_list(F.struct("model", "model_idx", "performance", "response")).alias("answers"))
+
+
 def keep_log_path(c: str = "file") -> F.Column:
     """Run-log files: path contains ``.jsonl`` and not ``_bak``."""
     return F.col(c).contains(".jsonl") & ~F.col(c).contains("_bak")

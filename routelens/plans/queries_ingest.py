@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from routelens.constants import MONEY
 from routelens.functions.logs import choice_score, metric_value, parse_list_literal, select_prompts
 from routelens.operators.cost import price_answers, with_token_cost
-from routelens.operators.logs import attach_header, fold_events, parse_log_lines, scan_run_logs, write_run_logs
+from routelens.operators.logs import attach_header, fold_events, meet_models, parse_log_lines, scan_run_logs, write_run_logs
 from routelens.operators.oracle import oracle_label
 from routelens.operators.reshape import (complete_samples, dedupe_first, eval_from_sample_id, filter_family, one_to_one,
                                          model_list, to_wide, wide_to_long)
 from routelens.plans.registry import query
 from routelens.session import materialize, scratch_path
-from routelens.sources.fixtures import (eval_long, list_literal, log_events, log_lines, model_price, prompt_lines,
-                                        stringified_prompts)
+from routelens.sources.fixtures import (eval_long, list_literal, log_events, log_lines, model_log_lines, model_price,
+                                        prompt_lines, stringified_prompts)
 from routelens.plans.jobs import convert_long
 from routelens.functions.text import n_tokens
 from routelens.sources.tables import read_prices_csv, read_table
@@ -162,6 +162,35 @@ def q_convert_logs(spark, sf_dir):
                                                 "oracle")
 
 
+def converted_models(spark, path):
+    """Run logs of several models below ``path`` -> one row per prompt: each model's grade and cost, and the oracle.
+
+    Scan -> header and validity per file -> fold -> graded only -> dedupe -> complete -> meet by prompt -> price
+    (a prompt's tokens counted once) -> oracle among the models that answered -> pivot.
+    """
+    ev = attach_header(parse_log_lines(scan_run_logs(spark, path))).where(F.col("run_id").isNotNull())
+    f = fold_events(ev, extra_keys=("model", "eval_name")).where(F.col("correct").isNotNull()).select(
+        "file", "sample_id", "eval_name", "model", F.substring("model", 2, 10).cast("int").alias("model_idx"), "prompt",
+        F.col("sampled").alias("response"), F.col("correct").alias("performance"))
+    f = dedupe_first(f, ["sample_id", "eval_name", "model", "prompt"], ["file"])
+    f = complete_samples(f, ["sample_id", "eval_name", "model", "prompt", "response", "performance"])
+    met = materialize(meet_models(f), "met-prompts")
+    keys = ("sample_id", "eval_name", "prompt_key")
+    priced = price_answers(met, model_price(spark), keys=keys)
+    return (met.select(*keys, "prompt").join(to_wide(priced, MODELS, keys), list(keys))
+            .join(oracle_label(priced, keys=keys).select(*keys, "oracle", "oracle_cost_pico"), list(keys)))
+
+
+@query("q_convert_logs_models")
+def q_convert_logs_models(spark, sf_dir):
+    path = scratch_path(spark, "model-runlogs")
+    write_run_logs(model_log_lines(spark, sf_dir), path)
+    grades = [f"{m}_{x}" for m in MODELS for x in ("perf", "cost")]
+    return converted_models(spark, path).select(
+        "sample_id", "eval_name", F.size("prompt").alias("n_prompts"), _md5_list("prompt").alias("prompt_md5"), "oracle",
+        "oracle_cost_pico", *grades)
+
+
 @query("q_convert_long")
 def q_convert_long(spark, sf_dir):
     """Long-table convertor: one row per prompt (answers array), priced with the prompt's

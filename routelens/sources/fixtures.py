@@ -183,6 +183,46 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(broken).unionByName(bak).unionByName(short)
 
 
+def model_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run logs of three models for every conversation as JSON lines ``(file, pos, line)``.
+
+    Each group of conversations (:func:`log_file_no`) has a file per model, models k, k + 1 and k + 3 modulo
+    five.  The first two earn the label's grade (ties), the third says its answers twice and is right on
+    every third conversation.  Some conversations lack the second model's grade, some put a further
+    question to the third model only; in group 3 the second model's file has an unparsable line.
+    """
+    conv = read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", "text", log_file_no(F.col("conv_id")).alias("k"))
+    lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), "quality")
+    o, k, cid = F.col("o"), F.col("k"), F.col("conv_id")
+    model = F.concat(F.lit("m"), ((k + F.when(o == 2, 3).otherwise(o)) % 5).cast("string"))
+    file = F.concat(F.lit("conv"), k.cast("string"), F.lit("-"), model, F.lit(".jsonl"))
+
+    def runs(rows):
+        return rows.withColumn("o", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+
+    def record(kind, data):
+        return F.to_json(F.struct(F.concat(F.lit("run"), k.cast("string")).alias("run_id"), cid.cast("string").alias("sample_id"),
+                                  F.lit(kind).alias("type"), data.alias("data"))).alias("line")
+
+    said = F.when(o == 2, F.concat_ws(" ", "text", "text")).otherwise(F.col("text"))
+    turns = runs(conv).select(file.alias("file"), (cid * 100 + F.col("turn") + 1).alias("pos"), record("sampling", F.struct(
+        F.when(F.col("role") != "assistant", F.array(F.struct("role", F.col("text").alias("content")))).alias("prompt"),
+        F.when(F.col("role") == "assistant", F.array(said)).alias("sampled"))))
+    each = runs(conv.select("conv_id", "k").distinct())
+    more = each.where((o == 2) & (cid % 11 == 5)).select(file.alias("file"), (cid * 100 + 98).alias("pos"), record(
+        "sampling", F.struct(F.array(F.struct(F.lit("user").alias("role"), F.lit("again").alias("content"))).alias("prompt"))))
+    right = F.when(o == 2, cid % 3 == 0).otherwise(F.col("quality") == 1)
+    grades = each.where(~((o == 1) & (cid % 13 == 4))).join(lab, "conv_id").select(
+        file.alias("file"), (cid * 100 + 99).alias("pos"), record("match", F.struct(right.alias("correct"))))
+    files = runs(conv.select("k").distinct())
+    header = files.select(file.alias("file"), F.lit(0).cast("long").alias("pos"), F.to_json(F.struct(F.struct(
+        F.array(F.concat(F.lit("raw_models/"), model)).alias("completion_fns"),
+        F.concat(F.lit("conv-"), k.cast("string")).alias("eval_name")).alias("spec"))).alias("line"))
+    broken = files.where((k == 3) & (o == 1)).select(file.alias("file"), F.lit(1).cast("long").alias("pos"), F.lit("{not json").alias("line"))
+    return header.unionByName(turns).unionByName(more).unionByName(grades).unionByName(broken)
+
+
 def variant_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Router results per (eval, variant, wtp point) aggregated from ``documents``.
 
