@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelens.constants import MONEY, ORACLE
-from routelens.operators.oracle import fill_performance, oracle_label
+from routelens.operators.oracle import oracle_label
 
 
 def model_scores(long_df: DataFrame, by: tuple = ("eval_name", "model")) -> DataFrame:
@@ -24,7 +24,15 @@ def oracle_scores(long_df: DataFrame) -> DataFrame:
         "eval_name", F.lit(ORACLE).alias("model"), "performance", "total_cost_pico")
 
 
-def eval_scores(long_df: DataFrame) -> DataFrame:
-    """Baseline table: every model (NULL performance counted as 0) plus the oracle, per eval."""
-    llm = model_scores(fill_performance(long_df))
-    return llm.unionByName(oracle_scores(long_df))
+def eval_scores(long_df: DataFrame, keys: tuple = ("sample_id", "eval_name")) -> DataFrame:
+    """Baseline table: every model (NULL performance counted as 0) plus the oracle, per eval.
+
+    The answers are read once: one aggregate per prompt (key: ``keys``) gives its oracle choice beside the
+    models' grades and costs, which are then averaged and summed with map-side partial sums.
+    """
+    labelled = oracle_label(long_df, keys=keys, keep=(F.collect_list(F.struct(
+        "model", F.coalesce("performance", F.lit(0.0)).alias("performance"), "cost_pico")).alias("_answers"),))
+    chosen = F.struct(F.lit(ORACLE).alias("model"), F.col("oracle_performance").alias("performance"),
+                      F.col("oracle_cost_pico").alias("cost_pico"))
+    rows = labelled.select("eval_name", F.explode(F.concat("_answers", F.array(chosen))).alias("_a"))
+    return model_scores(rows.select("eval_name", "_a.*"))
