@@ -597,6 +597,17 @@ SELECT v.eval_name, v.embedding, v.neighbors, v.willingness_to_pay, v.total_cost
 FROM vr v JOIN best b USING (eval_name, embedding, neighbors)
 """, VR_CTE)
 
+sql("q_family_series", """
+SELECT v.eval_name, f.router, v.neighbors, v.willingness_to_pay AS x_value, v.total_cost, round(v.performance, 6) AS performance
+FROM vr v JOIN (
+  SELECT * FROM (
+    SELECT eval_name, neighbors, CASE WHEN neighbors IN (5, 15) THEN 'knn' ELSE 'mlp' END AS router,
+           row_number() OVER (PARTITION BY eval_name, neighbors IN (5, 15) ORDER BY performance DESC, total_cost, neighbors) AS rn3
+    FROM best_pt WHERE neighbors <> 20) WHERE rn3 = 1) f USING (eval_name, neighbors)
+UNION ALL
+SELECT eval_name, 'cascade', -1, willingness_to_pay, total_cost, round(performance, 6) FROM vr WHERE neighbors = 15
+""", VR_CTE)
+
 _DISPLAY = ", ".join(f"('{m}', '{d}')" for m, d in __import__("routelens.constants", fromlist=["x"]).DISPLAY_NAMES)
 sql("q_leaderboard", f"""
 SELECT s.eval_name, s.model, coalesce(d.display_name, s.model) AS display_name, round(s.performance, 6) AS performance,

@@ -55,6 +55,22 @@ def best_variant(results: DataFrame, variant_cols: list[str], within: list[str])
     return b.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
+def family_series(points: DataFrame, cascade: DataFrame, variant_cols: list[str], skip: tuple = ("svm",),
+                  error_rate: float = 0.2) -> DataFrame:
+    """Plot series per eval: all points of each router family's best variant (``variant_cols`` begin with
+    ``router``; families in ``skip`` are not plotted) by willingness to pay, and the cascade's points at one
+    judge error rate by budget.  Equal variants' rows all stay; NULL parameters match NULL."""
+    best = best_variant(points.where(~F.col("router").isin(*skip)), variant_cols, ["router"]).select(
+        "eval_name", *[F.col(c).alias(f"_{c}") for c in variant_cols])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in variant_cols]
+    series = points.join(best.withColumnRenamed("eval_name", "_eval"),
+                         [F.col("eval_name") == F.col("_eval"), *same], "left_semi")
+    cols = ["eval_name", *variant_cols, "x_value", "total_cost", "performance"]
+    asked = cascade.where(F.col("evaluator_error_rate") == error_rate)
+    return (series.withColumn("x_value", F.col("willingness_to_pay")).select(*cols)
+            .unionByName(asked.withColumn("x_value", F.col("max_cost_per_response")).select(*cols)))
+
+
 def display_names(spark) -> DataFrame:
     return spark.createDataFrame(DISPLAY_NAMES, "model string, display_name string")
 

@@ -18,7 +18,7 @@ from routelens.operators.cost import price_answers
 from routelens.operators.embed import embed_with_cache, encoder_embed, hash_embed
 from routelens.operators.frontier import aiq, aiq_ranking, ndch
 from routelens.operators.oracle import oracle_label
-from routelens.operators.results import best_variant
+from routelens.operators.results import best_variant, family_series
 from routelens.operators.split import families
 from routelens.plans.convertors import read_answers
 from routelens.plans.evaluate import ROUTERS, Grid, evaluate_grid, in_space, prepare
@@ -215,13 +215,10 @@ def analyse_job(spark: SparkSession, opts: AnalyseOptions) -> dict[str, str]:
     out["aiq_ranking"] = aiq_ranking(out["aiq"], ["embedding"])
     # plot series: best variant of each router family (SVR not plotted) with its points by wtp,
     # and the cascade at judge error rate 0.2 with its points by budget
-    best = best_variant(points.where(F.col("router") != "svm"), variant, ["router"]).select("eval_name", *variant)
-    series = points.join(best, ["eval_name"] + variant, "left_semi").select(
-        "eval_name", *variant, F.col("willingness_to_pay").alias("x_value"), "total_cost", "performance")
-    casc = res.where(F.col("max_cost_per_response").isNotNull() & (F.col("evaluator_error_rate") == 0.2)).select(
-        "eval_name", "router", *[F.lit(v).alias(p) for p, v in blank.items()], F.col("max_cost_per_response").alias("x_value"),
+    casc = res.where(F.col("max_cost_per_response").isNotNull()).select(
+        "eval_name", "router", *[F.lit(v).alias(p) for p, v in blank.items()], "max_cost_per_response", "evaluator_error_rate",
         F.col("total_cost_pico").alias("total_cost"), "performance")
-    out["plot_series"] = series.unionByName(casc)
+    out["plot_series"] = family_series(points, casc, variant)
     out["eval_names"] = res.select("eval_name").distinct()
     out["router_names"] = routers.select(*variant).distinct()
     paths = {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from routelens.constants import WTP_GRID, WTP_TEXT
 from routelens.functions.variants import parse_params_tolerant, parse_variant, variant_name
 from routelens.operators.frontier import aiq, aiq_ranking, ndch
-from routelens.operators.results import (best_variant, display_names, macro_mean, mark_baselines, plot_points,
+from routelens.operators.results import (best_variant, display_names, family_series, macro_mean, mark_baselines, plot_points,
                                          results_wide, results_wide_by_variant, union_results, with_display_name)
 from routelens.operators.scores import eval_scores
 from routelens.plans.registry import as_long, query
@@ -67,6 +67,19 @@ def q_frontier_series(spark, sf_dir):
                     r6("performance").alias("performance"))
 
 
+@query("q_family_series")
+def q_family_series(spark, sf_dir):
+    """Best variant of each router family (two kNN, two MLP; SVR is not plotted) and the cascade at error rate 0.2."""
+    vr = _vr(spark, sf_dir)
+    family = F.element_at(F.array(*[F.lit(r) for r in ("knn", "mlp", "knn", "svm", "mlp")]), F.col("v") + 1)
+    cascade = vr.select("eval_name", F.lit("cascade").alias("router"), F.lit(-1).alias("neighbors"),
+                        (F.col("v") / 10).alias("evaluator_error_rate"), F.col("willingness_to_pay").alias("max_cost_per_response"),
+                        "total_cost", "performance")
+    s = family_series(vr.withColumn("router", family), cascade, ["router", "neighbors"])
+    return s.select("eval_name", "router", F.col("neighbors").cast("int").alias("neighbors"), "x_value", "total_cost",
+                    r6("performance").alias("performance"))
+
+
 def _explode_hull(h, keys):
     x = h.select(*keys, F.posexplode("hull").alias("pos", "pt"))
     return x.select(*keys, F.col("pos").cast("int").alias("pos"), r6("pt.x").alias("x"), r6("pt.y").alias("y"))
