@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from routelens.functions.text import n_tokens_all, token_cost_pico
 from routelens.operators.tokens import WHITESPACE, token_counter
@@ -17,13 +18,15 @@ def with_token_cost(long_df: DataFrame, prices: DataFrame, prompt_col: str = "pr
     table with one row per model; Catalyst broadcasts it when its measured size
     is under ``spark.sql.autoBroadcastJoinThreshold`` and falls back to a
     sort-merge join otherwise.  A model without a price fails the job, as an
-    unknown model must.
+    unknown model must.  A prompt may come as its whitespace tokens (type long), counted before its rows
+    were repeated for every model.
     """
+    asked = F.col(prompt_col) if isinstance(long_df.schema[prompt_col].dataType, T.LongType) else n_tokens_all(F.col(prompt_col))
     p = prices.select("model", "prompt_pico", "completion_pico", "request_pico")
     j = long_df.join(p, "model", "left")
     cost = F.when(F.col("prompt_pico").isNull(),
                   F.raise_error(F.concat(F.lit("no price for model "), F.col("model"))).cast("long")
-                  ).otherwise(token_cost_pico(F.col(prompt_col), F.col(response_col), F.col("prompt_pico"),
+                  ).otherwise(token_cost_pico(asked, F.col(response_col), F.col("prompt_pico"),
                                               F.col("completion_pico"), F.col("request_pico")))
     return j.withColumn(out_col, cost).drop("prompt_pico", "completion_pico", "request_pico")
 
@@ -42,18 +45,25 @@ def price_answers(samples: DataFrame, prices: DataFrame, keys: tuple = ("sample_
 
     ``tokenizers`` (name -> factory, see :func:`token_counter`) lets models count tokens their own way:
     ``prices`` then has a column ``tokenizer`` (null: whitespace), a prompt is counted once for each
-    tokenizer, an answer by its model's, and its count is returned as ``response_tokens``."""
+    tokenizer, an answer by its model's, and its count is returned as ``response_tokens``.
+
+    Without ``tokenizers`` a prompt or answer may come as its whitespace tokens, counted before the rows
+    were grouped: a ``prompt_col`` or ``response`` of type long."""
     names = [WHITESPACE, *sorted(tokenizers or {})]
+
+    def whitespace(kind, c):
+        return c if isinstance(kind, T.LongType) else n_tokens_all(c)
+
     if tokenizers:
         count = token_counter(tokenizers)
         asked = F.create_map(*[x for n in names for x in (F.lit(n), count(F.lit(n), F.col(prompt_col)))])
     else:
-        asked = n_tokens_all(F.col(prompt_col))
+        asked = whitespace(samples.schema[prompt_col].dataType, F.col(prompt_col))
     pt = samples.select(*keys, asked.alias("_pt"), answers_col)
     x = pt.select(*keys, "_pt", F.explode(answers_col).alias("_a")).select(*keys, "_pt", "_a.*")
     p = prices.select("model", "prompt_pico", "completion_pico", "request_pico", *(["tokenizer"] if tokenizers else []))
     j = x.join(p, "model", "left")
-    prompt_tokens, said = F.col("_pt"), n_tokens_all(F.col("response"))
+    prompt_tokens, said = F.col("_pt"), whitespace(x.schema["response"].dataType, F.col("response"))
     if tokenizers:
         own = F.coalesce(F.col("tokenizer"), F.lit(WHITESPACE))
         j = j.withColumn("response_tokens", count(own, F.col("response")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from routelens.constants import ROUTER_PARAMS, TRAIN_FRACTION
 from routelens.functions.hashing import cache_key
+from routelens.functions.text import n_tokens_all
 from routelens.operators.cost import price_answers
 from routelens.operators.embed import embed_with_cache, encoder_embed, hash_embed
 from routelens.operators.frontier import aiq, aiq_ranking, ndch
@@ -81,7 +82,8 @@ def _prompt_text(prompt: F.Column) -> F.Column:
     return F.concat_ws("\n", prompt)
 
 
-def convert_long(long: DataFrame, prices: DataFrame, model_idx: F.Column, tokenizers: dict | None = None) -> DataFrame:
+def convert_long(long: DataFrame, prices: DataFrame, model_idx: F.Column, tokenizers: dict | None = None,
+                 texts: bool = True) -> DataFrame:
     """Long answers -> one row per (sample, eval, model) with mean performance, cost, oracle and prompt.
 
     A prompt is known by its sample id and eval name together (evals may share ids).  Rows that repeat
@@ -89,15 +91,18 @@ def convert_long(long: DataFrame, prices: DataFrame, model_idx: F.Column, tokeni
     shuffle of the answers: every later group and join uses the same keys.  With ``tokenizers`` the price
     list names each model's (see :func:`price_answers`) and the response's tokens are kept.
     """
+    if tokenizers and not texts:
+        raise ValueError("tokenizers count the responses' texts")
+    said = F.col("response") if texts else n_tokens_all("response").alias("response")
     keys = ["sample_id", "eval_name"]
     samples = long.withColumn("model_idx", model_idx).groupBy(*keys).agg(
         F.min("prompt").alias("prompt"),
-        F.collect_list(F.struct("model", "model_idx", "performance", "response")).alias("answers"))
+        F.collect_list(F.struct("model", "model_idx", "performance", said)).alias("answers"))
     priced = price_answers(samples, prices, keys=(*keys, "prompt"), tokenizers=tokenizers)
     counted = [F.min_by("response_tokens", "response").alias("response_tokens")] if tokenizers else []
     per_model = priced.groupBy(*keys, "prompt", "model", "model_idx").agg(
-        F.avg("performance").alias("performance"), F.min("response").alias("response"),
-        F.min("cost_pico").alias("cost_pico"), *counted)
+        F.avg("performance").alias("performance"), F.min("cost_pico").alias("cost_pico"),
+        *([F.min("response").alias("response")] if texts else []), *counted)
     lab = oracle_label(per_model, keys=tuple(keys)).select(*keys, "oracle")
     return per_model.join(lab, keys).withColumn("performance", F.coalesce(F.col("performance"), F.lit(0.0)))
 

@@ -9,7 +9,7 @@ from routelens.operators.oracle import fill_performance, oracle_label
 from routelens.operators.scores import eval_scores, oracle_scores
 from routelens.plans.registry import as_long, query
 from routelens.sources.fixtures import eval_long, model_price
-from routelens.functions.text import n_tokens
+from routelens.functions.text import n_tokens, n_tokens_all
 from routelens.sources.tables import read_table
 
 
@@ -17,12 +17,18 @@ def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def _once(c):
+    """A prompt's own value, worked out on its first model's row alone."""
+    return F.first(F.when(F.col("model_idx") == 0, c), ignorenulls=True)
+
+
 @query("q_token_cost")
 def q_token_cost(spark, sf_dir):
     el = eval_long(spark, sf_dir).drop("cost_pico")
-    # one row per prompt (answers bounded by the number of models), prompt tokens counted once
-    samples = el.groupBy("sample_id").agg(F.first("prompt").alias("prompt"), F.collect_list(
-        F.struct("model", "model_idx", "response")).alias("answers"))
+    # one row per prompt (answers bounded by the number of models), prompt tokens counted once; the texts
+    # are counted where they are read, counts alone move
+    samples = el.groupBy("sample_id").agg(_once(n_tokens_all("prompt")).alias("prompt"), F.collect_list(
+        F.struct("model", "model_idx", n_tokens_all("response").alias("response"))).alias("answers"))
     return price_answers(samples, model_price(spark)).select("sample_id", "model", "cost_pico")
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from routelens.operators.cost import with_token_cost
 from routelens.operators.embed import cache_misses, embed_with_cache, encoder_embed, hash_embed, with_cache_key
 from routelens.operators.oracle import oracle_label
+from routelens.functions.text import n_tokens
 from routelens.operators.split import families, leak_check, split_by_source, split_samples
 from routelens.plans.registry import query
 from routelens.session import scratch_path
-from routelens.sources.fixtures import eval_long, model_price
-from routelens.sources.tables import read_table
+from routelens.sources.fixtures import eval_long, eval_long_from, model_price
+from routelens.sources.tables import dealt, read_table
 
 EMBED_MODEL = "hash32"
 
@@ -117,8 +118,10 @@ def q_encoder_embed(spark, sf_dir):
 @query("q_convert_and_embed")
 def q_convert_and_embed(spark, sf_dir):
     """Convert (price + oracle) and attach each prompt's embedding from the cache."""
-    el = eval_long(spark, sf_dir).drop("cost_pico")
-    lab = oracle_label(with_token_cost(el, model_price(spark))).select("sample_id", "oracle")
+    d = dealt(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    # a prompt's tokens are counted once, not for every model's answer
+    el = eval_long_from(d.withColumn("prompt_tokens", n_tokens("text")), keep=("prompt_tokens",)).drop("cost_pico")
+    lab = oracle_label(with_token_cost(el, model_price(spark), "prompt_tokens")).select("sample_id", "oracle")
     prompts = el.where(F.col("model_idx") == 0).select("sample_id", F.element_at("prompt", 1).alias("prompt"))
     emb = embed_with_cache(prompts, _initial_store(spark, sf_dir), EMBED_MODEL,
                            lambda m: hash_embed(m, "prompt", "hash"))
