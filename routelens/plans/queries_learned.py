@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from routelens.plans.evaluate import evaluate_all, mlp_results, prepare, svr_results
 from routelens.plans.registry import query
-from routelens.sources.fixtures import N_MODELS, model_price, router_samples
+from routelens.sources.fixtures import N_MODELS, eval_long, model_price, router_vectors
 
 
 def _rd(spark, sf_dir):
-    return prepare(router_samples(spark, sf_dir), N_MODELS)
+    return prepare(eval_long(spark, sf_dir), N_MODELS, vectors=router_vectors(spark, sf_dir))
 
 
 def _r6(df):
